@@ -126,32 +126,53 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str = "toxic", fit_rows: int
     return OrdinalModel({f: float(weights[i]) for f, i in index.items() if abs(weights[i]) > 1e-6}, [float(x) for x in thresholds])
 
 
-def score(docs: DataFrame, model: OrdinalModel, keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.5) -> DataFrame:
-    """`keep` with expected_severity, p_toxic (P(grade >= 1)), grade (the most probable) and toxic."""
+def _scorer(model: OrdinalModel):
+    """texts -> P(grade >= k) for k = 1.., a row for each text."""
     weights, theta = model.weights, np.array(model.thresholds)
+    memo: dict[str, tuple[str, ...]] = {}
+
+    def run(texts: list[str | None]) -> np.ndarray:
+        eta = []
+        for text in texts:
+            hits: Counter = Counter()
+            for word in WORD.findall((text or "").lower()):
+                found = memo.get(word)
+                if found is None:
+                    if len(memo) >= _MEMO:
+                        memo.clear()
+                    found = memo[word] = tuple(f for f in features_of(word) if f in weights)
+                if found:
+                    hits.update(found)
+            eta.append(sum(weights[f] * float(np.log1p(n)) for f, n in hits.items()))
+        at_least = 1 / (1 + np.exp(np.clip(theta[None, :] - np.array(eta, dtype=float).reshape(-1, 1), -35, 35)))
+        return at_least if weights else np.zeros_like(at_least)
+
+    return run
+
+
+def score(docs: DataFrame, model: OrdinalModel, threshold: float = 0.5) -> DataFrame:
+    """doc_id, expected_severity, p_toxic (P(grade >= 1)), grade (the most probable) and toxic."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, tuple[str, ...]] = {}
+        scorer = _scorer(model)
         for batch in batches:
-            eta = []
-            for text in batch.column("__text").to_pylist():
-                hits: Counter = Counter()
-                for word in WORD.findall(text.lower()):
-                    found = memo.get(word)
-                    if found is None:
-                        if len(memo) >= _MEMO:
-                            memo.clear()
-                        found = memo[word] = tuple(f for f in features_of(word) if f in weights)
-                    if found:
-                        hits.update(found)
-                eta.append(sum(weights[f] * float(np.log1p(n)) for f, n in hits.items()))
-            at_least = 1 / (1 + np.exp(np.clip(theta[None, :] - np.array(eta, dtype=float).reshape(-1, 1), -35, 35)))
-            if not weights:
-                at_least[:] = 0
-            edges = np.hstack([np.ones((len(eta), 1)), at_least, np.zeros((len(eta), 1))])
-            columns = [batch.column(i) for i in range(len(keep))]
-            columns += [pa.array(at_least.sum(axis=1)), pa.array(at_least[:, 0]), pa.array((edges[:, :-1] - edges[:, 1:]).argmax(axis=1).astype("int32")), pa.array(at_least[:, 0] >= threshold)]
-            yield pa.RecordBatch.from_arrays(columns, [*keep, "expected_severity", "p_toxic", "grade", "toxic"])
-
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, text_of("text").alias("__text")).mapInArrow(run, f"{schema}, expected_severity double, p_toxic double, grade int, toxic boolean")
+            at_least = scorer(batch.column("text").to_pylist())
+            one = np.ones((len(at_least), 1))
+            edges = np.hstack([one, at_least, 0 * one])
+            grade = (edges[:, :-1] - edges[:, 1:]).argmax(axis=1).astype("int32")
+            columns = [pa.array(at_least.sum(axis=1)), pa.array(at_least[:, 0]), pa.array(grade), pa.array(at_least[:, 0] >= threshold)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "expected_severity", "p_toxic", "grade", "toxic"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, expected_severity double, p_toxic double, grade int, toxic boolean")
+
+
+def keep_clean(docs: DataFrame, model: OrdinalModel, threshold: float = 0.5) -> DataFrame:
+    """The documents, with all their columns, whose P(grade >= 1) is below the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _scorer(model)
+        for batch in batches:
+            yield batch.filter(pa.array(scorer(batch.column("text").to_pylist())[:, 0] < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
