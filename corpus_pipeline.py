@@ -1,10 +1,51 @@
-"""Corpus pipeline: each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept."""
+"""Corpus pipeline: toxicity filter, near-duplicate removal, masking of personal data, mixing of sources, tokenization.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; all but the last return the columns
+of documents. Nulls, empty texts and tables, repeated rows and extra columns are handled as the operators state."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline.llm import byte_bpe, jaccard_join, mixing, pii, toxicity
+from plumbline.llm.queries import BPE_FILE
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.keep_clean(docs, model)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard_join.keep_one(docs)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redact(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(docs).select(*docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    bpe = byte_bpe.ByteBPE(spark, public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN)
+    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"))
+    return encoded.select("doc_id", "lang", "source", F.size("token_ids").cast("bigint").alias("n_tokens"), "token_ids")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("jaccard_join", drop_near_copies),
+    ("pii", mask_personal_data),
+    ("mixing", mix),
+    ("byte_bpe", tokenize),
+]
 
-STAGES: list = []
+#: No stage but mixing can be written in SQL as a whole; tests compare the pipeline with a plain version.
 ORACLE_SQL = None
 
 
