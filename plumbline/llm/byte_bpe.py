@@ -13,15 +13,13 @@ from __future__ import annotations
 
 import base64
 import heapq
-import json
-import zlib
 from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import Scratch, text_of
 
 BUCKETS = 1 << 16
 #: Entries of the dictionary of frequent words, and the most bytes that one of them may have: at most 4 MB of words.
@@ -42,42 +40,55 @@ def _byte_chars(word: Column) -> Column:
     return F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
 
 
-def _bucketed(entries: dict[str, object], value_type: str) -> Column:
-    """A literal map for constant-time look-ups: an array of small maps, addressed by a checksum of the key."""
-    buckets: list[dict | None] = [None] * BUCKETS
-    for key, value in entries.items():
-        i = zlib.crc32(key.encode()) % BUCKETS
-        buckets[i] = buckets[i] or {}
-        buckets[i][key] = value
-    return F.from_json(F.lit(json.dumps(buckets)), f"array<map<string,{value_type}>>")
-
-
-def _look_up(literal: Column, key: Column) -> Column:
-    return F.try_element_at(F.get(literal, F.pmod(F.crc32(key.cast("binary")), F.lit(BUCKETS)).cast("int")), key)
+def _look_up(buckets: Column, key: Column) -> Column:
+    return F.try_element_at(F.get(buckets, F.pmod(F.crc32(key.cast("binary")), F.lit(BUCKETS)).cast("int")), key)
 
 
 def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _with_literal(rows: DataFrame, used: str, literal: Column, name: str, body) -> DataFrame:
+    """`rows` with body(literal, used) in place of the column `used`. A subquery can't be written inside a higher-order
+    function, so it is a column for this one use; as both are used once, the optimizer folds them into one projection and the
+    literal is never part of a row."""
+    others = [c for c in rows.columns if c != used]
+    return rows.withColumn("__literal", literal).select(*others, _let(F.col("__literal"), lambda m: _let(F.col(used), lambda u: body(m, u))).alias(name))
+
+
 class ByteBPE:
-    """Encoder and decoder of one vocabulary. `pattern` splits text into words, as in the vocabulary's own library."""
+    """Encoder and decoder of one vocabulary. `pattern` splits text into words, as in the vocabulary's own library.
+
+    The rank map, the pieces and the dictionary are one-row tables of bounded size, read as scalar subqueries: literals to the
+    tasks, without a place in the text of the plans."""
 
     def __init__(self, spark: SparkSession, rank_path: str, pattern: str):
-        self.spark, self.pattern = spark, "(?U)" + pattern
+        self.spark, self.pattern, self.scratch = spark, "(?U)" + pattern, Scratch(spark, "bpe")
         self.ranks = load_ranks(rank_path)
-        self.rank_map = _bucketed({k.decode("latin-1"): v for k, v in self.ranks.items()}, "int")
-        pieces = [""] * (max(self.ranks.values()) + 1)
-        for k, v in self.ranks.items():
-            pieces[v] = k.hex()
-        self.pieces = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
+        keys = pd.DataFrame({"k": [k.decode("latin-1") for k in self.ranks], "v": list(self.ranks.values()), "piece": [k.hex() for k in self.ranks]})
+        rows = spark.createDataFrame(keys, "k string, v int, piece string")
+        self.rank_map = self._literal(rows.select("k", "v"), "ranks")
+        ids = spark.range(max(self.ranks.values()) + 1).join(rows, F.col("id") == F.col("v"), "left")
+        self.pieces = self._one_row(ids.select("id", F.coalesce("piece", F.lit("")).alias("m")), "pieces")
+
+    def _one_row(self, rows: DataFrame, name: str, made=lambda m: m) -> Column:
+        """The values m in order of id, as one array."""
+        array = rows.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "m"))), lambda x: made(x["m"])).alias("a"))
+        return self.scratch.write(array, name).scalar()
+
+    def _literal(self, entries: DataFrame, name: str) -> Column:
+        """A map for constant-time look-ups: an array of small maps, addressed by a checksum of the key."""
+        bucket = F.pmod(F.crc32(F.col("k").cast("binary")), F.lit(BUCKETS))
+        maps = entries.groupBy(bucket.alias("b")).agg(F.collect_list(F.struct("k", "v")).alias("m"))
+        filled = self.spark.range(BUCKETS).join(maps, F.col("id") == F.col("b"), "left").select("id", "m")
+        return self._one_row(filled, name, F.map_from_entries)
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))
 
-    def fold(self, word: Column) -> Column:
+    def fold(self, word: Column, rank_map: Column) -> Column:
         """Ids of one word: bytes, then ranked merges until no pair of neighbours is in the vocabulary."""
-        rank = lambda piece: _look_up(self.rank_map, piece)
+        rank = lambda piece: _look_up(rank_map, piece)
 
         def step(acc: Column, _: Column) -> Column:
             def merge(k: Column) -> Column:
@@ -111,8 +122,8 @@ class ByteBPE:
         some = docs.sample(False, min(1.0, DICTIONARY_DOCS / n), 5) if n > DICTIONARY_DOCS else docs
         counted = some.select(F.explode(self.words(text_of(text))).alias("w")).groupBy("w").count()
         top = counted.where(F.octet_length("w") <= DICTIONARY_BYTES).orderBy(F.desc("count"), "w").limit(size)
-        rows = top.select("w", self.fold(F.col("w")).alias("ids")).collect()
-        return _bucketed({r["w"]: list(r["ids"]) for r in rows}, "array<int>")
+        folded = _with_literal(top.select("w"), "w", self.rank_map, "e", lambda m, w: F.struct(w.alias("k"), self.fold(w, m).alias("v")))
+        return self._literal(folded.select("e.k", "e.v"), "dictionary")
 
     def encode(self, docs: DataFrame, text: str = "text", out: str = "token_ids") -> DataFrame:
         """`docs` with an array of ids."""
@@ -122,11 +133,12 @@ class ByteBPE:
         none = F.array().cast("array<int>")
         plain = docs.where(~t.rlike(long_run))
         plain = plain.withColumn("__words", self.words(t))
-        plain = plain.withColumn("__found", F.transform("__words", lambda w: _look_up(known, w)))
-        plain = plain.withColumn("__rare", F.array_distinct(F.filter("__words", lambda w, i: F.get("__found", i).isNull())))
-        plain = plain.withColumn("__rare_ids", F.transform("__rare", self.fold))
-        at = lambda w: F.get("__rare_ids", (F.array_position("__rare", w) - 1).cast("int"))
-        ids = F.flatten(F.transform("__found", lambda x, i: F.coalesce(x, at(F.get("__words", i)))))
+        plain = _with_literal(plain, "__words", known, "__pairs", lambda d, words: F.transform(words, lambda w: F.struct(w.alias("w"), _look_up(d, w).alias("ids"))))
+        rare = F.array_distinct(F.transform(F.filter("__pairs", lambda x: x["ids"].isNull()), lambda x: x["w"]))
+        plain = plain.withColumn("__rare", rare)
+        entry = lambda m: lambda w: F.struct(w.alias("k"), self.fold(w, m).alias("v"))
+        plain = _with_literal(plain, "__rare", self.rank_map, "__rare", lambda m, words: F.map_from_entries(F.transform(words, entry(m))))
+        ids = F.flatten(F.transform("__pairs", lambda x: F.coalesce(x["ids"], F.try_element_at("__rare", x["w"]))))
         plain = plain.select(*docs.columns, F.coalesce(ids, none).alias(out))
         return plain.unionByName(self._encode_long(docs.where(t.rlike(long_run)), text, out))
 
@@ -141,9 +153,11 @@ class ByteBPE:
 
         return split.select(*docs.columns, merge_all("__words").alias(out))
 
-    def decode(self, ids: Column) -> Column:
-        """The bytes of an array of ids."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), ""))
+    def decode(self, rows: DataFrame, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
+        """`rows` with the bytes of an array of ids: its binary pieces, joined."""
+        joined = lambda p, a: F.unhex(F.array_join(F.transform(a, lambda i: F.get(p, i)), ""))
+        both = _with_literal(rows, ids, self.pieces, "__both", lambda p, a: F.struct(a.alias("ids"), joined(p, a).alias("bytes")))
+        return both.select(*[F.col("__both.ids").alias(ids) if c == ids else c for c in rows.columns], F.col("__both.bytes").alias(out))
 
 
 def merge_bytes(word: bytes, ranks: dict[bytes, int]) -> list[int]:

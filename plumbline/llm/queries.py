@@ -48,11 +48,11 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     bpe = byte_bpe.ByteBPE(spark, public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN)
     encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", text_of("text").alias("text")))
-    return encoded.select(
+    return bpe.decode(encoded).select(
         "doc_id",
         F.size("token_ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2(bpe.decode(F.col("token_ids")), 256).alias("decoded_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 

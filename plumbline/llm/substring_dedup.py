@@ -25,7 +25,8 @@ from .common import Scratch, text_of
 
 LENGTH, GRAM = 50, 26
 SPAN = LENGTH - GRAM + 1
-_POS = 40
+#: Bits of a position in `loc`, above them 16 bits that tell rows with one id apart, above those bits of a window's second hash.
+_POS, _CHECK = 32, 48
 _U = np.uint64
 
 
@@ -185,8 +186,9 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for at in range(0, len(s), 1 << 15):
                 part = s[at : at + (1 << 15)]
                 x = windows[part].astype(np.uint64) + _U(1)
-                w = [_mix((x * weights).sum(axis=1, dtype=np.uint64)).view(np.int64) for weights in _WINDOW]
-                yield pa.RecordBatch.from_arrays([pa.array(w[0]), pa.array(w[1]), pa.array(np.full(len(part), doc_id, np.int64)), pa.array(part + tag)], ["w1", "w2", "doc_id", "loc"])
+                w = [_mix((x * weights).sum(axis=1, dtype=np.uint64)) for weights in _WINDOW]
+                loc = part + tag + ((w[1] >> _U(49)) << _U(_CHECK)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(w[0].view(np.int64)), pa.array(np.full(len(part), doc_id, np.int64)), pa.array(loc)], ["w", "doc_id", "loc"])
 
 
 def removed_ranges(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -207,8 +209,9 @@ def removed_ranges(docs: DataFrame, scratch: Scratch) -> DataFrame:
     scratch.drop("anchors")
     asked = _collected(runs.where("NOT settled"))
     texts = tagged.join(asked, (F.col("doc_id") == F.col("__id")) & (F.col("__tag") == F.col("__t"))).select("doc_id", "__b", "__tag", "locs", "ns")
-    windows = texts.mapInArrow(_window_rows, "w1 bigint, w2 bigint, doc_id bigint, loc bigint")
-    found = windows.withColumn("lo", _least("doc_id", "w1", "w2")).where("doc_id > lo").select("doc_id", "loc", F.lit(1).cast("bigint").alias("n"))
+    windows = texts.mapInArrow(_window_rows, "w bigint, doc_id bigint, loc bigint").repartition("w")
+    windows = windows.withColumn("check", F.shiftright("loc", _CHECK)).withColumn("lo", _least("doc_id", "w", "check")).where("doc_id > lo")
+    found = windows.select("doc_id", F.col("loc").bitwiseAND(F.lit((1 << _CHECK) - 1)).alias("loc"), F.lit(1).cast("bigint").alias("n"))
     return runs.where("settled").select("doc_id", "loc", "n").unionByName(scratch.write(found, "windows"))
 
 
