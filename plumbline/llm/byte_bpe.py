@@ -64,7 +64,7 @@ class ByteBPE:
 
     def __init__(self, spark: SparkSession, rank_path: str, pattern: str):
         self.spark, self.pattern, self.scratch = spark, "(?U)" + pattern, Scratch(spark, "bpe")
-        self.ranks = load_ranks(rank_path)
+        self.ranks, self.dictionaries = load_ranks(rank_path), 0
         keys = pd.DataFrame({"k": [k.decode("latin-1") for k in self.ranks], "v": list(self.ranks.values()), "piece": [k.hex() for k in self.ranks]})
         rows = spark.createDataFrame(keys, "k string, v int, piece string")
         self.rank_map = self._literal(rows.select("k", "v"), "ranks")
@@ -123,10 +123,12 @@ class ByteBPE:
         counted = some.select(F.explode(self.words(text_of(text))).alias("w")).groupBy("w").count()
         top = counted.where(F.octet_length("w") <= DICTIONARY_BYTES).orderBy(F.desc("count"), "w").limit(size)
         folded = _with_literal(top.select("w"), "w", self.rank_map, "e", lambda m, w: F.struct(w.alias("k"), self.fold(w, m).alias("v")))
-        return self._literal(folded.select("e.k", "e.v"), "dictionary")
+        self.dictionaries += 1
+        return self._literal(folded.select("e.k", "e.v"), f"dictionary-{self.dictionaries}")
 
     def encode(self, docs: DataFrame, text: str = "text", out: str = "token_ids") -> DataFrame:
-        """`docs` with an array of ids."""
+        """`docs` with an array of ids, in place of any column of that name."""
+        docs = docs.drop(out)
         known = self.dictionary(docs, text)
         long_run = rf"(?U)\S{{{LONG_WORD}}}|\s{{{LONG_WORD}}}"
         t = text_of(text)
@@ -155,6 +157,7 @@ class ByteBPE:
 
     def decode(self, rows: DataFrame, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
         """`rows` with the bytes of an array of ids: its binary pieces, joined."""
+        rows = rows.drop(out)
         joined = lambda p, a: F.unhex(F.array_join(F.transform(a, lambda i: F.get(p, i)), ""))
         both = _with_literal(rows, ids, self.pieces, "__both", lambda p, a: F.struct(a.alias("ids"), joined(p, a).alias("bytes")))
         return both.select(*[F.col("__both.ids").alias(ids) if c == ids else c for c in rows.columns], F.col("__both.bytes").alias(out))

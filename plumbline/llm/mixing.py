@@ -4,7 +4,8 @@ Each document is repeated k times, k being the inverse of a Poisson distribution
 repetition rate, at a uniform number hashed from the seed and the document id. Copies are then shuffled globally.
 
 Defined cases: null sources form one source of their own; a null id hashes as the word null; repeated rows draw the same
-count; an empty table gives an empty result; sources without a weight (when weights are given) are left out.
+count; an empty table gives an empty result; sources without a weight (when weights are given) are left out; columns of the
+input that are named as ones of the result are replaced.
 """
 
 from __future__ import annotations
@@ -46,9 +47,9 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, total: float
         rows = [(str(k), float(v)) for k, v in weights.items() if v > 0]
         table = docs.sparkSession.createDataFrame(rows, "__key string, __w double")
         counts = counts.join(table, F.col("__source") == F.col("__key")).drop("__key")
-    sums = counts.agg(F.sum("__w").alias("__sum_w"), F.sum("__n").alias("__sum_n"))
-    target = F.lit(float(total)) if total is not None else F.col("__sum_n").cast("double")
-    return counts.crossJoin(F.broadcast(sums)).select("__source", "__n", (F.col("__w") / F.col("__sum_w") * target / F.col("__n")).alias("__rate"))
+    sum_w, sum_n = (counts.agg(F.sum(c).cast("double").alias(c)).scalar() for c in ("__w", "__n"))
+    target = F.lit(float(total)) if total is not None else sum_n
+    return counts.select("__source", "__n", (F.col("__w") / sum_w * target / F.col("__n")).alias("__rate"))
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, seed: int = 17, source: str = "source", key: str = "doc_id") -> DataFrame:
@@ -56,6 +57,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, total:
 
     Per-source counts are aggregated before they are shuffled; the rates join is left to the optimizer, which broadcasts
     them only below its size threshold. The shuffle deals copies by their hash, so no source meets in one task."""
+    docs = docs.drop("mix_rate", "mix_copy", "mix_key")
     rated = docs.join(rates(docs, weights, total, source), F.col(source).eqNullSafe(F.col("__source")))
     parts = F.greatest(F.lit(1), F.ceil(F.col("__rate") / MAX_PART).cast("int"))
     counted = rated.withColumn("__parts", parts).withColumn("__part_rate", F.col("__rate") / F.col("__parts"))

@@ -16,7 +16,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -116,7 +116,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
 
     def search(asked: DataFrame) -> DataFrame:
         """asked: queries with their shard and the score below which nothing is wanted."""
-        copies = index.crossJoin(F.broadcast(spark.range(blocks).select(F.col("id").cast("int").alias("block"))))
+        copies = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         keys = ("dim", "shard", "block")
         return copies.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(_search(k), schema)
 
@@ -128,7 +128,5 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
         others = F.explode(F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != home))
         asked = queries.join(floors, "query_id", "left").withColumn("shard", others)
         result = first.unionByName(search(asked))
-    from pyspark.sql import Window
-
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return result.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -26,6 +26,8 @@ from .common import one_per_key, sample_gate, text_of
 #: Largest expected number of labelled documents in the fit, and the number of features kept.
 FIT_ROWS = 12_000
 N_FEATURES = 4_000
+#: Least log-likelihood ratio of a feature between the two sides of grade 0, and the penalty on squared weights.
+MIN_GAIN, L2 = 12.0, 0.3
 PREFIXES = (4, 5, 6)
 WORD = re.compile(r"\w+")
 _MEMO = 200_000
@@ -58,7 +60,7 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         )
 
 
-def _fit_ordinal(rows: list[tuple[int, list[int], list[int]]], n_features: int, n_grades: int, l2: float = 1.0, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def _fit_ordinal(rows: list[tuple[int, list[int], list[int]]], n_features: int, n_grades: int, l2: float = L2, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
     """Penalised maximum likelihood by Adam over the sparse rows; thresholds stay ordered as a base plus positive gaps."""
     y = np.array([r[0] for r in rows])
     index = np.concatenate([np.array(r[1], dtype=np.int64) for r in rows]) if rows else np.zeros(0, np.int64)
@@ -110,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str = "toxic", fit_rows: int
     a, b = F.col("a"), F.col("n") - F.col("a")
     rate_a, rate_b = (a + 0.5) / (n_pos + 1.0), (b + 0.5) / (n_neg + 1.0)
     gain = a * F.log(rate_a / rate_b) + b * F.log(rate_b / rate_a)
-    top = seen.where("n >= 3").select("f", "a", b.alias("b"), gain.alias("gain")).orderBy(F.desc("gain"), "f").limit(n_features).collect()
+    top = seen.where("n >= 3").select("f", "a", b.alias("b"), gain.alias("gain")).where(F.col("gain") >= MIN_GAIN).orderBy(F.desc("gain"), "f").limit(n_features).collect()
     index = {r["f"]: i for i, r in enumerate(top)}
     sure = {r["f"] for r in top if r["a"] >= 3 and (r["b"] + 0.5) / (n_neg + 1) < 0.02 * r["a"] / n_pos}
     table = docs.sparkSession.createDataFrame([(f, i, f in sure) for f, i in index.items()], "f string, i int, sure boolean")
