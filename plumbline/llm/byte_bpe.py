@@ -1,33 +1,30 @@
-"""Byte-level BPE encoding and decoding in Spark expressions, from a given vocabulary file of ranks.
+"""Byte-level BPE encoding and decoding from a given vocabulary file of ranks.
 
-A word (one match of the split pattern) is an array of bytes; a fold merges, at each step, the leftmost pair of neighbours
-with the lowest rank, which a literal rank map gives. Frequent words are folded once and kept as a literal dictionary of
-bounded size; the other distinct words of a document are folded in place, so no row is shuffled. Decoding concatenates the
-binary pieces of the ids.
+Spark's regular expression splits a text into words (the matches of the vocabulary's pattern). In Arrow batches, the distinct
+words are folded by ranked merges: the neighbours with the lowest rank, leftmost first, are joined until no pair is in the
+rank map, a literal of the tasks. Ids are then gathered for all words at once, and no row is shuffled. Decoding concatenates
+the binary pieces of the ids.
 
-Defined cases: a null or empty text has no ids and decodes to no bytes; words beyond LONG_WORD characters are merged in
-Arrow batches by the same rule with a heap, as the fold takes quadratic time; repeated rows are encoded each on its own.
+Defined cases: a null or empty text has no ids and decodes to no bytes; null ids decode to no bytes; repeated rows are encoded
+each on its own; a column of the input that is named as the result is replaced. Merges use a heap, so long words are no
+special case.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
-from functools import lru_cache
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_of
+from .common import text_of
 
-BUCKETS = 1 << 16
-#: Entries of the dictionary of frequent words, and the most bytes that one of them may have: at most 4 MB of words.
-DICTIONARY_WORDS = 1 << 17
-DICTIONARY_BYTES = 32
-#: Documents that the dictionary is read from. It only saves time; results don't depend on it.
-DICTIONARY_DOCS = 6_000
-LONG_WORD = 1_000
+#: Words that a task remembers, and the most characters that one of them may have.
+MEMO_WORDS, MEMO_CHARS = 200_000, 64
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -35,132 +32,80 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def _byte_chars(word: Column) -> Column:
-    """The UTF-8 bytes of a string as characters 0 to 255, one for each byte."""
-    return F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
+def _gather(values: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of `values`, from each start and n long, joined; and where each begins in the result, its end last."""
+    at = np.concatenate([np.zeros(1, np.int64), np.cumsum(n, dtype=np.int64)])
+    return values[np.repeat(start - at[:-1], n) + np.arange(at[-1])], at
 
 
-def _look_up(buckets: Column, key: Column) -> Column:
-    return F.try_element_at(F.get(buckets, F.pmod(F.crc32(key.cast("binary")), F.lit(BUCKETS)).cast("int")), key)
-
-
-def _let(value: Column, body) -> Column:
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _with_literal(rows: DataFrame, used: str, literal: Column, name: str, body) -> DataFrame:
-    """`rows` with body(literal, used) in place of the column `used`. A subquery can't be written inside a higher-order
-    function, so it is a column for this one use; as both are used once, the optimizer folds them into one projection and the
-    literal is never part of a row."""
-    others = [c for c in rows.columns if c != used]
-    return rows.withColumn("__literal", literal).select(*others, _let(F.col("__literal"), lambda m: _let(F.col(used), lambda u: body(m, u))).alias(name))
+def _row_ends(lists: pa.ListArray) -> np.ndarray:
+    """Offsets of the rows in the flattened values."""
+    n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
 
 
 class ByteBPE:
-    """Encoder and decoder of one vocabulary. `pattern` splits text into words, as in the vocabulary's own library.
-
-    The rank map, the pieces and the dictionary are one-row tables of bounded size, read as scalar subqueries: literals to the
-    tasks, without a place in the text of the plans."""
+    """Encoder and decoder of one vocabulary. `pattern` splits text into words, as in the vocabulary's own library."""
 
     def __init__(self, spark: SparkSession, rank_path: str, pattern: str):
-        self.spark, self.pattern, self.scratch = spark, "(?U)" + pattern, Scratch(spark, "bpe")
-        self.ranks, self.dictionaries = load_ranks(rank_path), 0
-        keys = pd.DataFrame({"k": [k.decode("latin-1") for k in self.ranks], "v": list(self.ranks.values()), "piece": [k.hex() for k in self.ranks]})
-        rows = spark.createDataFrame(keys, "k string, v int, piece string")
-        self.rank_map = self._literal(rows.select("k", "v"), "ranks")
-        ids = spark.range(max(self.ranks.values()) + 1).join(rows, F.col("id") == F.col("v"), "left")
-        self.pieces = self._one_row(ids.select("id", F.coalesce("piece", F.lit("")).alias("m")), "pieces")
-
-    def _one_row(self, rows: DataFrame, name: str, made=lambda m: m) -> Column:
-        """The values m in order of id, as one array."""
-        array = rows.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "m"))), lambda x: made(x["m"])).alias("a"))
-        return self.scratch.write(array, name).scalar()
-
-    def _literal(self, entries: DataFrame, name: str) -> Column:
-        """A map for constant-time look-ups: an array of small maps, addressed by a checksum of the key."""
-        bucket = F.pmod(F.crc32(F.col("k").cast("binary")), F.lit(BUCKETS))
-        maps = entries.groupBy(bucket.alias("b")).agg(F.collect_list(F.struct("k", "v")).alias("m"))
-        filled = self.spark.range(BUCKETS).join(maps, F.col("id") == F.col("b"), "left").select("id", "m")
-        return self._one_row(filled, name, F.map_from_entries)
+        self.pattern, self.ranks = "(?U)" + pattern, load_ranks(rank_path)
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))
 
-    def fold(self, word: Column, rank_map: Column) -> Column:
-        """Ids of one word: bytes, then ranked merges until no pair of neighbours is in the vocabulary."""
-        rank = lambda piece: _look_up(rank_map, piece)
-
-        def step(acc: Column, _: Column) -> Column:
-            def merge(k: Column) -> Column:
-                p, r = acc["p"], acc["r"]
-                n = F.size(p)
-
-                def merged(new: Column) -> Column:
-                    left = F.when(k > 1, F.array(rank(F.concat(F.get(p, k - 2), new)))).otherwise(F.array().cast("array<int>"))
-                    right = F.when(k + 1 < n, F.array(rank(F.concat(new, F.get(p, k + 1))))).otherwise(F.array().cast("array<int>"))
-                    return F.struct(
-                        F.concat(F.slice(p, F.lit(1), k - 1), F.array(new), F.slice(p, k + 2, n)).alias("p"),
-                        F.concat(F.slice(r, F.lit(1), F.greatest(k - 2, F.lit(0))), left, right, F.slice(r, k + 2, n)).alias("r"),
-                    )
-
-                return _let(F.concat(F.get(p, k - 1), F.get(p, k)), merged)
-
-            lowest = F.array_min(acc["r"])
-            return F.when(lowest.isNull(), acc).otherwise(_let(F.array_position(acc["r"], lowest).cast("int"), merge))
-
-        def folded(parts: Column) -> Column:
-            pairs = F.transform(F.sequence(F.lit(0), F.size(parts) - 2), lambda i: rank(F.concat(F.get(parts, i), F.get(parts, i + 1))))
-            start = F.struct(parts.alias("p"), pairs.alias("r"))
-            return F.aggregate(F.sequence(F.lit(2), F.size(parts)), start, step, lambda acc: F.transform(acc["p"], rank))
-
-        whole = lambda b: F.coalesce(F.transform(F.array(rank(b)), lambda x: x), F.array().cast("array<int>"))
-        return _let(_byte_chars(word), lambda b: F.when(rank(b).isNotNull(), whole(b)).otherwise(_let(F.split(b, ""), folded)))
-
-    def dictionary(self, docs: DataFrame, text: str = "text", size: int = DICTIONARY_WORDS) -> Column:
-        """Ids of the most frequent words of some documents, as a literal of bounded size."""
-        n = docs.count()
-        some = docs.sample(False, min(1.0, DICTIONARY_DOCS / n), 5) if n > DICTIONARY_DOCS else docs
-        counted = some.select(F.explode(self.words(text_of(text))).alias("w")).groupBy("w").count()
-        top = counted.where(F.octet_length("w") <= DICTIONARY_BYTES).orderBy(F.desc("count"), "w").limit(size)
-        folded = _with_literal(top.select("w"), "w", self.rank_map, "e", lambda m, w: F.struct(w.alias("k"), self.fold(w, m).alias("v")))
-        self.dictionaries += 1
-        return self._literal(folded.select("e.k", "e.v"), f"dictionary-{self.dictionaries}")
-
     def encode(self, docs: DataFrame, text: str = "text", out: str = "token_ids") -> DataFrame:
         """`docs` with an array of ids, in place of any column of that name."""
-        docs = docs.drop(out)
-        known = self.dictionary(docs, text)
-        long_run = rf"(?U)\S{{{LONG_WORD}}}|\s{{{LONG_WORD}}}"
-        t = text_of(text)
-        none = F.array().cast("array<int>")
-        plain = docs.where(~t.rlike(long_run))
-        plain = plain.withColumn("__words", self.words(t))
-        plain = _with_literal(plain, "__words", known, "__pairs", lambda d, words: F.transform(words, lambda w: F.struct(w.alias("w"), _look_up(d, w).alias("ids"))))
-        rare = F.array_distinct(F.transform(F.filter("__pairs", lambda x: x["ids"].isNull()), lambda x: x["w"]))
-        plain = plain.withColumn("__rare", rare)
-        entry = lambda m: lambda w: F.struct(w.alias("k"), self.fold(w, m).alias("v"))
-        plain = _with_literal(plain, "__rare", self.rank_map, "__rare", lambda m, words: F.map_from_entries(F.transform(words, entry(m))))
-        ids = F.flatten(F.transform("__pairs", lambda x: F.coalesce(x["ids"], F.try_element_at("__rare", x["w"]))))
-        plain = plain.select(*docs.columns, F.coalesce(ids, none).alias(out))
-        return plain.unionByName(self._encode_long(docs.where(t.rlike(long_run)), text, out))
-
-    def _encode_long(self, docs: DataFrame, text: str, out: str) -> DataFrame:
-        split = docs.withColumn("__words", self.words(text_of(text)))
-        ranks = self.ranks
+        docs, ranks = docs.drop(out), self.ranks
+        kept = docs.columns
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            memo: dict[str, list[int]] = {}
+
+            def ids_of(word: str) -> list[int]:
+                got = memo.get(word)
+                if got is None:
+                    got = merge_bytes(word.encode(), ranks)
+                    if len(word) <= MEMO_CHARS:
+                        if len(memo) >= MEMO_WORDS:
+                            memo.clear()
+                        memo[word] = got
+                return got
+
+            for batch in batches:
+                lists = batch.column("__words")
+                words = lists.flatten().dictionary_encode()
+                codes = [ids_of(w) for w in words.dictionary.to_pylist()]
+                n = np.array([len(c) for c in codes], np.int64)
+                start = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])[:-1]
+                at = words.indices.to_numpy(zero_copy_only=False)
+                ids, ends = _gather(np.array([i for c in codes for i in c], np.int32), start[at], n[at])
+                arrays = pa.ListArray.from_arrays(pa.array(ends[_row_ends(lists)].astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), arrays], [*kept, out])
 
-        @F.pandas_udf("array<int>")
-        def merge_all(words: pd.Series) -> pd.Series:
-            known = lru_cache(1 << 16)(lambda word: tuple(merge_bytes(word.encode(), ranks)))
-            return pd.Series([[i for w in row for i in (known(w) if len(w) < 64 else merge_bytes(w.encode(), ranks))] for row in words])
-
-        return split.select(*docs.columns, merge_all("__words").alias(out))
+        split = docs.withColumn("__words", self.words(text_of(text)))
+        return split.mapInArrow(run, docs.withColumn(out, F.array().cast("array<int>")).schema)
 
     def decode(self, rows: DataFrame, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
         """`rows` with the bytes of an array of ids: its binary pieces, joined."""
         rows = rows.drop(out)
-        joined = lambda p, a: F.unhex(F.array_join(F.transform(a, lambda i: F.get(p, i)), ""))
-        both = _with_literal(rows, ids, self.pieces, "__both", lambda p, a: F.struct(a.alias("ids"), joined(p, a).alias("bytes")))
-        return both.select(*[F.col("__both.ids").alias(ids) if c == ids else c for c in rows.columns], F.col("__both.bytes").alias(out))
+        kept = rows.columns
+        pieces: list[bytes] = [b""] * (max(self.ranks.values()) + 1)
+        for piece, rank in self.ranks.items():
+            pieces[rank] = piece
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = np.array([len(p) for p in pieces], np.int64)
+            start = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])[:-1]
+            joined = np.frombuffer(b"".join(pieces), np.uint8)
+            for batch in batches:
+                lists = batch.column(ids)
+                at = lists.flatten().to_numpy(zero_copy_only=False)
+                data, ends = _gather(joined, start[at], n[at])
+                offsets = ends[_row_ends(lists)].astype(np.int32)
+                binary = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(offsets), pa.py_buffer(data.tobytes())])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), binary], [*kept, out])
+
+        return rows.mapInArrow(run, rows.withColumn(out, F.lit(b"").cast("binary")).schema)
 
 
 def merge_bytes(word: bytes, ranks: dict[bytes, int]) -> list[int]:
