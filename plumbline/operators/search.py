@@ -9,18 +9,23 @@ from ..functions.numbers import cosine
 from ..functions.text import normalise, safe_quote, token_set
 from .latest import rows_per_key
 
-#: Most queries of one block; their tokens and texts travel with the tasks.
+#: Queries of one block on average; the blocks are as many as the queries need.
 BLOCK = 1_000
 
 
+def query_blocks(queries: DataFrame) -> DataFrame:
+    """One row a block, `q`: all queries, dealt by hash into blocks enough for their count."""
+    n = queries.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BLOCK))).scalar()
+    return queries.groupBy(F.pmod(F.xxhash64(*queries.columns), n).alias("__block")).agg(F.collect_list(F.struct(*queries.columns)).alias("q")).select("q")
+
+
 def lexical_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """FTS-03, MTH-04, SET-01: query_id, doc_id, score: shared tokens over the query's, and 0.25 where the phrase occurs.
 
-    Every text is read once beside the block of queries, an array literal of bounded size; only hits are emitted."""
+    Every text is read once and meets every block of queries; only hits are emitted."""
     block = queries.select("query_id", normalise(F.col("text")).alias("phrase"), token_set(F.col("text")).alias("tokens"))
-    table = block.limit(BLOCK).agg(F.collect_list(F.struct("query_id", "phrase", "tokens")).alias("q")).scalar()
-    rows = docs.select("doc_id", normalise(F.col("text")).alias("__t"), token_set(F.col("text")).alias("__tokens")).withColumn("__q", table)
-    rows = rows.select("doc_id", "__t", "__tokens", F.explode("__q").alias("q"))
+    rows = docs.select("doc_id", normalise(F.col("text")).alias("__t"), token_set(F.col("text")).alias("__tokens")).crossJoin(query_blocks(block))
+    rows = rows.select("doc_id", "__t", "__tokens", F.explode("q").alias("q"))
     shared = F.size(F.array_intersect("__tokens", "q.tokens"))
     phrase = F.when(F.contains("__t", F.col("q.phrase")), 0.25).otherwise(0.0)
     return rows.where(shared > 0).select(F.col("q.query_id").alias("query_id"), "doc_id", F.round(shared / F.size("q.tokens") + phrase, 6).alias("score"))
@@ -37,9 +42,8 @@ def relevance_floor(hits: DataFrame, least: float = 0.15, share: float = 0.35) -
 
 
 def vector_scores(queries: DataFrame, vectors: DataFrame, score: Column | None = None) -> DataFrame:
-    """VEC-01: cosine of every vector with each query of a block of bounded size."""
-    table = queries.limit(BLOCK).agg(F.collect_list(F.struct("query_id", "vector")).alias("q")).scalar()
-    rows = vectors.withColumn("__q", table).select("doc_id", "embedding", F.explode("__q").alias("q"))
+    """VEC-01: cosine of every vector with each query, block by block."""
+    rows = vectors.crossJoin(query_blocks(queries.select("query_id", "vector"))).select("doc_id", "embedding", F.explode("q").alias("q"))
     return rows.select(F.col("q.query_id").alias("query_id"), "doc_id", F.round(cosine(F.col("embedding"), F.col("q.vector")), 4).alias("score"))
 
 

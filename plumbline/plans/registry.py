@@ -331,9 +331,8 @@ def claim_checks(spark, sf_dir):
 @query("SELECT item_id, count(*) FILTER (contains(d.text, b.text)) AS n_anchored FROM {benchmark} b CROSS JOIN {documents} d GROUP BY item_id")
 def quote_anchor(spark, sf_dir):
     """DOM-05, DOM-28, JN-13: documents that hold each quote word for word, from the texts read once."""
-    table = view(spark, sf_dir, "benchmark").limit(search.BLOCK).agg(F.collect_list(F.struct("item_id", "text")).alias("q")).scalar()
-    rows = view(spark, sf_dir, "documents").select("text").withColumn("__q", table)
-    hits = rows.select("text", F.explode("__q").alias("q")).where(F.contains("text", F.col("q.text"))).groupBy(F.col("q.item_id").alias("item_id")).agg(F.count(F.lit(1)).alias("n"))
+    blocks = search.query_blocks(view(spark, sf_dir, "benchmark").select("item_id", "text"))
+    hits = view(spark, sf_dir, "documents").select("text").crossJoin(blocks).select("text", F.explode("q").alias("q")).where(F.contains("text", F.col("q.text"))).groupBy(F.col("q.item_id").alias("item_id")).agg(F.count(F.lit(1)).alias("n"))
     return view(spark, sf_dir, "benchmark").select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n_anchored"))
 
 

@@ -2,6 +2,7 @@
 
 import pytest
 
+from plumbline.operators import search
 from plumbline.plans.registry import QUERIES, SQL
 from tests.compare import assert_matches
 
@@ -14,3 +15,15 @@ def test_equals_sql(spark, tiny, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, tiny, name):
     assert QUERIES[name](spark, tiny).count() > 0
+
+
+@pytest.mark.parametrize("name", ["lexical_search", "lexical_search_floor", "cite_or_refuse", "vector_topk", "quote_anchor"])
+def test_more_queries_than_a_block(spark, tiny, monkeypatch, name):
+    monkeypatch.setattr(search, "BLOCK", 3)
+    assert_matches(QUERIES[name](spark, tiny), tiny, SQL[name])
+
+
+def test_hybrid_search_keeps_every_query(spark, tiny, monkeypatch):
+    want = sorted(map(tuple, QUERIES["hybrid_search"](spark, tiny).collect()))
+    monkeypatch.setattr(search, "BLOCK", 3)
+    assert sorted(map(tuple, QUERIES["hybrid_search"](spark, tiny).collect())) == want
