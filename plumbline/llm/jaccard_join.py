@@ -87,7 +87,7 @@ def _signer(bands: int, rows: int):
 
 
 def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """doc_id, sid (digest of the shingle set, null without shingles) and band hashes of every document."""
+    """doc_id, h (hash of the whole row), sid (digest of the shingle set, null without shingles) and band hashes of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, int] = {}
@@ -98,10 +98,10 @@ def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 s = shingles(text, memo)
                 sids.append(hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None)
                 sigs.append(sign(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sids, pa.string()), pa.array(sigs, pa.list_(pa.int64()))], ["doc_id", "sid", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(sids, pa.string()), pa.array(sigs, pa.list_(pa.int64()))], ["doc_id", "h", "sid", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_of("text").alias("__text")).mapInArrow(run, f"doc_id {kind}, sid string, bands array<bigint>")
+    return docs.select("doc_id", F.xxhash64(*docs.columns).alias("h"), text_of("text").alias("__text")).mapInArrow(run, f"doc_id {kind}, h bigint, sid string, bands array<bigint>")
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -163,12 +163,11 @@ def _verify(similarity: float):
     return run
 
 
-def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
-    """One row per document: doc_id, class_id (smallest id with the same shingle set), group_id (smallest id in its connected
-    group of links), n_copies and n_links (other documents, copies included, that it is linked with)."""
+def _joined(docs: DataFrame, similarity: float, recall: float, rows: int) -> DataFrame:
+    """The columns of jaccard_join for every row, its h and sid, and lead: id and row hash of the one row its group keeps."""
     scratch = Scratch(docs.sparkSession, "jaccard")
     signed = scratch.write(signatures(docs, bands_for(similarity, recall, rows), rows), "signatures")
-    classes = signed.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_copies"), F.first("bands").alias("bands"))
+    classes = signed.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("lead"), F.count(F.lit(1)).alias("n_copies"), F.first("bands").alias("bands"))
     classes = scratch.write(classes, "classes")
     banded = classes.select("sid", F.posexplode("bands").alias("band", "h")).select("sid", F.xxhash64("band", "h").alias("bucket"))
     leaders = banded.groupBy("bucket").agg(F.min("sid").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "leader")
@@ -194,23 +193,35 @@ def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, recall: float
     links = scratch.write(links, "links")
     groups = components(links.select(F.col("sid").alias("a"), F.col("root").alias("b")), scratch, "links")
     totals = links.groupBy("sid").agg(F.sum("n_links").alias("n_links"))
-    named = classes.select("sid", "class_id", "n_copies").join(groups.withColumnRenamed("node", "sid"), "sid", "left").join(totals, "sid", "left")
+    named = classes.select("sid", "class_id", "lead", "n_copies").join(groups.withColumnRenamed("node", "sid"), "sid", "left").join(totals, "sid", "left")
     named = named.withColumn("label", F.coalesce("label", "sid"))
-    lowest = named.groupBy("label").agg(F.min("class_id").alias("group_id"))
-    named = named.join(lowest, "label").select(F.col("sid").alias("__sid"), "class_id", "group_id", "n_copies", (F.coalesce("n_links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"))
-    out = signed.select("doc_id", "sid").join(named, F.col("sid") == F.col("__sid"), "left")
+    lowest = named.groupBy("label").agg(F.min("lead").alias("lead"))
+    named = named.drop("lead").join(lowest, "label").select(F.col("sid").alias("__sid"), "class_id", "lead", "n_copies", (F.coalesce("n_links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"))
+    out = signed.select("doc_id", "h", "sid").join(named, F.col("sid") == F.col("__sid"), "left")
     return out.select(
         "doc_id",
+        "h",
+        "sid",
+        "lead",
         F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("group_id")).alias("group_id"),
+        F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("lead.doc_id")).alias("group_id"),
         F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents that remain when one of each group, that with the smallest id, stays; of its repeated rows one stays."""
-    found = jaccard_join(docs, **options)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("group_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
+    """One row per document: doc_id, class_id (smallest id with the same shingle set), group_id (smallest id in its connected
+    group of links), n_copies and n_links (other documents, copies included, that it is linked with)."""
+    return _joined(docs, similarity, recall, rows).drop("h", "sid", "lead")
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
+    """The documents that remain when one of each group, that with the smallest id, stays; of its repeated rows one stays.
+
+    Rows are told apart by id and row hash: null ids come last, one id may have several texts, and each group keeps one."""
+    found = _joined(docs, similarity, recall, rows)
+    lead = F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("h") == F.col("lead.h"))
+    gone = found.where(F.col("sid").isNotNull() & ~lead).select(F.col("doc_id").alias("__gone"), F.col("h").alias("__gone_h")).distinct()
+    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")) & (F.xxhash64(*[docs[c] for c in docs.columns]) == F.col("__gone_h")), "left_anti")
     return kept.dropDuplicates(docs.columns)

@@ -246,6 +246,16 @@ def test_jaccard_edge_cases(edge, empty):
     assert jaccard_join.jaccard_join(empty).collect() == [] == jaccard_join.keep_one(empty).collect()
 
 
+def test_jaccard_keeps_one_of_each_group_with_null_and_repeated_ids(spark):
+    texts = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcd"}
+    near = texts["d"] + " more"
+    docs = [(1, texts["a"], "x"), (None, texts["a"], "x"), (None, texts["b"], "x"), (7, texts["a"].upper(), "x"), (7, texts["c"], "x"), (None, texts["d"], "x"), (None, near, "x"), (1, texts["a"], "x"), (None, "", "x"), (None, " ", "x")]
+    kept = Counter((r["doc_id"], r["text"]) for r in jaccard_join.keep_one(spark.createDataFrame(docs, "doc_id bigint, text string, source string")).collect())
+    assert sum(kept[None, t] for t in (texts["d"], near)) == 1
+    assert {x for x in kept if x[1] not in (texts["d"], near)} == {(1, texts["a"]), (None, texts["b"]), (7, texts["c"]), (None, ""), (None, " ")}
+    assert set(kept.values()) == {1}
+
+
 # op8
 
 
