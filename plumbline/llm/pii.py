@@ -1,9 +1,10 @@
 """Personal data: base patterns for four kinds, extended by bootstrapped contextual extraction, in DataFrame expressions only.
 
-Validated base matches seed a bipartite graph of lexical patterns (the word and punctuation to the left) and instances (the
-identifier found there). Scores run over the graph a few times: a pattern scores by the share of its instances that are
-believed, an unseen instance by the mean score of its patterns. Patterns that end above a threshold, with enough support,
-yield new spans of kind `other`.
+Every validated base match seeds a bipartite graph of lexical patterns (the word and marks to its left, and to its right) and
+instances (the identifier found there); other instances have the shape of an identifier and overlap no base match. Scores run
+over the graph a few times: a pattern scores by the share of its instances that are believed, an unseen instance by the mean
+score of its patterns. Patterns that end above a threshold, with enough support and with identifiers at a fair share of all
+places where the pattern stands in the texts, yield new spans of kind `other`.
 
 Defined cases: a null text counts as empty; spans are code points, end exclusive; repeated rows get the same spans; ties
 between patterns don't matter, as every accepted pattern yields its spans; an empty table gives an empty result.
@@ -24,9 +25,16 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-#: An identifier: six or more letters and digits, a digit among them, perhaps joined by . _ or -, after a word and glue.
-CANDIDATE = r"(?<![A-Za-z0-9])[A-Za-z]{1,24}+[\x20=:\x22\x27]{1,4}+(?=[A-Za-z._-]*+[0-9])[A-Za-z0-9](?:[._-]?[A-Za-z0-9]){5,}+"
-CONTEXT = r"^[A-Za-z]{1,24}+[\x20=:\x22\x27]{1,4}+"
+#: Shapes of identifiers: something@something; six or more digits, perhaps with + or brackets and spaced; six or more letters
+#: and digits, a digit among them, perhaps joined by . _ or -. Base matches are blanked by NUL before.
+MAIL_LIKE = r"(?<![^\s@<>()\[\],;:\x22\x27\x00])[^\s@<>()\[\],;:\x22\x27\x00]++@[^\s@<>()\[\],;:\x22\x27\x00]*[\p{L}\p{N}]"
+NUMBER_LIKE = r"(?<![\p{L}\p{N}+(])(?:\+\(|[+(])?[0-9](?:[\x20()./-]{0,3}+[0-9]){5,30}+(?![\p{L}\p{N}]|[._-][\p{L}\p{N}])"
+CODE_LIKE = r"(?<![\p{L}\p{N}])(?=[A-Za-z._-]*+[0-9])[A-Za-z0-9](?:[._-]?[A-Za-z0-9]){5,}+"
+CANDIDATE = f"{MAIL_LIKE}|{NUMBER_LIKE}|{CODE_LIKE}"
+#: A context: the nearest word, or its nearest 24 letters, and the marks between.
+_LETTER, _GLUE = r"[\p{L}\p{M}]", r"[^\p{L}\p{M}\p{N}\x00]{1,6}"
+BEFORE, AFTER = _LETTER + "{1,24}+" + _GLUE, _GLUE + _LETTER + "{1,24}"
+WINDOW = 40
 
 
 def _located(text: Column, pattern: str) -> Column:
@@ -90,42 +98,73 @@ def base_entities(text: Column) -> Column:
     return F.array_sort(F.concat(*parts))
 
 
-def candidates(text: Column) -> Column:
-    """Array of (pattern, start, end, text) of identifiers with a lexical context."""
+def blanked(text: Column, base: Column) -> Column:
+    """The text with NUL in place of every base match, so that offsets stay."""
+    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        clean = F.substr(text, acc["pos"] + 1, F.greatest(x["s"] - acc["pos"], F.lit(0)))
+        gone = F.repeat(F.lit("\0"), F.greatest(x["e"] - F.greatest(acc["pos"], x["s"]), F.lit(0)))
+        return F.struct(F.greatest(acc["pos"], x["e"]).alias("pos"), F.concat(acc["out"], clean, gone).alias("out"))
+
+    covered = F.aggregate(base, start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["pos"] + 1)))
+    return F.when(F.size(base) == 0, text).otherwise(covered)
+
+
+def candidates(blank: Column) -> Column:
+    """Array of (text, start, end) of what has the shape of an identifier in a text without its base matches."""
     none = F.array().cast("array<struct<m:string,s:int,e:int>>")
-    found = F.when(text.rlike("[0-9]"), _located(text, CANDIDATE)).otherwise(none)
+    return F.when(blank.rlike("[0-9@]"), _located(blank, CANDIDATE)).otherwise(none)
 
-    def split(x: Column) -> Column:
-        left = F.regexp_extract(x["m"], CONTEXT, 0)
-        return F.struct(F.lower(left).alias("p"), (x["s"] + F.length(left)).alias("s"), x["e"].alias("e"), F.substr(x["m"], F.length(left) + 1).alias("m"))
 
-    return F.transform(found, split)
+def _in_context(blank: Column, found: Column, seed: bool) -> Column:
+    """Array of (pattern, start, end, text, seed): an entry for the context on each side that has one."""
+
+    def sides(x: Column) -> Column:
+        at = F.greatest(x["s"] - WINDOW, F.lit(0))
+        left = F.regexp_extract(F.substr(blank, at + 1, x["s"] - at), f"(?:{BEFORE})$", 0)
+        right = F.regexp_extract(F.substr(blank, x["e"] + 1, F.lit(WINDOW)), f"^(?:{AFTER})", 0)
+        entry = lambda side, c: F.struct(F.concat(F.lit(side), F.lower(c)).alias("p"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), F.lit(seed).alias("seed"))
+        return F.filter(F.array(entry("<", left), entry(">", right)), lambda c: F.length(c["p"]) > 1)
+
+    return F.flatten(F.transform(found, sides))
+
+
+def contexts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """p and places: how often each pattern stands in the texts, whatever is beside it."""
+    t = F.lower(text_of(text))
+    all_of = lambda side, r: F.transform(F.regexp_extract_all(t, F.lit(r), F.lit(0)), lambda c: F.concat(F.lit(side), c))
+    return docs.select(F.explode(F.concat(all_of("<", BEFORE), all_of(">", AFTER))).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("places"))
 
 
 def entities(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Per document: doc_id, a hash of its text, base entities and candidates (marked as seeds where they overlap a base one)."""
-    t = F.col("__t")
+    """Per document: doc_id, a hash of its text, base entities and candidates in their contexts; base entities are the seeds."""
+    t, b = F.col("__t"), F.col("__b")
     rows = docs.select("doc_id", text_of(text).alias("__t"))
-    rows = rows.select("doc_id", F.xxhash64(t).alias("__h"), base_entities(t).alias("base"), candidates(t).alias("cand"))
-    seed = lambda c: F.exists("base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
-    return rows.withColumn("cand", F.transform("cand", lambda c: c.withField("seed", seed(c))))
+    rows = rows.select("doc_id", F.xxhash64(t).alias("__h"), "__t", base_entities(t).alias("base"))
+    rows = rows.withColumn("__b", blanked(t, F.col("base"))).withColumn("__c", candidates(b))
+    return rows.select("doc_id", "__h", "base", F.concat(_in_context(b, F.col("base"), True), _in_context(b, F.col("__c"), False)).alias("cand"))
+
 
+def bootstrap(found: DataFrame, places: DataFrame, rounds: int = 3, threshold: float = 0.5, min_support: int = 3, share: float = 0.1) -> DataFrame:
+    """Accepted patterns with their score, from the graph of `entities`; `places` is that of `contexts`.
 
-def bootstrap(found: DataFrame, rounds: int = 3, threshold: float = 0.5, min_support: int = 3) -> DataFrame:
-    """Accepted patterns with their score, from the graph of `entities`.
+    A pattern must hold believed identifiers at `share` of its places, or it is a common word that stands beside anything.
 
     The graph has one edge for each distinct pair, summed before it is shuffled; a round is two aggregations over it."""
     edges = found.select(F.explode("cand").alias("c")).select(F.col("c.p").alias("p"), F.xxhash64("c.m").alias("i"), F.col("c.seed").alias("seed"))
-    edges = edges.groupBy("p", "i").agg(F.max(F.col("seed").cast("int")).alias("seed"))
+    edges = edges.groupBy("p", "i").agg(F.max(F.col("seed").cast("int")).alias("seed"), F.count(F.lit(1)).alias("times"))
     belief = F.col("seed").cast("double")
     scored = edges.withColumn("b", belief)
     for n in range(rounds):
-        patterns = scored.groupBy("p").agg(F.sum("b").alias("f"), F.count(F.lit(1)).alias("n")).select("p", "f", "n", (F.col("f") / (F.col("n") + 1.0)).alias("score"))
+        patterns = scored.groupBy("p").agg(F.sum("b").alias("f"), F.sum(F.col("b") * F.col("times")).alias("g"), F.count(F.lit(1)).alias("n")).select("p", "f", "g", "n", (F.col("f") / (F.col("n") + 1.0)).alias("score"))
         if n < rounds - 1:
             to_edges = edges.join(patterns.select("p", "score"), "p")
             instances = to_edges.groupBy("i").agg(F.when(F.max("seed") == 1, F.lit(1.0)).otherwise(F.avg("score")).alias("b"))
             scored = edges.join(instances, "i")
-    return patterns.where((F.col("score") >= threshold) & (F.col("f") >= min_support)).select("p", "score")
+    good = patterns.where((F.col("score") >= threshold) & (F.col("f") >= min_support))
+    rare = good.join(places, "p", "left").where(F.col("g") >= share * F.coalesce("places", F.lit(0)))
+    return rare.select("p", "score")
 
 
 def spans(found: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -142,7 +181,7 @@ def spans(found: DataFrame, patterns: DataFrame) -> DataFrame:
 def find(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """doc_id, text hash, base and all spans of every document. The entities are written once and read for both uses."""
     found = Scratch(docs.sparkSession, "pii").write(entities(docs, text), "entities")
-    return spans(found, bootstrap(found, **options))
+    return spans(found, bootstrap(found, contexts(docs, text), **options))
 
 
 def listed(array: Column) -> Column:

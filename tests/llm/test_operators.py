@@ -141,6 +141,25 @@ def test_pii_bootstrap_finds_unseen_identifiers(spark):
     assert got[6] == [(4, "98X7-6543-21AB")] and got[7] == [] == got[8]
 
 
+@pytest.mark.parametrize(
+    "seeds,left,right,unseen",
+    [
+        ([f"+1 (555) 010-99{n}" for n in range(10, 16)], "Téléphoné : ", " heute", "(555) 010-9916"),
+        ([f"{n}@mail.example.org" for n in "abcdef"], "écrire à <", "> svp", "gérard@intranet"),
+        ([f"10.0.0.{n}" for n in range(6)], "host [", "] up", "999.10.20.300"),
+        (["4111 1111 1111 1111", "4012 8888 8888 1881", "5555 5555 5555 4444", "5105 1051 0510 5100"], "carte nº ", "", "4111 1111 1111 1112"),
+        ([f"+44 20 7946 0{n}" for n in range(100, 106)], "", " is my number", "020 7946 0107"),
+    ],
+)
+def test_pii_bootstrap_finds_each_kind_in_context(spark, seeds, left, right, unseen):
+    texts = [left + s + right for s in (*seeds, unseen)]
+    common = [f"the {s} of" for s in seeds] + ["the 12345678 of"] + ["the word of the thing of"] * 100
+    df = spark.createDataFrame(list(enumerate(texts + common)), "doc_id bigint, text string")
+    got = {r["doc_id"]: [(x["s"], x["k"], x["e"], x["m"]) for x in r["all"]] for r in pii.find(df).collect()}
+    assert got[len(seeds)] == [(len(left), 4, len(left) + len(unseen), unseen)]
+    assert got[len(texts) + len(seeds)] == []
+
+
 # op5
 
 
