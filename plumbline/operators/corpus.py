@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def pack_paragraphs(df: DataFrame, text: str = "text", limit: int = 1_200, separator: str = r"\n") -> DataFrame:
-    """DOM-11: paragraphs packed greedily up to `limit` characters, a longer one alone; a fold over each text's paragraphs."""
-    parts = F.filter(F.transform(F.split(text, separator), lambda p: F.trim(p)), lambda p: p != "")
+def pack_paragraphs(df: DataFrame, text: str = "text", limit: int = 1_200, separator: str = r"(?U)\n[\s\x1c-\x1f]*\n") -> DataFrame:
+    """DOM-11: paragraphs between blank lines, packed greedily up to `limit` characters, a longer one alone; a fold over each text's paragraphs."""
+    parts = F.filter(F.transform(F.split(text, separator), lambda p: F.regexp_replace(p, r"(?U)^[\s\x1c-\x1f]++|(?<![\s\x1c-\x1f])[\s\x1c-\x1f]++$", "")), lambda p: p != "")
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
 
     def step(acc: Column, p: Column) -> Column:
-        joined = F.when(acc["now"] == "", p).otherwise(F.concat(acc["now"], F.lit("\n"), p))
+        joined = F.when(acc["now"] == "", p).otherwise(F.concat(acc["now"], F.lit("\n\n"), p))
         fits = (acc["now"] == "") | (F.length(joined) <= limit)
         return F.struct(F.when(fits, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["now"]))).alias("done"), F.when(fits, joined).otherwise(p).alias("now"))
 

@@ -246,9 +246,9 @@ _LEX = """(SELECT query_id, doc_id, round(len(list_intersect(list_distinct(regex
 _HITS = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM {_LEX}) WHERE rank <= 5)"
 
 
-def _hits(spark, sf_dir):
+def _hits(spark, sf_dir, k=5):
     queries = view(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return queries, search.top_hits(search.lexical_scores(queries, view(spark, sf_dir, "documents")), 5)
+    return queries, search.top_hits(search.lexical_scores(queries, view(spark, sf_dir, "documents")), k)
 
 
 @query(f"SELECT query_id, doc_id, score, rank FROM {_HITS}")
@@ -281,15 +281,15 @@ def _centroids(spark, sf_dir):
 SELECT c.label AS query_id, e.vec_id AS doc_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), c.v), 4) AS score FROM {embeddings} e CROSS JOIN
 (SELECT label, list(m ORDER BY i) AS v FROM (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM {embeddings}) GROUP BY 1, 2) GROUP BY label) c)) WHERE rank <= 5""")
 def vector_topk(spark, sf_dir):
-    """VEC-01, VEC-02, MTH-01: the vectors nearest to each label's mean."""
+    """VEC-01, MTH-01: the vectors nearest to each label's mean."""
     vectors = view(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     return search.top_hits(search.vector_scores(_centroids(spark, sf_dir), vectors), 5)
 
 
 @query()
 def hybrid_search(spark, sf_dir):
-    """FTS-04, MTH-03, SRT-04: 0.4 of the lexical score over the query's best and 0.6 of the cosine of hash embeddings."""
-    queries, hits = _hits(spark, sf_dir)
+    """VEC-02, MTH-03, SRT-04: the best 5 of 25 lexical hits by 0.4 of the lexical score over the query's best and 0.6 of the cosine of hash embeddings."""
+    queries, hits = _hits(spark, sf_dir, 5 * 5)
     texts = view(spark, sf_dir, "documents").select("doc_id", N.hash_embedding(F.col("text")).alias("dv"))
     both = hits.join(texts, "doc_id").join(queries.select("query_id", N.hash_embedding(F.col("text")).alias("qv")), "query_id")
     top = F.max("score").over(Window.partitionBy("query_id"))
@@ -316,7 +316,7 @@ def text_counts(spark, sf_dir):
 
 @query()
 def paragraph_chunks(spark, sf_dir):
-    """DOM-11."""
+    """DOM-11, its paragraph packer."""
     return corpus.pack_paragraphs(view(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
