@@ -1,30 +1,40 @@
-"""Byte-level BPE encoding and decoding from a given vocabulary file of ranks.
-
-Spark's regular expression splits a text into words (the matches of the vocabulary's pattern). In Arrow batches, the distinct
-words are folded by ranked merges: the neighbours with the lowest rank, leftmost first, are joined until no pair is in the
-rank map, a literal of the tasks. Ids are then gathered for all words at once, and no row is shuffled. Decoding concatenates
-the binary pieces of the ids.
-
-Defined cases: a null or empty text has no ids and decodes to no bytes; null ids decode to no bytes; repeated rows are encoded
-each on its own; a column of the input that is named as the result is replaced. Merges use a heap, so long words are no
-special case.
+"""Byte-level BPE encoding and decoding from a given vocabulary file of ranks, in Spark's higher-order functions.
+
+Documents are dealt by hash into batches of bounded size. Spark's regular expression splits a batch's texts into words (the
+matches of the vocabulary's pattern); equal words are brought together by sorting packed hashes, and each distinct word is
+folded once: its bytes become pieces, and the neighbours with the lowest rank, leftmost first, are joined until no pair is in
+the rank map. The map is one literal of the plan, from a pair of pieces to the piece they make: an array of small maps, found
+by the CRC of the pair. The ids then go back to the words' places inside the batch, so words are never joined over a shuffle
+and no word is a hot key. Decoding concatenates the binary pieces of the ids, another literal.
+
+A piece is one character, U+0100 and its rank, so that a word is a short string and the piece that a pair makes is also the
+pair's rank. Words of more than LONG_WORD bytes take rounds that merge all places of the lowest pair at once; ids are the
+same, as a pair that makes a piece always has a higher rank than the pairs within it.
+
+Defined cases: a null or empty text has no ids and decodes to no bytes; null ids decode to no bytes, and ids out of the
+vocabulary to none either; repeated rows are encoded each on its own; a column of the input that is named as the result is
+replaced, others may have any name; an empty table gives an empty result. A text is held whole by one task.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
-from collections.abc import Iterator
+import json
+import zlib
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import let, text_of
 
-#: Words that a task remembers, and the most characters that one of them may have.
-MEMO_WORDS, MEMO_CHARS = 200_000, 64
+#: Small maps of the rank literal; characters of text in a batch on average; bytes of a word that is folded pair by pair.
+BUCKETS, BATCH_CHARS, LONG_WORD = 16_384, 2_000_000, 128
+_POS_BITS = 28
+_POS = (1 << _POS_BITS) - 1
+#: Stands for the rank of a pair that makes no piece; it sorts after all pieces.
+_NONE = "\U0010fffd"
+_BASE, _SURROGATES, _GAP = 0x100, 0xD800, 0x800
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -32,107 +42,131 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def _gather(values: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of `values`, from each start and n long, joined; and where each begins in the result, its end last."""
-    at = np.concatenate([np.zeros(1, np.int64), np.cumsum(n, dtype=np.int64)])
-    return values[np.repeat(start - at[:-1], n) + np.arange(at[-1])], at
+def piece_char(rank: int) -> str:
+    """The character of a piece; characters that are no scalar values are left out."""
+    return chr(rank + _BASE if rank + _BASE < _SURROGATES else rank + _BASE + _GAP)
 
 
-def _row_ends(lists: pa.ListArray) -> np.ndarray:
-    """Offsets of the rows in the flattened values."""
-    n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    return np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
+def pairs_of(ranks: dict[bytes, int]) -> dict[bytes, tuple[bytes, bytes]]:
+    """The two pieces that each longer piece is made of when its own bytes are merged by lower ranks."""
+    out = {}
+    for token, rank in ranks.items():
+        parts = [token[i : i + 1] for i in range(len(token))]
+        while len(parts) > 2:
+            lower = [(r, i) for i in range(len(parts) - 1) if (r := ranks.get(parts[i] + parts[i + 1], rank)) < rank]
+            if not lower:
+                raise ValueError(f"piece {token!r} of rank {rank} can't be built from pieces of lower ranks")
+            i = min(lower)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        if len(parts) == 2:
+            out[token] = (parts[0], parts[1])
+    return out
 
 
 class ByteBPE:
-    """Encoder and decoder of one vocabulary. `pattern` splits text into words, as in the vocabulary's own library."""
+    """Encoder and decoder of one vocabulary. `pattern` splits text into words, as in the vocabulary's own library. Every
+    byte must be a piece, and every longer piece be built from pieces of lower ranks, as trained vocabularies are."""
 
     def __init__(self, spark: SparkSession, rank_path: str, pattern: str):
         self.pattern, self.ranks = "(?U)" + pattern, load_ranks(rank_path)
+        char = {token: piece_char(rank) for token, rank in self.ranks.items()}
+        maps: list[dict[str, str]] = [{} for _ in range(BUCKETS)]
+        for token, (a, b) in pairs_of(self.ranks).items():
+            pair = char[a] + char[b]
+            maps[zlib.crc32(pair.encode()) % BUCKETS][pair] = char[token]
+        pieces = [""] * (max(self.ranks.values()) + 1)
+        for token, rank in self.ranks.items():
+            pieces[rank] = token.decode("latin-1")
+        self.byte_chars = "".join(char[bytes([b])] for b in range(256))
+        self._maps, self._pieces = json.dumps({"v": maps}), json.dumps({"v": pieces})
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))
 
+    def word_ids(self, word: Column, maps: Column) -> Column:
+        """The ids of one word."""
+        by_byte = F.translate(F.decode(word.cast("binary"), "ISO-8859-1"), "".join(map(chr, range(256))), self.byte_chars)
+        made = lambda pair: F.coalesce(F.try_element_at(F.get(maps, (F.crc32(pair.cast("binary")) % BUCKETS).cast("int")), pair), F.lit(_NONE))
+        merged = let(by_byte, lambda p: F.when(F.length(p) <= LONG_WORD, _merge_pairs(p, made)).otherwise(_merge_rounds(p, made)))
+        code = lambda c: F.ascii(c)
+        return F.transform(F.split(merged, ""), lambda c: F.when(code(c) < _SURROGATES, code(c) - _BASE).otherwise(code(c) - _BASE - _GAP))
+
     def encode(self, docs: DataFrame, text: str = "text", out: str = "token_ids") -> DataFrame:
         """`docs` with an array of ids, in place of any column of that name."""
-        docs, ranks = docs.drop(out), self.ranks
-        kept = docs.columns
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            memo: dict[str, list[int]] = {}
-
-            def ids_of(word: str) -> list[int]:
-                got = memo.get(word)
-                if got is None:
-                    got = merge_bytes(word.encode(), ranks)
-                    if len(word) <= MEMO_CHARS:
-                        if len(memo) >= MEMO_WORDS:
-                            memo.clear()
-                        memo[word] = got
-                return got
-
-            for batch in batches:
-                lists = batch.column("__words")
-                words = lists.flatten().dictionary_encode()
-                codes = [ids_of(w) for w in words.dictionary.to_pylist()]
-                n = np.array([len(c) for c in codes], np.int64)
-                start = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])[:-1]
-                at = words.indices.to_numpy(zero_copy_only=False)
-                ids, ends = _gather(np.array([i for c in codes for i in c], np.int32), start[at], n[at])
-                arrays = pa.ListArray.from_arrays(pa.array(ends[_row_ends(lists)].astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), arrays], [*kept, out])
-
-        split = docs.withColumn("__words", self.words(text_of(text)))
-        return split.mapInArrow(run, docs.withColumn(out, F.array().cast("array<int>")).schema)
+        docs = docs.drop(out)
+        row = F.struct(F.struct(*docs.columns).alias("row"), text_of(text).alias("t"))
+        total = docs.agg(F.sum(F.length(text))).scalar()
+        batches = docs.select(row.alias("d")).withColumn("b", F.pmod(F.xxhash64("d.t"), F.greatest(F.lit(1), F.ceil(total / BATCH_CHARS))))
+        batches = batches.repartition("b").groupBy("b").agg(F.collect_list("d").alias("d"))
+        split = batches.select(F.transform("d", lambda d: d["row"]).alias("rows"), F.transform("d", lambda d: self.words(d["t"])).alias("words"))
+        maps = F.from_json(F.lit(self._maps), "v array<map<string,string>>")["v"]
+        ids = let(maps, lambda m: let(F.flatten("words"), lambda w: _ids_in_place(w, lambda word: self.word_ids(word, m))))
+        placed = split.select("rows", F.transform("words", F.size).alias("n"), ids.alias("ids"))
+        ends = F.aggregate("n", F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+        cut = let(ends, lambda e: F.transform("n", lambda n, i: F.flatten(F.slice("ids", F.get(e, i) + 1, n))))
+        each = placed.select(F.explode(F.arrays_zip(F.col("rows").alias("r"), cut.alias("i"))).alias("z"))
+        return each.select(*[F.col("z.r")[c].alias(c) for c in docs.columns], F.col("z.i").alias(out))
 
     def decode(self, rows: DataFrame, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
         """`rows` with the bytes of an array of ids: its binary pieces, joined."""
-        rows = rows.drop(out)
-        kept = rows.columns
-        pieces: list[bytes] = [b""] * (max(self.ranks.values()) + 1)
-        for piece, rank in self.ranks.items():
-            pieces[rank] = piece
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            n = np.array([len(p) for p in pieces], np.int64)
-            start = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])[:-1]
-            joined = np.frombuffer(b"".join(pieces), np.uint8)
-            for batch in batches:
-                lists = batch.column(ids)
-                at = lists.flatten().to_numpy(zero_copy_only=False)
-                data, ends = _gather(joined, start[at], n[at])
-                offsets = ends[_row_ends(lists)].astype(np.int32)
-                binary = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(offsets), pa.py_buffer(data.tobytes())])
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), binary], [*kept, out])
-
-        return rows.mapInArrow(run, rows.withColumn(out, F.lit(b"").cast("binary")).schema)
-
-
-def merge_bytes(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ranked merges with a heap of pairs, lowest rank and then leftmost first; near-linear in the word's length."""
-    if word in ranks:
-        return [ranks[word]]
-    n = len(word)
-    end, prev, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-    alive = [True] * n
-    heap: list[tuple[int, int, int, int]] = []
-
-    def push(i: int) -> None:
-        j = after[i]
-        if j < n and (r := ranks.get(word[i : end[j]])) is not None:
-            heapq.heappush(heap, (r, i, end[i], end[j]))
-
-    for i in range(n - 1):
-        push(i)
-    while heap:
-        _, i, mid, stop = heapq.heappop(heap)
-        if not alive[i] or end[i] != mid or after[i] >= n or end[after[i]] != stop:
-            continue
-        j = after[i]
-        alive[j], end[i], after[i] = False, stop, after[j]
-        if after[i] < n:
-            prev[after[i]] = i
-        push(i)
-        if prev[i] >= 0:
-            push(prev[i])
-    return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
+        pieces = F.from_json(F.lit(self._pieces), "v array<string>")["v"]
+        joined = let(pieces, lambda p: F.array_join(F.transform(ids, lambda i: F.coalesce(F.get(p, i), F.lit(""))), ""))
+        return rows.withColumn(out, F.coalesce(F.encode(joined, "ISO-8859-1"), F.lit(b"")))
+
+
+def _ids_in_place(words: Column, ids_of: Callable[[Column], Column]) -> Column:
+    """An array of ids for every word of an array, each run of equal words folded once."""
+    at = lambda x: F.get(words, x.bitwiseAND(F.lit(_POS)).cast("int"))
+    packed = F.sort_array(F.transform(words, lambda w, i: F.xxhash64(w).bitwiseAND(F.lit(~_POS)).bitwiseOR(i.cast("bigint"))))
+
+    def spread(s: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda j: (j == 0) | (at(F.get(s, j)) != at(F.get(s, j - 1))))
+        return let(first, lambda f: let(F.transform(f, lambda j: ids_of(at(F.get(s, j)))), lambda ids: _scatter(s, f, ids)))
+
+    none = F.array().cast("array<array<int>>")
+    return F.when(F.size(words) == 0, none).otherwise(let(packed, spread))
+
+
+def _scatter(packed: Column, first: Column, ids: Column) -> Column:
+    """The ids of each run at the places of its words."""
+    stop = lambda k: F.coalesce(F.get(first, k + 1), F.size(packed)) - 1
+    place = lambda j, k: F.shiftleft(F.get(packed, j).bitwiseAND(F.lit(_POS)), _POS_BITS).bitwiseOR(k.cast("bigint"))
+    owners = F.flatten(F.transform(first, lambda j, k: F.transform(F.sequence(j, stop(k)), lambda x: place(x, k))))
+    return F.transform(F.sort_array(owners), lambda o: F.get(ids, o.bitwiseAND(F.lit(_POS)).cast("int")))
+
+
+def _pairs(pieces: Column, made: Callable[[Column], Column]) -> Column:
+    """What the neighbours of a string of pieces make, as a string."""
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(pieces) - 1), lambda i: made(F.substr(pieces, i, F.lit(2)))), "")
+
+
+def _state(pieces: Column, pairs: Column) -> Column:
+    return let(pairs, lambda r: F.struct(pieces.alias("p"), r.alias("r"), F.array_min(F.split(r, "")).alias("low")))
+
+
+def _merge_pairs(word: Column, made: Callable[[Column], Column]) -> Column:
+    """The pieces of a word: a fold whose steps each join the leftmost pair of the lowest rank."""
+
+    def step(acc: Column, _: Column) -> Column:
+        def join(i: Column) -> Column:  # i: place of the pair, from 1
+            p, r, low = acc["p"], acc["r"], acc["low"]
+            before = F.when(i > 1, made(F.concat(F.substr(p, i - 1, F.lit(1)), low))).otherwise("")
+            after = F.when(i < F.length(r), made(F.concat(low, F.substr(p, i + 2, F.lit(1))))).otherwise("")
+            pieces = F.concat(F.substr(p, F.lit(1), i - 1), low, F.substr(p, i + 2))
+            return _state(pieces, F.concat(F.substr(r, F.lit(1), i - 2), before, after, F.substr(r, i + 2)))
+
+        return F.when(acc["low"].isin("", _NONE), acc).otherwise(let(F.instr(acc["r"], acc["low"]), join))
+
+    folded = F.aggregate(F.sequence(F.lit(2), F.length(word)), _state(word, _pairs(word, made)), step, lambda acc: acc["p"])
+    return F.when(F.length(word) < 2, word).otherwise(folded)
+
+
+def _merge_rounds(word: Column, made: Callable[[Column], Column]) -> Column:
+    """The pieces of a long word: a fold whose rounds each join all places of the pair of the lowest rank."""
+
+    def step(acc: Column, _: Column) -> Column:
+        pair = F.substr(acc["p"], F.instr(acc["r"], acc["low"]), F.lit(2))
+        joined = let(F.replace(acc["p"], pair, acc["low"]), lambda p: _state(p, F.when(F.length(p) < 2, "").otherwise(_pairs(p, made))))
+        return F.when(acc["low"].isin("", _NONE), acc).otherwise(joined)
+
+    return F.aggregate(F.sequence(F.lit(2), F.length(word)), _state(word, _pairs(word, made)), step, lambda acc: acc["p"])
