@@ -28,12 +28,16 @@ from pyspark.sql import functions as F
 
 from .common import let, text_of
 
-#: Small maps of the rank literal; characters of text in a batch on average; bytes of a word that is folded pair by pair.
-BUCKETS, BATCH_CHARS, LONG_WORD = 16_384, 2_000_000, 128
+#: Small maps of the rank literal, a power of two; characters of text in a batch on average; bytes of a word that is folded
+#: pair by pair; merges of the lowest ranks that are made in all distinct words of a batch at once; characters that a row
+#: counts for beside its text, so that a batch has some thousands of rows at most.
+BUCKETS, BATCH_CHARS, LONG_WORD, FIRST_MERGES, ROW_CHARS = 16_384, 8_000_000, 128, 64, 1_000
 _POS_BITS = 28
 _POS = (1 << _POS_BITS) - 1
 #: Stands for the rank of a pair that makes no piece; it sorts after all pieces.
 _NONE = "\U0010fffd"
+#: Stands at both ends of a word.
+_EDGE = "\x01"
 _BASE, _SURROGATES, _GAP = 0x100, 0xD800, 0x800
 
 
@@ -71,36 +75,44 @@ class ByteBPE:
         self.pattern, self.ranks = "(?U)" + pattern, load_ranks(rank_path)
         char = {token: piece_char(rank) for token, rank in self.ranks.items()}
         maps: list[dict[str, str]] = [{} for _ in range(BUCKETS)]
-        for token, (a, b) in pairs_of(self.ranks).items():
+        made = pairs_of(self.ranks)
+        for token, (a, b) in made.items():
             pair = char[a] + char[b]
             maps[zlib.crc32(pair.encode()) % BUCKETS][pair] = char[token]
+        lowest = sorted(made, key=self.ranks.get)[:FIRST_MERGES]
+        first = [{"pair": "".join(char[x] for x in made[token]), "piece": char[token]} for token in lowest]
         pieces = [""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             pieces[rank] = token.decode("latin-1")
         self.byte_chars = "".join(char[bytes([b])] for b in range(256))
-        self._maps, self._pieces = json.dumps({"v": maps}), json.dumps({"v": pieces})
+        self._maps, self._pieces, self._first = (json.dumps({"v": v}) for v in (maps, pieces, first))
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))
 
-    def word_ids(self, word: Column, maps: Column) -> Column:
-        """The ids of one word."""
-        by_byte = F.translate(F.decode(word.cast("binary"), "ISO-8859-1"), "".join(map(chr, range(256))), self.byte_chars)
-        made = lambda pair: F.coalesce(F.try_element_at(F.get(maps, (F.crc32(pair.cast("binary")) % BUCKETS).cast("int")), pair), F.lit(_NONE))
-        merged = let(by_byte, lambda p: F.when(F.length(p) <= LONG_WORD, _merge_pairs(p, made)).otherwise(_merge_rounds(p, made)))
-        code = lambda c: F.ascii(c)
-        return F.transform(F.split(merged, ""), lambda c: F.when(code(c) < _SURROGATES, code(c) - _BASE).otherwise(code(c) - _BASE - _GAP))
+    def ids_of_words(self, words: Column, maps: Column) -> Column:
+        """An array of ids for each of some distinct words."""
+        by_byte = F.transform(words, lambda w: F.translate(F.decode(w.cast("binary"), "ISO-8859-1"), "".join(map(chr, range(256))), self.byte_chars))
+        first = F.from_json(F.lit(self._first), "v array<struct<pair:string,piece:string>>")["v"]
+        begun = F.aggregate(first, F.array_join(by_byte, _EDGE), lambda acc, m: F.replace(acc, m["pair"], m["piece"]))
+        found = lambda pair: F.try_element_at(F.get(maps, F.crc32(pair.cast("binary")).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), pair)
+        made = lambda pair: F.coalesce(found(pair), F.lit(_NONE))
+        fold = lambda p: F.when(F.length(p) < 4, p).when(F.length(p) <= LONG_WORD, _merge_pairs(p, made)).otherwise(_merge_rounds(p, made))
+        merged = lambda w: F.btrim(let(F.concat(F.lit(_EDGE), w, F.lit(_EDGE)), fold), F.lit(_EDGE))
+        rank = lambda c: F.when(c < _SURROGATES, c - _BASE).otherwise(c - _BASE - _GAP)
+        return F.transform(F.split(begun, _EDGE), lambda w: F.transform(F.split(merged(w), ""), lambda c: rank(F.ascii(c))))
 
     def encode(self, docs: DataFrame, text: str = "text", out: str = "token_ids") -> DataFrame:
         """`docs` with an array of ids, in place of any column of that name."""
         docs = docs.drop(out)
         row = F.struct(F.struct(*docs.columns).alias("row"), text_of(text).alias("t"))
-        total = docs.agg(F.sum(F.length(text))).scalar()
-        batches = docs.select(row.alias("d")).withColumn("b", F.pmod(F.xxhash64("d.t"), F.greatest(F.lit(1), F.ceil(total / BATCH_CHARS))))
+        n = F.ceil(docs.agg(F.sum(F.coalesce(F.length(text), F.lit(0)) + ROW_CHARS)).scalar() / BATCH_CHARS)
+        number = F.xxhash64(F.monotonically_increasing_id())  # not of the text: copies would meet in one batch
+        batches = docs.select(row.alias("d"), F.pmod(number, F.greatest(F.lit(1), n)).alias("b"))
         batches = batches.repartition("b").groupBy("b").agg(F.collect_list("d").alias("d"))
         split = batches.select(F.transform("d", lambda d: d["row"]).alias("rows"), F.transform("d", lambda d: self.words(d["t"])).alias("words"))
         maps = F.from_json(F.lit(self._maps), "v array<map<string,string>>")["v"]
-        ids = let(maps, lambda m: let(F.flatten("words"), lambda w: _ids_in_place(w, lambda word: self.word_ids(word, m))))
+        ids = let(maps, lambda m: let(F.flatten("words"), lambda w: _ids_in_place(w, lambda distinct: self.ids_of_words(distinct, m))))
         placed = split.select("rows", F.transform("words", F.size).alias("n"), ids.alias("ids"))
         ends = F.aggregate("n", F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
         cut = let(ends, lambda e: F.transform("n", lambda n, i: F.flatten(F.slice("ids", F.get(e, i) + 1, n))))
@@ -121,7 +133,7 @@ def _ids_in_place(words: Column, ids_of: Callable[[Column], Column]) -> Column:
 
     def spread(s: Column) -> Column:
         first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda j: (j == 0) | (at(F.get(s, j)) != at(F.get(s, j - 1))))
-        return let(first, lambda f: let(F.transform(f, lambda j: ids_of(at(F.get(s, j)))), lambda ids: _scatter(s, f, ids)))
+        return let(first, lambda f: let(ids_of(F.transform(f, lambda j: at(F.get(s, j)))), lambda ids: _scatter(s, f, ids)))
 
     none = F.array().cast("array<array<int>>")
     return F.when(F.size(words) == 0, none).otherwise(let(packed, spread))
@@ -140,33 +152,38 @@ def _pairs(pieces: Column, made: Callable[[Column], Column]) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(1), F.length(pieces) - 1), lambda i: made(F.substr(pieces, i, F.lit(2)))), "")
 
 
-def _state(pieces: Column, pairs: Column) -> Column:
-    return let(pairs, lambda r: F.struct(pieces.alias("p"), r.alias("r"), F.array_min(F.split(r, "")).alias("low")))
+def _lowest(acc: Column) -> Column:
+    """Place of the leftmost pair of the lowest rank; 1, where an edge stands, if no pair makes a piece."""
+    return F.instr(acc["r"], F.array_min(F.split(acc["r"], "")))
 
 
 def _merge_pairs(word: Column, made: Callable[[Column], Column]) -> Column:
-    """The pieces of a word: a fold whose steps each join the leftmost pair of the lowest rank."""
+    """The pieces of a word between edges: a fold whose steps each join the leftmost pair of the lowest rank."""
 
     def step(acc: Column, _: Column) -> Column:
-        def join(i: Column) -> Column:  # i: place of the pair, from 1
-            p, r, low = acc["p"], acc["r"], acc["low"]
-            before = F.when(i > 1, made(F.concat(F.substr(p, i - 1, F.lit(1)), low))).otherwise("")
-            after = F.when(i < F.length(r), made(F.concat(low, F.substr(p, i + 2, F.lit(1))))).otherwise("")
-            pieces = F.concat(F.substr(p, F.lit(1), i - 1), low, F.substr(p, i + 2))
-            return _state(pieces, F.concat(F.substr(r, F.lit(1), i - 2), before, after, F.substr(r, i + 2)))
+        def join(i: Column) -> Column:
+            p, r = acc["p"], acc["r"]
+            piece = F.substr(r, i, F.lit(1))
+            around = F.concat(made(F.concat(F.substr(p, i - 1, F.lit(1)), piece)), made(F.concat(piece, F.substr(p, i + 2, F.lit(1)))))
+            joined = F.struct(F.overlay(p, piece, i, F.lit(2)).alias("p"), F.overlay(r, around, i - 1, F.lit(3)).alias("r"))
+            return F.when(i == 1, acc).otherwise(joined)
 
-        return F.when(acc["low"].isin("", _NONE), acc).otherwise(let(F.instr(acc["r"], acc["low"]), join))
+        return let(_lowest(acc), join)
 
-    folded = F.aggregate(F.sequence(F.lit(2), F.length(word)), _state(word, _pairs(word, made)), step, lambda acc: acc["p"])
-    return F.when(F.length(word) < 2, word).otherwise(folded)
+    start = F.struct(word.alias("p"), _pairs(word, made).alias("r"))
+    return F.aggregate(F.sequence(F.lit(4), F.length(word)), start, step, lambda acc: acc["p"])
 
 
 def _merge_rounds(word: Column, made: Callable[[Column], Column]) -> Column:
-    """The pieces of a long word: a fold whose rounds each join all places of the pair of the lowest rank."""
+    """The pieces of a long word between edges: a fold whose rounds each join all places of the pair of the lowest rank."""
 
     def step(acc: Column, _: Column) -> Column:
-        pair = F.substr(acc["p"], F.instr(acc["r"], acc["low"]), F.lit(2))
-        joined = let(F.replace(acc["p"], pair, acc["low"]), lambda p: _state(p, F.when(F.length(p) < 2, "").otherwise(_pairs(p, made))))
-        return F.when(acc["low"].isin("", _NONE), acc).otherwise(joined)
+        def join(i: Column) -> Column:
+            joined = F.replace(acc["p"], F.substr(acc["p"], i, F.lit(2)), F.substr(acc["r"], i, F.lit(1)))
+            return let(joined, lambda p: F.struct(p.alias("p"), _pairs(p, made).alias("r"), F.lit(False).alias("done")))
 
-    return F.aggregate(F.sequence(F.lit(2), F.length(word)), _state(word, _pairs(word, made)), step, lambda acc: acc["p"])
+        at = lambda i: F.when(i == 1, F.struct(acc["p"], acc["r"], F.lit(True).alias("done"))).otherwise(join(i))
+        return F.when(acc["done"], acc).otherwise(let(_lowest(acc), at))
+
+    start = F.struct(word.alias("p"), _pairs(word, made).alias("r"), F.lit(False).alias("done"))
+    return F.aggregate(F.sequence(F.lit(4), F.length(word)), start, step, lambda acc: acc["p"])
