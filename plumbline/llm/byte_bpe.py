@@ -111,11 +111,14 @@ class ByteBPE:
         batches = docs.select(row.alias("d"), F.pmod(number, F.greatest(F.lit(1), n)).alias("b"))
         batches = batches.repartition("b").groupBy("b").agg(F.collect_list("d").alias("d"))
         split = batches.select(F.transform("d", lambda d: d["row"]).alias("rows"), F.transform("d", lambda d: self.words(d["t"])).alias("words"))
+        flat = split.select("rows", F.transform("words", F.size).alias("n"), F.flatten("words").alias("w"))
+        runs = flat.withColumn("s", _packed("w")).withColumn("f", _first_of_runs("w", "s"))
         maps = F.from_json(F.lit(self._maps), "v array<map<string,string>>")["v"]
-        ids = let(maps, lambda m: let(F.flatten("words"), lambda w: _ids_in_place(w, lambda distinct: self.ids_of_words(distinct, m))))
-        placed = split.select("rows", F.transform("words", F.size).alias("n"), ids.alias("ids"))
+        distinct = F.transform("f", lambda j: _word_at(F.col("w"), F.get("s", j)))
+        placed = runs.select("rows", "n", _places("s", "f").alias("at"), let(maps, lambda m: self.ids_of_words(distinct, m)).alias("ids"))
         ends = F.aggregate("n", F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-        cut = let(ends, lambda e: F.transform("n", lambda n, i: F.flatten(F.slice("ids", F.get(e, i) + 1, n))))
+        in_place = lambda i, n, e, ids: F.flatten(F.transform(F.slice("at", F.get(e, i) + 1, n), lambda k: F.get(ids, k)))
+        cut = let(ends, lambda e: let(F.col("ids"), lambda ids: F.transform("n", lambda n, i: in_place(i, n, e, ids))))
         each = placed.select(F.explode(F.arrays_zip(F.col("rows").alias("r"), cut.alias("i"))).alias("z"))
         return each.select(*[F.col("z.r")[c].alias(c) for c in docs.columns], F.col("z.i").alias(out))
 
@@ -126,25 +129,28 @@ class ByteBPE:
         return rows.withColumn(out, F.coalesce(F.encode(joined, "ISO-8859-1"), F.lit(b"")))
 
 
-def _ids_in_place(words: Column, ids_of: Callable[[Column], Column]) -> Column:
-    """An array of ids for every word of an array, each run of equal words folded once."""
-    at = lambda x: F.get(words, x.bitwiseAND(F.lit(_POS)).cast("int"))
-    packed = F.sort_array(F.transform(words, lambda w, i: F.xxhash64(w).bitwiseAND(F.lit(~_POS)).bitwiseOR(i.cast("bigint"))))
+def _word_at(words: Column, packed: Column) -> Column:
+    return F.get(words, packed.bitwiseAND(F.lit(_POS)).cast("int"))
 
-    def spread(s: Column) -> Column:
-        first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda j: (j == 0) | (at(F.get(s, j)) != at(F.get(s, j - 1))))
-        return let(first, lambda f: let(ids_of(F.transform(f, lambda j: at(F.get(s, j)))), lambda ids: _scatter(s, f, ids)))
 
-    none = F.array().cast("array<array<int>>")
-    return F.when(F.size(words) == 0, none).otherwise(let(packed, spread))
+def _packed(words: str) -> Column:
+    """Hash bits of each word above its place, sorted: equal words are neighbours, unless others share their bits."""
+    return F.sort_array(F.transform(words, lambda w, i: F.xxhash64(w).bitwiseAND(F.lit(~_POS)).bitwiseOR(i.cast("bigint"))))
 
 
-def _scatter(packed: Column, first: Column, ids: Column) -> Column:
-    """The ids of each run at the places of its words."""
+def _first_of_runs(words: str, packed: str) -> Column:
+    """Numbers in `packed` where a run of equal words begins."""
+    word = lambda j: _word_at(F.col(words), F.get(packed, j))
+    numbers = F.sequence(F.lit(0), F.size(packed) - 1)
+    return F.when(F.size(packed) == 0, F.array().cast("array<int>")).otherwise(F.filter(numbers, lambda j: (j == 0) | (word(j) != word(j - 1))))
+
+
+def _places(packed: str, first: str) -> Column:
+    """The run of the word at each place."""
     stop = lambda k: F.coalesce(F.get(first, k + 1), F.size(packed)) - 1
     place = lambda j, k: F.shiftleft(F.get(packed, j).bitwiseAND(F.lit(_POS)), _POS_BITS).bitwiseOR(k.cast("bigint"))
     owners = F.flatten(F.transform(first, lambda j, k: F.transform(F.sequence(j, stop(k)), lambda x: place(x, k))))
-    return F.transform(F.sort_array(owners), lambda o: F.get(ids, o.bitwiseAND(F.lit(_POS)).cast("int")))
+    return F.transform(F.sort_array(owners), lambda o: o.bitwiseAND(F.lit(_POS)).cast("int"))
 
 
 def _pairs(pieces: Column, made: Callable[[Column], Column]) -> Column:
