@@ -5,8 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Street abbreviations and their expansions.
-STREET = {"st": "street", "rd": "road", "ave": "avenue", "dr": "drive", "ct": "court", "pl": "place", "cr": "crescent", "hwy": "highway", "ln": "lane", "tce": "terrace", "pde": "parade", "cl": "close"}
+# Street abbreviations and their expansions; aliases and dropped words of rule keys; spelled numbers; words
+# left out of a retrieval query.
+STREET = {
+    "st": "street", "rd": "road", "ave": "avenue", "av": "avenue", "cres": "crescent", "ct": "court", "pl": "place", "dr": "drive", "drv": "drive",
+    "hwy": "highway", "tce": "terrace", "pde": "parade", "bvd": "boulevard", "blvd": "boulevard", "cl": "close", "gr": "grove", "gdns": "gardens",
+    "cct": "circuit", "esp": "esplanade", "prom": "promenade", "qy": "quay", "ln": "lane", "wy": "way", "ent": "entrance", "bwl": "bowl",
+    "rtt": "retreat", "hts": "heights",
+}
+KEY_ALIASES = {
+    "pct": "percent", "percentage": "percent", "metre": "m", "metres": "m", "meter": "m", "meters": "m", "maximum": "max", "minimum": "min",
+    "setbacks": "setback", "requirements": "requirement",
+}
+KEY_DROPPED = ["rule", "rules", "req"]
+SPELLED = {"one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "ten": "10"}
+
+
+def _map(entries: dict) -> Column:
+    return F.create_map(*[F.lit(x) for pair in entries.items() for x in pair])
 
 
 def normalise(text: Column) -> Column:
@@ -40,16 +56,39 @@ def slug(text: Column, limit: int = 40) -> Column:
 
 
 def rule_key(text: Column) -> Column:
-    """STR-11: tokens joined by underscores, long plurals made singular and consecutive repeats dropped."""
-    words = F.transform(tokens(F.replace(text, F.lit("&"), F.lit(" and "))), lambda w: F.when((F.length(w) > 4) & F.endswith(w, F.lit("s")) & ~F.endswith(w, F.lit("ss")), F.regexp_replace(w, "s$", "")).otherwise(w))
-    return F.get(F.transform(F.array(words), lambda a: F.array_join(F.filter(a, lambda w, i: (i == 0) | (w != F.get(a, i - 1))), "_")), F.lit(0))
+    """STR-11: tokens under their aliases, without dropped words, long plurals made singular, consecutive repeats dropped."""
+    words = F.transform(tokens(F.replace(text, F.lit("&"), F.lit(" and "))), lambda w: F.coalesce(F.try_element_at(_map(KEY_ALIASES), w), w))
+    kept = F.filter(words, lambda w: ~w.isin(KEY_DROPPED))
+    plural = lambda w: (F.length(w) > 4) & F.endswith(w, F.lit("s")) & ~w.rlike(r"^r\d+s?$")
+    single = F.transform(kept, lambda w: F.when(plural(w), F.substr(w, F.lit(1), F.length(w) - 1)).otherwise(w))
+    return F.get(F.transform(F.array(single), lambda a: F.array_join(F.filter(a, lambda w, i: (i == 0) | (w != F.get(a, i - 1))), "_")), F.lit(0))
 
 
 def expand_street(address: Column) -> Column:
     """STR-03: tokens after the first replaced by their long forms."""
     words = F.split(normalise(address), " ")
-    long_form = F.create_map(*[F.lit(x) for pair in STREET.items() for x in pair])
-    return F.array_join(F.transform(words, lambda w, i: F.when(i == 0, w).otherwise(F.coalesce(F.try_element_at(long_form, w), w))), " ")
+    return F.array_join(F.transform(words, lambda w, i: F.when(i == 0, w).otherwise(F.coalesce(F.try_element_at(_map(STREET), w), w))), " ")
+
+
+def street_tokens(address: Column) -> Column:
+    """STR-05: the words of the street's name: leading numbers dropped, up to the first street type, else the first; none if
+    one word is left."""
+    words = F.split(normalise(address), " ")
+    number = lambda w: (w == "lot") | F.regexp_replace(w, "[/-]", "").rlike(r"^(?=.*[0-9])[\p{L}\p{N}]+$")
+    first = F.array_min(F.filter(F.transform(words, lambda w, i: F.when(~number(w), i)), lambda i: i.isNotNull()))
+    types = sorted({*STREET, *STREET.values()})
+
+    def name(rest: Column) -> Column:
+        at = F.array_min(F.filter(F.transform(rest, lambda w, i: F.when(w.isin(types), i)), lambda i: i.isNotNull()))
+        return F.filter(F.slice(rest, F.lit(1), F.coalesce(at, F.lit(1))), lambda w: F.length(w) >= 2)
+
+    rest = F.coalesce(F.slice(words, first + 1, F.size(words)), F.array().cast("array<string>"))
+    return F.when(F.size(rest) > 1, F.get(F.transform(F.array(rest), name), F.lit(0))).otherwise(F.array().cast("array<string>"))
+
+
+def close_token(asked: Column, has: Column) -> Column:
+    """STR-06, its prefix tests: equal, or one begins with the other where the shorter is long enough."""
+    return (asked == has) | ((F.length(asked) >= 3) & F.startswith(has, asked)) | ((F.length(asked) >= 4) & F.startswith(asked, has))
 
 
 def house_number(address: Column) -> Column:
@@ -58,14 +97,88 @@ def house_number(address: Column) -> Column:
 
 
 def trigrams(text: Column) -> Column:
-    """Distinct trigrams of a text padded with two spaces before and one behind."""
-    padded = F.concat(F.lit("  "), text, F.lit(" "))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substr(padded, i, F.lit(3))))
+    """Distinct trigrams of the text's words, each padded with two spaces before and one behind."""
+
+    def of(word: Column) -> Column:
+        padded = F.concat(F.lit("  "), word, F.lit(" "))
+        return F.transform(F.sequence(F.lit(1), F.length(word) + 1), lambda i: F.substr(padded, i, F.lit(3)))
+
+    return F.array_distinct(F.flatten(F.transform(tokens(text), of)))
+
+
+def _jaccard(a: Column, b: Column) -> Column:
+    return F.coalesce(F.size(F.array_intersect(a, b)) / F.nullif(F.size(F.array_union(a, b)), F.lit(0)), F.lit(0.0))
 
 
 def trigram_similarity(a: Column, b: Column) -> Column:
     """STR-07: shared trigrams over all trigrams of both."""
-    return F.size(F.array_intersect(trigrams(a), trigrams(b))) / F.size(F.array_union(trigrams(a), trigrams(b)))
+    return _jaccard(trigrams(a), trigrams(b))
+
+
+def word_similarity(asked: Column, text: Column) -> Column:
+    """STR-07: the greatest similarity of `asked` with a run of whole words of `text`."""
+    words = tokens(text)
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)))
+    runs = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.size(words) - i + 1), lambda n: F.array_join(F.slice(words, i, n), " "))))
+    best = F.array_max(F.transform(runs, lambda r: _jaccard(trigrams(asked), trigrams(r))))
+    return F.when(F.size(words) == 0, 0.0).otherwise(best)
+
+
+def address_score(asked: Column, address: Column, floor: float = 0.45, boost: float = 0.05) -> Column:
+    """STR-07, FLT-07: word similarity of the text or its expanded form, more where the house number stands in the address; null
+    below the floor."""
+    raw = F.greatest(word_similarity(normalise(asked), address), word_similarity(expand_street(asked), address))
+    number = house_number(asked)
+    same = (number != "") & F.array_contains(tokens(address), number)
+    return F.when(raw >= floor, F.least(raw + F.when(same, boost).otherwise(0.0), F.lit(1.0)))
+
+
+def density_code(raw: Column) -> Column:
+    """STR-08: R-AC, RR or R<n> in capitals; null for anything else."""
+    t = F.replace(F.regexp_replace(F.upper(raw), r"(?U)\s+", ""), F.lit("_"), F.lit("-"))
+    ac, n = F.regexp_extract(t, r"^R-?AC-?(\d{0,2})$", 1), F.regexp_extract(t, r"^R(\d{1,3})$", 1)
+    return F.when(t == "RR", "RR").when(t.rlike(r"^R-?AC-?\d{0,2}$"), F.concat(F.lit("R-AC"), ac)).when((n != "") & (n.try_cast("int") > 0), F.concat(F.lit("R"), n.try_cast("int").cast("string")))
+
+
+def is_density_code(text: Column) -> Column:
+    """STR-09."""
+    return F.replace(F.trim(text), F.lit(" "), F.lit("")).rlike(r"(?i)^R{1,2}-?(AC)?\d+(\.\d+)?(/\d+(\.\d+)?)?$")
+
+
+def council_name(text: Column) -> Column:
+    """STR-10: City, Shire or Town of X, from either order; all capitals as capitalised words."""
+    title = lambda c: F.array_join(F.transform(F.split(normalise(c), " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))), " ")
+    clean = F.trim(F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), r"(?i)\(bbox extent\)$", ""))
+    behind, before = r"(?i)^(.*?)[ ,]*, (city|shire|town) of$", r"(?i)^(city|shire|town) of (.*)$"
+    named = lambda kind, place: F.concat(title(kind), F.lit(" of "), title(place))
+    return (
+        F.when(clean.rlike(behind), named(F.regexp_extract(clean, behind, 2), F.regexp_extract(clean, behind, 1)))
+        .when(clean.rlike(before), named(F.regexp_extract(clean, before, 1), F.regexp_extract(clean, before, 2)))
+        .when((clean == F.upper(clean)) & (clean != ""), title(clean))
+        .otherwise(clean)
+    )
+
+
+def spelled_numbers(text: Column) -> Column:
+    """STR-17: decimal numbers, and words from one to ten as digits; distinct."""
+    words = F.filter(F.transform(tokens(text), lambda w: F.try_element_at(_map(SPELLED), w)), lambda d: d.isNotNull())
+    return F.array_distinct(F.concat(numbers_in(text), words))
+
+
+def stands_alone(number: Column, quote: Column) -> Column:
+    """STR-18: whether a number occurs in the quote with no digit next to it."""
+    pattern = F.concat(F.lit(r"(?<!\d)"), F.replace(number, F.lit("."), F.lit(r"\.")), F.lit(r"(?!\d)"))
+    return F.regexp_count(quote, pattern) > 0
+
+
+def without_reasoning(answer: Column) -> Column:
+    """STR-19: a model's answer without its think blocks; an unclosed one goes to the end."""
+    return F.trim(F.regexp_replace(F.regexp_replace(answer, r"(?is)<think>.*?</think>", ""), r"(?is)<think>.*$", ""))
+
+
+def outer_json(text: Column) -> Column:
+    """STR-21: the text between the outermost braces, code fences left out; null without braces."""
+    return F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit(""))
 
 
 def cited_numbers(answer: Column) -> Column:

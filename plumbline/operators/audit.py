@@ -47,7 +47,7 @@ def coverage(clauses: DataFrame, rules: DataFrame, candidates: DataFrame, group:
 
 
 def daily_spend(spend: DataFrame) -> DataFrame:
-    """AGG-04: per day calls, cents and users."""
+    """AGG-04, DT-01: per day calls, cents and users."""
     return spend.groupBy("day").agg(F.count(F.lit(1)).alias("n_calls"), F.coalesce(F.sum("cents"), F.lit(0)).alias("cents"), F.count_distinct("user_id").alias("n_users"))
 
 
@@ -69,10 +69,15 @@ def claimable(leases: DataFrame, as_of: str, limit: int, group: str) -> DataFram
     return rows_per_key(free, [group], [F.col("ts"), F.col("event_id")], limit)
 
 
-def pass_rates(cases: DataFrame, suite: str, passed: Column, gate: float = 0.8) -> DataFrame:
-    """AGG-17, DOM-18: passed and total per suite, the rate to 4 places, and whether it clears the gate."""
-    rate = F.round(F.count_if(passed) / F.count(F.lit(1)), 4)
-    return cases.groupBy(suite).agg(F.count(F.lit(1)).alias("total"), F.count_if(passed).alias("passed"), rate.alias("rate"), (rate >= gate).alias("gate"))
+def pass_rates(cases: DataFrame, suite: str, passed: Column, gate: float = 0.8, suites: DataFrame | None = None) -> DataFrame:
+    """AGG-17, DOM-18: passed and total per suite, the rate to 4 places, and whether it clears the gate.
+
+    `suites` names all suites: one without cases passes at 1."""
+    sums = cases.groupBy(suite).agg(F.count(F.lit(1)).alias("total"), F.count_if(passed).alias("passed"))
+    if suites is not None:
+        sums = suites.select(suite).distinct().join(sums, suite, "left").fillna(0, ["total", "passed"])
+    rate = F.when(F.col("total") == 0, 1.0).otherwise(F.round(F.col("passed") / F.col("total"), 4))
+    return sums.withColumn("rate", rate).withColumn("gate", rate >= gate)
 
 
 def precision_recall(expected: DataFrame, actual: DataFrame, keys: list[str], group: str) -> DataFrame:

@@ -8,40 +8,62 @@ from pyspark.sql import functions as F
 from ..functions.numbers import compare
 from .latest import best_by
 
-ANY = "*"
+ANY, EVERY = "*", "?"
 RANK = ["has_threshold", "plain", "code_rank", "created", "rule_id"]
 
 
 def _scoped(rules: DataFrame) -> DataFrame:
-    """Rules under each scope key they apply to; a null scope is the key for any."""
-    codes = F.coalesce("r_codes", F.array(F.lit(ANY)))
-    return rules.withColumn("council", F.coalesce(F.col("council").cast("string"), F.lit(ANY))).withColumn("code", F.explode(codes))
+    """Rules under each scope key they apply to: their own, or ANY for a null scope; and EVERY, for projects that state none."""
+    council = F.coalesce(F.col("council").cast("string"), F.lit(ANY))
+    codes = F.array_append(F.coalesce("r_codes", F.array(F.lit(ANY))), EVERY)
+    rows = rules.withColumn("council", F.explode(F.array(council, F.lit(EVERY)))).withColumn("stated", F.col("r_codes").isNotNull())
+    return rows.withColumn("code", F.explode(codes))
 
 
 def select_rules(rules: DataFrame, scopes: DataFrame) -> DataFrame:
     """DOM-01, FLT-02, FLT-03: for each (council, r_code) of `scopes` and each check, the applicable rule of greatest rank.
 
     The best rule under each key is found first, in one aggregate; a scope then looks up its four keys (own or any council,
-    own or any code), so null-means-all scopes need no cross join."""
+    own or any code), so null-means-all scopes need no cross join. A scope without a council or code skips that filter."""
     ranked = _scoped(rules).select(
         "check_key", "council", "code", "rule_id", "operator", "threshold", "rule_type", "created",
         (F.col("threshold").isNotNull() & ~F.isnan("threshold")).alias("has_threshold"),
-        (F.col("rule_type") != "exception").alias("plain"),
-        F.when(F.col("code") == ANY, 1).otherwise(2).alias("code_rank"),
+        (F.coalesce("rule_type", F.lit("standard")) != "exception").alias("plain"),
+        F.when(~F.col("stated"), 1).when(F.col("code") == EVERY, 0).otherwise(2).alias("code_rank"),
     )
     best = best_by(ranked, ["check_key", "council", "code"], RANK)
+    own = lambda c: F.when(F.col(c).isNull(), F.array(F.lit(EVERY))).otherwise(F.array(F.col(c).cast("string"), F.lit(ANY)))
     keys = scopes.select("council", "r_code").distinct()
-    keys = keys.withColumn("__c", F.explode(F.array(F.col("council").cast("string"), F.lit(ANY)))).withColumn("__r", F.explode(F.array("r_code", F.lit(ANY))))
+    keys = keys.withColumn("__c", F.explode(own("council"))).withColumn("__r", F.explode(own("r_code")))
     found = keys.join(best.withColumnsRenamed({"council": "__c", "code": "__r"}), ["__c", "__r"]).drop("__c", "__r")
     return best_by(found, ["council", "r_code", "check_key"], RANK)
 
 
+def confirmed(facts: DataFrame, status: str = "review_status", method: str = "method") -> DataFrame:
+    """FLT-04: facts that were confirmed, or entered by hand."""
+    return facts.where((F.col(status) == "confirmed") | (F.col(method) == "manual_override"))
+
+
+def council_of(projects: DataFrame, facts: DataFrame, types: tuple[str, ...] = ("council", "local_government")) -> DataFrame:
+    """DOM-02: projects with the council that their latest facts name, the first type that does; else their own."""
+    kept = best_by(facts.where(F.col("fact_type").isin(*types) & (F.trim("text") != "")).select("project_id", "fact_type", "created", "text"), ["project_id", "fact_type"], ["created", "text"])
+    order = F.array_position(F.array(*[F.lit(t) for t in types]), F.col("fact_type"))
+    named = kept.groupBy("project_id").agg(F.min_by(F.trim("text"), order).alias("__named"))
+    return projects.join(named, "project_id", "left").withColumn("council", F.coalesce("__named", F.col("council").cast("string"))).drop("__named")
+
+
 def evaluate(projects: DataFrame, facts: DataFrame, rules: DataFrame, checks: list[str]) -> DataFrame:
-    """DOM-02: project_id, check_key, rule_id, value, status and reason for every project and check."""
+    """DOM-02: project_id, check_key, rule_id, value, status and reason for every project and check.
+
+    Rules of a scope are one small row, so projects meet them before they are multiplied by the checks."""
     latest = best_by(facts, ["project_id", "fact_type"], ["created", "tie"]).withColumnRenamed("fact_type", "check_key")
-    chosen = select_rules(rules, projects)
-    asked = projects.withColumn("check_key", F.explode(F.array(*[F.lit(c) for c in checks])))
-    rows = asked.join(chosen, ["council", "r_code", "check_key"], "left").join(latest.select("project_id", "check_key", "value", "method"), ["project_id", "check_key"], "left")
+    entry = F.struct("check_key", F.struct("rule_id", "operator", "threshold").alias("rule"))
+    chosen = select_rules(rules, projects).groupBy("council", "r_code").agg(F.map_from_entries(F.collect_list(entry)).alias("__rules"))
+    scope = F.col("p.council").eqNullSafe(F.col("c.council")) & F.col("p.r_code").eqNullSafe(F.col("c.r_code"))
+    met = projects.alias("p").join(chosen.alias("c"), scope, "left").select("p.project_id", "c.__rules")
+    asked = met.withColumn("check_key", F.explode(F.array(*[F.lit(c) for c in checks]))).withColumn("__rule", F.try_element_at("__rules", F.col("check_key")))
+    asked = asked.select("project_id", "check_key", *[F.col("__rule")[c].alias(c) for c in ("rule_id", "operator", "threshold")])
+    rows = asked.join(latest.select("project_id", "check_key", "value", "method"), ["project_id", "check_key"], "left")
     ok = compare(F.col("value"), F.col("operator"), F.col("threshold"))
     reason = (
         F.when(F.col("rule_id").isNull(), "no_rule")

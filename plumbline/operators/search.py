@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import cosine
 from ..functions.text import normalise, safe_quote, token_set
+from ..functions.text import tokens as token_list
 from .latest import rows_per_key
 
 #: Queries of one block on average; the blocks are as many as the queries need.
@@ -22,13 +23,32 @@ def query_blocks(queries: DataFrame) -> DataFrame:
 def lexical_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """FTS-03, MTH-04, SET-01: query_id, doc_id, score: shared tokens over the query's, and 0.25 where the phrase occurs.
 
-    Every text is read once and meets every block of queries; only hits are emitted."""
-    block = queries.select("query_id", normalise(F.col("text")).alias("phrase"), token_set(F.col("text")).alias("tokens"))
-    rows = docs.select("doc_id", normalise(F.col("text")).alias("__t"), token_set(F.col("text")).alias("__tokens")).crossJoin(query_blocks(block))
-    rows = rows.select("doc_id", "__t", "__tokens", F.explode("q").alias("q"))
-    shared = F.size(F.array_intersect("__tokens", "q.tokens"))
-    phrase = F.when(F.contains("__t", F.col("q.phrase")), 0.25).otherwise(0.0)
-    return rows.where(shared > 0).select(F.col("q.query_id").alias("query_id"), "doc_id", F.round(shared / F.size("q.tokens") + phrase, 6).alias("score"))
+    Distinct tokens of texts and queries meet in an equi-join, so work follows the shared tokens. A text that holds the phrase
+    has all its tokens, but perhaps the first and the last, so the phrase is looked for in texts that lack two at most."""
+    asked = queries.select("query_id", normalise(F.col("text")).alias("phrase"), token_set(F.col("text")).alias("tokens"))
+    wanted = asked.select("query_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    held = docs.select("doc_id", F.explode(token_set(F.col("text"))).alias("token"))
+    shared = held.join(wanted, "token").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"), F.max("n").alias("n"))
+    near = shared.where("shared >= n - 2").join(asked.select("query_id", "phrase"), "query_id").join(docs.select("doc_id", "text"), "doc_id")
+    near = near.withColumn("bonus", F.when(F.contains(normalise(F.col("text")), F.col("phrase")), 0.25).otherwise(0.0))
+    rows = near.select("query_id", "doc_id", "shared", "n", "bonus").unionByName(shared.where("shared < n - 2").withColumn("bonus", F.lit(0.0)))
+    return rows.select("query_id", "doc_id", F.round(F.col("shared") / F.col("n") + F.col("bonus"), 6).alias("score"))
+
+
+def quote_hits(quotes: DataFrame, docs: DataFrame, key: str = "item_id") -> DataFrame:
+    """JN-13, DOM-28: (key, doc_id) of the texts that hold each quote word for word.
+
+    A quote of three tokens or more meets the texts on its rarest inner token, which such a text must hold whole; shorter ones
+    are looked for in every text, block by block."""
+    asked = quotes.select(key, F.col("text").alias("q"), token_list(F.col("text")).alias("t"))
+    inner = asked.where(F.size("t") >= 3).select(key, "q", F.explode(F.array_distinct(F.slice("t", F.lit(2), F.size("t") - 2))).alias("token"))
+    held = docs.select("doc_id", F.explode(token_set(F.col("text"))).alias("token"))
+    counts = held.join(inner.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    rare = inner.join(counts, "token").groupBy(key, "q").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
+    found = held.join(rare, "token").join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("q"))).select(key, "doc_id")
+    short = asked.where(F.size("t") < 3).select(key, F.col("q").alias("text"))
+    beside = docs.select("doc_id", "text").crossJoin(query_blocks(short)).select("doc_id", "text", F.explode("q").alias("q"))
+    return found.unionByName(beside.where(F.contains("text", F.col("q.text"))).select(F.col("q")[key].alias(key), "doc_id"))
 
 
 def top_hits(scores: DataFrame, k: int) -> DataFrame:

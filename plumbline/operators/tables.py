@@ -6,19 +6,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def one_per_key(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of rows with one key, the one whose other columns are least in order."""
+    rest = [c for c in rows.columns if c not in keys]
+    if not rest:
+        return rows.distinct()
+    kept = rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__one"))
+    return kept.select(*[F.col("__one")[c].alias(c) if c in rest else F.col(c) for c in rows.columns])
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """SNK-01: rows of `new` replace those of `old` with the same key."""
-    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
+    """SNK-01: rows of `new`, one for each key, replace those of `old` with the same key."""
+    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(one_per_key(new, keys))
 
 
 def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """SNK-02: rows of `new` whose key is not there yet."""
-    return old.unionByName(new.join(old.select(*keys).distinct(), keys, "left_anti"))
+    """SNK-02: rows of `new`, one for each key, whose key is not there yet."""
+    return old.unionByName(one_per_key(new, keys).join(old.select(*keys).distinct(), keys, "left_anti"))
 
 
 def replace_by_key(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """SNK-03: all rows of the groups in `new` are replaced."""
-    return upsert(old, new, [key])
+    return old.join(new.select(key).distinct(), key, "left_anti").select(*old.columns).unionByName(new)
 
 
 def cascade(df: DataFrame, on: str, tables: list[tuple[DataFrame, str, str]], out: str) -> DataFrame:
@@ -56,10 +65,18 @@ def sample_ordinals(total: Column, limit: int) -> Column:
 
 
 def stratified_sample(df: DataFrame, stratum: str, key: str, size: int, seed: str = "s") -> DataFrame:
-    """SRT-07: of each stratum its share of `size`, one row at least, in order of a keyed digest."""
+    """SRT-07, SRT-08: of each stratum its share of `size`, one row at least, in order of a keyed digest.
+
+    Rows are cut by their digest before they are ranked: about four times the wanted rows, and 100 more, stay of each stratum; a
+    stratum in which fewer than wanted would stay keeps all its rows."""
     counts = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("__n"))
-    want = F.greatest(F.lit(1), F.bround(F.lit(float(size)) * F.col("__n") / F.sum("__n").over(Window.partitionBy(F.lit(1))), 0))
-    counts = counts.select(stratum, want.cast("bigint").alias("__want"))
-    order = Window.partitionBy(stratum).orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), key)
-    ranked = df.join(counts, stratum).withColumn("__r", F.row_number().over(order))
-    return ranked.where(F.col("__r") <= F.col("__want")).drop("__r", "__want")
+    total = counts.agg(F.sum("__n")).scalar()
+    want = F.greatest(F.lit(1), F.bround(F.lit(float(size)) * F.col("__n") / total, 0)).cast("bigint")
+    digest = F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
+    share = F.lit(float(1 << 32)) * (4.0 * F.col("__want") + 100) / F.col("__n")
+    low = F.conv(F.substring("__d", 1, 8), 16, 10).cast("double") <= F.col("__cut")
+    cut = df.withColumn("__d", digest).join(counts.withColumn("__want", want).withColumn("__cut", share), stratum).withColumn("__low", low)
+    enough = cut.where("__low").groupBy(stratum).agg((F.count(F.lit(1)) >= F.max("__want")).alias("__enough"))
+    kept = cut.join(enough, stratum, "left").where(F.col("__low") | ~F.coalesce("__enough", F.lit(False)))
+    ranked = kept.withColumn("__r", F.row_number().over(Window.partitionBy(stratum).orderBy("__d", key)))
+    return ranked.where(F.col("__r") <= F.col("__want")).select(*df.columns)

@@ -105,7 +105,7 @@ def most_frequent_value(spark, sf_dir):
 
 @query("SELECT check_key, code, n_councils FROM (SELECT check_key, code, count(DISTINCT council) AS n_councils FROM (SELECT *, unnest(string_split(coalesce(codes, 'ALL'), ',')) AS code FROM {rules}) GROUP BY 1, 2) WHERE n_councils > 1")
 def cross_instrument_conflicts(spark, sf_dir):
-    """AGG-11, AGG-12, DOM-15."""
+    """AGG-11, AGG-12."""
     rows = view(spark, sf_dir, "rules").withColumn("code", F.explode(F.split(F.coalesce("codes", F.lit("ALL")), ",")))
     return rows.groupBy("check_key", "code").agg(F.count_distinct("council").alias("n_councils")).where("n_councils > 1")
 
@@ -203,15 +203,24 @@ def vote_core_groups(spark, sf_dir):
     return adjudication.core_groups(view(spark, sf_dir, "votes"))
 
 
-@query("""SELECT rule_key, operator, value, unit, n_votes, outcome, CASE WHEN outcome = 'promote' THEN pathway END AS pathway, CASE WHEN outcome = 'promote' THEN n_votes - n END AS n_dissent,
-CASE WHEN outcome = 'promote' THEN CASE WHEN n_votes > n THEN 0.85 WHEN n >= 3 THEN 0.95 ELSE 0.9 END END::DOUBLE AS confidence FROM (
-SELECT c.*, p.pathway, p.n, CASE WHEN c.n_families < 2 THEN 'single_model_family' WHEN NOT (p.n > coalesce(p.next, 0) AND p.f >= 2) THEN 'pathway_disagreement' ELSE 'promote' END AS outcome
-FROM (SELECT rule_key, operator, value, unit, count(*) AS n_votes, count(DISTINCT family) AS n_families FROM {votes} GROUP BY 1, 2, 3, 4) c
-JOIN (SELECT *, row_number() OVER w AS rn, lead(n) OVER w AS next FROM (SELECT rule_key, operator, value, unit, pathway, count(*) AS n, count(DISTINCT family) AS f FROM {votes} GROUP BY 1, 2, 3, 4, 5)
-WINDOW w AS (PARTITION BY rule_key, operator, value, unit ORDER BY n DESC, pathway)) p USING (rule_key, operator, value, unit) WHERE p.rn = 1)""")
+_PATH = """(SELECT rule_key, operator, value, unit, pathway, count(*) AS n, count(DISTINCT family) AS f, count(DISTINCT rule_type) AS n_kinds, count(codes) AS stated,
+  count(DISTINCT codes) AS n_sets, count(*) FILTER (coalesce(dwelling, '') NOT IN ('', 'any')) AS specific, count(DISTINCT dwelling) FILTER (dwelling NOT IN ('', 'any')) AS n_dwellings, max(dwelling) FILTER (dwelling NOT IN ('', 'any')) AS dwelling,
+  list_sort(list(DISTINCT string_split(codes, ',')) FILTER (codes IS NOT NULL)) AS sets FROM {votes} GROUP BY 1, 2, 3, 4, 5)"""
+_KIND = "(SELECT rule_key, operator, value, unit, pathway, arg_min(rule_type, struct_pack(a := -m, b := rule_type)) AS kind FROM (SELECT rule_key, operator, value, unit, pathway, rule_type, count(*) AS m FROM {votes} GROUP BY 1, 2, 3, 4, 5, 6) GROUP BY 1, 2, 3, 4, 5)"
+
+
+@query(f"""SELECT rule_key, operator, value, unit, n_votes, outcome, CASE WHEN outcome = 'promote' THEN pathway END AS pathway, CASE WHEN outcome = 'promote' THEN kind END AS rule_type,
+CASE WHEN outcome = 'promote' THEN coalesce(array_to_string(list_sort(common), ','), '') END AS codes, CASE WHEN outcome = 'promote' THEN coalesce(dwelling, 'any') END AS dwelling,
+CASE WHEN outcome = 'promote' THEN array_to_string(list_sort(marks), ',') END AS dissent, CASE WHEN outcome = 'promote' THEN CASE WHEN len(marks) > 0 THEN 0.85 WHEN n >= 3 THEN 0.95 ELSE 0.9 END END::DOUBLE AS confidence FROM (
+SELECT *, CASE WHEN families < 2 THEN 'single_model_family' WHEN next IS NOT NULL AND (n = next OR f < 2) THEN 'pathway_disagreement' WHEN n_sets > 0 AND len(common) = 0 THEN 'density_disagreement' WHEN n_dwellings > 1 THEN 'dwelling_disagreement' ELSE 'promote' END AS outcome,
+  list_concat(lost, list_filter([CASE WHEN n_kinds > 1 THEN 'rule_type_mixed' END, CASE WHEN n_sets > 1 THEN 'density_codes_narrowed' END, CASE WHEN stated > 0 AND stated < n THEN 'density_codes_partial' END, CASE WHEN specific > 0 AND specific < n THEN 'dwelling_type_narrowed' END], lambda m: m IS NOT NULL)) AS marks
+FROM (SELECT *, CASE WHEN n_sets > 0 THEN list_reduce(sets, lambda a, b: list_intersect(a, b)) END AS common FROM (SELECT p.*, k.kind, c.n_votes, c.families, row_number() OVER w AS rn, lead(p.n) OVER w AS next,
+    list_transform(list(p.pathway) OVER (PARTITION BY rule_key, operator, value, unit ORDER BY p.n DESC, p.pathway ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), lambda q: 'pathway_dissent_' || q) AS lost
+  FROM {_PATH} p JOIN {_KIND} k USING (rule_key, operator, value, unit, pathway) JOIN (SELECT rule_key, operator, value, unit, count(*) AS n_votes, count(DISTINCT family) AS families FROM {{votes}} GROUP BY 1, 2, 3, 4) c USING (rule_key, operator, value, unit)
+  WINDOW w AS (PARTITION BY rule_key, operator, value, unit ORDER BY p.n DESC, p.pathway))) WHERE rn = 1)""")
 def vote_adjudicate(spark, sf_dir):
-    """AGG-15, DOM-04."""
-    return adjudication.adjudicate(view(spark, sf_dir, "votes"))
+    """AGG-15, DOM-04, SET-02."""
+    return adjudication.adjudicate(view(spark, sf_dir, "votes").withColumn("codes", F.split("codes", ",")))
 
 
 @query("SELECT grp, agreed, n_agree, CASE WHEN n_agree >= 3 THEN 'promote' WHEN n_agree = 2 THEN 'challenge' ELSE 'pending' END AS outcome FROM (SELECT l_orderkey AS grp, l_returnflag AS agreed, count(*) AS n_agree, row_number() OVER (PARTITION BY l_orderkey ORDER BY count(*) DESC, l_returnflag) AS rn FROM {lineitem} GROUP BY 1, 2) WHERE rn = 1")
@@ -323,17 +332,17 @@ def paragraph_chunks(spark, sf_dir):
 @query("""SELECT clause_id, canonical, round(amount * factor, 6) AS metres, list_contains(regexp_extract_all(quote, '\\d+(?:\\.\\d+)?'), claimed) AS anchored, contains(quote, claimed) AS contained FROM (SELECT *,
 CASE unit WHEN 'mm' THEN 'm' WHEN 'sqm' THEN 'm2' ELSE unit END AS canonical, CASE unit WHEN 'mm' THEN 0.001 ELSE 1 END::DOUBLE AS factor FROM {sentences})""")
 def claim_checks(spark, sf_dir):
-    """MTH-07, STR-17, STR-18, SET-04, DOM-05, DOM-27: units made canonical; the claimed number as a number of the quote, and as its substring."""
+    """MTH-07, STR-17, SET-04: units made canonical; the claimed number as a number of the quote, and as its substring."""
     rows = view(spark, sf_dir, "sentences")
     return rows.select("clause_id", N.canonical_unit(F.col("unit")).alias("canonical"), F.round(N.canonical_value(F.col("amount"), F.col("unit")), 6).alias("metres"), F.array_contains(T.numbers_in(F.col("quote")), F.col("claimed")).alias("anchored"), F.contains("quote", F.col("claimed")).alias("contained"))
 
 
 @query("SELECT item_id, count(*) FILTER (contains(d.text, b.text)) AS n_anchored FROM {benchmark} b CROSS JOIN {documents} d GROUP BY item_id")
 def quote_anchor(spark, sf_dir):
-    """DOM-05, DOM-28, JN-13: documents that hold each quote word for word, from the texts read once."""
-    blocks = search.query_blocks(view(spark, sf_dir, "benchmark").select("item_id", "text"))
-    hits = view(spark, sf_dir, "documents").select("text").crossJoin(blocks).select("text", F.explode("q").alias("q")).where(F.contains("text", F.col("q.text"))).groupBy(F.col("q.item_id").alias("item_id")).agg(F.count(F.lit(1)).alias("n"))
-    return view(spark, sf_dir, "benchmark").select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n_anchored"))
+    """JN-13: documents that hold each quote word for word."""
+    quotes = view(spark, sf_dir, "benchmark").select("item_id", "text")
+    hits = search.quote_hits(quotes, view(spark, sf_dir, "documents")).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    return quotes.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n_anchored"))
 
 
 @query("""SELECT address_id, trim(regexp_replace(lower(address), '\\s+', ' ', 'g')) AS plain, regexp_extract(trim(regexp_replace(lower(address), '\\s+', ' ', 'g')), '^(?:lot )?([0-9]+)(?: |$)', 1) AS house FROM {addresses}""")
@@ -344,12 +353,12 @@ def address_parts(spark, sf_dir):
 
 @query("""SELECT expanded, count(*) AS n FROM (SELECT regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(lower(address), '\\s+', ' ', 'g')), ' st$', ' street'), ' rd$', ' road'), ' ave$', ' avenue'), ' hwy$', ' highway') AS expanded FROM {addresses}) GROUP BY 1""")
 def address_expand(spark, sf_dir):
-    """STR-03, WIN-11."""
+    """STR-03."""
     return view(spark, sf_dir, "addresses").groupBy(T.expand_street(F.col("address")).alias("expanded")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT n_nationkey, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS similarity FROM (SELECT n_nationkey,
-list_distinct([substr('  ' || lower(n_name) || ' ', i, 3) FOR i IN range(1, length(n_name) + 2)]) AS a, list_distinct([substr('  ' || lower(r_name) || ' ', i, 3) FOR i IN range(1, length(r_name) + 2)]) AS b FROM {nation} JOIN {region} ON n_regionkey = r_regionkey)""")
+list_distinct(flatten([[substr('  ' || w || ' ', i, 3) FOR i IN range(1, length(w) + 2)] FOR w IN regexp_extract_all(lower(n_name), '[a-z0-9]+')])) AS a, list_distinct(flatten([[substr('  ' || w || ' ', i, 3) FOR i IN range(1, length(w) + 2)] FOR w IN regexp_extract_all(lower(r_name), '[a-z0-9]+')])) AS b FROM {nation} JOIN {region} ON n_regionkey = r_regionkey)""")
 def trigram_similarity(spark, sf_dir):
     """STR-07."""
     both = view(spark, sf_dir, "nation").join(view(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -509,7 +518,7 @@ def stream_sliding(spark, sf_dir):
 @query("""SELECT min(ts) AS "start", max(ts) + INTERVAL 6 HOUR AS "end", user_id, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM (
 SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM {events})) GROUP BY user_id, g""")
 def stream_session(spark, sf_dir):
-    """STM-05, STM-06: sessions that end after six quiet hours."""
+    """STM-06: sessions that end after six quiet hours."""
     return _stream(spark, sf_dir, F.session_window("at", "6 hours"), ["user_id"], "session")
 
 

@@ -30,7 +30,10 @@ FROM {lineitem}""",
     "votes": """
 SELECT 'key_' || CAST(l_partkey % 50 AS STRING) AS rule_key, CASE WHEN l_linenumber % 2 = 0 THEN 'lte' ELSE 'gte' END AS operator,
   l_quantity AS value, CASE WHEN l_suppkey % 2 = 0 THEN 'm' ELSE 'm2' END AS unit,
-  'family_' || CAST(l_suppkey % 3 AS STRING) AS family, l_returnflag AS pathway
+  'family_' || CAST(l_suppkey % 3 AS STRING) AS family, l_returnflag AS pathway,
+  CASE WHEN l_orderkey % 5 = 0 THEN 'exception' ELSE 'standard' END AS rule_type,
+  CASE l_orderkey % 7 WHEN 0 THEN 'R20,R30' WHEN 1 THEN 'R30' WHEN 2 THEN 'R40' END AS codes,
+  CASE l_orderkey % 11 WHEN 0 THEN 'grouped' WHEN 1 THEN 'single' WHEN 2 THEN '' WHEN 3 THEN 'any' END AS dwelling
 FROM {lineitem}""",
     "versions": """
 SELECT d.doc_id AS version_id, d.source, d.lang, d.n_chars, CASE WHEN d.doc_id % 13 <> 0 THEN 'owner_' || CAST(d.doc_id % 7 AS STRING) END AS owner,
