@@ -18,6 +18,11 @@ KEY_ALIASES = {
     "setbacks": "setback", "requirements": "requirement",
 }
 KEY_DROPPED = ["rule", "rules", "req"]
+STOP_WORDS = [
+    "a", "about", "an", "and", "are", "as", "brief", "can", "does", "explain", "for", "give", "how", "i", "in", "is", "me", "my", "of", "one",
+    "paragraph", "please", "short", "tell", "the", "to", "australia", "australian", "wa", "western", "what", "whats", "with",
+]
+LONG_FORMS = {"da": "development application", "r-codes": "residential design codes", "rcodes": "residential design codes"}
 SPELLED = {"one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "ten": "10"}
 
 
@@ -184,3 +189,31 @@ def outer_json(text: Column) -> Column:
 def cited_numbers(answer: Column) -> Column:
     """STR-19: the numbers of [n] and [n, m] markers."""
     return F.flatten(F.transform(F.regexp_extract_all(answer, F.lit(r"\[(\d[\d,\s]*)\]"), F.lit(1)), lambda m: F.regexp_extract_all(m, F.lit(r"(\d+)"), F.lit(1))))
+
+
+def compact_query(text: Column, limit: int = 16) -> Column:
+    """STR-20: the first tokens of a question without stop words, short forms written out; the question if nothing is left."""
+    words = F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9][A-Za-z0-9-]*)"), F.lit(1))
+    plain = lambda w: F.lower(F.btrim(w, F.lit("-")))
+    kept = F.filter(words, lambda w: ~plain(w).isin(STOP_WORDS))
+    long = F.flatten(F.transform(kept, lambda w: F.coalesce(F.split(F.try_element_at(_map(LONG_FORMS), plain(w)), " "), F.array(w))))
+    return F.coalesce(F.nullif(F.array_join(F.slice(long, 1, limit), " "), F.lit("")), text)
+
+
+def renumbered(answer: Column, n_hits: Column) -> Column:
+    """STR-19: an answer whose [n] markers within 1..n_hits are numbered from 1 in order; others go."""
+    cited = F.array_sort(F.array_distinct(F.transform(cited_numbers(answer), lambda x: x.try_cast("int"))))
+    valid = F.filter(cited, lambda x: x.between(1, n_hits))
+    marker = r"\[\d[\d,\s]*\]"
+
+    def rewrite(v: Column) -> Column:
+        found, between = F.regexp_extract_all(answer, F.lit(marker), F.lit(0)), F.split(answer, marker)
+
+        def one(m: Column) -> Column:
+            new = F.transform(F.regexp_extract_all(m, F.lit(r"(\d+)"), F.lit(1)), lambda x: F.array_position(v, x.try_cast("int")))
+            kept = F.filter(new, lambda x: x > 0)
+            return F.when(F.size(kept) > 0, F.concat(F.lit("["), F.array_join(F.transform(kept, lambda x: x.cast("string")), ", "), F.lit("]"))).otherwise("")
+
+        return F.array_join(F.transform(between, lambda b, i: F.concat(b, F.coalesce(one(F.get(found, i)), F.lit("")))), "")
+
+    return F.get(F.transform(F.array(valid), rewrite), F.lit(0))
