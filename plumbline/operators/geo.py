@@ -50,3 +50,30 @@ def point_join(points: DataFrame, polygons: DataFrame, cell: float, within: floa
     met = at.join(with_cells(polygons, cell, within), ["cx", "cy"])
     far = distance(F.col("ring"), F.col("x"), F.col("y"))
     return met.withColumn("distance", far).where(F.col("distance") <= within).drop("cx", "cy", "ring")
+
+
+def _sides_meet(a: Column, b: Column) -> Column:
+    """Whether two segments share a point."""
+    turn = lambda p, q, r: F.signum((q["x"] - p["x"]) * (r["y"] - p["y"]) - (q["y"] - p["y"]) * (r["x"] - p["x"]))
+    within = lambda p, q, r: r["x"].between(F.least(p["x"], q["x"]), F.greatest(p["x"], q["x"])) & r["y"].between(F.least(p["y"], q["y"]), F.greatest(p["y"], q["y"]))
+    p, q, r, s = a["a"], a["b"], b["a"], b["b"]
+    cross = (turn(p, q, r) != turn(p, q, s)) & (turn(r, s, p) != turn(r, s, q))
+    touch = [(turn(x, y, z) == 0) & within(x, y, z) for x, y, z in ((p, q, r), (p, q, s), (r, s, p), (r, s, q))]
+    return cross | touch[0] | touch[1] | touch[2] | touch[3]
+
+
+def intersects(a: Column, b: Column) -> Column:
+    """JN-12: whether two rings share a point: sides meet, or one holds a corner of the other."""
+    first = lambda r: F.get(r, F.lit(0))
+    sides = F.exists(_edges(a), lambda x: F.exists(_edges(b), lambda y: _sides_meet(x, y)))
+    return sides | contains(a, first(b)["x"], first(b)["y"]) | contains(b, first(a)["x"], first(a)["y"])
+
+
+def polygon_join(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
+    """JN-12: left_id and right_id of polygons (left_ring, right_ring) that share a point; each pair is tested once, in the
+    first cell that both touch."""
+    a = with_cells(left.withColumnRenamed("left_ring", "ring"), cell).withColumnRenamed("ring", "left_ring")
+    b = with_cells(right.withColumnRenamed("right_ring", "ring"), cell).withColumnRenamed("ring", "right_ring")
+    low = lambda ring, axis: F.floor(F.array_min(F.transform(ring, lambda p: p[axis])) / cell)
+    first = (F.col("cx") == F.greatest(low("left_ring", "x"), low("right_ring", "x"))) & (F.col("cy") == F.greatest(low("left_ring", "y"), low("right_ring", "y")))
+    return a.join(b, ["cx", "cy"]).where(first & intersects(F.col("left_ring"), F.col("right_ring"))).select("left_id", "right_id")

@@ -80,3 +80,20 @@ def stratified_sample(df: DataFrame, stratum: str, key: str, size: int, seed: st
     kept = cut.join(enough, stratum, "left").where(F.col("__low") | ~F.coalesce("__enough", F.lit(False)))
     ranked = kept.withColumn("__r", F.row_number().over(Window.partitionBy(stratum).orderBy("__d", key)))
     return ranked.where(F.col("__r") <= F.col("__want")).select(*df.columns)
+
+
+def page(df: DataFrame, order: list, limit: int, offset: int = 0) -> DataFrame:
+    """SRC-04, SRT-09: rows in order behind an offset; a limit of 0 is none."""
+    rows = df.orderBy(*order).offset(offset)
+    return rows.limit(limit) if limit else rows
+
+
+def after_key(df: DataFrame, key: str, last: int | None, limit: int) -> DataFrame:
+    """SRC-02, SRC-03: the next page of rows by key, behind the last one seen."""
+    rows = df if last is None else df.where(F.col(key) > last)
+    return rows.orderBy(key).limit(limit)
+
+
+def load_partitions(df: DataFrame, path: str, dataset: str) -> None:
+    """SRC-08: write rows so that the datasets among them are replaced and others stay."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(dataset).parquet(path)

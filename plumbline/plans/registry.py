@@ -11,25 +11,14 @@ from ..operators import adjudication, audit, corpus, geo, latest, rules, search,
 from ..sources import readers
 from ..sources.scratch import shared_path
 from ..streaming import windows
-from .views import oracle, view
+from .catalog import QUERIES, SQL, query
+from .views import view
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
 CHECKS = [f"check_{n}" for n in range(1, 8)]
 _COMPARE = """CASE CASE o WHEN '<=' THEN 'lte' WHEN 'pct_lte' THEN 'lte' WHEN '<' THEN 'lt' WHEN '=' THEN 'eq' ELSE coalesce(o, 'lte') END
   WHEN 'lte' THEN v <= t WHEN 'gte' THEN v >= t WHEN 'lt' THEN v < t WHEN 'gt' THEN v > t WHEN 'eq' THEN v = t END"""
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = oracle(sql)
-        return f
-
-    return add
-
-
 def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "rules").withColumn("r_codes", F.split("codes", ","))
 
@@ -527,3 +516,6 @@ def sql_rollup(spark, sf_dir):
     """Engine surface: rollup."""
     rows = view(spark, sf_dir, "lineitem").rollup("l_returnflag", "l_linestatus")
     return rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"), F.grouping("l_linestatus").cast("int").alias("total"))
+
+
+from . import domain, scalars  # noqa: E402, F401 - they add their queries

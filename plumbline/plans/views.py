@@ -1,6 +1,6 @@
 """Views that bind the generated tables to rules, facts, votes, versions and shapes: SQL that Spark and DuckDB both take.
 
-A {name} stands for a table or another view."""
+A {name} stands for a table or another view; braces of texts are doubled."""
 
 from __future__ import annotations
 
@@ -57,6 +57,57 @@ SELECT p_partkey AS clause_id, 'Setback shall be ' || CAST(p_size AS STRING) ||
   CAST(CASE WHEN p_partkey % 5 = 0 THEN p_size + 1 ELSE p_size END AS STRING) AS claimed,
   CASE p_partkey % 4 WHEN 0 THEN 'm' WHEN 1 THEN 'mm' WHEN 2 THEN 'sqm' ELSE 'lots' END AS unit, CAST(p_size AS DOUBLE) AS amount
 FROM {part}""",
+    "measures": """
+SELECT id, CAST(value AS DOUBLE) AS value, operator, CAST(threshold AS DOUBLE) AS threshold, unit, code FROM (VALUES
+  (1, '1', 'lte', '1', 'mm', 4), (2, '2.5', '>=', '2', 'Square Metres', 6), (3, 'NaN', 'gte', '1', 'm', 99), (4, '3', '<=', 'NaN', 'Furlong', 1), (5, NULL, 'lt', '3', NULL, 2),
+  (6, '7', '  ', '7', ' % ', 5), (7, '7', NULL, '6', 'per cent', NULL), (8, '1', 'range', '2', 'DB', 7), (9, '-1', '==', '-1', 'ha', 10), (10, 'Infinity', 'gt', '5', 'lots', 4)) AS t(id, value, operator, threshold, unit, code)""",
+    "names": """
+SELECT * FROM (VALUES (1, 'COCKBURN, CITY OF', 'R 40', 'Pct of Rules & metres'), (2, 'city of  fremantle', 'r_ac3', 'setbacks setback side'), (3, 'Shire Of Augusta (bbox extent)', 'RR', 'Maximum r40s walls'),
+  (4, 'PERTH', 'R0', ''), (5, 'Perth', 'R12.5/20', 'min & min'), (6, '', '', NULL), (7, NULL, NULL, 'glass glasses'), (8, 'Town of  CLAREMONT', 'Residential', 'wall req boundary')) AS t(id, council, code, rkey)""",
+    "objects": """
+SELECT event_id, event_type, props, CASE event_id % 4 WHEN 0 THEN '{{"k": 7, "source": "x"}}' WHEN 1 THEN '{{"parked": true, "k": null}}' WHEN 2 THEN '{{"a": {{"B": [1, 2.5]}}, "list": ["x", "y", "x"]}}' ELSE '{{}}' END AS other FROM {events}""",
+    "scoped": """
+SELECT p_partkey AS rule_id, p_brand AS rule_key, CASE WHEN p_partkey % 3 <> 0 THEN p_partkey % 4 END AS council, CASE p_partkey % 5 WHEN 0 THEN 'Z1,Z2' WHEN 1 THEN 'Z2' WHEN 2 THEN 'Z3' END AS zones,
+  CASE p_partkey % 7 WHEN 0 THEN 'R20' WHEN 1 THEN 'R20,R40' WHEN 2 THEN 'R60' END AS codes, CASE WHEN p_partkey % 6 = 0 THEN 'pending' ELSE 'approved' END AS state FROM {part}""",
+    "legal": """
+SELECT p_partkey AS rule_id, p_partkey % 40 AS version_id, p_partkey % 9 AS source_id, 'key' || CAST(p_partkey % 6 AS STRING) || '.x' || CAST(p_partkey AS STRING) AS rule_key, CASE WHEN p_partkey % 4 = 0 THEN 'key' || CAST(p_partkey % 5 AS STRING) END AS stated_base,
+  CASE p_partkey % 3 WHEN 0 THEN 'design_principle' ELSE 'deemed_to_comply' END AS pathway, CASE WHEN p_partkey % 6 = 1 THEN 'pending' ELSE 'approved' END AS state, CASE p_partkey % 5 WHEN 0 THEN 'exception' WHEN 1 THEN NULL ELSE 'standard' END AS rule_type,
+  'except as in clause ' || CAST(p_partkey % 50 AS STRING) || '.' AS quote, p_name AS clause_text, 'clause ' || CAST((p_partkey + 7) % 50 AS STRING) || '.' AS clause_path, CASE WHEN p_partkey % 7 = 0 THEN '' END AS section_ref,
+  CASE WHEN p_partkey % 2 = 0 THEN 'lte' ELSE 'gte' END AS operator, p_size AS value, 'm' AS unit, CASE p_partkey % 4 WHEN 0 THEN 'R20,R30' WHEN 1 THEN 'R30' END AS codes FROM {part}""",
+    "clauses": """
+SELECT p_partkey AS clause_key, p_partkey % 30 AS version_id, CASE p_partkey % 5 WHEN 0 THEN 'definition' WHEN 1 THEN 'procedural' WHEN 2 THEN 'other' ELSE 'rule_bearing' END AS disposition,
+  CASE WHEN p_partkey % 5 = 0 THEN '"' || p_type || '" means a thing of ' || p_brand ELSE 'The ' || lower(p_type) || ' shall follow ' || p_name || ', see Planning Act 2005.' END AS text FROM {part}""",
+    "runs": """
+SELECT o_orderkey AS run_id, o_custkey AS project_id, CASE o_orderstatus WHEN 'F' THEN 'has_likely_failures' ELSE 'incomplete' END AS status, o_orderkey % 50 AS skill_id, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END AS trace_id FROM {orders}""",
+    "results": """
+SELECT l_orderkey * 8 + l_linenumber AS result_id, l_orderkey AS run_id, CASE l_returnflag WHEN 'A' THEN 'likely_pass' WHEN 'R' THEN 'likely_fail' ELSE 'unsupported' END AS status, CASE WHEN l_partkey % 9 <> 0 THEN l_partkey END AS rule_id,
+  CASE WHEN l_suppkey % 10 <> 0 THEN CAST(l_suppkey AS STRING) || ',' || CAST(l_partkey % 300 AS STRING) END AS citations, CASE WHEN l_partkey % 11 <> 0 THEN 'step' END AS trace
+FROM (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM {lineitem} GROUP BY l_orderkey, l_linenumber)""",
+    "reviews": """
+SELECT event_id AS review_id, user_id % 400 AS version_id, ts AS reviewed, CASE event_type WHEN 'click' THEN 'approved' WHEN 'view' THEN 'approved' ELSE 'rejected' END AS status FROM {events}""",
+    "findings": """
+SELECT c_custkey AS finding_id, CASE c_custkey % 4 WHEN 0 THEN 'proposed' WHEN 1 THEN 'accepted' WHEN 2 THEN 'converted_to_capa' ELSE 'rejected' END AS status, c_custkey % 40 AS created, CASE WHEN c_custkey % 5 <> 0 THEN c_nationkey END AS decided_by,
+  CASE WHEN c_custkey % 7 <> 0 THEN 'why' ELSE '' END AS reason, CASE WHEN c_custkey % 8 <> 0 THEN c_custkey END AS evidence, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey * 2 % 700 END AS capa_id, CASE WHEN c_custkey % 2 = 0 THEN c_custkey * 3 END AS trace_id FROM {customer}""",
+    "items": """
+SELECT p_partkey AS item_id, CASE p_partkey % 3 WHEN 0 THEN 'resolved' WHEN 1 THEN 'closed' ELSE 'open' END AS status, CASE WHEN p_partkey % 6 <> 0 THEN p_brand END AS severity, CASE WHEN p_partkey % 5 <> 0 THEN p_size END AS owner,
+  CASE WHEN p_partkey % 9 <> 0 THEN p_partkey % 90 END AS due, CASE WHEN p_partkey % 4 <> 0 THEN p_partkey END AS closure, CASE WHEN p_partkey % 7 <> 0 THEN p_partkey % 60 END AS check_due, CASE WHEN p_partkey % 2 = 0 THEN 'good' END AS effect,
+  CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 200 END AS proposed_by, 'eval_run' AS subject_type, p_partkey * 4 AS subject_id FROM {part}""",
+    "controls": """
+SELECT s_suppkey AS control_id, 'risk' || CAST(s_suppkey % 30 AS STRING) AS code, CASE WHEN s_suppkey % 6 = 0 THEN '' WHEN s_suppkey % 7 <> 0 THEN 'role' END AS owner, CASE WHEN s_suppkey % 4 <> 0 THEN s_suppkey % 50 END AS every, CASE WHEN s_suppkey % 5 <> 0 THEN 100 - s_suppkey % 60 END AS tested FROM {supplier}""",
+    "risks": """
+SELECT 'risk' || CAST(n_nationkey AS STRING) AS code, 'stage' || CAST(n_nationkey % 8 AS STRING) AS owner FROM {nation}""",
+    "steps": """
+SELECT c_custkey AS step_id, 'stage' || CAST(c_custkey % 11 AS STRING) AS stage, c_custkey % 3 = 0 AS critical FROM {customer}""",
+    "kpis": """
+SELECT n_nationkey AS kpi_id, CASE WHEN n_nationkey % 4 <> 0 THEN n_nationkey END AS cadence FROM {nation}""",
+    "kpi_results": """
+SELECT s_nationkey + 1 AS kpi_id, 100 - s_suppkey % 40 AS computed FROM {supplier}""",
+    "exports": """
+SELECT o_orderkey AS export_id, o_orderkey AS run_id, CASE o_orderstatus WHEN 'P' THEN 'pending' ELSE 'completed' END AS status, CASE WHEN o_orderkey % 5 <> 0 THEN 'sha' END AS sha256, CASE o_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN false ELSE true END AS valid FROM {orders}""",
+    "extracted": """
+SELECT p_partkey AS candidate_id, 'setback of ' || CAST(p_size AS STRING) || ' m' AS quote, CASE WHEN p_partkey % 6 = 0 THEN 'No text' ELSE 'The  setback of ' || CAST(p_size AS STRING) || ' m' || CASE WHEN p_partkey % 4 = 0 THEN ' is fine' ELSE ' shall be kept' END END AS clause,
+  CASE WHEN p_partkey % 3 = 0 THEN 'definition' ELSE 'rule_bearing' END AS disposition, CASE WHEN p_partkey % 5 = 0 THEN p_size + 1000000 WHEN p_partkey % 7 = 0 THEN p_size * 10 ELSE p_size END AS number,
+  CASE p_partkey % 5 WHEN 0 THEN 'm' WHEN 1 THEN 'mm' WHEN 2 THEN '%' WHEN 3 THEN 'storeys' END AS unit, CASE WHEN p_partkey % 8 = 0 THEN 'Bad Key' ELSE 'side_setback' END AS rkey FROM {part}""",
 }
 
 
@@ -83,6 +134,6 @@ def oracle(sql: str) -> str:
                 used.append(p)
 
     add(sql)
-    plain = lambda s: re.sub(r"\{(\w+)\}", lambda m: f"v_{m[1]}" if m[1] in VIEWS else m[1], s).replace("AS STRING)", "AS VARCHAR)")
+    plain = lambda s: re.sub(r"\{(\w+)\}", lambda m: f"v_{m[1]}" if m[1] in VIEWS else m[1], s).replace("AS STRING)", "AS VARCHAR)").replace("{{", "{").replace("}}", "}")
     head = ", ".join(f"v_{n} AS ({plain(VIEWS[n])})" for n in used)
     return f"WITH {head} {', ' if sql.lstrip().upper().startswith('WITH') else ''}{plain(sql).lstrip()[4:] if sql.lstrip().upper().startswith('WITH') else plain(sql)}" if used else plain(sql)

@@ -10,13 +10,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def addresses_csv(spark: SparkSession, path: str, sep: str = "|") -> DataFrame:
-    """SRC-05: a headed file of address points; rows whose coordinates are no numbers are left out."""
+def addresses_csv(spark: SparkSession, path: str, parts: tuple[str, ...] = (), sep: str | None = None) -> DataFrame:
+    """SRC-05: a headed file of address points, its separator a tab if the header has one, else |. The address is put together
+    from its parts; rows whose coordinates are no numbers are left out."""
+    if sep is None:
+        sep = "\t" if "\t" in spark.read.text(path).first()[0] else "|"
     rows = spark.read.csv(path, sep=sep, header=True)
     rows = rows.withColumns({c: F.expr(f"try_cast({c} AS double)") for c in ("latitude", "longitude")})
+    if parts:
+        rows = rows.withColumn("address", F.concat_ws(" ", *[F.nullif(F.trim(c), F.lit("")) for c in parts]))
     return rows.where("latitude IS NOT NULL AND longitude IS NOT NULL")
 
 
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-14: lines of text files."""
+    return spark.read.text(path)
+
+
+def _polygons(features: DataFrame) -> DataFrame:
+    """A row for each polygon of `geometry` (type, coordinates as JSON), with its properties and outer ring."""
+    one = F.array(F.from_json("geometry.coordinates", "array<array<array<double>>>"))
+    many = F.from_json("geometry.coordinates", "array<array<array<array<double>>>>")
+    polygons = F.when(F.col("geometry.type") == "Polygon", one).when(F.col("geometry.type") == "MultiPolygon", many)
+    rows = features.select("properties", F.explode(polygons).alias("rings"))
+    return rows.select("properties", F.transform(F.get("rings", F.lit(0)), lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))).alias("ring"))
+
+
+def geojson_lines(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-06: features, one on each line, so that a large layer is read in parallel."""
+    return _polygons(spark.read.schema("properties string, geometry struct<type:string,coordinates:string>").json(path))
+
+
 def json_lines(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """SRC-16."""
     return (spark.read.schema(schema) if schema else spark.read).json(path)
