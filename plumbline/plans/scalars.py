@@ -172,7 +172,7 @@ def compact_queries(spark, sf_dir):
     return rows.select("item", T.compact_query(F.col("question")).alias("asked"))
 
 
-@query("""SELECT * FROM (VALUES (1, '{"a": {"b": 1}}', '1,2,3'), (2, '{"x": 2}', '2.5,7'), (3, NULL, '')) AS t(item, json, numbers)""")
+@query("""SELECT * FROM (VALUES (1, '{{"a": {{"b": 1}}}}', '1,2,3'), (2, '{{"x": 2}}', '2.5,7'), (3, NULL, '')) AS t(item, json, numbers)""")
 def model_output(spark, sf_dir):
     """STR-17, STR-21: the outermost JSON of an answer; numbers with spelled ones."""
     rows = spark.createDataFrame([(1, 'Sure: ```json\n{"a": {"b": 1}}\n```', "one, two and 3"), (2, '{"x": 2} done', "2.5 seven"), (3, "no", "none")], "item int, answer string, said string")

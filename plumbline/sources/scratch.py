@@ -9,6 +9,10 @@ from pyspark.sql import SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below spark.checkpoint.dir, or below a temporary one where it is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumbline-")
+    """A fresh folder below spark.checkpoint.dir, or below a temporary one where it is unset and Spark runs on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="plumbline-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
