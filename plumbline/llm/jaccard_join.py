@@ -175,8 +175,8 @@ def _joined(docs: DataFrame, similarity: float, recall: float, rows: int) -> Dat
     candidates = components(edges, scratch, "candidates")
     sizes = candidates.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     members = candidates.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    members = members.join(classes.select(F.col("sid").alias("node"), "class_id", "n_copies"), "node")
-    texts = docs.select("doc_id", text_of("text").alias("__text")).join(members, F.col("doc_id").eqNullSafe(F.col("class_id")))
+    members = members.join(classes.select(F.col("sid").alias("node"), F.col("lead.h").alias("lead_h"), "n_copies"), "node")
+    texts = docs.select(F.xxhash64(*docs.columns).alias("__h"), text_of("text").alias("__text")).join(members, F.col("__h") == F.col("lead_h"))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, int] = {}

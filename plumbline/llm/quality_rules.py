@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch, one_per_key, sample_gate, split_words, text_of
+from .common import SPACE, Scratch, let, one_per_key, sample_gate, split_words, text_of
 
 #: Largest expected number of labelled documents that the list is learned from.
 FIT_ROWS = 20_000
@@ -52,7 +52,8 @@ class Rule:
 
 def _repeat_words(words: Column, n_words: Column) -> Column:
     """Words inside a 3-word window that is found at least twice. Windows are sorted by a hash that carries their position,
-    so equal ones are neighbours; neighbours with equal hash bits are compared word by word."""
+    so equal ones are neighbours; neighbours with equal hash bits are compared word by word. Where windows with equal bits
+    differ, or positions need more bits, a text's windows are sorted by their words."""
     at = lambda i: F.get(words, i)
     packed = F.sort_array(
         F.transform(
@@ -65,9 +66,22 @@ def _repeat_words(words: Column, n_words: Column) -> Column:
         i, j = (F.lit(_POS_MASK).bitwiseAND(v).cast("int") for v in (x, y))
         return (F.shiftright(x, _POS_BITS) == F.shiftright(y, _POS_BITS)) & (at(i) == at(j)) & (at(i + 1) == at(j + 1)) & (at(i + 2) == at(j + 2))
 
-    def covered(s: Column) -> Column:
+    def by_words() -> Column:
+        windows = F.transform(F.sequence(F.lit(0), (n_words - 3).cast("int")), lambda i: F.struct(F.array(at(i), at(i + 1), at(i + 2)).alias("w"), i.cast("bigint").alias("i")))
+        beside = lambda s, x, j: F.coalesce(F.get(s, j)["w"] == x["w"], F.lit(False))
+        held = lambda s: F.transform(F.filter(s, lambda x, j: beside(s, x, j - 1) | beside(s, x, j + 1)), lambda x: x["i"])
+        return let(F.array_sort(windows), held)
+
+    def by_hash(s: Column) -> Column:
         hit = F.filter(s, lambda x, j: F.coalesce(same(x, F.get(s, j - 1)), F.lit(False)) | F.coalesce(same(x, F.get(s, j + 1)), F.lit(False)))
-        starts = F.sort_array(F.transform(hit, lambda x: x.bitwiseAND(F.lit(_POS_MASK))))
+        return F.transform(hit, lambda x: x.bitwiseAND(F.lit(_POS_MASK)))
+
+    def clash(s: Column) -> Column:
+        pair = lambda x, y: (F.shiftright(x, _POS_BITS) == F.shiftright(y, _POS_BITS)) & ~same(x, y)
+        return (n_words > _POS_MASK) | F.exists(F.sequence(F.lit(1), F.greatest(F.size(s) - 1, F.lit(1))), lambda j: F.coalesce(pair(F.get(s, j - 1), F.get(s, j)), F.lit(False)))
+
+    def covered(s: Column) -> Column:
+        starts = F.sort_array(F.when(clash(s), by_words()).otherwise(by_hash(s)))
         return F.aggregate(
             starts,
             F.struct(F.lit(-3).cast("bigint").alias("last"), F.lit(0).cast("bigint").alias("n")),

@@ -50,10 +50,16 @@ def test_topk_equals_brute_force(spark, small, monkeypatch, shard, block, leaf):
 
 def test_topk_edge_cases(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [math.nan, 1.0]), (5, [math.inf, 0.0]), (6, [None, 1.0]), (50, [-0.5, 0.25]), (7, [1.0, 0.0]), (7, [1.0, 0.0]), (8, [1.0]), (None, [1.0, 1.0])]
+    rows += [(9, [600000.0, 1.0]), (0, [2.0, 3.0]), (50, [-0.5, 0.25]), (50, [6e6, -5e6]), (11, [6e6, 5e6])]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id bigint, embedding array<double>, rank int")
     got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, 5).collect())
-    usable = [(i, v) for i, v in rows if i is not None and i not in (3, 4, 5, 6, 8)]
-    assert got == brute_top(list(dict(usable).items()))
+    usable = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and i not in (3, 4, 5, 6)]
+    want = []
+    for n, (q, v) in enumerate(usable):
+        if q % 50 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for m, (i, w) in enumerate(usable) if m != n and len(w) == len(v))[:5]
+            want += [(q, r, i, min(2**63 - 1, max(-(2**63), -s))) for r, (s, i) in enumerate(scores, 1)]
+    assert got == sorted(want)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0, 5).collect() == []
 
 
@@ -106,6 +112,40 @@ def test_toxicity_edge_cases(spark, edge, empty):
     assert toxicity.fit(empty, labels).weights == {}
 
 
+def test_toxicity_repeated_rows_do_not_weigh(spark, small):
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    toxic = docs.join(labels.where("toxic = 1").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    more = docs
+    for _ in range(3):
+        more = more.unionByName(toxic)
+    assert toxicity.fit(docs, labels) == toxicity.fit(more, labels)
+
+
+def test_toxicity_takes_given_grades(spark):
+    word = {0: "calm", 1: "rude", 3: "vile", 7: "foul"}
+    rows = [(n, f"{' '.join(f'w{n % 13}x{i}' for i in range(9))} {word[g]} {word[g]}ly", g) for n, g in enumerate([0, 1, 3, 7] * 60)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(r[0], r[2] if r[2] else -1) for r in rows], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert len(model.thresholds) == 3 and model.thresholds == sorted(model.thresholds)
+    mean = {g: [] for g in word}
+    for r in toxicity.score(docs, model).collect():
+        mean[rows[r["doc_id"]][2]].append(r["expected_severity"])
+    means = [sum(v) / len(v) for v in mean.values()]
+    assert means == sorted(means) and means[0] < 0.5
+
+
+def test_toxicity_score_equals_plain(spark, small):
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    texts = dict(texts_of(spark, small))
+    for r in toxicity.score(docs, model).where("doc_id % 7 = 0").collect():
+        n = Counter(f for w in toxicity.WORD.findall((texts[r["doc_id"]] or "").lower()) for f in toxicity.features_of(w) if f in model.weights)
+        eta = sum(model.weights[f] * math.log1p(c) for f, c in n.items())
+        at_least = [1 / (1 + math.exp(t - eta)) for t in model.thresholds]
+        assert r["expected_severity"] == pytest.approx(sum(at_least)) and r["p_toxic"] == pytest.approx(at_least[0])
+
+
 # op4
 
 
@@ -197,6 +237,7 @@ def test_class_lm_base_equals_plain(spark, tiny):
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held, n, known, train)
         assert r["base_score"] == pytest.approx(base, rel=1e-9)
         assert r["score"] < 0 and math.isfinite(r["score"])
+        assert r["perplexity"] == pytest.approx(10 ** (-r["score"] / r["n_tokens"]))
 
 
 def test_class_lm_beats_unigrams_on_held_out(spark, small):
@@ -334,6 +375,16 @@ def test_quality_learns_a_rule(spark):
     assert all(kept[i][0] == (i < 60) for i in range(90))
 
 
+def test_quality_repeats_with_clashing_hashes(spark, monkeypatch):
+    texts = ["a b c d a b c", "x y z " * 9, "one two three", "p q r s t u v p q r w q r s"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for bits in (3, 5, 60, 63):  # few position bits need the way by words; few hash bits clash
+        monkeypatch.setattr(quality_rules, "_POS_BITS", bits)
+        monkeypatch.setattr(quality_rules, "_POS_MASK", (1 << bits) - 1)
+        got = by_id(quality_rules.statistics(df), "n_repeat_words")
+        assert got == {n: (plain.statistics(t)[4],) for n, t in enumerate(texts)}
+
+
 def test_quality_edge_cases(spark, edge, empty):
     none = spark.createDataFrame([], "doc_id bigint, quality int")
     rows = quality_rules.quality_rules(edge, none).collect()
@@ -362,6 +413,17 @@ def test_training_order_places_every_sequence_once(spark, tiny):
     assert all(r["shard"] == r["slot"] // training_order.SHARD_SEQUENCES for r in rows)
 
 
+def test_training_order_takes_token_ids(spark):
+    ids = {1: list(range(0, 50_000, 311)), 2: None, 3: [], 4: [50_255] * 64, 5: [7] * 130}
+    df = spark.createDataFrame(list(ids.items()), "doc_id bigint, token_ids array<int>")
+    rows = training_order.training_order(df, sequence=64, tokens="token_ids", end=50_256, pad=50_257).collect()
+    assert sorted(r["slot"] for r in rows) == list(range(len(rows)))
+    got = {}
+    for r in sorted(rows, key=lambda r: (r["doc_id"], r["chunk"])):
+        got.setdefault(r["doc_id"], []).extend(np.frombuffer(bytes(r["record"]), "<u2")[: r["n_tokens"]].tolist())
+    assert got == {d: [*(x or []), 50_256] for d, x in ids.items()}
+
+
 def test_permutation_is_a_bijection():
     for n in (1, 2, 3, 7, 64, 1_000, 4_097):
         a, b = (training_order.permute(np.arange(n), n, key) for key in (1, 2))

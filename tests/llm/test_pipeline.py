@@ -48,6 +48,9 @@ def test_stages_equal_plain_versions(spark, tiny, tmp_path):
     want = Counter((d, tuple(enc.encode_ordinary(t))) for d, t in pairs(before))
     assert Counter((r["doc_id"], tuple(r["token_ids"])) for r in after.collect()) == want
     assert all(r["n_tokens"] == len(r["token_ids"]) for r in after.collect())
+    assert Counter((r["doc_id"], r["n_bytes"]) for r in after.collect()) == Counter((d, len(t.encode())) for d, t in pairs(before))
+    whole = corpus_pipeline.run(spark, tiny)
+    assert Counter((r["doc_id"], tuple(r["token_ids"])) for r in whole.collect()) == want
 
 
 def test_stages_take_edge_cases(spark, edge, empty, tiny, tmp_path):
