@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import byte_bpe, jaccard_join, mixing, pii, toxicity
+from plumbline.llm.common import Scratch
 from plumbline.llm.queries import BPE_FILE
 
 
@@ -34,7 +35,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     bpe = byte_bpe.ByteBPE(spark, public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN)
     encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"))
-    return encoded.select("doc_id", "lang", "source", F.size("token_ids").cast("bigint").alias("n_tokens"), "token_ids")
+    return bpe.decode(encoded).select("doc_id", "lang", "source", F.size("token_ids").cast("bigint").alias("n_tokens"), F.octet_length("decoded").cast("bigint").alias("n_bytes"), "token_ids")
 
 
 STAGES = [
@@ -50,7 +51,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The last stage's rows; each stage before it is written to the shared folder and read back, so none runs twice."""
+    docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.write(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
