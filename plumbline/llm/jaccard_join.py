@@ -49,7 +49,7 @@ def shingles(text: str, memo: dict[str, int], n: int = WORDS) -> np.ndarray:
     words = [w for w in words if w]
     if not words:
         return np.zeros(0, np.uint64)
-    if len(memo) > 400_000:
+    if len(memo) > 150_000:
         memo.clear()
     out = []
     for w in words:

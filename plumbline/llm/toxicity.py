@@ -33,7 +33,7 @@ PREFIXES = (4, 5, 6)
 #: length: that was tried (1 and 3 mentions per 100 words) and found 53 instead of over 70 of 100 held-out toxic documents.
 MENTIONS = (3, 6)
 WORD = re.compile(r"\w+")
-_MEMO = 200_000
+_MEMO = 100_000
 
 
 @dataclass
