@@ -7,7 +7,8 @@ the true links, so no link is lost and no group is listed pair by pair.
 
 Defined cases: a text of one to four words is one shingle; a null, empty or blank text has no shingles, is a class and group
 of its own and has no links; repeated rows are copies; documents with a null id take part, and have a null class id only if
-all copies do.
+all copies do; an empty table gives an empty result; other columns, whatever their names, only tell rows apart; a very long
+text is held whole by one task.
 """
 
 from __future__ import annotations

@@ -4,7 +4,7 @@ Each document is repeated k times, k being the inverse of a Poisson distribution
 repetition rate, at a uniform number hashed from the seed and the document id. Copies are then shuffled globally.
 
 Defined cases: null sources form one source of their own; a null id hashes as the word null; repeated rows draw the same
-count; an empty table gives an empty result; sources without a weight (when weights are given) are left out; columns of the
+count; a text of any length is only carried along; an empty table gives an empty result; sources without a weight (when weights are given) are left out; columns of the
 input that are named as ones of the result are replaced.
 """
 

@@ -1,13 +1,17 @@
 """Exact substring deduplication: bytes covered by a 50-byte string that also starts in a document with a smaller id.
 
-Bucket-pointer refinement over sampled suffixes. Each 50-byte window holds at least one anchor (the smallest hash among its
+Not the method dealt, which refines q-gram buckets in rounds by the bucket identifiers at later offsets: on all suffixes its
+rounds would shuffle many times the input, beyond the disk allowed. Here buckets are refined once, over sampled suffixes, and
+identifiers of later offsets come from running sums in place of rounds. Equal identifiers are taken for equal bytes: windows
+carry 64 and 15 hash bits, and texts of one id are told apart by 16 bits. Each 50-byte window holds at least one anchor (the smallest hash among its
 26-byte grams), so only anchors are sorted into initial q-gram buckets, and buckets within one document are dropped.
 Windows start out in the bucket of their smallest gram. Buckets are then refined by the bucket identifiers at other offsets:
 the chain of anchors inside a run of windows and one more on either side, which covers these windows entirely. Chain
 identifiers are combined from running sums that all longer chains reuse. Windows whose chain recurs are settled by it; where a
 bucket splits into several chains at the same offset, the windows themselves are compared.
 
-Defined cases: a null text counts as empty; texts below 50 bytes lose nothing; documents with a null id neither lose bytes
+Defined cases: an empty table gives an empty result; other columns, whatever their names, are left out; a very long text is
+held whole by one task; a null text counts as empty; texts below 50 bytes lose nothing; documents with a null id neither lose bytes
 nor take any from others; rows that repeat an id are not smaller than each other.
 """
 
@@ -70,18 +74,28 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, grams[at]
 
 
-def _powers(at: np.ndarray) -> np.ndarray:
-    """_BASE ** at modulo 2 ** 64, by binary digits."""
-    out, step, left = np.ones(len(at), np.uint64), int(_BASE), at.astype(np.uint64)
+_INVERSE = pow(int(_BASE), -1, 1 << 64)
+#: Powers of a base by exponent, kept by each worker up to _TABLE of them.
+_TABLE = 1 << 22
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, at: np.ndarray) -> np.ndarray:
+    """base ** at modulo 2 ** 64: from a table that grows by doubling, beyond it by binary digits."""
+    top = int(at.max()) if len(at) else 0
+    if top < _TABLE:
+        table = _POWERS.get(base)
+        if table is None or len(table) <= top:
+            size = max(1 << 12, 1 << top.bit_length())
+            table = _POWERS[base] = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, base, np.uint64))])
+        return table[at]
+    out, step, left = np.ones(len(at), np.uint64), base, at.astype(np.uint64)
     while left.any():
         out = np.where(left & _U(1), out * _U(step), out)
         left, step = left >> _U(1), step * step & 0xFFFFFFFFFFFFFFFF
     return out
 
 
-_INVERSE = pow(int(_BASE), -1, 1 << 64)
-
-
 def chains(at: np.ndarray, h: np.ndarray, own: int) -> tuple[np.ndarray, ...]:
     """Runs of window starts that hold the same anchors: smallest gram, its least offset in the windows, identifier of the
     covering chain, first start and length. `own` makes identifiers of runs without a complete chain differ from all others."""
@@ -90,13 +104,9 @@ def chains(at: np.ndarray, h: np.ndarray, own: int) -> tuple[np.ndarray, ...]:
     i, k = np.searchsorted(at, first), np.searchsorted(at, first + SPAN - 1, side="right") - 1
     held = i <= k
     first, stop, i, k = first[held], stop[held], i[held], k[held]
-    power = _powers(at - at[0])
+    power = _powers(int(_BASE), at - at[0])
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(h) * power, dtype=np.uint64)])
-    inverse = np.ones(len(at), np.uint64)
-    step, left = _INVERSE, (at - at[0]).astype(np.uint64)
-    while left.any():
-        inverse = np.where(left & _U(1), inverse * _U(step), inverse)
-        left, step = left >> _U(1), step * step & 0xFFFFFFFFFFFFFFFF
+    inverse = _powers(_INVERSE, at - at[0])
     chain = lambda a, b: _mix((sums[b + 1] - sums[a]) * inverse[a] + (b - a).astype(np.uint64))
     least, where = h[i].copy(), at[i].copy()
     for d in range(1, int((k - i).max()) + 1 if len(i) else 0):

@@ -6,7 +6,8 @@ whole text is scored in Arrow batches.
 
 Defined cases: a null or empty text has no features; labels with a null id or grade are ignored and, of repeated labels,
 the highest grade counts; without labels, or with one grade only, every document has severity 0; repeated rows are scored
-each on its own.
+each on its own; an empty table gives an empty result; other columns may have any name; a very long text is held whole by
+one task.
 """
 
 from __future__ import annotations
