@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import corpus, geo, governance, graph, latest, ledger, places, rules, tables, validation
+from ..operators import advice, corpus, geo, governance, graph, latest, ledger, places, rules, tables, validation
 from ..operators.audit import pass_rates
 from ..sources import readers
 from ..sources.scratch import shared_path
@@ -197,6 +197,62 @@ def key_variants(spark, sf_dir):
     return view(spark, sf_dir, "part").select("p_partkey", graph.variant_of(member, F.lit("frontage")).alias("variant"))
 
 
+# Advice
+
+_WORD = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
+_ADVICE = "CASE c_custkey % 6 WHEN 0 THEN 'Garage wall setback for R20 dwellings' WHEN 1 THEN 'Commercial strata in Zone1' WHEN 2 THEN 'Open space and solar amenity' WHEN 3 THEN 'Rural mining precinct' WHEN 4 THEN 'Residential r40 parking' ELSE c_name END"
+_SCORED = f"""(SELECT c_custkey AS rule_id, 'k' || (c_custkey % 50) AS rule_key, codes, 6.0 * (CASE WHEN contains(t, 'r20') THEN 1 ELSE 0 END) + 3.0 * (CASE WHEN contains(t, 'zone1') THEN 1 ELSE 0 END) + CASE WHEN contains(t, 'residential') OR contains(t, 'dwelling') THEN 2.0 ELSE 0 END
+ + len(list_filter({_WORD(advice.RAISING)}, lambda w: contains(t, w))) - 1.5 * len(list_filter({_WORD(advice.LOWERING)}, lambda w: contains(t, w))) + CASE WHEN codes IS NOT NULL THEN 1 ELSE 0 END AS score
+ FROM (SELECT c_custkey, lower({_ADVICE}) AS t, CASE c_custkey % 5 WHEN 0 THEN 'R20' WHEN 1 THEN 'R40' END AS codes FROM {{customer}}))"""
+
+
+@query(f"SELECT rule_key, rule_id, score::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY rule_key ORDER BY score DESC, rule_id) AS rn FROM {_SCORED} WHERE codes IS NULL OR codes = 'R20') WHERE rn = 1 ORDER BY score DESC, rule_key LIMIT 20")
+def advisory_rules(spark, sf_dir):
+    """DOM-03, MTH-12: a report of the top 20."""
+    key = F.col("c_custkey")
+    code = F.when(key % 5 == 0, F.array(F.lit("R20"))).when(key % 5 == 1, F.array(F.lit("R40")))
+    rows = view(spark, sf_dir, "customer").select(key.alias("rule_id"), F.concat(F.lit("k"), (key % 50).cast("string")).alias("rule_key"), F.expr(_ADVICE).alias("text"), code.alias("codes"))
+    return advice.advisory_rules(rows, ["R20"], ["Zone1"], 20)
+
+
+@query("SELECT rule_id, concat_ws('.', 'site_area', replace(codes, ',', '_'), CASE WHEN rule_id % 3 = 0 THEN 'grouped' END) AS rule_key FROM {legal}")
+def derived_keys(spark, sf_dir):
+    """PRJ-06."""
+    dwelling = F.when(F.col("rule_id") % 3 == 0, "grouped").when(F.col("rule_id") % 3 == 1, "any")
+    return view(spark, sf_dir, "legal").select("rule_id", advice.derived_rule_key(F.lit("site_area"), F.split("codes", ","), dwelling).alias("rule_key"))
+
+
+_VECTOR = "list_transform(range(16), lambda i: round(('0x' || substr(sha256(text), 2 * i::INT + 1, 2))::BIGINT / 255.0 * 2 - 1, 6)::DOUBLE)"
+_LEXICAL = """(SELECT query_id, doc_id, round(len(list_intersect(dt, q)) / len(q) + CASE WHEN contains(t, phrase) THEN 0.25 ELSE 0 END, 6) AS score FROM
+ (SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS dt FROM {documents}) CROSS JOIN (SELECT item_id AS query_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS phrase, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS q FROM {benchmark})
+ WHERE len(list_intersect(dt, q)) > 0)"""
+
+
+@query(f"""SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, round(0.65 * l.score + 0.35 * greatest(0.0, list_cosine_similarity(d.v, b.v)), 4) AS score
+FROM {_LEXICAL} l JOIN (SELECT doc_id, {_VECTOR} AS v FROM {{documents}}) d USING (doc_id) JOIN (SELECT item_id AS query_id, {_VECTOR} AS v FROM {{benchmark}}) b USING (query_id))) WHERE rank <= 5""")
+def evidence_search(spark, sf_dir):
+    """FTS-04, MTH-03."""
+    queries = view(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return advice.evidence_search(queries, view(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("""SELECT version_id, clause_key, number FROM (SELECT DISTINCT p_partkey % 30 AS version_id, p_partkey AS clause_key, unnest([CAST(p_size AS VARCHAR), CAST(p_partkey AS VARCHAR)]) AS number FROM {part}) n WHERE number <> '0' AND NOT regexp_matches(number, '^(19|20)[0-9][0-9]$')
+AND NOT EXISTS (SELECT 1 FROM {part} p WHERE p.p_partkey % 30 = n.version_id AND p.p_partkey % 4 = 0 AND contains('set at ' || p.p_size || ' m', n.number))""")
+def unclaimed_numbers(spark, sf_dir):
+    """DOM-27, DT-10."""
+    part = view(spark, sf_dir, "part").withColumn("version_id", F.col("p_partkey") % 30)
+    clauses = part.select("version_id", F.col("p_partkey").alias("clause_key"), F.concat(F.lit("of "), F.col("p_size").cast("string"), F.lit(" in 2005, 0 and "), F.col("p_partkey").cast("string"), F.lit(".")).alias("text"))
+    quotes = part.where("p_partkey % 4 = 0").select("version_id", F.concat(F.lit("set at "), F.col("p_size").cast("string"), F.lit(" m")).alias("quote"))
+    return advice.unclaimed_numbers(clauses, quotes)
+
+
+@query("SELECT l_linenumber AS round, count(*) AS n FROM {lineitem} WHERE l_linenumber IN (SELECT DISTINCT l_linenumber FROM {lineitem} ORDER BY 1 DESC LIMIT 2) GROUP BY 1")
+def last_rounds(spark, sf_dir):
+    """WIN-09."""
+    rows = view(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("round"))
+    return advice.nth_round_rank(rows, "round").groupBy("round").agg(F.count(F.lit(1)).alias("n"))
+
+
 # Ledgers and reports
 
 
