@@ -360,7 +360,8 @@ def slug_groups(spark, sf_dir):
     return view(spark, sf_dir, "part").groupBy(T.slug(F.concat("p_type", F.lit(" & "), F.col("p_brand"))).alias("slug")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("""SELECT key, count(*) AS n, min(p_partkey) AS first FROM (SELECT p_partkey, array_to_string(list_filter(l, lambda w, i: i = 1 OR w <> l[i - 1]), '_') AS key FROM (SELECT p_partkey,
+list_transform(regexp_extract_all(lower(p_type || ' and ' || p_type || 's ' || p_brand), '[a-z0-9]+'), lambda w: CASE WHEN length(w) > 4 AND ends_with(w, 's') THEN w[1:length(w) - 1] ELSE w END) AS l FROM {part})) GROUP BY key""")
 def key_cluster(spark, sf_dir):
     """STR-11, DOM-13: keys of one normal form, with their number and least member."""
     keys = view(spark, sf_dir, "part").select("p_partkey", T.rule_key(F.concat("p_type", F.lit(" & "), F.col("p_type"), F.lit("s "), F.col("p_brand"))).alias("key"))
