@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-# Street abbreviations and their expansions; aliases and dropped words of rule keys; spelled numbers; words
+# Street abbreviations and their expansions; words that end a street's name; aliases and dropped words of rule keys; spelled numbers; words
 # left out of a retrieval query.
 STREET = {
     "st": "street", "rd": "road", "ave": "avenue", "av": "avenue", "cres": "crescent", "ct": "court", "pl": "place", "dr": "drive", "drv": "drive",
@@ -13,6 +17,12 @@ STREET = {
     "cct": "circuit", "esp": "esplanade", "prom": "promenade", "qy": "quay", "ln": "lane", "wy": "way", "ent": "entrance", "bwl": "bowl",
     "rtt": "retreat", "hts": "heights",
 }
+STREET_TYPES = [
+    "st", "street", "rd", "road", "ave", "av", "avenue", "ln", "lane", "way", "wy", "cres", "crescent", "ct", "court", "pl", "place", "dr", "drv",
+    "drive", "hwy", "highway", "tce", "terrace", "pde", "parade", "bvd", "blvd", "boulevard", "cl", "close", "gr", "grove", "gdns", "gardens", "cct",
+    "circuit", "esp", "esplanade", "prom", "promenade", "qy", "quay", "rise", "loop", "mews", "gate", "vista", "heights", "hts", "entrance", "ent",
+    "retreat", "rtt", "square", "sq", "walk", "bend",
+]
 KEY_ALIASES = {
     "pct": "percent", "percentage": "percent", "metre": "m", "metres": "m", "meter": "m", "meters": "m", "maximum": "max", "minimum": "min",
     "setbacks": "setback", "requirements": "requirement",
@@ -30,6 +40,16 @@ def _map(entries: dict) -> Column:
     return F.create_map(*[F.lit(x) for pair in entries.items() for x in pair])
 
 
+def running(sizes: Column, block: int = 128) -> Column:
+    """The sum of the elements before each, by sums of blocks, so that work does not grow with the square of the length."""
+    total = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda s, x: s + x)
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(sizes) - 1, F.lit(0))), lambda i: i)
+    blocks = F.filter(blocks, lambda i: i % block == 0)
+    sums = F.transform(blocks, lambda i: total(F.slice(sizes, i + 1, F.lit(block))))
+    before = lambda s, i: total(F.slice(s, F.lit(1), F.floor(i / block).cast("int"))) + total(F.slice(sizes, i - i % block + 1, i % block))
+    return F.get(F.transform(F.array(sums), lambda s: F.transform(sizes, lambda x, i: before(s, i))), F.lit(0))
+
+
 def normalise(text: Column) -> Column:
     """PRJ-01: lower case, runs of white space as one space, trimmed."""
     return F.trim(F.regexp_replace(F.lower(text), r"(?U)\s+", " "))
@@ -69,22 +89,26 @@ def rule_key(text: Column) -> Column:
     return F.get(F.transform(F.array(single), lambda a: F.array_join(F.filter(a, lambda w, i: (i == 0) | (w != F.get(a, i - 1))), "_")), F.lit(0))
 
 
+def address_form(address: Column) -> Column:
+    """PRJ-01 of an address: commas are white space too."""
+    return normalise(F.replace(address, F.lit(","), F.lit(" ")))
+
+
 def expand_street(address: Column) -> Column:
     """STR-03: tokens after the first replaced by their long forms."""
-    words = F.split(normalise(address), " ")
+    words = F.split(address_form(address), " ")
     return F.array_join(F.transform(words, lambda w, i: F.when(i == 0, w).otherwise(F.coalesce(F.try_element_at(_map(STREET), w), w))), " ")
 
 
 def street_tokens(address: Column) -> Column:
     """STR-05: the words of the street's name: leading numbers dropped, up to the first street type, else the first; none if
     one word is left."""
-    words = F.split(normalise(address), " ")
+    words = F.split(address_form(address), " ")
     number = lambda w: (w == "lot") | F.regexp_replace(w, "[/-]", "").rlike(r"^(?=.*[0-9])[\p{L}\p{N}]+$")
     first = F.array_min(F.filter(F.transform(words, lambda w, i: F.when(~number(w), i)), lambda i: i.isNotNull()))
-    types = sorted({*STREET, *STREET.values()})
 
     def name(rest: Column) -> Column:
-        at = F.array_min(F.filter(F.transform(rest, lambda w, i: F.when(w.isin(types), i)), lambda i: i.isNotNull()))
+        at = F.array_min(F.filter(F.transform(rest, lambda w, i: F.when(w.isin(STREET_TYPES), i)), lambda i: i.isNotNull()))
         return F.filter(F.slice(rest, F.lit(1), F.coalesce(at, F.lit(1))), lambda w: F.length(w) >= 2)
 
     rest = F.coalesce(F.slice(words, first + 1, F.size(words)), F.array().cast("array<string>"))
@@ -98,7 +122,7 @@ def close_token(asked: Column, has: Column) -> Column:
 
 def house_number(address: Column) -> Column:
     """STR-04: digits of a leading token that is a number, perhaps after the word lot; else empty."""
-    return F.regexp_extract(normalise(address), r"^(?:lot )?([0-9]+)(?: |$)", 1)
+    return F.regexp_extract(address_form(address), r"^(?:lot )?([0-9]+)(?: |$)", 1)
 
 
 def trigrams(text: Column) -> Column:
@@ -120,19 +144,36 @@ def trigram_similarity(a: Column, b: Column) -> Column:
     return _jaccard(trigrams(a), trigrams(b))
 
 
+def _best_extent(asked: str, text: str) -> float:
+    """Greatest share of common trigrams between the trigrams of `asked` and those of any run in the sequence of `text`."""
+    of = lambda t: [f"  {w} "[i : i + 3] for w in re.findall("[a-z0-9]+", t.lower()) for i in range(len(w) + 1)]
+    want, run = set(of(asked)), of(text)
+    spots, best = [i for i, g in enumerate(run) if g in want], 0.0
+    for n, start in enumerate(spots):
+        seen, common, at = set(), 0, start
+        for end in spots[n:]:  # a best run begins and ends with a common trigram
+            common += run[end] not in seen
+            seen.update(run[at : end + 1])
+            at = end + 1
+            best = max(best, common / (len(want) + len(seen) - common))
+    return best
+
+
+@F.pandas_udf(DoubleType())
+def _extents(asked: pd.Series, text: pd.Series) -> pd.Series:
+    return pd.Series([None if a is None or t is None else _best_extent(a, t) for a, t in zip(asked, text)], dtype="float64")
+
+
 def word_similarity(asked: Column, text: Column) -> Column:
-    """STR-07: the greatest similarity of `asked` with a run of whole words of `text`."""
-    words = tokens(text)
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)))
-    runs = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.size(words) - i + 1), lambda n: F.array_join(F.slice(words, i, n), " "))))
-    best = F.array_max(F.transform(runs, lambda r: _jaccard(trigrams(asked), trigrams(r))))
-    return F.when(F.size(words) == 0, 0.0).otherwise(best)
+    """STR-07: the greatest similarity of `asked` with a run of the ordered trigrams of `text`, so with parts of words too; 0
+    where either has no word, null where one is null. Arrow batches; a run is looked for in one pass from each common trigram."""
+    return _extents(asked, text)
 
 
 def address_score(asked: Column, address: Column, floor: float = 0.45, boost: float = 0.05) -> Column:
     """STR-07, FLT-07: word similarity of the text or its expanded form, more where the house number stands in the address; null
     below the floor."""
-    raw = F.greatest(word_similarity(normalise(asked), address), word_similarity(expand_street(asked), address))
+    raw = F.greatest(word_similarity(address_form(asked), address), word_similarity(expand_street(asked), address))
     number = house_number(asked)
     same = (number != "") & F.array_contains(tokens(address), number)
     return F.when(raw >= floor, F.least(raw + F.when(same, boost).otherwise(0.0), F.lit(1.0)))

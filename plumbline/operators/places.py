@@ -6,44 +6,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from . import geo
+from . import geo, typeahead
 
 FLOOR, GAP = 0.55, 0.08
 
 
-def address_points(asked: Column, has: Column) -> Column:
-    """DOM-07: 1 for equal normal forms, 0.95 for a beginning, else 0.9 of the share of tokens that occur; 0.4 at most where the
-    house number is not there; 0 where no street word is near."""
-    plain, number = T.normalise(has), T.house_number(asked)
-    held = F.array_distinct(F.split(plain, " "))
-
-    def of(variant: Column) -> Column:
-        words = F.split(variant, " ")
-        share = F.size(F.filter(words, lambda w: F.array_contains(held, w))) / F.size(words) * 0.9
-        return F.when(plain == variant, 1.0).when(F.startswith(plain, variant), 0.95).otherwise(share)
-
-    best = F.greatest(of(T.normalise(asked)), of(T.expand_street(asked)))
-    best = F.when((number != "") & ~F.array_contains(held, number), F.least(best, F.lit(0.4))).otherwise(best)
-    street = T.street_tokens(asked)
-    near = (F.size(street) == 0) | F.exists(street, lambda a: F.exists(held, lambda b: T.close_token(a, b)))
-    return F.when(near, best).otherwise(0.0)
-
-
 def match_addresses(asked: DataFrame, points: DataFrame) -> DataFrame:
-    """DOM-07, SRT-05: query_id, address_id, score and outcome. Exact matches win; else the best hit above the floor, or all within
-    the gap of it, which are ambiguous.
-
-    Queries meet addresses on shared tokens that are no street types, counted to be rare first, never on all pairs."""
-    tokens = lambda df, key: df.select(key, "address", F.explode(F.array_distinct(F.split(T.expand_street(F.col("address")), " "))).alias("t"))
-    held = tokens(points, "address_id").where(~F.col("t").isin(sorted(set(T.STREET.values()))))
-    wanted = tokens(asked, "query_id").withColumnRenamed("address", "asked")
-    pairs = wanted.join(held, "t").select("query_id", "asked", "address_id", "address").distinct()
-    scored = pairs.withColumn("score", F.round(address_points(F.col("asked"), F.col("address")), 4)).where("score >= 0.5")
+    """DOM-07: query_id, address_id, score and outcome. Exact matches win, all of them; else of the best five the best hit above
+    the floor, or all within the gap of it, which are ambiguous; a query without a match has one row of outcome none."""
+    asked = asked.select("query_id", "address")
+    forms = T.address_form(F.col("address"))
+    wanted = asked.select("query_id", F.explode(F.array_distinct(F.array(forms, T.expand_street(F.col("address"))))).alias("form")).where("form <> ''")
+    equal = wanted.join(points.select("address_id", forms.alias("form")), "form").select("query_id", "address_id").distinct().withColumn("score", F.lit(1.0))
+    hits = typeahead.typeahead(asked, points, limit=5).select("query_id", "address_id", "score").where(F.col("score") < 1)
     top = F.max("score").over(Window.partitionBy("query_id"))
-    kept = scored.withColumn("top", top).where((F.col("top") >= FLOOR) & F.when(F.col("top") == 1.0, F.col("score") == 1.0).otherwise(F.col("top") - F.col("score") < GAP))
-    n = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
-    outcome = F.when(F.col("top") == 1.0, "exact").when(n > 1, "ambiguous").otherwise("clear")
-    return kept.withColumn("outcome", outcome).select("query_id", "address_id", "score", "outcome")
+    found = equal.unionByName(hits.where(F.col("score") >= FLOOR)).withColumn("top", top)
+    kept = found.where(F.when(F.col("top") == 1.0, F.col("score") == 1.0).otherwise(F.col("top") - F.col("score") < GAP))
+    n = F.count("address_id").over(Window.partitionBy("query_id"))
+    outcome = F.when(n == 0, "none").when(F.col("top") == 1.0, "exact").when(n > 1, "ambiguous").otherwise("clear")
+    every = asked.select("query_id").distinct().join(kept, "query_id", "left")
+    return every.withColumn("outcome", outcome).select("query_id", "address_id", "score", "outcome")
 
 
 def resolution_state(override: Column, address: Column, authoritative: Column, n_matches: Column, has_parcel: Column) -> Column:

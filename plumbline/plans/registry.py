@@ -519,4 +519,4 @@ def sql_rollup(spark, sf_dir):
     return rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"), F.grouping("l_linestatus").cast("int").alias("total"))
 
 
-from . import domain, scalars  # noqa: E402, F401 - they add their queries
+from . import domain, extraction, retrieval, scalars  # noqa: E402, F401 - they add their queries

@@ -51,6 +51,24 @@ SELECT event_id, user_id, event_type, CAST(date_trunc('day', ts) AS DATE) AS day
 SELECT c_custkey AS address_id, CASE WHEN c_custkey % 6 = 0 THEN 'Lot ' ELSE '' END || CAST(c_custkey % 90 + 1 AS STRING) || '  ' || n_name ||
   CASE c_custkey % 5 WHEN 0 THEN ' St' WHEN 1 THEN ' Rd' WHEN 2 THEN ' Ave' WHEN 3 THEN ' Street' ELSE ' Hwy' END AS address
 FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey""",
+    "homes": """
+SELECT c_custkey AS address_id, CASE WHEN c_custkey % 6 = 0 THEN 'Lot ' ELSE '' END || CAST(c_custkey % 40 + 1 AS STRING) || ' ' || substr(c_mktsegment, 1, 1) || lower(substr(c_mktsegment, 2)) ||
+  CASE c_custkey % 4 WHEN 0 THEN ' Street' WHEN 1 THEN ' Road' WHEN 2 THEN ' Rise' ELSE ' Swan Avenue' END || ', ' || n_name || ' WA ' || CAST(6000 + n_nationkey AS STRING) AS address
+FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey""",
+    "asked_homes": """
+SELECT s_suppkey AS query_id, CASE s_suppkey % 7 WHEN 0 THEN replace(replace(replace(upper(address), 'STREET', 'ST'), 'ROAD', 'Rd'), 'AVENUE', 'ave') WHEN 1 THEN substr(address, 1, length(address) - 9)
+  WHEN 2 THEN '999' || address WHEN 3 THEN regexp_replace(address, '^(Lot )?[0-9]+ ', '') WHEN 4 THEN '12 zzzz qqqq road' WHEN 5 THEN substr(address, 1, 8) ELSE ' , ' END AS address
+FROM {supplier} JOIN {homes} ON address_id = s_suppkey * 7""",
+    "cover_queries": """
+SELECT query_id, concat_ws(' ', w1, w2, w3) AS need, veto, 3 AS n FROM (SELECT item_id AS query_id, w1, w2, w3, veto FROM (
+  SELECT item_id, regexp_extract(lower(text), '^[a-z0-9]+[^a-z0-9]+([a-z0-9]+)', 1) AS w1, regexp_extract(lower(text), '([a-z0-9]+)[^a-z0-9]+[a-z0-9]+[^a-z0-9]*$', 1) AS w2, 'the' AS w3, 'qqqq' AS veto FROM {benchmark}) x
+  WHERE w1 <> w2 AND w1 <> 'the' AND w2 <> 'the' AND w1 <> '' AND w2 <> '') y""",
+    "plans": """
+SELECT doc_id, translate(text, 'éèêëàâçùûüîïôöäßñáíóúÉÈÊËÀÂÇÙÛÜÎÏÔÖÄÑÁÍÓÚ', 'eeeeaacuuuiiooasnaiouEEEEAACUUUIIOOANAIOU') || CASE doc_id % 6 WHEN 0 THEN ' Front setback: ' || CAST(n_chars % 9 AS STRING) || '.5 m, rear SETBACK 3 metres; setback to northern boundary of 2m.'
+  WHEN 1 THEN ' Gross floor area: ' || CAST(n_chars % 300 AS STRING) || ' m2. Lot area 450sqm and building footprint: 120 sq. m; open space 30%, site coverage: 55.5 per cent'
+  WHEN 2 THEN ' Drawing No: A' || CAST(doc_id AS STRING) || '/2. Rev. B, sheet title:  Ground   plan' WHEN 3 THEN ' Garage width 6 meters. Boundary wall length: 9.25 m. Scale: 1 : 100. scale 1 : 100. SCALE as Shown'
+  WHEN 4 THEN ' setback 3 m setback 3.0 m; side-setback: 1 m, primary setback: 4m; open space ratio 40 % and open space 40 sqm' ELSE ' 12 m2 and 12 sqm, 7% of 7 percent' END AS text
+FROM {documents} WHERE text IS NOT NULL""",
     "sentences": """
 SELECT p_partkey AS clause_id, 'Setback shall be ' || CAST(p_size AS STRING) || CASE WHEN p_partkey % 3 = 0 THEN '.5' ELSE '' END || ' ' ||
   CASE p_partkey % 4 WHEN 0 THEN 'm' WHEN 1 THEN 'mm' WHEN 2 THEN 'sqm' ELSE 'lots' END || ' for lot ' || CAST(p_partkey % 40 AS STRING) AS quote,
