@@ -6,8 +6,8 @@ block of s template words can hold c words of a template of t only if it meets t
 of the one and the first s - c + 1 of the other (prefix filter), has s >= c (length filter), and if enough words follow the
 match on both sides (positional filter). Candidates so found are verified on their whole sets.
 
-Words that no template has add nothing to an overlap; they are left out of the sets before anything is shuffled, and with
-them nearly all documents. Of a text only these small sets and the counts of the base are written, so texts are read once
+Words that no template has add nothing to an overlap; they are left out of the sets before anything is shuffled. Sentences
+are cut only in documents that as a whole have enough words of one template, so nearly all leave before that. Of a text only these small sets and the counts of the base are written, so texts are read once
 and never shuffled. Templates are a parameter of at most MAX_WORDS distinct words; what is broadcast is bounded by that.
 
 Of the templates that hold in a block the one with the most common words gives the label (then the larger share, then the
@@ -60,13 +60,19 @@ TEMPLATES = [
 ]
 
 
-def spaced(text: Column) -> Column:
-    """Words of a text in lower case, each between two spaces; one space for none."""
-    return F.concat(F.lit(" "), F.btrim(F.regexp_replace(F.translate(text, UPPER, LOWER), BETWEEN, " "), F.lit(" ")), F.lit(" "))
+def lowered(text: Column) -> Column:
+    """A-Z in lower case, as far as words of a-z are concerned: of all other letters only the Kelvin sign would become one."""
+    return F.lower(F.replace(text, F.lit("\u212a"), F.lit("\u00e9")))
 
 
 def words_of(text: Column) -> Column:
-    return F.split(F.btrim(spaced(text), F.lit(" ")), " ")
+    """Words of a lower-cased text; the first and the last can be empty."""
+    return F.split(text, BETWEEN)
+
+
+def spaced(text: Column) -> Column:
+    """Words of a lower-cased text, each between two spaces."""
+    return F.concat(F.lit(" "), F.btrim(F.regexp_replace(text, BETWEEN, " "), F.lit(" ")), F.lit(" "))
 
 
 def _needed(size: int, threshold: float) -> int:
@@ -74,7 +80,7 @@ def _needed(size: int, threshold: float) -> int:
 
 
 def _template_words(spark, templates: list[tuple[str, str]]) -> list[tuple[str, list[str]]]:
-    rows = spark.createDataFrame(templates, "label string, text string").select("label", F.array_remove(F.array_distinct(words_of(F.col("text"))), "").alias("w"))
+    rows = spark.createDataFrame(templates, "label string, text string").select("label", F.array_remove(F.array_distinct(words_of(lowered(F.col("text")))), "").alias("w"))
     out = [(r["label"], sorted(r["w"])) for r in rows.collect() if r["w"]]
     if len({w for _, ws in out for w in ws}) > MAX_WORDS:
         raise ValueError(f"templates have more than {MAX_WORDS} distinct words")
@@ -117,29 +123,41 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
     that holds (0: none does)."""
     spark = docs.sparkSession
     known = _template_words(spark, templates)
+    sets = F.array(*[F.struct(F.array(*map(F.lit, ws)).alias("w"), F.lit(_needed(len(ws), threshold)).alias("c")) for _, ws in known])
     least = min(_needed(len(ws), threshold) for _, ws in known)
     vocabulary = F.array(*map(F.lit, sorted({w for _, ws in known for w in ws})))
-    line = F.col("__line")
-    counts = {p: _places(line, p) for p in PHRASES}
+    reached = lambda words: F.exists(sets, lambda t: F.size(F.array_intersect(t["w"], words)) >= t["c"])
+    low, line, words = F.col("__low"), F.col("__line"), F.col("__words")
     any_phrase = " (?:" + "|".join(PHRASES) + ") "
     before = lambda part: F.regexp_count(part, F.lit(" ")).cast("bigint")
-    total = sum(counts.values(), F.lit(0).cast("bigint"))
-    sentences = F.transform(F.split("__text", SENTENCE_END), lambda s: F.array_intersect(vocabulary, words_of(s)))
-    enough = F.size("words") >= least
+    empty = lambda i: (F.element_at(words, i) == "").cast("int")
+    counts = F.array(*[F.when(line.isNotNull(), _places(line, p)).otherwise(0) for p in PHRASES])
+    sentences = F.transform(F.split(low, SENTENCE_END), lambda s: F.array_intersect(vocabulary, words_of(s)))
+    last = [p.rpartition(" ")[2] for p in PHRASES]
+    phrased = F.greatest(*[F.contains(low, F.lit(w)) for w in sorted(set(last))], F.lit(False))
     rows = (
-        docs.select(F.col(key).alias("__key"), text_of(text).alias("__text"))
-        .withColumn("__line", spaced(F.col("__text")))
-        .select("*", F.array_intersect(vocabulary, F.split("__line", " ")).alias("words"), total.alias("n_base"))
+        docs.select(F.col(key).alias("__key"), lowered(text_of(text)).alias("__low"))
+        .withColumn("__words", words_of(low))
+        .withColumn("__line", F.when(phrased, spaced(low)))
+        .select(
+            "__key",
+            "__low",
+            "__line",
+            F.greatest(F.size(words) - empty(1) - empty(-1), F.lit(0)).cast("bigint").alias("n_words"),
+            F.array_intersect(vocabulary, words).alias("words"),
+            counts.alias("counts"),
+        )
+        .withColumn("n_base", F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x))
         .select(
             "__key",
             F.monotonically_increasing_id().alias("row"),
-            F.when(F.trim("__line") == "", 0).otherwise(before(line) - 1).cast("bigint").alias("n_words"),
+            "n_words",
             "n_base",
             F.when(F.col("n_base") > 0, before(F.substring(line, F.lit(1), F.regexp_instr(line, F.lit(any_phrase)))) - 1).alias("first_word"),
             F.when(F.col("n_base") > 0, before(F.regexp_extract(line, f"(?s)^(.*){any_phrase}", 1))).alias("last_word"),
-            F.array_compact(F.array(*[F.when(counts[p] > 0, label) for p, label in PHRASES.items()])).alias("base"),
+            F.array_compact(F.array(*[F.when(F.get("counts", i) > 0, label) for i, label in enumerate(PHRASES.values())])).alias("base"),
             "words",
-            F.when(enough, F.filter(sentences, lambda s: F.size(s) >= least)).alias("blocks"),
+            F.when(reached(F.col("words")), F.filter(sentences, lambda s: F.size(s) >= least)).alias("blocks"),
         )
     )
     scratch = Scratch(spark, "licenses")
