@@ -6,20 +6,61 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def spend_ledger(requests: DataFrame, order: list[str], per_job: int, daily_tokens: int, daily_cents: int, day: str = "day") -> DataFrame:
-    """AGG-20, DOM-19: each request with its refusal, null if it was admitted: over the cap of a job, over a cap of the day, or
-    after such a refusal, which opens the breaker for the rest of the day.
-
-    Nothing is admitted after the first daily refusal, so sums over all requests below the cap of a job are exact up to it, and
-    a window per day takes the place of a fold."""
-    small = F.col("tokens") <= per_job
-    run = Window.partitionBy(day).orderBy(*order)
-    sums = lambda c: F.sum(F.when(small, F.col(c)).otherwise(0)).over(run)
-    rows = requests.withColumn("__t", sums("tokens")).withColumn("__c", sums("cents"))
-    reason = F.when(small & (F.col("__t") > daily_tokens), "daily_token_cap").when(small & (F.col("__c") > daily_cents), "daily_cost_cap")
-    rows = rows.withColumn("__r", reason)
-    before = F.max(F.col("__r").isNotNull().cast("int")).over(run.rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("refusal", F.when(F.coalesce(before, F.lit(0)) == 1, "breaker_open").when(~small, "job_token_cap").otherwise(F.col("__r"))).drop("__t", "__c", "__r")
+#: What a ledger needs of a request: what it may take at most, and what it took if it was admitted.
+_SPEND = ["projected_tokens", "tokens", "projected_cents", "cents"]
+
+
+def spend_ledger(requests: DataFrame, order: list[str], per_job: int, daily_tokens: int, daily_cents: int, day: str = "day", ledger: str = "ledger", mode: str = "enabled") -> DataFrame:
+    """AGG-20, DOM-19: each request with its refusal, null if it was admitted: the adapter is disabled, the breaker is open, over
+    the cap of a job, over a cap of the day. Caps hold against what a request may take, days sum what admitted ones took. A daily
+    refusal opens the ledger's breaker, which stays open on later days too; `fold_ledger` takes closings.
+
+    Nothing is admitted after a ledger's first daily refusal, so sums over all requests below the cap of a job are exact up to
+    it: a window per ledger and day takes the place of a fold, and the first refusal is an aggregate."""
+    if mode == "disabled":
+        return requests.withColumn("refusal", F.lit("disabled"))
+    small = F.col("projected_tokens") <= per_job
+    before = Window.partitionBy(ledger, day).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    taken = lambda c: F.coalesce(F.sum(F.when(small, F.col(c)).otherwise(0)).over(before), F.lit(0))
+    over = lambda c, cap: small & (taken(c) + F.col(f"projected_{c}") > cap)
+    rows = requests.withColumn("__r", F.when(over("tokens", daily_tokens), "daily_token_cap").when(over("cents", daily_cents), "daily_cost_cap"))
+    rows = rows.withColumn("__at", F.struct(day, *order))
+    first = rows.where("__r IS NOT NULL").groupBy(F.col(ledger).alias("__l")).agg(F.min("__at").alias("__first"))
+    rows = rows.join(first, F.col(ledger).eqNullSafe(F.col("__l")), "left")
+    refusal = F.when(F.col("__at") > F.col("__first"), "breaker_open").when(~small, "job_token_cap").otherwise(F.col("__r"))
+    return rows.withColumn("refusal", refusal).drop("__r", "__at", "__l", "__first")
+
+
+def fold_ledger(requests: DataFrame, closings: DataFrame, order: list[str], per_job: int, daily_tokens: int, daily_cents: int, day: str = "day", ledger: str = "ledger") -> DataFrame:
+    """DOM-19: the same with closings (ledger, order): one closes the breaker before what has its place or a later one.
+
+    Each decision needs all earlier ones of its ledger, so a ledger's rows pass one task, in order, with a few numbers in memory."""
+    columns, kinds = requests.columns, {f.name: f.dataType.simpleString() for f in requests.schema}
+    calls = closings.select(ledger, *order, *[F.lit(None).cast(kinds[c]).alias(c) for c in columns if c not in (ledger, *order)], F.lit(0).alias("__call"))
+    rows = requests.withColumn("__call", F.lit(1)).unionByName(calls).repartition(ledger).sortWithinPartitions(ledger, *order, "__call")
+
+    def fold(batches):
+        now, today, is_open, sums = object(), None, False, [0, 0]
+        for rows in batches:
+            said = []
+            for who, date, call, may_t, t, may_c, c in zip(rows[ledger].tolist(), rows[day], rows["__call"], *(rows[x].tolist() for x in _SPEND)):
+                if who != now:
+                    now, today, is_open, sums = who, None, False, [0, 0]
+                if not call:
+                    is_open = False
+                    said.append(None)
+                    continue
+                if date != today:
+                    today, sums = date, [0, 0]
+                why = "breaker_open" if is_open else "job_token_cap" if may_t > per_job else "daily_token_cap" if sums[0] + may_t > daily_tokens else "daily_cost_cap" if sums[1] + may_c > daily_cents else None
+                is_open = is_open or (why or "").startswith("daily_")
+                if not why:
+                    sums = [sums[0] + t, sums[1] + c]
+                said.append(why)
+            rows["refusal"] = said
+            yield rows[rows["__call"] == 1].drop(columns="__call")
+
+    return rows.mapInPandas(fold, ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), "refusal string"]))
 
 
 def rounds_gate(findings: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ def lexical_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def quote_hits(quotes: DataFrame, docs: DataFrame, key: str = "item_id") -> DataFrame:
-    """JN-13, DOM-28: (key, doc_id) of the texts that hold each quote word for word.
+    """JN-13: (key, doc_id) of the texts that hold each quote word for word.
 
     A quote of three tokens or more meets the texts on its rarest inner token, which such a text must hold whole; shorter ones
     are looked for in every text, block by block."""
@@ -79,3 +79,15 @@ def cite_or_refuse(queries: DataFrame, hits: DataFrame, docs: DataFrame, excerpt
         F.coalesce(F.array_join(F.transform("p", lambda x: x["doc_id"].cast("string")), ","), F.lit("")).alias("citations"),
         F.coalesce(F.array_join(F.transform("p", lambda x: x["quote"]), " "), F.lit("")).alias("answer"),
     )
+
+
+def evidence_blocks(facts: DataFrame, blocks: DataFrame) -> DataFrame:
+    """DOM-28: fact_id, block_number and bbox of every fact (fact_id, doc_id, page, source_text): the first block (doc_id, page,
+    block_number, text, bbox) of its page that holds its text, both in normal form; null where there is none, where the text is
+    blank, or where the first such block has no place. Facts meet the blocks of their own page only."""
+    asked = facts.select("fact_id", "doc_id", "page", normalise(F.coalesce("source_text", F.lit(""))).alias("need"))
+    held = blocks.select("doc_id", "page", "block_number", normalise(F.coalesce("text", F.lit(""))).alias("has"), "bbox")
+    met = asked.where("need <> ''").join(held, ["doc_id", "page"]).where(F.contains("has", F.col("need")))
+    first = met.groupBy("fact_id").agg(F.min_by(F.struct("block_number", "bbox"), "block_number").alias("b"))
+    out = facts.select("fact_id").join(first, "fact_id", "left")
+    return out.select("fact_id", F.when(F.col("b.bbox").isNotNull(), F.col("b.block_number")).alias("block_number"), F.col("b.bbox").alias("bbox"))

@@ -10,7 +10,7 @@ from ..operators import advice, corpus, geo, governance, graph, latest, ledger,
 from ..operators.audit import pass_rates
 from ..sources import readers
 from ..sources.scratch import shared_path
-from ..streaming import state
+from ..streaming import memory, state, windows
 from .catalog import query
 from .views import view
 
@@ -256,13 +256,31 @@ def last_rounds(spark, sf_dir):
 # Ledgers and reports
 
 
-@query("""WITH e AS (SELECT event_id, date_trunc('day', ts)::DATE AS day, event_id % 900 AS tokens, event_id % 90 AS cents, ts FROM {events}), s AS (SELECT *, sum(CASE WHEN tokens <= 800 THEN tokens ELSE 0 END) OVER w AS t, sum(CASE WHEN tokens <= 800 THEN cents ELSE 0 END) OVER w AS c FROM e WINDOW w AS (PARTITION BY day ORDER BY ts, event_id)),
-r AS (SELECT *, CASE WHEN tokens <= 800 AND t > 60000 THEN 'daily_token_cap' WHEN tokens <= 800 AND c > 7000 THEN 'daily_cost_cap' END AS why FROM s)
-SELECT event_id, CASE WHEN count(why) OVER (PARTITION BY day ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 THEN 'breaker_open' WHEN tokens > 800 THEN 'job_token_cap' ELSE why END AS refusal FROM r""")
+_REQUESTS = """(SELECT event_id, user_id % 3 AS ledger, date_trunc('day', ts)::DATE AS day, ts, event_id % 900 AS projected_tokens, event_id % 700 AS tokens, event_id % 90 AS projected_cents, event_id % 60 AS cents FROM {events})"""
+
+
+@query(f"""WITH s AS (SELECT *, coalesce(sum(CASE WHEN projected_tokens <= 800 THEN tokens ELSE 0 END) OVER w, 0) AS t, coalesce(sum(CASE WHEN projected_tokens <= 800 THEN cents ELSE 0 END) OVER w, 0) AS c
+  FROM {_REQUESTS} WINDOW w AS (PARTITION BY ledger, day ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+r AS (SELECT *, CASE WHEN projected_tokens > 800 THEN NULL WHEN t + projected_tokens > 42000 THEN 'daily_token_cap' WHEN c + projected_cents > 3800 THEN 'daily_cost_cap' END AS why FROM s)
+SELECT event_id, CASE WHEN count(why) OVER (PARTITION BY ledger ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 THEN 'breaker_open' WHEN projected_tokens > 800 THEN 'job_token_cap' ELSE why END AS refusal FROM r""")
 def spend_refusals(spark, sf_dir):
-    """DOM-19, AGG-20, WIN-12."""
-    rows = view(spark, sf_dir, "events").select("event_id", "ts", F.to_date("ts").alias("day"), (F.col("event_id") % 900).alias("tokens"), (F.col("event_id") % 90).alias("cents"))
-    return ledger.spend_ledger(rows, ["ts", "event_id"], 800, 60_000, 7_000).select("event_id", "refusal")
+    """DOM-19, AGG-20, WIN-12: the breaker stays open once a day's cap has refused."""
+    return ledger.spend_ledger(_requests(spark, sf_dir), ["ts", "event_id"], 800, 42_000, 3_800).select("event_id", "refusal")
+
+
+@query()
+def spend_closings(spark, sf_dir):
+    """DOM-19: the same with a breaker that is closed at noon of every day; a test compares it with a plain fold."""
+    requests = _requests(spark, sf_dir)
+    noon = (F.date_trunc("day", F.col("ts")) + F.expr("INTERVAL 12 HOURS")).cast("timestamp_ntz")
+    closings = requests.select("ledger", noon.alias("ts"), F.lit(-1).cast("bigint").alias("event_id")).distinct()
+    return ledger.fold_ledger(requests, closings, ["ts", "event_id"], 800, 42_000, 3_800).select("event_id", "refusal")
+
+
+def _requests(spark, sf_dir):
+    part = lambda n, name: (F.col("event_id") % n).alias(name)
+    sums = [part(900, "projected_tokens"), part(700, "tokens"), part(90, "projected_cents"), part(60, "cents")]
+    return view(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 3).alias("ledger"), "ts", F.to_date("ts").alias("day"), *sums)
 
 
 @query("SELECT count(*) AS n_rounds, sum(c) FILTER (r <= 2)::BIGINT AS confirmed, sum(o)::BIGINT AS open, sum(c) FILTER (r <= 2) = 0 AND sum(o) = 0 AND count(*) >= 2 AS passed FROM (SELECT l_linenumber, count(*) FILTER (l_returnflag = 'A' AND l_linenumber < 3) AS c, count(*) FILTER (l_linestatus = 'X') AS o, row_number() OVER (ORDER BY l_linenumber DESC) AS r FROM {lineitem} GROUP BY 1)")
@@ -473,6 +491,23 @@ def text_files(spark, sf_dir):
     return readers.text_lines(spark, path).select(F.substring_index("value", "\t", 1).cast("bigint").alias("doc_id"), F.expr("substr(value, instr(value, '\t') + 1)").alias("text"))
 
 
+@query("""SELECT user_id AS "key", CASE WHEN max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM {events}) - INTERVAL 1 HOUR THEN 'expired' ELSE 'active' END AS status,
+  arg_max(event_type, struct_pack(a := ts, b := event_type)) AS content, max(ts) AS "at", max(ts) + INTERVAL 6 HOUR AS expires FROM {events} GROUP BY user_id""")
+def memory_stream(spark, sf_dir):
+    """STM-05: the memory of each user as keyed state, renewed by events and ended by timers six hours after the last."""
+    events = windows.events_stream(spark, sf_dir).select(F.col("user_id").alias("key"), F.col("event_type").alias("content"), "at")
+    out = memory.run_memory(events, shared_path(spark, "memory"), 6 * 3_600)
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("at", "expires")})
+
+
+@query("""SELECT "start", "end", event_type, count(*) AS n FROM (SELECT date_trunc('day', ts) AS "start", date_trunc('day', ts) + INTERVAL 1 DAY AS "end", event_type FROM {events}) WHERE "end" <= (SELECT max(ts) FROM {events}) - INTERVAL 1 DAY GROUP BY 1, 2, 3""")
+def stream_closed(spark, sf_dir):
+    """STM-06: append mode: each window once, when the watermark has passed it; open ones stay in the state."""
+    counted = windows.windowed(windows.events_stream(spark, sf_dir), F.window("at", "1 day"), ["event_type"])
+    out = windows.run_available(counted, shared_path(spark, "closed"), mode="append")
+    return out.select(F.col("w.start").cast("timestamp_ntz").alias("start"), F.col("w.end").cast("timestamp_ntz").alias("end"), "event_type", "n")
+
+
 @query("SELECT user_id, max(ts) + INTERVAL 3 DAY AS expires, max(ts) + INTERVAL 3 DAY <= TIMESTAMP '2024-01-20 00:00:00' AS expired FROM {events} GROUP BY 1")
 def memory_expiry(spark, sf_dir):
     """STM-05, DT-05: the memory of each user ends three days after the last event."""

@@ -63,6 +63,16 @@ FROM {supplier} JOIN {homes} ON address_id = s_suppkey * 7""",
 SELECT query_id, concat_ws(' ', w1, w2, w3) AS need, veto, 3 AS n FROM (SELECT item_id AS query_id, w1, w2, w3, veto FROM (
   SELECT item_id, regexp_extract(lower(text), '^[a-z0-9]+[^a-z0-9]+([a-z0-9]+)', 1) AS w1, regexp_extract(lower(text), '([a-z0-9]+)[^a-z0-9]+[a-z0-9]+[^a-z0-9]*$', 1) AS w2, 'the' AS w3, 'qqqq' AS veto FROM {benchmark}) x
   WHERE w1 <> w2 AND w1 <> 'the' AND w2 <> 'the' AND w1 <> '' AND w2 <> '') y""",
+    "key_rows": """
+SELECT p_partkey % 23 AS cluster, replace(norm, '_', CASE p_partkey % 3 WHEN 0 THEN ' ' WHEN 1 THEN '-' ELSE '_' END) AS rule_key, norm, p_size AS candidate_count, p_partkey % 4 <> 0 AS approved FROM (
+  SELECT p_partkey, p_size, CASE p_partkey % 23 WHEN 0 THEN 'site_area' WHEN 1 THEN CASE p_partkey % 2 WHEN 0 THEN 'wall_height' ELSE 'open_space' END WHEN 2 THEN 'side_setback' WHEN 3 THEN 'fee_amount' WHEN 4 THEN '' ELSE 'key_' || CAST(p_partkey % 23 AS STRING) END ||
+    CASE WHEN p_partkey % 23 <> 4 THEN CASE p_partkey % 5 WHEN 0 THEN '_max' WHEN 1 THEN '_r40' WHEN 2 THEN '_sl' WHEN 3 THEN '_lot' ELSE '' END ELSE '' END AS norm FROM {part}) k""",
+    "hosts": """
+SELECT host, length(host) AS h FROM (SELECT DISTINCT lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host FROM {pages}) x""",
+    "manifest_rows": """
+SELECT p_partkey AS manifest_id, CASE p_partkey % 7 WHEN 0 THEN 'The ' || p_name WHEN 1 THEN 'Amendment of ' || p_name WHEN 2 THEN 'when  ' || p_name WHEN 3 THEN 'Planning ' || p_type WHEN 4 THEN 'AS/NZS ' || p_brand WHEN 5 THEN p_name ELSE 'Road Traffic Act' END AS instrument_name,
+  CASE p_partkey % 5 WHEN 0 THEN 'act' WHEN 1 THEN 'regulations' WHEN 2 THEN 'standard' ELSE 'policy' END AS category, CASE p_partkey % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'acquired' ELSE 'blocked' END AS status,
+  CASE p_partkey % 3 WHEN 0 THEN 'http://a.example.org' WHEN 1 THEN ' ' END AS canonical_url, CAST(NULL AS STRING) AS notes FROM {part}""",
     "plans": """
 SELECT doc_id, translate(text, 'éèêëàâçùûüîïôöäßñáíóúÉÈÊËÀÂÇÙÛÜÎÏÔÖÄÑÁÍÓÚ', 'eeeeaacuuuiiooasnaiouEEEEAACUUUIIOOANAIOU') || CASE doc_id % 6 WHEN 0 THEN ' Front setback: ' || CAST(n_chars % 9 AS STRING) || '.5 m, rear SETBACK 3 metres; setback to northern boundary of 2m.'
   WHEN 1 THEN ' Gross floor area: ' || CAST(n_chars % 300 AS STRING) || ' m2. Lot area 450sqm and building footprint: 120 sq. m; open space 30%, site coverage: 55.5 per cent'

@@ -114,3 +114,28 @@ def html_text(pages: DataFrame, key: str = "page_id", html: str = "html", max_li
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(texts, pa.string()), pa.array(links, pa.list_(pa.string()))], [key, "text", "links"])
 
     return pages.select(key, F.col(html).alias("__html")).mapInArrow(run, f"{key} {kind}, text string, links array<string>")
+
+
+def yaml_entries(spark: SparkSession, path: str, indent: int = 0) -> DataFrame:
+    """SRC-17: ordinal and fields (a map of texts) of the entries of a YAML list `- key: value`, whose dashes stand behind `indent`
+    spaces. Files are cut at entries, so a large one is read by many tasks. Values may be quoted and go on over deeper lines;
+    nested lists and maps stay text."""
+    lead = " " * indent
+    rows = spark.read.option("lineSep", f"\n{lead}- ").text(path)
+    entry = F.regexp_replace("value", rf"(?s)\A(?:[^\n]*:\s*\n)?\s*- ", "")
+    deep = indent + 2
+    pairs = rf"(?:\A|\n {{{deep}}})([A-Za-z_][A-Za-z0-9_]*):[ ]*([^\n]*(?:\n {{{deep + 1},}}[^\n]*)*)"
+    keys, values = (F.regexp_extract_all(entry, F.lit(pairs), F.lit(n)) for n in (1, 2))
+
+    def plain(v):
+        v = F.trim(F.regexp_replace(v, r"\s*\n\s*", " "))
+        quoted = F.regexp_extract(v, r"^'(.*)'$", 1)
+        double = F.regexp_extract(v, r'^"(.*)"$', 1)
+        bare = F.trim(F.regexp_replace(v, r"\s+#.*$", ""))
+        return F.when(v.rlike("^'.*'$"), F.replace(quoted, F.lit("''"), F.lit("'"))).when(v.rlike('^".*"$'), double).otherwise(F.nullif(F.when(bare.isin("~", "null"), "").otherwise(bare), F.lit("")))
+
+    later = lambda i: F.array_contains(F.slice(keys, i + 2, F.size(keys)), F.get(keys, i))  # noqa: E731 - of a key that comes twice the last counts
+    last = F.filter(F.sequence(F.lit(0), F.size(keys) - 1), lambda i: ~later(i))
+    pairs = F.transform(last, lambda i: F.struct(F.get(keys, i), F.get(F.transform(values, plain), i)))
+    fields = F.when(F.size(keys) > 0, F.map_from_entries(pairs)).otherwise(F.from_json(F.lit("{}"), "map<string,string>"))
+    return rows.select(F.monotonically_increasing_id().alias("ordinal"), fields.alias("fields"))

@@ -1,4 +1,4 @@
-"""Event-time windows over a stream of events, and per-key state with expiry."""
+"""Event-time windows over a stream of events."""
 
 from __future__ import annotations
 
@@ -20,11 +20,14 @@ def windowed(events: DataFrame, window: Column, keys: list[str], late: str = "1
 
 
 def run_available(stream: DataFrame, path: str, mode: str = "complete") -> DataFrame:
-    """Process what is there (availableNow) and return the result table; with mode append, closed windows only."""
+    """Process what is there (availableNow) and return the result table. Mode complete keeps every window and rewrites the table;
+    mode append gives each window once, when the watermark has passed its end, drops its state and later rows of it. A batch that
+    is run again overwrites its own folder."""
+    append = mode == "append"
 
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("append" if mode == "append" else "overwrite").parquet(f"{path}/out")
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}" if append else f"{path}/out")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(put).start()
     query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out").select(*stream.columns)
