@@ -76,6 +76,7 @@ def typeahead(asked: DataFrame, points: DataFrame, limit: int = 8, index: DataFr
     shared = _by_tokens(forms, points).withColumnRenamed("id", "address_id").join(points.select("address_id", "address"), "address_id")
     found = equal.unionByName(begun.select(*equal.columns)).unionByName(shared.select(*equal.columns)).distinct()
     scored = found.join(asked, "query_id").withColumn("score", address_points(F.col("asked"), F.col("address"))).where(F.col("score") >= LEAST_SCORE)
+    scored = scored.where(near_street(F.col("asked"), F.col("address")))
     best = rows_per_key(scored, ["query_id"], [F.desc("score"), F.col("address"), F.col("address_id")], max(1, min(limit, 20)))
     return best.select("query_id", "rank", "address_id", "address", F.round("score", 4).alias("score"))
 
@@ -101,12 +102,12 @@ def fuzzy(asked: DataFrame, points: DataFrame, limit: int = 8) -> DataFrame:
 def near_street(asked: Column, has: Column) -> Column:
     """DOM-07: whether a word of the asked street is near one of the address; true where none is asked."""
     street, held = T.street_tokens(asked), F.array_distinct(F.split(T.address_form(has), " "))
-    return (F.size(street) == 0) | F.exists(street, lambda a: F.exists(held, lambda b: T.close_token(a, b)))
+    return (F.size(street) == 0) | F.exists(street, lambda a: F.exists(held, lambda b: T.close_token(a, b))) | T.alike_tokens(street, held)
 
 
 def address_points(asked: Column, has: Column) -> Column:
     """DOM-07: 1 for equal normal forms, 0.95 for a beginning, else 0.9 of the share of tokens that occur; 0.4 at most where the
-    house number is not there; 0 where no street word is near."""
+    house number is not there. `near_street` is apart, as it needs Python."""
     plain, number = T.address_form(has), T.house_number(asked)
     held = F.array_distinct(F.split(plain, " "))
 
@@ -116,5 +117,4 @@ def address_points(asked: Column, has: Column) -> Column:
         return F.when(plain == form, 1.0).when(F.startswith(plain, form), 0.95).otherwise(share)
 
     best = F.greatest(of(T.address_form(asked)), of(T.expand_street(asked)))
-    best = F.when((number != "") & ~F.array_contains(held, number), F.least(best, F.lit(0.4))).otherwise(best)
-    return F.when(near_street(asked, has), best).otherwise(0.0)
+    return F.when((number != "") & ~F.array_contains(held, number), F.least(best, F.lit(0.4))).otherwise(best)

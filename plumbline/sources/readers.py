@@ -119,10 +119,10 @@ def html_text(pages: DataFrame, key: str = "page_id", html: str = "html", max_li
 def yaml_entries(spark: SparkSession, path: str, indent: int = 0) -> DataFrame:
     """SRC-17: ordinal and fields (a map of texts) of the entries of a YAML list `- key: value`, whose dashes stand behind `indent`
     spaces. Files are cut at entries, so a large one is read by many tasks. Values may be quoted and go on over deeper lines;
-    nested lists and maps stay text."""
+    nested lists and maps stay text; what is only a key, as the line above the list, is no entry."""
     lead = " " * indent
-    rows = spark.read.option("lineSep", f"\n{lead}- ").text(path)
-    entry = F.regexp_replace("value", rf"(?s)\A(?:[^\n]*:\s*\n)?\s*- ", "")
+    rows = spark.read.option("lineSep", f"\n{lead}- ").text(path).where(~F.col("value").rlike(r"\A(?:---|#[^\n]*|\s)*(?:[A-Za-z_][A-Za-z0-9_]*:\s*)?\z"))
+    entry = F.regexp_replace("value", r"\A\s*- ", "")
     deep = indent + 2
     pairs = rf"(?:\A|\n {{{deep}}})([A-Za-z_][A-Za-z0-9_]*):[ ]*([^\n]*(?:\n {{{deep + 1},}}[^\n]*)*)"
     keys, values = (F.regexp_extract_all(entry, F.lit(pairs), F.lit(n)) for n in (1, 2))
