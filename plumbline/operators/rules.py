@@ -53,17 +53,18 @@ def council_of(projects: DataFrame, facts: DataFrame, types: tuple[str, ...] = (
 
 
 def evaluate(projects: DataFrame, facts: DataFrame, rules: DataFrame, checks: list[str]) -> DataFrame:
-    """DOM-02: project_id, check_key, rule_id, value, status and reason for every project and check.
+    """DOM-02: project_id, check_key, rule_id, value, status and reason for every project and check; `checks.run_checks` has the whole run.
 
-    Rules of a scope are one small row, so projects meet them before they are multiplied by the checks."""
-    latest = best_by(facts, ["project_id", "fact_type"], ["created", "tie"]).withColumnRenamed("fact_type", "check_key")
+    A project is one row until the end: its latest facts and the rules of its scope are maps, and checks are multiplied out last,
+    so nothing is shuffled by check. Rules of a scope are a small table, which Spark broadcasts when it is below its threshold."""
+    latest = best_by(facts.where(F.col("fact_type").isin(*checks)).select("project_id", "fact_type", "value", "method", "created", "tie"), ["project_id", "fact_type"], ["created", "tie"])
+    known = latest.groupBy("project_id").agg(F.map_from_entries(F.collect_list(F.struct("fact_type", F.struct("value", "method")))).alias("__facts"))
     entry = F.struct("check_key", F.struct("rule_id", "operator", "threshold").alias("rule"))
     chosen = select_rules(rules, projects).groupBy("council", "r_code").agg(F.map_from_entries(F.collect_list(entry)).alias("__rules"))
     scope = F.col("p.council").eqNullSafe(F.col("c.council")) & F.col("p.r_code").eqNullSafe(F.col("c.r_code"))
-    met = projects.alias("p").join(chosen.alias("c"), scope, "left").select("p.project_id", "c.__rules")
-    asked = met.withColumn("check_key", F.explode(F.array(*[F.lit(c) for c in checks]))).withColumn("__rule", F.try_element_at("__rules", F.col("check_key")))
-    asked = asked.select("project_id", "check_key", *[F.col("__rule")[c].alias(c) for c in ("rule_id", "operator", "threshold")])
-    rows = asked.join(latest.select("project_id", "check_key", "value", "method"), ["project_id", "check_key"], "left")
+    met = projects.alias("p").join(chosen.alias("c"), scope, "left").select("p.project_id", "c.__rules").join(known, "project_id", "left")
+    each = F.array(*[F.struct(F.lit(c).alias("check_key"), F.try_element_at("__rules", F.lit(c)).alias("r"), F.try_element_at("__facts", F.lit(c)).alias("f")) for c in checks])
+    rows = met.select("project_id", F.explode(each).alias("x")).select("project_id", "x.check_key", "x.r.rule_id", "x.r.operator", "x.r.threshold", "x.f.value", "x.f.method")
     ok = compare(F.col("value"), F.col("operator"), F.col("threshold"))
     reason = (
         F.when(F.col("rule_id").isNull(), "no_rule")

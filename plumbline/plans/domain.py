@@ -368,12 +368,15 @@ def document_chunks(spark, sf_dir):
     return corpus.pack_document(view(spark, sf_dir, "documents").select("doc_id", "text"), limit=400)
 
 
-@query("SELECT doc_id, page, body FROM (SELECT doc_id, unnest([text, text || 'x']) AS body, unnest([1, 2]) AS page FROM {labels} JOIN (SELECT doc_id, trim(regexp_replace(substr(text, 1, 20), '\\s', '_', 'g')) AS text FROM {documents} WHERE length(text) > 0) USING (doc_id))")
+_PAGED = "text || chr(12) || ' ' || chr(12) || text || 'x' || chr(10) || ' ---page--- ' || chr(10)"
+
+
+@query(rf"""WITH cut AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array({_PAGED}, '\f|\n\s*---\s*(?i:page)\s*---\s*\n'), lambda p: trim(p, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda p: p <> '') AS p FROM {{documents}} WHERE text IS NOT NULL)
+SELECT doc_id, generate_subscripts(p, 1)::INT AS page, sha256(unnest(p)) AS body FROM cut""")
 def page_split(spark, sf_dir):
-    """DOM-11, the page splitter."""
-    start = F.trim(F.regexp_replace(F.substring("text", 1, 20), r"\s", "_"))
-    rows = view(spark, sf_dir, "documents").where("length(text) > 0").join(view(spark, sf_dir, "labels").select("doc_id"), "doc_id")
-    return corpus.pages(rows.select("doc_id", F.concat(start, F.lit("\f \f"), start, F.lit("x\n ---page--- \n")).alias("text")))
+    """DOM-11, the page splitter, over every whole text; pages by their digest."""
+    rows = view(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.expr(_PAGED).alias("text"))
+    return corpus.pages(rows).select("doc_id", "page", F.sha2("body", 256).alias("body"))
 
 
 @query("SELECT p_partkey, ordinal, span FROM (SELECT p_partkey, unnest([1, 2]) AS ordinal, unnest(['1. ' || p_type || ' ', '2. ' || p_brand]) AS span FROM {part})")

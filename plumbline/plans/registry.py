@@ -20,7 +20,8 @@ _COMPARE = """CASE CASE o WHEN '<=' THEN 'lte' WHEN 'pct_lte' THEN 'lte' WHEN '<
 
 
 def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "rules").withColumn("r_codes", F.split("codes", ","))
+    """Approved rules: others decide nothing."""
+    return view(spark, sf_dir, "rules").where("state = 'approved'").withColumn("r_codes", F.split("codes", ","))
 
 
 # Rules
@@ -28,7 +29,7 @@ def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CHOSEN = """
 (SELECT * FROM (SELECT s.council, s.r_code, r.check_key, r.rule_id, r.operator, r.threshold,
     row_number() OVER (PARTITION BY s.council, s.r_code, r.check_key ORDER BY r.threshold IS NOT NULL DESC, r.rule_type <> 'exception' DESC, r.codes IS NOT NULL DESC, r.created DESC, r.rule_id DESC) AS rn
-  FROM (SELECT DISTINCT council, r_code FROM {projects}) s JOIN {rules} r ON (r.council IS NULL OR r.council = s.council) AND (r.codes IS NULL OR list_contains(string_split(r.codes, ','), s.r_code))) WHERE rn = 1)"""
+  FROM (SELECT DISTINCT council, r_code FROM {projects}) s JOIN {rules} r ON r.state = 'approved' AND (r.council IS NULL OR r.council = s.council) AND (r.codes IS NULL OR list_contains(string_split(r.codes, ','), s.r_code))) WHERE rn = 1)"""
 _EVALUATED = f"""
 (SELECT p.project_id, k.check_key, c.rule_id, f.value AS v, c.threshold AS t, c.operator AS o, f.method,
    CASE WHEN c.rule_id IS NULL THEN 'no_rule' WHEN f.method IS NULL THEN 'no_fact' WHEN f.method = 'assumption' THEN 'assumption' WHEN f.value IS NULL THEN 'no_value'
@@ -519,4 +520,4 @@ def sql_rollup(spark, sf_dir):
     return rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"), F.grouping("l_linestatus").cast("int").alias("total"))
 
 
-from . import domain, extraction, retrieval, scalars  # noqa: E402, F401 - they add their queries
+from . import compliance, domain, extraction, retrieval, scalars  # noqa: E402, F401 - they add their queries

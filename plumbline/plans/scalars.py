@@ -35,10 +35,20 @@ def unit_edges(spark, sf_dir):
     return view(spark, sf_dir, "measures").select("id", N.canonical_unit(F.col("unit")).alias("canonical"), N.canonical_value(value, F.col("unit")).alias("amount"), N.finite_positive(value).alias("positive"), length["metres"].alias("metres"), length["most"].alias("most"), cents.cast("bigint").alias("cents"))
 
 
-@query("""SELECT * FROM (VALUES (1, 'City of Cockburn', 'R40', true, 'percent_of_and_m'), (2, 'City of Fremantle', 'R-AC3', false, 'setback_side'), (3, 'Shire of Augusta', 'RR', false, 'max_r40s_wall'), (4, 'Perth', NULL, true, ''),
-(5, 'Perth', NULL, true, 'min_and_min'), (6, '', NULL, false, ''), (7, '', NULL, NULL, 'glas_glasse'), (8, 'Town of Claremont', NULL, false, 'wall_boundary')) AS t(id, council, code, is_code, rkey)""")
+_TITLE = lambda x: f"array_to_string(list_transform(string_split(trim(regexp_replace(lower({x}), '\\s+', ' ', 'g')), ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
+_BEHIND, _BEFORE = "(?i)^(.*?)[ ,]*, (city|shire|town) of$", "(?i)^(city|shire|town) of (.*)$"
+_ALIASES = "CASE w " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.KEY_ALIASES.items()) + " ELSE w END"
+
+
+@query(f"""WITH clean AS (SELECT id, trim(regexp_replace(trim(coalesce(council, '')), '(?i)[(]bbox extent[)]$', '')) AS c, replace(replace(upper(code), ' ', ''), '_', '-') AS d, code,
+  list_transform(list_filter(list_transform(regexp_extract_all(lower(replace(coalesce(rkey, ''), '&', ' and ')), '[a-z0-9]+'), lambda w: {_ALIASES}), lambda w: NOT list_contains({T.KEY_DROPPED}, w)),
+    lambda w: CASE WHEN length(w) > 4 AND ends_with(w, 's') AND NOT regexp_matches(w, '^r[0-9]+s?$') THEN w[:-2] ELSE w END) AS k FROM {{names}})
+SELECT id, CASE WHEN regexp_matches(c, '{_BEHIND}') THEN {_TITLE(f"regexp_extract(c, '{_BEHIND}', 2)")} || ' of ' || {_TITLE(f"regexp_extract(c, '{_BEHIND}', 1)")}
+    WHEN regexp_matches(c, '{_BEFORE}') THEN {_TITLE(f"regexp_extract(c, '{_BEFORE}', 1)")} || ' of ' || {_TITLE(f"regexp_extract(c, '{_BEFORE}', 2)")} WHEN c = upper(c) AND c <> '' THEN {_TITLE("c")} ELSE c END AS council,
+  CASE WHEN d = 'RR' THEN 'RR' WHEN regexp_matches(d, '^R-?AC-?[0-9]{{{{0,2}}}}$') THEN 'R-AC' || regexp_extract(d, '([0-9]*)$', 1) WHEN regexp_matches(d, '^R[0-9]{{{{1,3}}}}$') AND d[2:]::INT > 0 THEN 'R' || d[2:]::INT END AS code,
+  regexp_matches(replace(trim(code), ' ', ''), '(?i)^R{{{{1,2}}}}-?(AC)?[0-9]+([.][0-9]+)?(/[0-9]+([.][0-9]+)?)?$') AS is_code, array_to_string(list_filter(k, lambda w, i: i = 1 OR w <> k[i - 1]), '_') AS rkey FROM clean""")
 def name_edges(spark, sf_dir):
-    """STR-08, STR-09, STR-10, STR-11, against values worked out by hand."""
+    """STR-08, STR-09, STR-10, STR-11 over the names, codes and keys of every customer."""
     c = F.col
     return view(spark, sf_dir, "names").select("id", T.council_name(c("council")).alias("council"), T.density_code(c("code")).alias("code"), T.is_density_code(c("code")).alias("is_code"), T.rule_key(F.coalesce("rkey", F.lit(""))).alias("rkey"))
 
@@ -157,26 +167,35 @@ def embedding_wire(spark, sf_dir):
     return view(spark, sf_dir, "embeddings").select("vec_id", F.size(v).cast("bigint").alias("size"), same.alias("same"), bad.alias("bad"))
 
 
-@query("""SELECT item, answer, total FROM (VALUES (1, 'One [1] and [2, 1].', 2), (2, 'See [1].', 1), (3, 'none', 0)) AS t(item, answer, total)""")
+_THOUGHT = "trim(regexp_replace(regexp_replace(answer, '(?is)<think>.*?</think>', '', 'g'), '(?is)<think>.*$', ''))"
+
+
+@query(f"""WITH said AS (SELECT conv_id, turn, {_THOUGHT} AS a FROM {{answers}}),
+cited AS (SELECT *, list_sort(list_filter(list_distinct(list_transform(flatten(list_transform(regexp_extract_all(a, '\\[([0-9][0-9,\\s]*)\\]', 1), lambda m: regexp_extract_all(m, '[0-9]+'))), lambda n: n::INT)), lambda n: n BETWEEN 1 AND 6)) AS v FROM said),
+parts AS (SELECT *, regexp_extract_all(a, '\\[[0-9][0-9,\\s]*\\]') AS m, regexp_split_to_array(a, '\\[[0-9][0-9,\\s]*\\]') AS b FROM cited)
+SELECT conv_id, turn, array_to_string(list_transform(b, lambda x, i: x || coalesce(CASE WHEN len(list_filter(regexp_extract_all(m[i], '[0-9]+'), lambda n: list_contains(v, n::INT))) > 0
+  THEN '[' || array_to_string(list_transform(list_filter(regexp_extract_all(m[i], '[0-9]+'), lambda n: list_contains(v, n::INT)), lambda n: list_position(v, n::INT)), ', ') || ']' END, '')), '') AS answer, len(v)::INT AS total FROM parts""")
 def answer_markers(spark, sf_dir):
-    """STR-19: think blocks stripped, markers renumbered, those out of range dropped."""
-    rows = spark.createDataFrame([(1, "<think>x [9]</think>One [3] and [5, 3]."), (2, "See [2][8]. <think>open"), (3, "none")], "item int, answer string")
+    """STR-19: think blocks stripped, markers renumbered, those out of range dropped, in every turn."""
     new = T.renumbered(T.without_reasoning(F.col("answer")), F.lit(6))
-    return rows.select("item", new.alias("answer")).select("item", "answer", F.size(F.array_distinct(T.cited_numbers(F.col("answer")))).alias("total"))
+    rows = view(spark, sf_dir, "answers").select("conv_id", "turn", new.alias("answer"))
+    return rows.select("conv_id", "turn", "answer", F.size(F.array_distinct(T.cited_numbers(F.col("answer")))).alias("total"))
 
 
-@query("""SELECT * FROM (VALUES (1, 'development application parking bays'), (2, 'what is the'), (3, 'setback residential design codes Fremantle'), (4, NULL)) AS t(item, asked)""")
+@query(f"""WITH asked AS (SELECT conv_id, turn, 'Please explain the DA and R-Codes: ' || text AS q FROM {{conversations}} WHERE role = 'user'),
+kept AS (SELECT *, list_filter(regexp_extract_all(q, '[A-Za-z0-9][A-Za-z0-9-]*'), lambda w: NOT list_contains({T.STOP_WORDS}, lower(trim(w, '-')))) AS k FROM asked)
+SELECT conv_id, turn, coalesce(nullif(array_to_string(flatten(list_transform(k, lambda w: CASE lower(trim(w, '-')) {" ".join(f"WHEN '{a}' THEN {b.split()}" for a, b in T.LONG_FORMS.items())} ELSE [w] END))[1:16], ' '), ''), q) AS asked FROM kept""")
 def compact_queries(spark, sf_dir):
-    """STR-20."""
-    rows = spark.createDataFrame([(1, "Please explain the DA parking bays"), (2, "what is the"), (3, "setback for R-Codes in Fremantle"), (4, None)], "item int, question string")
-    return rows.select("item", T.compact_query(F.col("question")).alias("asked"))
+    """STR-20: the question of every user turn, without stop words and with short forms written out."""
+    rows = view(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.concat(F.lit("Please explain the DA and R-Codes: "), "text").alias("question"))
+    return rows.select("conv_id", "turn", T.compact_query(F.col("question")).alias("asked"))
 
 
-@query("""SELECT * FROM (VALUES (1, '{{"a": {{"b": 1}}}}', '1,2,3'), (2, '{{"x": 2}}', '2.5,7'), (3, NULL, '')) AS t(item, json, numbers)""")
+@query(f"""SELECT conv_id, turn, nullif(regexp_extract(reply, '(?s)(\\{{{{.*\\}}}})', 1), '') AS json, array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(said, '[0-9]+(?:[.][0-9]+)?'),
+  list_filter(list_transform(regexp_extract_all(lower(said), '[a-z0-9]+'), lambda w: CASE w {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in T.SPELLED.items())} END), lambda x: x IS NOT NULL)))), ',') AS numbers FROM {{answers}}""")
 def model_output(spark, sf_dir):
-    """STR-17, STR-21: the outermost JSON of an answer; numbers with spelled ones."""
-    rows = spark.createDataFrame([(1, 'Sure: ```json\n{"a": {"b": 1}}\n```', "one, two and 3"), (2, '{"x": 2} done', "2.5 seven"), (3, "no", "none")], "item int, answer string, said string")
-    return rows.select("item", T.outer_json(F.col("answer")).alias("json"), F.array_join(F.array_sort(T.spelled_numbers(F.col("said"))), ",").alias("numbers"))
+    """STR-17, STR-21: the outermost JSON of an answer; numbers with spelled ones, in every turn."""
+    return view(spark, sf_dir, "answers").select("conv_id", "turn", T.outer_json(F.col("reply")).alias("json"), F.array_join(F.array_sort(T.spelled_numbers(F.col("said"))), ",").alias("numbers"))
 
 
 @query("""SELECT clause_key, CASE WHEN disposition = 'definition' THEN '' ELSE 'Planning Act 2005' END AS refs FROM {clauses}""")

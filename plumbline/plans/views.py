@@ -19,6 +19,24 @@ SELECT p_partkey AS rule_id, 'check_' || CAST(p_partkey % 7 + 1 AS STRING) AS ch
   p_partkey % 100 AS created, p_brand AS brand, p_type AS ptype, p_retailprice AS price,
   CASE WHEN p_partkey % 6 = 0 THEN 'pending' ELSE 'approved' END AS state, CASE WHEN p_partkey % 17 <> 0 THEN p_name END AS quote
 FROM {part}""",
+    "check_rules": """
+SELECT p_partkey AS rule_id, CASE p_partkey % 13 WHEN 0 THEN 'setback_front' WHEN 1 THEN 'primary_street_setback.R20' WHEN 2 THEN 'front_setback' WHEN 3 THEN 'side_setback.x.y' WHEN 4 THEN 'secondary_street_setback' WHEN 5 THEN 'site_cover.R40'
+    WHEN 6 THEN 'boundary_wall.a' WHEN 7 THEN 'plot_ratio' WHEN 8 THEN 'odd_key' WHEN 9 THEN 'garage_width' WHEN 10 THEN 'height_wall' WHEN 11 THEN 'open_space.z' ELSE 'site_area' END AS rule_key,
+  CASE WHEN p_partkey % 17 = 0 THEN 'side_setback' WHEN p_partkey % 17 = 1 THEN '' END AS base_rule_key, CASE WHEN p_partkey % 13 = 8 THEN 'min_frontage' WHEN p_partkey % 19 = 0 THEN 'plot_ratio' END AS canonical,
+  CASE p_partkey % 10 WHEN 0 THEN 'x' WHEN 1 THEN 'NaN' WHEN 2 THEN CAST(NULL AS STRING) ELSE CAST(p_size AS STRING) END AS threshold, CASE p_partkey % 6 WHEN 0 THEN 'gte' WHEN 1 THEN '>' WHEN 2 THEN 'range' WHEN 3 THEN 'eq' ELSE 'lte' END AS operator,
+  CASE WHEN p_partkey % 7 = 0 THEN 'exception' ELSE 'standard' END AS rule_type, CASE WHEN p_partkey % 3 <> 0 THEN 'City ' || CAST(p_partkey % 8 AS STRING) END AS council, CASE p_partkey % 4 WHEN 0 THEN 'Z1,Z2' WHEN 1 THEN 'Z2' END AS zones,
+  CASE p_partkey % 5 WHEN 0 THEN 'R20' WHEN 1 THEN 'R20,R40' WHEN 2 THEN 'R60' END AS codes, CASE p_partkey % 11 WHEN 0 THEN 'grouped' WHEN 1 THEN 'any' END AS dwelling_type, p_partkey % 60 AS created, 'm' AS unit, 'none' AS pathway,
+  CASE WHEN p_partkey % 6 = 0 THEN 'pending' ELSE 'approved' END AS state, CASE WHEN p_partkey % 9 <> 0 THEN p_partkey % 40 END AS source_version_id FROM {part}""",
+    "check_facts": """
+SELECT l_orderkey AS project_id, CASE l_linenumber WHEN 1 THEN 'proposed_setback_front_m' WHEN 2 THEN 'proposed_setback_side_primary_m' WHEN 3 THEN CASE WHEN l_partkey % 2 = 0 THEN 'proposed_site_cover_pct' ELSE 'site_area_m2' END
+    WHEN 4 THEN 'proposed_plot_ratio' WHEN 5 THEN 'r_code' WHEN 6 THEN CASE WHEN l_partkey % 3 = 0 THEN 'council' ELSE 'zone' END ELSE CASE WHEN l_partkey % 2 = 0 THEN 'frontage_width_m' ELSE 'local_government' END END AS fact_type,
+  CASE WHEN l_suppkey % 8 <> 0 THEN l_quantity END AS value, CASE WHEN l_linenumber = 5 THEN CASE l_suppkey % 3 WHEN 0 THEN 'R20' WHEN 1 THEN 'R40' ELSE 'R60' END WHEN l_linenumber = 6 AND l_partkey % 3 <> 0 THEN CASE l_suppkey % 3 WHEN 0 THEN 'Z1' WHEN 1 THEN 'Z2' ELSE '' END
+    WHEN l_linenumber >= 6 THEN CASE WHEN l_suppkey % 4 = 0 THEN ' ' ELSE ' City ' || CAST(l_suppkey % 9 AS STRING) END END AS text,
+  CASE WHEN l_suppkey % 7 = 0 THEN 'assumption' WHEN l_linestatus = 'O' THEN 'manual_override' ELSE 'spatial' END AS method, CASE WHEN l_returnflag = 'R' THEN 'pending' ELSE 'confirmed' END AS review_status, l_shipdate AS created,
+  l_partkey * 1000000000 + l_suppkey * 100000 + CAST(l_extendedprice AS BIGINT) % 100000 AS tie
+FROM {lineitem}""",
+    "check_projects": """
+SELECT o_orderkey AS project_id, CASE WHEN o_custkey % 4 = 0 THEN ' ' WHEN o_custkey % 4 = 1 THEN 'City ' || CAST(o_custkey % 8 AS STRING) END AS council FROM {orders}""",
     "projects": """
 SELECT o_orderkey AS project_id, CAST(c_nationkey AS BIGINT) AS council, 'R' || CAST(c_custkey % 5 AS STRING) AS r_code
 FROM {orders} JOIN {customer} ON o_custkey = c_custkey""",
@@ -86,12 +104,20 @@ SELECT p_partkey AS clause_id, 'Setback shall be ' || CAST(p_size AS STRING) ||
   CASE p_partkey % 4 WHEN 0 THEN 'm' WHEN 1 THEN 'mm' WHEN 2 THEN 'sqm' ELSE 'lots' END AS unit, CAST(p_size AS DOUBLE) AS amount
 FROM {part}""",
     "measures": """
-SELECT id, CAST(value AS DOUBLE) AS value, operator, CAST(threshold AS DOUBLE) AS threshold, unit, code FROM (VALUES
-  (1, '1', 'lte', '1', 'mm', 4), (2, '2.5', '>=', '2', 'Square Metres', 6), (3, 'NaN', 'gte', '1', 'm', 99), (4, '3', '<=', 'NaN', 'Furlong', 1), (5, NULL, 'lt', '3', NULL, 2),
-  (6, '7', '  ', '7', ' % ', 5), (7, '7', NULL, '6', 'per cent', NULL), (8, '1', 'range', '2', 'DB', 7), (9, '-1', '==', '-1', 'ha', 10), (10, 'Infinity', 'gt', '5', 'lots', 4)) AS t(id, value, operator, threshold, unit, code)""",
+SELECT p_partkey AS id, CASE p_partkey % 13 WHEN 0 THEN CAST('NaN' AS DOUBLE) WHEN 1 THEN CAST('Infinity' AS DOUBLE) WHEN 2 THEN CAST(NULL AS DOUBLE) ELSE p_size - 25.5 END AS value,
+  CASE p_partkey % 9 WHEN 0 THEN 'lte' WHEN 1 THEN '>=' WHEN 2 THEN 'gte' WHEN 3 THEN '<=' WHEN 4 THEN 'lt' WHEN 5 THEN '  ' WHEN 6 THEN 'range' WHEN 7 THEN '==' END AS operator,
+  CASE p_partkey % 5 WHEN 0 THEN CAST('NaN' AS DOUBLE) WHEN 1 THEN CAST(NULL AS DOUBLE) WHEN 2 THEN p_size - 25.5 ELSE p_partkey % 50 - 25 END AS threshold,
+  CASE p_partkey % 8 WHEN 0 THEN 'mm' WHEN 1 THEN 'Square Metres' WHEN 2 THEN 'm' WHEN 3 THEN 'Furlong' WHEN 4 THEN ' % ' WHEN 5 THEN 'per cent' WHEN 6 THEN 'DB' END AS unit,
+  CASE p_partkey % 10 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 WHEN 3 THEN 5 WHEN 4 THEN 6 WHEN 5 THEN 7 WHEN 6 THEN 10 WHEN 7 THEN 99 END AS code FROM {part}""",
     "names": """
-SELECT * FROM (VALUES (1, 'COCKBURN, CITY OF', 'R 40', 'Pct of Rules & metres'), (2, 'city of  fremantle', 'r_ac3', 'setbacks setback side'), (3, 'Shire Of Augusta (bbox extent)', 'RR', 'Maximum r40s walls'),
-  (4, 'PERTH', 'R0', ''), (5, 'Perth', 'R12.5/20', 'min & min'), (6, '', '', NULL), (7, NULL, NULL, 'glass glasses'), (8, 'Town of  CLAREMONT', 'Residential', 'wall req boundary')) AS t(id, council, code, rkey)""",
+SELECT c_custkey AS id, CASE c_custkey % 7 WHEN 0 THEN upper(place) || ', CITY OF' WHEN 1 THEN 'city of  ' || place WHEN 2 THEN 'Shire Of ' || place || ' (bbox extent)' WHEN 3 THEN upper(place) WHEN 4 THEN ' ' || place WHEN 5 THEN 'Town of  ' || upper(place) END AS council,
+  CASE c_custkey % 9 WHEN 0 THEN 'R ' || CAST(c_custkey % 100 AS STRING) WHEN 1 THEN 'r_ac' || CAST(c_custkey % 5 AS STRING) WHEN 2 THEN 'RR' WHEN 3 THEN 'R0' WHEN 4 THEN 'R12.5/20' WHEN 5 THEN 'Residential' WHEN 6 THEN 'rr-30' WHEN 7 THEN '' END AS code,
+  CASE c_custkey % 6 WHEN 0 THEN 'Pct of Rules & metres ' || place WHEN 1 THEN 'setbacks setback ' || place WHEN 2 THEN 'Maximum r40s walls' WHEN 3 THEN place || ' min & min' WHEN 4 THEN 'glass glasses wall req ' || CAST(c_custkey AS STRING) END AS rkey
+FROM (SELECT c_custkey, lower(c_mktsegment) || ' ' || CASE c_custkey % 2 WHEN 0 THEN 'heights' ELSE 'bay' END AS place FROM {customer}) c""",
+    "answers": """
+SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '<think>first [9]' || chr(10) || '</think>' || text || ' [' || CAST(length(text) % 8 AS STRING) || '] and [5, 3].' WHEN 1 THEN text || ' [2][8]. <THINK>open [1]' WHEN 2 THEN '[3] ' || text || ' [1,3]' ELSE text END AS answer,
+  'Sure: ' || CASE turn % 3 WHEN 0 THEN '```json {{"n": ' || CAST(length(text) AS STRING) || ', "o": {{}}}} ```' WHEN 1 THEN '{{"x": 2}} done' ELSE 'no' END AS reply, CASE turn % 3 WHEN 0 THEN 'one, TWO and 3 of 2' WHEN 1 THEN CAST(conv_id AS STRING) || '.5 seven' ELSE text END AS said
+FROM (SELECT conv_id, turn, translate(text, '[]<>{{}}', '      ') AS text FROM {conversations} WHERE text IS NOT NULL) t""",
     "objects": """
 SELECT event_id, event_type, props, CASE event_id % 4 WHEN 0 THEN '{{"k": 7, "source": "x"}}' WHEN 1 THEN '{{"parked": true, "k": null}}' WHEN 2 THEN '{{"a": {{"B": [1, 2.5]}}, "list": ["x", "y", "x"]}}' ELSE '{{}}' END AS other FROM {events}""",
     "scoped": """
