@@ -39,15 +39,13 @@ def _map(entries: dict) -> Column:
 
 def compare(value: Column, operator: Column, threshold: Column) -> Column:
     """MTH-06: value against threshold; a null or blank operator is lte; an unknown one or a missing number gives null, NaN false."""
-    name = F.try_element_at(_map(ALIASES), F.coalesce(F.nullif(F.trim(operator), F.lit("")), F.lit("lte")))
-    told = (
-        F.when(name == "lte", value <= threshold)
-        .when(name == "gte", value >= threshold)
-        .when(name == "lt", value < threshold)
-        .when(name == "gt", value > threshold)
-        .when(name == "eq", value == threshold)
-    )
-    return F.when(told.isNotNull() & (F.isnan(value) | F.isnan(threshold)), F.lit(False)).otherwise(told)
+    name = F.coalesce(F.nullif(F.trim(operator), F.lit("")), F.lit("lte"))
+    known = F.when(F.isnan(value) | F.isnan(threshold), F.lit(False))
+    tests = {"lte": value <= threshold, "gte": value >= threshold, "lt": value < threshold, "gt": value > threshold, "eq": value == threshold}
+    told = F.lit(None).cast("boolean")
+    for kind, test in tests.items():
+        told = F.when(name.isin([a for a, k in ALIASES.items() if k == kind]), F.when(value.isNotNull() & threshold.isNotNull(), F.coalesce(known, test))).otherwise(told)
+    return told
 
 
 def _unit_key(unit: Column) -> Column:

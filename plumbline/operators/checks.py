@@ -138,7 +138,8 @@ def run_checks(projects: DataFrame, facts: DataFrame, rules: DataFrame, checks:
 
 def _judged(rows: DataFrame) -> DataFrame:
     c = F.col
-    ok = compare(c("f.value"), c("r.operator"), c("r.threshold"))
+    rows = rows.withColumn("ok", compare(c("f.value"), c("r.operator"), c("r.threshold")))  # a column of its own, not computed again by each use
+    ok = c("ok")
     none = c("r").isNull()
     reason = (
         F.when(none, "missing_rule").when(c("f.method") == "assumption", "assumption_fact_unconfirmed").when(c("f.value").isNull(), "missing_measurement_fact")

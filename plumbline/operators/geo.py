@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geodesy
+
 
 def _edges(ring: Column) -> Column:
     return F.transform(ring, lambda p, i: F.struct(p.alias("a"), F.coalesce(F.get(ring, i + 1), F.get(ring, F.lit(0))).alias("b")))
@@ -77,3 +79,86 @@ def polygon_join(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
     low = lambda ring, axis: F.floor(F.array_min(F.transform(ring, lambda p: p[axis])) / cell)
     first = (F.col("cx") == F.greatest(low("left_ring", "x"), low("right_ring", "x"))) & (F.col("cy") == F.greatest(low("left_ring", "y"), low("right_ring", "y")))
     return a.join(b, ["cx", "cy"]).where(first & intersects(F.col("left_ring"), F.col("right_ring"))).select("left_id", "right_id")
+
+
+# Polygons with holes: an array of rings, the outer one first.
+
+
+def covers(rings: Column, x: Column, y: Column) -> Column:
+    """Whether a polygon holds a point: inside its outer ring and in none of its holes."""
+    return contains(F.get(rings, F.lit(0)), x, y) & ~F.exists(F.slice(rings, F.lit(2), F.size(rings)), lambda h: contains(h, x, y))
+
+
+def polygon_metrics(rings: Column) -> dict[str, Column]:
+    """MTH-11 of a polygon in degrees, in metres of the conic projection: area without holes, envelope sides, longest outer edge, and
+    whether it is a corner lot: its second longest outer edge has 0.6 of the longest or more; null with fewer than two edges."""
+    flat = F.transform(rings, lambda r: F.transform(r, lambda p: geodesy.lambert(p["x"], p["y"])))
+
+    def measured(rs: Column) -> Column:
+        origin = F.get(F.get(rs, F.lit(0)), F.lit(0))
+        near = F.transform(rs, lambda r: F.transform(r, lambda p: F.struct((p["x"] - origin["x"]).alias("x"), (p["y"] - origin["y"]).alias("y"))))
+        area = lambda r: F.abs(F.aggregate(_edges(r), F.lit(0.0), lambda s, e: s + e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])) / 2
+
+        def told(ns: Column) -> Column:
+            outer = F.get(ns, F.lit(0))
+            xs, ys = F.transform(outer, lambda p: p["x"]), F.transform(outer, lambda p: p["y"])
+            sides = F.transform(_edges(outer), lambda e: F.hypot(e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]))
+            edges = F.sort_array(F.filter(sides, lambda d: d > 0), asc=False)
+            holes = F.aggregate(F.slice(ns, F.lit(2), F.size(ns)), F.lit(0.0), lambda s, h: s + area(h))
+            return F.struct(
+                (area(outer) - holes).alias("area"), (F.array_max(xs) - F.array_min(xs)).alias("width"), (F.array_max(ys) - F.array_min(ys)).alias("depth"),
+                F.get(edges, F.lit(0)).alias("longest_edge"), (F.get(edges, F.lit(1)) >= 0.6 * F.get(edges, F.lit(0))).alias("corner_lot"),
+            )
+
+        return F.get(F.transform(F.array(near), told), F.lit(0))
+
+    out = F.get(F.transform(F.array(flat), measured), F.lit(0))
+    return {k: out[k] for k in ("area", "width", "depth", "longest_edge", "corner_lot")}
+
+
+def metres_to(rings: Column, lon: Column, lat: Column) -> Column:
+    """JN-11: metres from a place to a polygon in degrees, 0 where the polygon holds it: its edges in metres around the place, which
+    is exact to a millimetre for the edges nearby that matter."""
+
+    def to_edge(e: Column) -> Column:
+        (ax, ay), (bx, by) = (geodesy.around(e[k]["x"], e[k]["y"], lon, lat) for k in ("a", "b"))
+        ends = F.struct(ax.alias("ax"), ay.alias("ay"), (bx - ax).alias("dx"), (by - ay).alias("dy"))
+
+        def far(v: Column) -> Column:
+            t = F.coalesce(-(v["ax"] * v["dx"] + v["ay"] * v["dy"]) / F.nullif(v["dx"] * v["dx"] + v["dy"] * v["dy"], F.lit(0.0)), F.lit(0.0))
+            t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
+            return F.hypot(v["ax"] + t * v["dx"], v["ay"] + t * v["dy"])
+
+        return F.get(F.transform(F.array(ends), far), F.lit(0))
+
+    return F.when(covers(rings, lon, lat), 0.0).otherwise(F.array_min(F.transform(F.flatten(F.transform(rings, _edges)), to_edge)))
+
+
+#: A polygon is filed under at most about MOST_CELLS cells: those of the finest level whose cells are so few.
+MOST_CELLS, LEVELS = 16, 24
+
+
+def parcels_within(points: DataFrame, parcels: DataFrame, cell: float, metres: float = 2.0) -> DataFrame:
+    """JN-11: of each point (point_id, x, y in degrees) the nearest parcel (parcel_id, rings) that holds it or lies within `metres`, the
+    smaller id of equally near ones: point_id, parcel_id and distance.
+
+    Parcels are filed under cells of a size that fits them, each level twice as wide as the one below, so a large one has few copies;
+    a point looks up its cell of every level that occurs. Both meet in an equi-join."""
+    outer = F.get("rings", F.lit(0))
+    xs, ys = F.transform(outer, lambda p: p["x"]), F.transform(outer, lambda p: p["y"])
+    north = F.greatest(F.abs(F.array_min(ys)), F.abs(F.array_max(ys)))
+    margin_y = metres / 110_000.0
+    margin_x = margin_y / F.greatest(F.cos(F.radians(F.least(north + 1, F.lit(89.0)))), F.lit(0.01))
+    box = parcels.select("parcel_id", "rings", (F.array_min(xs) - margin_x).alias("x0"), (F.array_max(xs) + margin_x).alias("x1"), (F.array_min(ys) - margin_y).alias("y0"), (F.array_max(ys) + margin_y).alias("y1"))
+    cells = (1 + (F.col("x1") - F.col("x0")) / cell) * (1 + (F.col("y1") - F.col("y0")) / cell)
+    level = F.least(F.lit(LEVELS), F.greatest(F.lit(0), F.ceil(F.log2(cells / MOST_CELLS) / 2))).cast("int")
+    box = box.withColumn("level", level)
+    levels = sorted(r["level"] for r in box.select("level").distinct().collect())  # LEVELS + 1 numbers at most
+    at = lambda c, lv: F.floor(c / (cell * F.pow(F.lit(2.0), lv)))
+    filed = box.withColumn("cx", F.explode(F.sequence(at(F.col("x0"), F.col("level")), at(F.col("x1"), F.col("level")))))
+    filed = filed.withColumn("cy", F.explode(F.sequence(at(F.col("y0"), F.col("level")), at(F.col("y1"), F.col("level"))))).select("parcel_id", "rings", "level", "cx", "cy")
+    asked = points.select("point_id", "x", "y", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")).alias("level"))
+    asked = asked.withColumns({"cx": at(F.col("x"), F.col("level")), "cy": at(F.col("y"), F.col("level"))})
+    met = asked.join(filed, ["level", "cx", "cy"]).withColumn("distance", metres_to(F.col("rings"), F.col("x"), F.col("y"))).where(F.col("distance") <= metres)
+    best = met.groupBy("point_id").agg(F.min(F.struct("distance", "parcel_id")).alias("b"))
+    return best.select("point_id", F.col("b.parcel_id").alias("parcel_id"), F.col("b.distance").alias("distance"))

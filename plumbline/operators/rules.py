@@ -65,7 +65,8 @@ def evaluate(projects: DataFrame, facts: DataFrame, rules: DataFrame, checks: li
     met = projects.alias("p").join(chosen.alias("c"), scope, "left").select("p.project_id", "c.__rules").join(known, "project_id", "left")
     each = F.array(*[F.struct(F.lit(c).alias("check_key"), F.try_element_at("__rules", F.lit(c)).alias("r"), F.try_element_at("__facts", F.lit(c)).alias("f")) for c in checks])
     rows = met.select("project_id", F.explode(each).alias("x")).select("project_id", "x.check_key", "x.r.rule_id", "x.r.operator", "x.r.threshold", "x.f.value", "x.f.method")
-    ok = compare(F.col("value"), F.col("operator"), F.col("threshold"))
+    rows = rows.withColumn("__ok", compare(F.col("value"), F.col("operator"), F.col("threshold")))  # a column of its own, not computed again by each use
+    ok = F.col("__ok")
     reason = (
         F.when(F.col("rule_id").isNull(), "no_rule")
         .when(F.col("method").isNull(), "no_fact")

@@ -442,6 +442,50 @@ def parcel_facts(spark, sf_dir):
     return places.parcel_facts(boxes.select("box_id", _ring("x0", "y0", "x1", "y1").alias("ring"), code.alias("codes")), "box_id")
 
 
+# The conic projection in SQL: constants of the ellipsoid, then a parcel's corners relative to its first.
+_E2 = "0.006694380022900788"
+_TF = lambda phi: f"(tan(pi() / 4 - {phi} / 2) / pow((1 - sqrt({_E2}) * sin({phi})) / (1 + sqrt({_E2}) * sin({phi})), sqrt({_E2}) / 2))"
+_MF = lambda phi: f"(cos({phi}) / sqrt(1 - {_E2} * pow(sin({phi}), 2)))"
+_CONE = f"""cone AS (SELECT (ln({_MF("p1")}) - ln({_MF("p2")})) / (ln({_TF("p1")}) - ln({_TF("p2")})) AS n, {_MF("p1")} AS m1, {_TF("p1")} AS t1 FROM (SELECT radians(-18.0) AS p1, radians(-36.0) AS p2)),
+corners AS (SELECT parcel_id, k, lon, lat, 6378137.0 * m1 / (n * pow(t1, n)) AS big, 6378137.0 * m1 / (n * pow(t1, n)) * pow({_TF("radians(lat)")}, n) AS r, n * radians(lon - 134.0) AS th FROM cone,
+  (SELECT parcel_id, unnest(range(4)) AS k, unnest([x0, x1, x1, x0]) AS lon, unnest([y0, y0, y1, y1]) AS lat FROM {{lots}})),
+flat AS (SELECT parcel_id, k, r * sin(th) AS x, big - r * cos(th) AS y FROM corners),
+sides AS (SELECT a.parcel_id, a.x - o.x AS u, a.y - o.y AS v, b.x - o.x AS u2, b.y - o.y AS v2 FROM flat a JOIN flat b ON a.parcel_id = b.parcel_id AND b.k = (a.k + 1) % 4 JOIN flat o ON o.parcel_id = a.parcel_id AND o.k = 0)"""
+
+
+@query(f"""WITH {_CONE}, told AS (SELECT parcel_id, abs(sum(u * v2 - u2 * v)) / 2 AS area, max(u) - min(u) AS width, max(v) - min(v) AS depth, list_reverse_sort(list(sqrt(pow(u2 - u, 2) + pow(v2 - v, 2)))) AS d FROM sides GROUP BY 1)
+SELECT parcel_id, round(area * CASE WHEN parcel_id % 3 = 0 THEN 0.75 ELSE 1 END, -1) AS area, round(width, 2) AS width, round(depth, 2) AS depth, round(d[1], 2) AS frontage, d[2] >= 0.6 * d[1] AS corner_lot FROM told""")
+def parcel_geodesy(spark, sf_dir):
+    """MTH-11, SRC-06: area without holes, sides of the envelope, frontage and corner lots of parcels in degrees, in metres of the conic
+    projection; areas to ten square metres."""
+    lots = _lots(spark, sf_dir)
+    m = geo.polygon_metrics(F.col("rings"))
+    return lots.select("parcel_id", F.round(m["area"], -1).alias("area"), F.round(m["width"], 2).alias("width"), F.round(m["depth"], 2).alias("depth"), F.round(m["longest_edge"], 2).alias("frontage"), m["corner_lot"].alias("corner_lot"))
+
+
+@query(f"""WITH places AS (SELECT point_id, 115.8 + x / 1000 AS lon, -32.0 - y / 1000 AS lat FROM {{points}}),
+met AS (SELECT point_id, parcel_id, x0, x1, y0, y1, x1 - x0 AS w, y1 - y0 AS h, lon, lat, parcel_id % 3 = 0 AS holed, unnest([6378137.0 * cos(radians(lat)) / sqrt(1 - {_E2} * pow(sin(radians(lat)), 2))]) AS ex, 6378137.0 * (1 - {_E2}) / pow(1 - {_E2} * pow(sin(radians(lat)), 2), 1.5) AS ny
+  FROM places JOIN {{lots}} ON lon BETWEEN x0 - 0.001 AND x1 + 0.001 AND lat BETWEEN y0 - 0.001 AND y1 + 0.001),
+told AS (SELECT *, lon > x0 AND lon < x1 AND lat > y0 AND lat < y1 AS inside, holed AND lon > x0 + w / 4 AND lon < x1 - w / 4 AND lat > y0 + h / 4 AND lat < y1 - h / 4 AS hole FROM met),
+far AS (SELECT point_id, parcel_id, CASE WHEN inside AND NOT hole THEN 0.0 WHEN hole THEN least(least(lon - x0 - w / 4, x1 - w / 4 - lon) * radians(1) * ex, least(lat - y0 - h / 4, y1 - h / 4 - lat) * radians(1) * ny)
+  ELSE sqrt(pow(greatest(x0 - lon, lon - x1, 0.0) * radians(1) * ex, 2) + pow(greatest(y0 - lat, lat - y1, 0.0) * radians(1) * ny, 2)) END AS d FROM told)
+SELECT point_id, arg_min(parcel_id, struct_pack(d := d, i := parcel_id)) AS parcel_id, round(min(d), 3) AS distance FROM far WHERE d <= 40 GROUP BY point_id""")
+def parcels_within(spark, sf_dir):
+    """JN-11: the nearest parcel within forty metres of each point, on the ellipsoid, points in holes too."""
+    places_ = view(spark, sf_dir, "points").select("point_id", (115.8 + F.col("x") / 1000).alias("x"), (-32.0 - F.col("y") / 1000).alias("y"))
+    out = geo.parcels_within(places_, _lots(spark, sf_dir), 0.002, 40.0)
+    return out.withColumn("distance", F.round("distance", 3))
+
+
+def _lots(spark, sf_dir):
+    """Parcels in degrees; every third has a hole of half its width and height in the middle."""
+    lots = view(spark, sf_dir, "lots")
+    w, h = (F.col("x1") - F.col("x0")) / 4, (F.col("y1") - F.col("y0")) / 4
+    inner = lots.withColumns({"__x0": F.col("x0") + w, "__x1": F.col("x1") - w, "__y0": F.col("y0") + h, "__y1": F.col("y1") - h})
+    rings = F.when(F.col("parcel_id") % 3 == 0, F.array(_ring("x0", "y0", "x1", "y1"), _ring("__x0", "__y0", "__x1", "__y1"))).otherwise(F.array(_ring("x0", "y0", "x1", "y1")))
+    return inner.select("parcel_id", rings.alias("rings"))
+
+
 # Sources, sinks and streams
 
 

@@ -63,6 +63,8 @@ SELECT c_custkey AS point_id, CAST(c_custkey * 37 % 1000 AS DOUBLE) / 10 + 0.05
     "boxes": """
 SELECT s_suppkey AS box_id, CAST(s_suppkey * 13 % 95 AS DOUBLE) AS x0, CAST(s_suppkey * 29 % 93 AS DOUBLE) AS y0,
   CAST(s_suppkey * 13 % 95 + 1 + s_suppkey % 4 AS DOUBLE) AS x1, CAST(s_suppkey * 29 % 93 + 1 + s_suppkey % 3 AS DOUBLE) AS y1 FROM {supplier}""",
+    "lots": """
+SELECT box_id AS parcel_id, 115.8 + x0 / 1000 AS x0, 115.8 + x1 / 1000 AS x1, -32.0 - y1 / 1000 AS y0, -32.0 - y0 / 1000 AS y1 FROM {boxes}""",
     "spend": """
 SELECT event_id, user_id, event_type, CAST(date_trunc('day', ts) AS DATE) AS day, ts, CAST(round(coalesce(value, 0) * 100) AS BIGINT) AS cents FROM {events}""",
     "addresses": """

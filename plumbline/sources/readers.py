@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import geodesy
+
 
 def addresses_csv(spark: SparkSession, path: str, parts: tuple[str, ...] = (), sep: str | None = None) -> DataFrame:
     """SRC-05: a headed file of address points, its separator a tab if the header has one, else |. The address is put together
@@ -47,55 +49,20 @@ def json_lines(spark: SparkSession, path: str, schema: str | None = None) -> Dat
 
 
 def geojson(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-06: a row for each polygon: feature number, properties as JSON, and the outer ring."""
-    kind = "features array<struct<properties:string,geometry:struct<type:string,coordinates:string>>>"
-    features = spark.read.schema(kind).json(path, multiLine=True).select(F.posexplode("features").alias("feature", "f"))
+    """SRC-06: a row for each polygon of feature collections: feature number, properties as JSON, the outer ring, and all rings, holes
+    behind it. Other shapes are left out. Places of a collection that declares GDA94 are changed to GDA2020."""
+    kind = "crs struct<properties:struct<name:string>>, features array<struct<properties:string,geometry:struct<type:string,coordinates:string>>>"
+    old = F.coalesce(F.col("crs.properties.name").rlike(r"(?i)EPSG:+4283$"), F.lit(False))
+    features = spark.read.schema(kind).json(path, multiLine=True).select(old.alias("old"), F.posexplode("features").alias("feature", "f"))
     shape, coordinates = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
     one = F.array(F.from_json(coordinates, "array<array<array<double>>>"))
     many = F.from_json(coordinates, "array<array<array<array<double>>>>")
-    polygons = F.when(shape == "Polygon", one).when(shape == "MultiPolygon", many)
-    rows = features.select("feature", F.col("f.properties").alias("properties"), F.explode(polygons).alias("rings"))
-    return rows.select("feature", "properties", F.transform(F.get("rings", F.lit(0)), lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))).alias("ring"))
-
-
-class _Text(HTMLParser):
-    BLOCKS = ("title", "h1", "h2", "h3", "p", "li")
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.texts: dict[str, list[str]] = {b: [] for b in self.BLOCKS}
-        self.links: list[str] = []
-        self.open: list[tuple[str, list[str]]] = []
-        self.hidden = 0
-
-    def handle_starttag(self, tag, attrs):
-        if tag in ("script", "style", "noscript", "svg"):
-            self.hidden += 1
-        if tag == "a" and (href := dict(attrs).get("href")):
-            self.links.append(href)
-        if tag in self.texts:
-            self.open.append((tag, []))
-
-    def handle_endtag(self, tag):
-        if tag in ("script", "style", "noscript", "svg"):
-            self.hidden = max(0, self.hidden - 1)
-        if any(t == tag for t, _ in self.open):
-            while self.open:
-                t, got = self.open.pop()
-                if text := " ".join("".join(got).split()):
-                    self.texts[t].append(text)
-                if t == tag:
-                    break
-
-    def handle_data(self, data):
-        if not self.hidden:
-            for _, got in self.open:
-                got.append(data)
-
-    def close(self):
-        super().close()
-        while self.open:
-            self.handle_endtag(self.open[-1][0])
+    rows = features.select("feature", "old", F.col("f.properties").alias("properties"), F.explode(F.when(shape == "Polygon", one).when(shape == "MultiPolygon", many)).alias("rings"))
+    place = lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))
+    placed = F.transform("rings", lambda r: F.transform(r, place))
+    changed = F.transform("rings", lambda r: F.transform(r, lambda p: geodesy.to_gda2020(F.get(p, F.lit(0)), F.get(p, F.lit(1)))))
+    rows = rows.withColumn("rings", F.when(F.col("old"), changed).otherwise(placed))
+    return rows.select("feature", "properties", F.get("rings", F.lit(0)).alias("ring"), "rings")
 
 
 def html_text(pages: DataFrame, key: str = "page_id", html: str = "html", max_links: int = 80) -> DataFrame:
