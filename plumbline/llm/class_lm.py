@@ -1,12 +1,18 @@
 """Language-model scoring with Brown classes: exchange clustering assigns words to classes; smoothed class transitions and
 word emissions give each text's log10 probability, next to an add-one unigram score.
 
-Word counts cover every training document. Words with at least 1 / CLUSTER_SHARE of all training tokens (so at most that
-many) are clustered by exchange on the bigram counts of the whole corpus; all other words share classes by their shape. Words
-with at least 1 / HEAD_SHARE of the tokens travel with the scoring tasks; all rarer ones meet their counts in a join.
+Word counts cover every training document, and every word that occurs twice or more is clustered. Words with at least
+1 / CLUSTER_SHARE of all training tokens (so at most that many) move in rounds of exchange on the bigram counts of the whole
+corpus, in which all others stand by their shape. Then each of the others moves to the class that raises the bigram likelihood
+most: the classes beside its places are gathered by word, a byte a neighbour, and words move in batches against the class
+counts. The classes are a table; only words with at least 1 / HEAD_SHARE of the tokens travel with the tasks. Words that occur
+once or never are told apart by their shape. Documents become sequences of classes, for which their rarer words meet counts
+and classes in a join; transitions are counted on the training sequences, and the same sequences are scored.
 
 Defined cases: a null or empty text has the end token only; documents with a null id are training documents; repeated rows
-are scored each on its own; without training documents all counts are zero.
+are scored each on its own; without training documents all counts are zero; work is linear in a text's length; of classes that
+raise the likelihood equally the first is taken; an empty table gives an empty result; other columns, whatever their names,
+are left out.
 """
 
 from __future__ import annotations
@@ -189,94 +195,248 @@ def cluster(bigrams: DataFrame, n_words: int, end: int, classes: int = CLASSES,
     return cls
 
 
+def _contexts(prepared: DataFrame, index: dict[bytes, int], cls: np.ndarray, classes: int) -> DataFrame:
+    """word and blob of the words that are not in `index`: the classes beside its places, a byte each, those behind it from 128 on.
+    A task sends a word's bytes together, some million places at a time."""
+    base = len(index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, kinds, held, n = dict(index), [int(c) for c in cls[:base]], [], 0
+
+        def flush() -> pa.RecordBatch:
+            words, k = list(memo)[base:], np.array(kinds, np.uint8)
+            ids = np.array(held, np.int64)
+            at = np.flatnonzero(ids >= base)
+            word = ids[at] - base
+            around = np.concatenate([[k[index[END]]], k[ids], [0]])
+            order = np.argsort(word, kind="stable")
+            codes = np.stack([around[at], around[at + 2] + 128], axis=1).astype(np.uint8)[order]
+            found, starts = np.unique(word[order], return_index=True)
+            ends = np.append(starts, len(order)).astype(np.int32) * 2
+            blobs = pa.Array.from_buffers(pa.binary(), len(found), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(codes))])
+            out = pa.RecordBatch.from_arrays([pa.array([words[i] for i in found], pa.binary()), blobs], ["word", "blob"])
+            memo.clear()
+            memo.update(index)
+            del kinds[base:]
+            held.clear()
+            return out
+
+        for batch in batches:
+            for text in batch.column("__text").to_pylist():
+                get = memo.get
+                for w in tokens(text):
+                    i = get(w)
+                    if i is None:
+                        i = memo[w] = len(kinds)
+                        kinds.append(classes + 1 + shape(w))
+                    held.append(i)
+                if len(held) > 1_000_000 or len(kinds) > base + 150_000:
+                    yield flush()
+        if held:
+            yield flush()
+
+    return prepared.where("NOT held_out").select("__text").mapInArrow(run, "word binary, blob binary").groupBy("word").agg(F.collect_list("blob").alias("blobs"))
+
+
+def best_classes(n: np.ndarray, codes: np.ndarray, sizes: np.ndarray, n_free: int) -> np.ndarray:
+    """The class (below n_free) of each word that raises the bigram likelihood most when it is added there. n: class bigram counts;
+    codes: the classes beside the words' places (behind: from 128 on), word after word; sizes: codes of each word."""
+    word = np.repeat(np.arange(len(sizes)), sizes)
+    pair, count = np.unique(word * 256 + codes, return_counts=True)
+    word, code = pair // 256, pair % 256
+    behind, k = code >= 128, code % 128
+    held = np.where(behind[:, None], n[:n_free, k].T, n[k, :n_free])
+    gain = np.add.reduceat(_f(held + count[:, None]) - _f(held), np.searchsorted(word, np.arange(len(sizes))), axis=0)
+    side = np.zeros((2, len(sizes), n_free))
+    free = k < n_free
+    side[behind[free].astype(int), word[free], k[free]] = count[free]
+    p, s, d = side[0], side[1], np.diag(n)[:n_free]
+    gain += _f(d + s + p) - _f(d + s) - _f(d + p) + _f(d)
+    c = (sizes / 2)[:, None]
+    for total in (n.sum(axis=1)[:n_free], n.sum(axis=0)[:n_free]):
+        gain -= _f(total + c) - _f(total)
+    return gain.argmax(axis=1)
+
+
+def _rare_classes(contexts: DataFrame, n: np.ndarray, classes: int) -> DataFrame:
+    """word, c and k of every word of `contexts` that occurs twice or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blobs = [b"".join(parts) for parts in batch.column("blobs").to_pylist()]
+            many = [i for i, b in enumerate(blobs) if len(b) >= 4]
+            for at in range(0, len(many), 2_048):
+                own = many[at : at + 2_048]
+                sizes = np.array([len(blobs[i]) for i in own])
+                k = best_classes(n, np.frombuffer(b"".join(blobs[i] for i in own), np.uint8).astype(np.int64), sizes, classes)
+                yield pa.RecordBatch.from_arrays([batch.column("word").take(pa.array(own)), pa.array(sizes // 2), pa.array(k, pa.int32())], ["word", "c", "k"])
+
+    return contexts.mapInArrow(run, "word binary, c bigint, k int")
+
+
+def _class_counts(bigrams: DataFrame, cls: np.ndarray, total: int) -> np.ndarray:
+    spark = bigrams.sparkSession
+    table = F.broadcast(spark.createDataFrame([(i, int(c)) for i, c in enumerate(cls)], "w int, c int"))  # at most CLUSTER_SHARE rows
+    sums = bigrams.join(table.select(F.col("w").alias("i"), F.col("c").alias("ci")), "i").join(table.select(F.col("w").alias("j"), F.col("c").alias("cj")), "j")
+    n = np.zeros((total, total))
+    for a, b, x in sums.groupBy("ci", "cj").agg(F.sum("n")).collect():
+        n[a, b] = x
+    return n
+
+
+def word_classes(prepared: DataFrame, counts: DataFrame, n: int, scratch: Scratch, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[dict[bytes, tuple[int, int]], DataFrame]:
+    """Class and count of the frequent words, and the table (word, c, k) of all others that occur twice or more."""
+    kept = counts.where(F.col("c") * CLUSTER_SHARE >= n).collect()  # at most CLUSTER_SHARE rows
+    index = {bytes(r["word"]): i for i, r in enumerate(sorted((r for r in kept if r["word"] != END), key=lambda r: (-r["c"], r["word"])))}
+    index[END] = len(index)
+    bigrams = scratch.write(_bigrams(prepared, index), "bigrams")
+    total = classes + 1 + SHAPES
+    cls = cluster(bigrams, len(index), index[END], classes, rounds) if n else np.array([classes] + [classes + 1 + k for k in range(SHAPES)])
+    rare = _rare_classes(_contexts(prepared, index, cls, classes), _class_counts(bigrams, cls, total), classes)
+    rare = scratch.write(rare, "classes")
+    scratch.drop("bigrams")
+    size = {bytes(r["word"]): r["c"] for r in kept}
+    return {w: (int(cls[i]), size.get(w, 0)) for w, i in index.items()}, rare
+
+
+def _sequences(prepared: DataFrame, counts: DataFrame, known: dict[bytes, tuple[int, int]], rare: DataFrame, spread: np.ndarray, base_log: float, classes: int, scratch: Scratch) -> DataFrame:
+    """doc_id, held_out, n_tokens, known, b (unigram score), e (emission score) and seq (a class a byte) of every document."""
+    kinds = {"n_tokens": pa.int64(), "known": pa.int64(), "b": pa.float64(), "e": pa.float64(), "seq": pa.binary(), "which": pa.binary(), "rare": pa.list_(pa.binary()), "times": pa.list_(pa.int32())}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = {w: i for i, w in enumerate(known)}
+        k_of = np.array([k for k, _ in known.values()], np.int64)
+        c_of = np.array([c for _, c in known.values()], float)
+        e_of, b_of = np.log10(c_of + EMISSION_ADD) - spread[k_of], np.log10(c_of + 1) - base_log
+        get = number.get
+        for batch in batches:
+            rows = []
+            for text in batch.column("__text").to_pylist():
+                own: dict[bytes, int] = {}
+                seq = []
+                for w in tokens(text):
+                    i = get(w)
+                    seq.append(-1 - own.setdefault(w, len(own)) if i is None else i)
+                seq = np.array(seq, np.int64)
+                there = seq >= 0
+                ids, which = seq[there], -1 - seq[~there]
+                kseq = np.full(len(seq), 255, np.uint8)
+                kseq[there] = k_of[ids]
+                times = np.bincount(which, minlength=len(own)).astype(np.int32)
+                packed = which.astype(np.uint16 if len(own) <= 1 << 16 else np.uint32)
+                rows.append((len(seq), int((c_of[ids] > 0).sum()), float(b_of[ids].sum()), float(e_of[ids].sum()), kseq.tobytes(), packed.tobytes(), list(own), times))
+            columns = list(zip(*rows)) if rows else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "held_out", "key")] + [pa.array(c, t) for c, t in zip(columns, kinds.values())], ["doc_id", "held_out", "key", *kinds])
+
+    kind = prepared.schema["doc_id"].dataType.simpleString()
+    rows = prepared.mapInArrow(run, f"doc_id {kind}, held_out boolean, key bigint, n_tokens bigint, known bigint, b double, e double, seq binary, which binary, rare array<binary>, times array<int>")
+    rows = scratch.write(rows, "documents")
+    words = rows.dropDuplicates(["key"]).select("key", F.posexplode(F.arrays_zip("rare", "times")).alias("i", "r")).select("key", "i", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
+    c = F.coalesce("c", F.lit(0))
+    letters = F.regexp_replace(F.col("word").cast("string"), r"^[.,;:!?]+|[.,;:!?]+\z", "")
+    met = words.join(counts, "word", "left").join(rare.select("word", "k"), "word", "left")
+    met = met.withColumn("k", F.coalesce("k", F.lit(classes + 1) + _shape_column(F.col("word"), letters)))
+    spread_of = F.get(F.array(*[F.lit(float(x)) for x in spread]), F.col("k"))
+    found = met.groupBy("key").agg(
+        F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("known2"),
+        F.sum(F.col("times") * (F.log10(c + 1.0) - F.lit(base_log))).alias("b2"),
+        F.sum(F.col("times") * (F.log10(c + EMISSION_ADD) - spread_of)).alias("e2"),
+        F.transform(F.sort_array(F.collect_list(F.struct("i", F.col("k").cast("tinyint").alias("k")))), lambda x: x["k"]).alias("ks"),
+    )
+    both = rows.drop("rare", "times").join(found, "key", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("known2", F.lit(0))).alias("known"), (F.col("b") + F.coalesce("b2", F.lit(0.0))).alias("b"),
+        (F.col("e") + F.coalesce("e2", F.lit(0.0))).alias("e"), "seq", "which", "ks",
+    )
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = []
+            for seq, which, ks in zip(*(batch.column(c).to_pylist() for c in ("seq", "which", "ks"))):
+                if ks:
+                    wide = np.uint16 if len(ks) <= 1 << 16 else np.uint32
+                    full = np.frombuffer(seq, np.uint8).copy()
+                    full[full == 255] = np.array(ks, np.uint8)[np.frombuffer(which, wide)]
+                    seq = full.tobytes()
+                done.append(seq)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names[:6]), pa.array(done, pa.binary())], [*batch.schema.names[:6], "seq"])
+
+    filled = scratch.write(both.mapInArrow(fill, f"doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, b double, e double, seq binary"), "sequences")
+    scratch.drop("documents")
+    return filled
+
+
+def _moves(seqs: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Classes before and at each place of sequences that each end in the end token, whose class also stands before the first."""
+    k = np.frombuffer(b"".join(seqs), np.uint8).astype(np.int64)
+    return np.concatenate([[end], k[:-1]]), k
+
+
+def _transitions(sequences: DataFrame, total: int, end: int) -> np.ndarray:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(total * total, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                before, at = _moves(batch.column("seq").to_pylist(), end)
+                n += np.bincount(before * total + at, minlength=total * total)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["pair", "n"])
+
+    out = np.zeros(total * total)
+    for pair, n in sequences.where("NOT held_out").select("seq").mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n")).collect():
+        out[pair] = n
+    return out.reshape(total, total)
+
+
 def score(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity (per token) of every document."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "class-lm")
+    scratch = Scratch(docs.sparkSession, "class-lm")
     prepared = _prepared(docs)
     counts = scratch.write(word_counts(prepared), "counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    kept = counts.where((F.col("c") * HEAD_SHARE >= n) & (F.octet_length("word") <= HEAD_BYTES)).orderBy(F.desc("c"), "word").collect()  # at most HEAD_SHARE rows
-    head = {bytes(r["word"]): r["c"] for r in kept}
-    clustered = [w for w, c in head.items() if c * CLUSTER_SHARE >= n and w != END] + [END]
-    index = {w: i for i, w in enumerate(clustered)}
-    base, end = len(index), index[END]
-    bigrams = scratch.write(_bigrams(prepared, index), "bigrams")
-    cls = cluster(bigrams, base, end, classes, rounds) if n else np.array([classes] + [classes + 1 + k for k in range(SHAPES)])
+    known, rare = word_classes(prepared, counts, n, scratch, classes, rounds)
     total = classes + 1 + SHAPES
-    trans = np.zeros((total, total))
-    table = F.broadcast(spark.createDataFrame([(i, int(c)) for i, c in enumerate(cls)], "w int, c int"))
-    sums = bigrams.join(table.select(F.col("w").alias("i"), F.col("c").alias("ci")), "i").join(table.select(F.col("w").alias("j"), F.col("c").alias("cj")), "j")
-    for a, b, x in sums.groupBy("ci", "cj").agg(F.sum("n")).collect():
-        trans[a, b] = x
-    log_trans = np.log10((trans + TRANSITION_ADD) / (trans.sum(axis=1, keepdims=True) + TRANSITION_ADD * total))
     size, types = np.zeros(total), np.zeros(total)
-    for w, i in index.items():
-        size[cls[i]] += head.get(w, 0)
-        types[cls[i]] += 1
+    for k, c in known.values():
+        size[k] += c
+        types[k] += c > 0
+    frequent = set(known)
 
     def shapes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k = [total if w in index else classes + 1 + shape(w) for w in batch.column("word").to_pylist()]
+            k = [total if w in frequent else classes + 1 + shape(w) for w in batch.column("word").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), batch.column("c")], ["k", "c"])
 
-    for k, c, m in counts.mapInArrow(shapes_of, "k int, c bigint").groupBy("k").agg(F.sum("c"), F.count(F.lit(1))).collect():
+    once = counts.where("c = 1").mapInArrow(shapes_of, "k int, c bigint")
+    for k, c, m in once.unionByName(rare.select("k", "c")).groupBy("k").agg(F.sum("c"), F.count(F.lit(1))).collect():
         if k < total:
-            size[k], types[k] = c, m
+            size[k], types[k] = size[k] + c, types[k] + m
     spread = np.log10(np.maximum(size + EMISSION_ADD * (types + 1), 1e-300))
-    base_log = math.log10(n + v + 1)
-    known = {w: (int(cls[index[w]]) if w in index else classes + 1 + shape(w), c) for w, c in head.items()}
-    known.setdefault(END, (classes, 0))
+    for r in rare.where((F.col("c") * HEAD_SHARE >= n) & (F.octet_length("word") <= HEAD_BYTES)).collect():  # at most HEAD_SHARE rows
+        known[bytes(r["word"])] = (r["k"], r["c"])
+    sequences = _sequences(prepared, counts, known, rare, spread, math.log10(n + v + 1), classes, scratch)
+    trans = _transitions(sequences, total, classes)
+    log_trans = np.log10((trans + TRANSITION_ADD) / (trans.sum(axis=1, keepdims=True) + TRANSITION_ADD * total))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {w: i for i, w in enumerate(known)}
-        k_of = np.array([k for k, _ in known.values()])
-        c_of = np.array([c for _, c in known.values()], float)
-        e_of, b_of, base_n = np.log10(c_of + EMISSION_ADD) - spread[k_of], np.log10(c_of + 1) - base_log, len(number)
         for batch in batches:
-            rows = []
-            for text in batch.column("__text").to_pylist():
-                words = tokens(text)
-                rare: Counter = Counter()
-                ids, k = [], []
-                for w in words:
-                    i = number.get(w)
-                    if i is None:
-                        rare[w] += 1
-                        k.append(classes + 1 + shape(w))
-                    else:
-                        ids.append(i)
-                        k.append(-1)
-                ids, k = np.array(ids, np.int64), np.array(k, np.int64)
-                k[k < 0] = k_of[ids]
-                moves = log_trans[np.concatenate([[classes], k[:-1]]), k].sum()
-                rows.append((len(words), int((c_of[ids] > 0).sum()), float(b_of[ids].sum()), float(moves + e_of[ids].sum()), list(rare), list(rare.values())))
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()))
-            columns = list(zip(*rows)) if rows else [()] * 6
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "held_out", "key")] + [pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "held_out", "key", "n_tokens", "known", "b", "e", "rare", "times"])
+            if batch.num_rows:
+                seqs = batch.column("seq").to_pylist()
+                starts = np.concatenate([[0], np.cumsum([len(s) for s in seqs])[:-1]])
+                moves = np.add.reduceat(log_trans[_moves(seqs, classes)], starts)
+                scores = batch.column("e").to_numpy() + moves
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names[:5]), pa.array(scores)], [*batch.schema.names[:5], "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = prepared.mapInArrow(run, f"doc_id {kind}, held_out boolean, key bigint, n_tokens bigint, known bigint, b double, e double, rare array<binary>, times array<int>")
-    rows = scratch.write(rows, "documents")
-    rare = rows.dropDuplicates(["key"]).select("key", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("key", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
-    c = F.coalesce("c", F.lit(0))
-    letters = F.regexp_replace(F.col("word").cast("string"), r"^[.,;:!?]+|[.,;:!?]+\z", "")
-    spread_of = F.get(F.array(*[F.lit(float(x)) for x in spread[classes + 1 :]]), _shape_column(F.col("word"), letters))
-    scored = rare.join(counts, "word", "left").groupBy("key").agg(
-        F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("known2"),
-        F.sum(F.col("times") * (F.log10(c + 1.0) - F.lit(base_log))).alias("b2"),
-        F.sum(F.col("times") * (F.log10(c + EMISSION_ADD) - spread_of)).alias("e2"),
-    )
-    out = rows.drop("rare", "times").join(scored, "key", "left")
-    return out.select(
+    scored = sequences.select("doc_id", "held_out", "n_tokens", "known", "b", "e", "seq").mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, b double, score double")
+    return scored.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("known") + F.coalesce("known2", F.lit(0))).alias("n_known"),
+        F.col("known").alias("n_known"),
         F.lit(int(n)).cast("bigint").alias("train_tokens"),
-        (F.col("b") + F.coalesce("b2", F.lit(0.0))).alias("base_score"),
-        (F.col("e") + F.coalesce("e2", F.lit(0.0))).alias("score"),
-        F.pow(F.lit(10.0), -(F.col("e") + F.coalesce("e2", F.lit(0.0))) / F.col("n_tokens")).alias("perplexity"),
+        F.col("b").alias("base_score"),
+        "score",
+        F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
     )
 
 

@@ -271,6 +271,62 @@ def test_exchange_move_is_the_best_one():
         assert options[got] == pytest.approx(max(options), abs=1e-6)
 
 
+def test_rare_words_move_to_the_best_class():
+    rng = np.random.default_rng(4)
+    free, total = 3, 6
+    n = rng.integers(0, 40, (total, total)).astype(float)
+    f = lambda x: np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0).sum()
+    likely = lambda m: f(m) - f(m.sum(1)) - f(m.sum(0))
+    codes, sizes, want = [], [], []
+    for _ in range(40):
+        places = [(int(a), int(b)) for a, b in rng.integers(0, total, (rng.integers(2, 9), 2))]
+        options = []
+        for k in range(free):
+            m = n.copy()
+            for before, after in places:
+                m[before, k] += 1
+                m[k, after] += 1
+            options.append(likely(m))
+        codes += [c for before, after in places for c in (before, after + 128)]
+        sizes.append(2 * len(places))
+        want.append(options)
+    got = class_lm.best_classes(n, np.array(codes), np.array(sizes), free)
+    assert all(options[k] == pytest.approx(max(options), abs=1e-6) for k, options in zip(got, want))
+
+
+def test_class_lm_score_equals_plain(spark, tiny, tmp_path, monkeypatch):
+    """Every word that occurs twice has a class, and scores follow from the classes alone."""
+    monkeypatch.setattr(class_lm, "CLUSTER_SHARE", 400)
+    monkeypatch.setattr(class_lm, "HEAD_SHARE", 3_000)
+    kept = {}
+    monkeypatch.setattr(class_lm, "word_classes", lambda *a, f=class_lm.word_classes: kept.setdefault("classes", f(*a)))
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    rows = {r["doc_id"]: r for r in class_lm.score(docs, classes=8, rounds=2).collect()}
+    frequent, rare = kept["classes"]
+    k_of = {w: k for w, (k, _) in frequent.items()} | {bytes(r["word"]): r["k"] for r in rare.collect()}
+    texts = {d: class_lm.tokens(t or "") for d, t in texts_of(spark, tiny)}
+    counts = Counter(w for d, ws in texts.items() if not rows[d]["held_out"] for w in ws)
+    assert {w for w, c in counts.items() if c > 1} <= set(k_of) and all(k <= 8 for k in k_of.values())
+    kind = lambda w: k_of.get(w, 9 + class_lm.shape(w))
+    moves, size, types = Counter(), Counter(), Counter()
+    for w, c in counts.items():
+        size[kind(w)] += c
+        types[kind(w)] += 1
+    for d, ws in texts.items():
+        if not rows[d]["held_out"]:
+            ks = [8, *map(kind, ws)]
+            moves.update(zip(ks, ks[1:]))
+    out = Counter()
+    for (a, _), n in moves.items():
+        out[a] += n
+    total = 9 + class_lm.SHAPES
+    for d, ws in texts.items():
+        ks = [8, *map(kind, ws)]
+        want = sum(math.log10((moves[p] + 0.5) / (out[p[0]] + 0.5 * total)) for p in zip(ks, ks[1:]))
+        want += sum(math.log10((counts[w] + 0.5) / (size[kind(w)] + 0.5 * (types[kind(w)] + 1))) for w in ws)
+        assert rows[d]["score"] == pytest.approx(want, rel=1e-9), d
+
+
 def test_class_lm_edge_cases(edge, empty):
     got = class_lm.score(edge, classes=4, rounds=2)
     rows = got.collect()
