@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import embedding, findings, manifest, search
+from ..operators import derivation as D
 from ..operators import keys as K
 from ..operators import measurements as M
 from ..sources import readers, robots
@@ -182,3 +183,40 @@ def manifest_import(spark, sf_dir):
     entries = readers.yaml_entries(spark, path)
     known = manifest.import_entries(entries.where(F.col("fields")["title"] == "Page 7"), entries.select(F.lit("").alias("identity")).limit(0)).select("identity")
     return manifest.import_report(manifest.import_entries(entries, known, "albany "))
+
+
+# Derived checks and clauses
+
+_FACT_CASE = " ".join(f"WHEN contains(k, '{w}') THEN '{','.join(v)}'" for w, v in D.FACTS)
+_UNIT_CASE = "CASE lower(unit) " + " ".join(f"WHEN '{u}' THEN '{e}'" for u, e in D.UNIT_ENDS.items()) + " ELSE 'count' END"
+
+
+@query(f"""WITH kept AS (SELECT * FROM {{derivable}} WHERE state = 'approved' AND trim(canonical) <> ''),
+units AS (SELECT canonical, arg_min(unit, struct_pack(a := -n, b := unit)) AS unit FROM (SELECT canonical, coalesce(unit, '') AS unit, count(*) AS n FROM kept GROUP BY 1, 2) GROUP BY 1),
+sources AS (SELECT canonical, arg_min(s, struct_pack(a := -n, b := s)) AS source FROM (SELECT canonical, CAST(source_version_id AS STRING) AS s, count(*) AS n FROM kept WHERE source_version_id IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
+sums AS (SELECT canonical, count(*) AS n, arg_min(quote, struct_pack(a := -length(quote), b := quote)) FILTER (quote IS NOT NULL) AS quote FROM kept GROUP BY 1 HAVING count(*) >= 5),
+told AS (SELECT trim(canonical) AS k, n, trim(unit) AS unit, coalesce(source, '') AS source, substr(trim(replace(coalesce(quote, ''), chr(10), ' ')), 1, 140) AS q FROM sums JOIN units USING (canonical) LEFT JOIN sources USING (canonical))
+SELECT k AS check_key, CASE WHEN n >= 20 THEN 'TIER1' ELSE 'TIER2' END AS tier, CASE {" ".join(f"WHEN contains(k, '{w}') THEN '{c}'" for w, c in D.CATEGORIES)} ELSE 'OTHER' END AS category, unit,
+  CASE {_FACT_CASE} ELSE 'proposed_' || k || '_' || {_UNIT_CASE} END AS fact_keys, n AS n_approved,
+  'Advisory check derived from ' || n || ' approved rules for ''' || replace(k, '_', ' ') || '''.' || CASE WHEN source <> '' THEN ' Most-cited source_version ' || source || '.' ELSE '' END || CASE WHEN q <> '' THEN ' e.g. "' || q || '"' ELSE '' END AS description
+FROM told WHERE regexp_matches(k, '^[a-z][a-z0-9_]{{{{2,160}}}}$') AND k NOT IN ('site_cover', 'wall_height') AND NOT regexp_matches(k, '{"|".join(K.NO_RULES)}')""")
+def derived_checks(spark, sf_dir):
+    """DOM-14, AGG-07, AGG-08, AGG-10: derived checks with tier, category, unit, facts and description."""
+    out = D.derive_checks(view(spark, sf_dir, "derivable"), ["site_cover", "wall_height"])
+    return out.withColumn("fact_keys", F.array_join("fact_keys", ","))
+
+
+_MARK = D.CLAUSE_MARK
+
+
+@query(rf"""WITH cut AS (SELECT version_id, chunk_index, text, regexp_extract_all(text, '{_MARK}', 1) AS paths, regexp_extract_all(text, '{_MARK}') AS marks, string_split(regexp_replace(text, '{_MARK}', '<|cut|>', 'g'), '<|cut|>') AS b FROM {{chunks}}),
+parts AS (SELECT version_id, chunk_index, unnest(CASE WHEN len(marks) = 0 THEN [struct_pack(o := 0, path := 'chunk-' || chunk_index, key := 'full', body := text)]
+  ELSE list_concat(CASE WHEN b[1] <> '' THEN [struct_pack(o := 0, path := 'chunk-' || chunk_index, key := 'intro', body := b[1])] ELSE [] END,
+    list_transform(marks, lambda m, i: struct_pack(o := i::INT, path := paths[i], key := regexp_replace(paths[i], '[^A-Za-z0-9]+', '_', 'g'), body := m || b[i + 1]))) END) AS p FROM cut),
+told AS (SELECT version_id, chunk_index, p.o AS o, p.path AS clause_path, 'chunk_' || CASE WHEN chunk_index < 1000 THEN lpad(chunk_index::VARCHAR, 3, '0') ELSE chunk_index::VARCHAR END || '_' || p.key AS clause_key, regexp_replace(p.body, '^\s+|\s+$', '', 'g') AS t FROM parts),
+kept AS (SELECT *, row_number() OVER (PARTITION BY version_id, clause_key ORDER BY chunk_index DESC, o DESC) AS k FROM told WHERE length(regexp_replace(t, '\s+', ' ', 'g')) >= 30)
+SELECT version_id, clause_key, clause_path, CASE WHEN regexp_matches(lower(t), '{"|".join(D.RULE_WORDS)}') THEN 'rule_bearing' WHEN regexp_matches(substr(lower(t), 1, 200), '\bmeans\b|\bis defined\b') THEN 'definition'
+  WHEN regexp_matches(lower(t), '{"|".join(D.PROCEDURE_WORDS)}') THEN 'procedural' ELSE 'informational' END AS disposition, sha256(t) AS text FROM kept WHERE k = 1""")
+def clause_pass(spark, sf_dir):
+    """DOM-12, WIN-10, PRJ-05: clauses of every document as a chunk, with planted marks; texts by their digest."""
+    return D.clause_pass(view(spark, sf_dir, "chunks")).withColumn("text", F.sha2("text", 256))

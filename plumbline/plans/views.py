@@ -83,6 +83,13 @@ FROM {supplier} JOIN {homes} ON address_id = s_suppkey * 7""",
 SELECT query_id, concat_ws(' ', w1, w2, w3) AS need, veto, 3 AS n FROM (SELECT item_id AS query_id, w1, w2, w3, veto FROM (
   SELECT item_id, regexp_extract(lower(text), '^[a-z0-9]+[^a-z0-9]+([a-z0-9]+)', 1) AS w1, regexp_extract(lower(text), '([a-z0-9]+)[^a-z0-9]+[a-z0-9]+[^a-z0-9]*$', 1) AS w2, 'the' AS w3, 'qqqq' AS veto FROM {benchmark}) x
   WHERE w1 <> w2 AND w1 <> 'the' AND w2 <> 'the' AND w1 <> '' AND w2 <> '') y""",
+    "derivable": """
+SELECT CASE p_partkey % 9 WHEN 0 THEN 'site_cover' WHEN 1 THEN ' fence_height ' WHEN 2 THEN 'Bad Key' WHEN 3 THEN 'fee_amount' WHEN 4 THEN '' WHEN 5 THEN 'min_frontage' WHEN 6 THEN 'boundary_wall_length' WHEN 7 THEN 'odd_' || CAST(p_partkey % 60 AS STRING) ELSE 'visitor_parking_bays' END AS canonical,
+  CASE WHEN p_partkey % 7 = 0 THEN 'pending' ELSE 'approved' END AS state, CASE p_size % 4 WHEN 0 THEN 'm' WHEN 1 THEN '%' WHEN 2 THEN ' M2 ' END AS unit, CASE WHEN p_partkey % 5 <> 0 THEN p_name || chr(10) || p_type || ' ' || p_brand END AS quote,
+  CASE WHEN p_partkey % 6 <> 0 THEN p_size % 3 END AS source_version_id FROM {part}""",
+    "chunks": """
+SELECT doc_id % 40 AS version_id, CAST((doc_id - doc_id % 40) / 40 AS BIGINT) AS chunk_index, CASE doc_id % 5 WHEN 0 THEN text WHEN 1 THEN chr(10) || '  C1.2 ' || text || chr(10) || 'P3.4.5   The wall shall not exceed three metres in height.' WHEN 2 THEN text || chr(10) || chr(10) || '1.2 short' || chr(10) || '2.3.4 "Lot" means a piece of land in this scheme.'
+  WHEN 3 THEN 'too short' ELSE '5.1 The application is made to the council in writing.' || chr(10) || text || chr(10) || ' 5.1 Repeated ' || text END AS text FROM {documents} WHERE text IS NOT NULL""",
     "key_rows": """
 SELECT p_partkey % 23 AS cluster, replace(norm, '_', CASE p_partkey % 3 WHEN 0 THEN ' ' WHEN 1 THEN '-' ELSE '_' END) AS rule_key, norm, p_size AS candidate_count, p_partkey % 4 <> 0 AS approved FROM (
   SELECT p_partkey, p_size, CASE p_partkey % 23 WHEN 0 THEN 'site_area' WHEN 1 THEN CASE p_partkey % 2 WHEN 0 THEN 'wall_height' ELSE 'open_space' END WHEN 2 THEN 'side_setback' WHEN 3 THEN 'fee_amount' WHEN 4 THEN '' ELSE 'key_' || CAST(p_partkey % 23 AS STRING) END ||
