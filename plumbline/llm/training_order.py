@@ -1,6 +1,9 @@
 """Training-order materialisation: every token sequence gets a global slot by a keyed permutation and is laid out in
 fixed-stride shards.
 
+Ranges of slots are ranges of whole shards, computed from the total: a task lays out one shard, or a few neighbouring ones where
+there are more than MOST_RANGES, and the files are written from that layout without another shuffle.
+
 A document's ids, closed by an end id, are cut into sequences of fixed length, the last one padded. Sequences are numbered
 densely by two-level prefix sums over blocks of about BLOCK_SEQUENCES; a Feistel network over the next power of four, walking its cycle until it lands below the
 number of sequences, permutes the numbers. Shard and offset follow from the slot, so reading resumes anywhere.
@@ -23,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 SEQUENCE, SHARD_SEQUENCES, BLOCK_SEQUENCES, ROUNDS = 1_024, 8_192, 65_536, 6
+#: Tasks that lay out shards, at most.
+MOST_RANGES = 20_000
 END, PAD = 256, 257
 
 
@@ -49,7 +54,7 @@ def permute(x: np.ndarray, n: int, key: int) -> np.ndarray:
 
 def training_order(docs: DataFrame, key: int = 1, sequence: int = SEQUENCE, shard_sequences: int = SHARD_SEQUENCES, tokens: str | None = None, end: int = END, pad: int = PAD) -> DataFrame:
     """slot, shard, byte_offset, doc_id, chunk, n_tokens and record (2 bytes an id, little-endian), in slot order, each task
-    with a range of slots. `tokens` names an array of ids below 65,536, with `end` and `pad` free among them; without it the
+    with a range of whole shards. `tokens` names an array of ids below 65,536, with `end` and `pad` free among them; without it the
     ids are the bytes of `text`. Ids are shuffled twice: to number sequences and to lay them out."""
     spark = docs.sparkSession
     width = 1 if tokens is None else 2
@@ -91,7 +96,9 @@ def training_order(docs: DataFrame, key: int = 1, sequence: int = SEQUENCE, shar
             yield pa.RecordBatch.from_arrays([batch.column("slot"), batch.column("shard"), pa.array(offset), batch.column("doc_id"), batch.column("chunk"), pa.array(n_tokens, pa.int32()), pa.array(out, pa.binary())], ["slot", "shard", "byte_offset", "doc_id", "chunk", "n_tokens", "record"])
 
     placed = chunks.mapInArrow(slots, f"slot bigint, shard bigint, doc_id {kind}, chunk int, __last boolean, __piece binary")
-    laid = placed.repartitionByRange(n_shards, "slot").sortWithinPartitions("slot")
+    n_ranges = min(n_shards, MOST_RANGES)
+    of = F.expr(f"cast(shard * {n_ranges} div {n_shards} as int)")
+    laid = placed.repartitionById(n_ranges, of).sortWithinPartitions("slot")
     return laid.mapInArrow(records, f"slot bigint, shard bigint, byte_offset bigint, doc_id {kind}, chunk int, n_tokens int, record binary")
 
 
@@ -107,9 +114,9 @@ def stride(sequence: int = SEQUENCE) -> int:
 
 
 def write_shards(ordered: DataFrame, path: str) -> None:
-    """One fixed-stride binary file for each shard, under shard=<n>/."""
+    """One fixed-stride binary file for each shard, under shard=<n>/, from the layout of `training_order`, whose tasks hold whole shards."""
     laid = ordered.select("shard", "slot", F.col("record").cast("string").alias("value"))
-    laid = laid.repartition("shard").sortWithinPartitions("shard", "slot").select("shard", "value")
+    laid = laid.sortWithinPartitions("shard", "slot").select("shard", "value")
     laid.write.partitionBy("shard").mode("overwrite").text(path)
 
 

@@ -490,7 +490,10 @@ def test_permutation_is_a_bijection():
 def test_training_order_files_resume(spark, edge, empty, tmp_path):
     ordered = training_order.training_order(edge, sequence=64, shard_sequences=100)
     assert Counter((r["doc_id"], r["chunk"], r["n_tokens"], bytes(r["record"])) for r in ordered.collect()) == sequences(EDGE, 64)
+    where = ordered.select("shard", F.spark_partition_id().alias("p")).distinct().collect()
+    assert len(where) == len({r["shard"] for r in where}) == len({r["p"] for r in where}) > 3  # a task a shard
     training_order.write_shards(ordered, str(tmp_path / "shards"))
+    assert all(len(list(d.glob("part-*"))) == 1 for d in (tmp_path / "shards").glob("shard=*"))
     want = {r["slot"]: bytes(r["record"]) for r in ordered.collect()}
     for start in (0, 150):
         got = {r["slot"]: bytes(r["record"]) for r in training_order.read_shards(spark, str(tmp_path / "shards"), start, 64, 100).collect()}
