@@ -26,6 +26,11 @@ def readiness(n_chunks: Column, n_citations: Column, low_signal: Column, approve
     return F.when(n_chunks == 0, "needs_parsing").when(low_signal, "low_signal").when(n_citations == 0, "needs_citations").when(~F.coalesce(approved, F.lit(False)), "needs_review").otherwise("ready")
 
 
+def in_state(rows: DataFrame, state: str | None, column: str = "readiness") -> DataFrame:
+    """FLT-10: rows in one state; all of them where none is asked."""
+    return rows if state is None else rows.where(F.col(column) == state)
+
+
 def _split_long(paragraph: Column, limit: int) -> Column:
     """A paragraph as its parts of `limit` characters at most: packed words, a longer word cut hard."""
     words = F.flatten(F.transform(F.filter(F.split(paragraph, r"(?U)\s+"), lambda w: w != ""), lambda w: F.when(F.length(w) <= limit, F.array(F.struct(w.alias("w"), F.lit(False).alias("cut")))).otherwise(F.transform(F.sequence(F.lit(0), F.floor((F.length(w) - 1) / limit).cast("int")), lambda i: F.struct(F.substr(w, i * limit + 1, F.lit(limit)).alias("w"), F.lit(True).alias("cut"))))))

@@ -97,3 +97,14 @@ def after_key(df: DataFrame, key: str, last: int | None, limit: int) -> DataFram
 def load_partitions(df: DataFrame, path: str, dataset: str) -> None:
     """SRC-08: write rows so that the datasets among them are replaced and others stay."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(dataset).parquet(path)
+
+
+def lookup(wanted: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """SRC-02: a point lookup of many keys at once: every wanted row with the columns of the row of its key, null where there is none,
+    and `found`. Null keys find nothing; the rows' keys are unique. Each side is hashed once on the keys."""
+    return wanted.join(rows.withColumn("found", F.lit(True)), keys, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def citable_page(df: DataFrame, key: str, last: int | None, limit: int, citable: Column) -> DataFrame:
+    """SRC-03: of the next page of rows by key, those that may be cited: the page is cut first, so it can hold fewer."""
+    return after_key(df, key, last, limit).where(citable)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import filters
 from ..functions import text as T
 from ..operators import advice, corpus, geo, governance, graph, latest, ledger, places, rules, tables, validation
 from ..operators.audit import pass_rates
@@ -326,6 +327,61 @@ def keyset_page(spark, sf_dir):
     return tables.after_key(view(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", 40, 25)
 
 
+_CITABLE = "(review = 'approved' AND coalesce(licence IN ('open', 'verified_open'), false) AND NOT coalesce(metadata_only, true) AND superseded_by IS NULL)"
+
+
+def _may_cite():
+    c = F.col
+    return filters.citable(c("review"), c("licence"), c("metadata_only"), c("superseded_by"))
+
+
+@query(f"""SELECT version_id, coalesce({_CITABLE}, false) AS citable, coalesce(licence IN ('open', 'verified_open', 'pending_review'), false) AS storable, coalesce(licence = 'open' AND review = 'approved' AND version_id % 2 = 0, false) AND superseded_by IS NOT NULL AS authoritative,
+CASE WHEN conf >= 0.9 THEN 'high' WHEN conf >= 0.4 THEN 'medium' WHEN conf > 0 THEN 'low' ELSE 'none' END AS label, CASE WHEN conf >= 0.9 THEN 1.0 WHEN conf >= 0.4 THEN 0.5 WHEN conf > 0 THEN 0.25 ELSE 0.0 END::DOUBLE AS back FROM {{licences}}""")
+def version_conditions(spark, sf_dir):
+    """FLT-05: citable and storable versions, authoritative datasets, confidences as labels and back."""
+    c = F.col
+    dataset = filters.authoritative(c("licence") == "open", c("review"), c("superseded_by"), F.when(c("version_id") % 2 == 0, "EPSG:7844").otherwise("EPSG:4283"))
+    label = filters.confidence_label(c("conf"))
+    return view(spark, sf_dir, "licences").select("version_id", _may_cite().alias("citable"), filters.storable(c("licence")).alias("storable"), dataset.alias("authoritative"), label.alias("label"), filters.confidence_of(label).alias("back"))
+
+
+@query(f"SELECT version_id, licence FROM (SELECT * FROM {{licences}} WHERE version_id > 40 ORDER BY version_id LIMIT 60) WHERE {_CITABLE}")
+def citable_page(spark, sf_dir):
+    """SRC-03: a page by key, and of it what may be cited."""
+    return tables.citable_page(view(spark, sf_dir, "licences"), "version_id", 40, 60, _may_cite()).select("version_id", "licence")
+
+
+@query("SELECT event_id, user_id AS version_id, licence, licence IS NOT NULL OR l.version_id IS NOT NULL AS found FROM {events} e LEFT JOIN {licences} l ON l.version_id = e.user_id * 3")
+def version_lookup(spark, sf_dir):
+    """SRC-02: each event's version, looked up by its key."""
+    wanted = view(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("user"), (F.col("user_id") * 3).alias("version_id"))
+    out = tables.lookup(wanted, view(spark, sf_dir, "licences").select("version_id", "licence"), ["version_id"])
+    return out.select("event_id", F.col("user").alias("version_id"), "licence", "found")
+
+
+@query("""SELECT version_id, readiness FROM (SELECT *, CASE WHEN n_chars = 0 THEN 'needs_parsing' WHEN n_chars < 120 THEN 'low_signal' WHEN version_id % 4 = 0 THEN 'needs_citations' WHEN NOT coalesce(approved, false) THEN 'needs_review' ELSE 'ready' END AS readiness FROM {versions}) WHERE readiness = 'needs_review'""")
+def waiting_for_review(spark, sf_dir):
+    """FLT-10: versions in one state of readiness."""
+    state = corpus.readiness(F.col("n_chars"), F.col("version_id") % 4, F.col("n_chars") < 120, F.col("approved"))
+    return corpus.in_state(view(spark, sf_dir, "versions").withColumn("readiness", state), "needs_review").select("version_id", "readiness")
+
+
+@query("""SELECT fact_id, coalesce(nullif(trim(json_extract_string(j, '$.value')), ''), nullif(trim(json_extract_string(j, '$.name')), ''), nullif(trim(json_extract_string(j, '$.label')), ''), nullif(trim(json_extract_string(j, '$.code')), ''), nullif(trim(json_extract_string(j, '$.council')), ''), nullif(trim(json_extract_string(j, '$.council_scope')), '')) AS text FROM {json_facts}""")
+def json_texts(spark, sf_dir):
+    """PRJ-03: the text of a fact under any of its six names."""
+    return view(spark, sf_dir, "json_facts").select("fact_id", filters.first_text(F.col("j")).alias("text"))
+
+
+@query("SELECT address_id, round(CASE WHEN address_id % 7 <> 6 THEN 115.5 + address_id / 1000.0 END::DOUBLE, 6) AS lon, round(CASE WHEN address_id % 7 <> 6 THEN -32.25 - address_id % 90 / 100.0 END::DOUBLE, 6) AS lat FROM {homes}")
+def point_coordinates(spark, sf_dir):
+    """PRJ-07: coordinates of points given as text, with or without a reference system."""
+    k = F.col("address_id")
+    body = F.concat(F.lit("("), (115.5 + k / 1000).cast("string"), F.lit("  "), (-32.25 - k % 90 / 100).cast("string"), F.lit(")"))
+    text = F.when(k % 7 == 6, F.concat(F.lit("LINESTRING"), body)).when(k % 2 == 0, F.concat(F.lit("SRID=7844;POINT"), body)).otherwise(F.concat(F.lit("point "), body))
+    lon, lat = filters.coordinates(text)
+    return view(spark, sf_dir, "homes").select("address_id", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
+
+
 @query("SELECT doc_id, source, n FROM (SELECT d.doc_id, d.source, c.n FROM {documents} d JOIN (SELECT source, count(*) AS n FROM {documents} GROUP BY 1) c USING (source) WHERE d.doc_id IN (SELECT doc_id FROM {labels} WHERE quality = 0))")
 def counted_members(spark, sf_dir):
     """JN-16, JN-18: rows named by a list of ids, each with its source's count from one aggregate."""

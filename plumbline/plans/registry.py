@@ -262,12 +262,13 @@ def lexical_search_floor(spark, sf_dir):
     return search.relevance_floor(_hits(spark, sf_dir)[1])
 
 
-@query(f"""SELECT query_id, CASE WHEN n > 0 THEN 'answered' ELSE 'unsupported' END AS status, CASE WHEN n > 0 THEN round(least(0.95, 0.5 + m / 2), 4) ELSE 0 END::DOUBLE AS confidence, coalesce(citations, '') AS citations FROM (
-SELECT b.item_id AS query_id, count(h.doc_id) AS n, avg(h.score) AS m, string_agg(CAST(h.doc_id AS STRING), ',' ORDER BY h.rank) AS citations FROM {{benchmark}} b LEFT JOIN {_HITS} h ON h.query_id = b.item_id AND h.rank <= 4 AND h.score >= 0.5 GROUP BY 1)""")
+@query(f"""SELECT query_id, CASE WHEN n > 0 THEN 'answered' ELSE 'unsupported' END AS status, CASE WHEN n > 0 THEN round(least(0.95, 0.5 + m / 2), 4) ELSE 0 END::DOUBLE AS confidence, coalesce(citations, '') AS citations, coalesce(answer, '') AS answer FROM (
+SELECT b.item_id AS query_id, count(h.doc_id) AS n, avg(h.score) AS m, string_agg(CAST(h.doc_id AS STRING), ',' ORDER BY h.rank) AS citations, string_agg(substr(trim(regexp_replace(d.text, '\\s+', ' ', 'g')), 1, 180), ' ' ORDER BY h.rank) AS answer
+FROM {{benchmark}} b LEFT JOIN {_HITS} h ON h.query_id = b.item_id AND h.rank <= 4 AND h.score >= 0.5 LEFT JOIN {{documents}} d ON d.doc_id = h.doc_id GROUP BY 1)""")
 def cite_or_refuse(spark, sf_dir):
     """DOM-22, MTH-05, AGG-22, PRJ-02."""
     queries, hits = _hits(spark, sf_dir)
-    return search.cite_or_refuse(queries, hits.where("score >= 0.5"), view(spark, sf_dir, "documents")).drop("answer")
+    return search.cite_or_refuse(queries, hits.where("score >= 0.5"), view(spark, sf_dir, "documents"))
 
 
 def _centroids(spark, sf_dir):

@@ -58,6 +58,12 @@ SELECT d.doc_id AS version_id, d.source, d.lang, d.n_chars, CASE WHEN d.doc_id %
   CASE WHEN d.doc_id % 9 <> 0 THEN CAST(d.doc_id % 300 AS BIGINT) END AS valid_from, CAST(d.doc_id % 300 + 5 + d.doc_id % 20 AS BIGINT) AS valid_to,
   CASE WHEN d.doc_id % 10 <> 0 THEN d.doc_id % 400 END AS due_day, l.quality = 1 AS approved, l.toxic = 1 AS restricted
 FROM {documents} d LEFT JOIN (SELECT doc_id, min(quality) AS quality, max(toxic) AS toxic FROM {labels} GROUP BY doc_id) l ON d.doc_id = l.doc_id""",
+    "licences": """
+SELECT version_id, CASE version_id % 5 WHEN 0 THEN 'open' WHEN 1 THEN 'verified_open' WHEN 2 THEN 'pending_review' WHEN 3 THEN 'restricted' END AS licence, CASE WHEN approved THEN 'approved' WHEN NOT approved THEN 'rejected' END AS review,
+  CASE WHEN version_id % 7 = 0 THEN true WHEN version_id % 7 < 6 THEN false END AS metadata_only, CASE WHEN version_id % 4 = 0 THEN version_id + 1 END AS superseded_by, CASE WHEN version_id % 9 <> 8 THEN n_chars % 11 / 10.0 END AS conf FROM {versions}""",
+    "json_facts": """
+SELECT p_partkey AS fact_id, CASE p_partkey % 7 WHEN 0 THEN '{{"value": " ", "name": " ' || p_name || ' "}}' WHEN 1 THEN '{{"code": 12, "value": null}}' WHEN 2 THEN '{{"council_scope": "' || p_brand || '", "council": ""}}' WHEN 3 THEN '{{"label": "' || p_type || '", "code": "x"}}'
+  WHEN 4 THEN '{{}}' WHEN 5 THEN '{{"other": 1}}' END AS j FROM {part}""",
     "points": """
 SELECT c_custkey AS point_id, CAST(c_custkey * 37 % 1000 AS DOUBLE) / 10 + 0.05 AS x, CAST(c_custkey * 91 % 970 AS DOUBLE) / 10 + 0.05 AS y FROM {customer}""",
     "boxes": """
