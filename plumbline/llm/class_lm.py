@@ -56,7 +56,7 @@ def held_out(doc_id: Column) -> Column:
 
 def _prepared(docs: DataFrame) -> DataFrame:
     text = text_of("text")
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.xxhash64("doc_id", text).alias("key"), text.alias("__text"))
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), text.alias("__text"))
 
 
 def word_counts(prepared: DataFrame) -> DataFrame:
@@ -107,15 +107,14 @@ def _bigrams(prepared: DataFrame, index: dict[bytes, int]) -> DataFrame:
 
 
 def _numbers(words: list[bytes], memo: dict[bytes, int], base: int) -> np.ndarray:
-    get, out = memo.get, []
-    for w in words:
-        n = get(w)
-        if n is None:
-            if len(memo) > base + 150_000:
-                for k in list(memo)[base:]:
-                    del memo[k]
-            n = memo[w] = base + shape(w)
-        out.append(n)
+    out = list(map(memo.get, words))
+    if None in out:
+        if len(memo) > base + 150_000:
+            for k in list(memo)[base:]:
+                del memo[k]
+        for i, n in enumerate(out):
+            if n is None:
+                out[i] = memo[words[i]] = base + shape(words[i])
     return np.array(out, np.int64)
 
 
@@ -195,17 +194,26 @@ def cluster(bigrams: DataFrame, n_words: int, end: int, classes: int = CLASSES,
     return cls
 
 
+class _Numbers(dict):
+    """Numbers of words; a new one gets the next."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 def _contexts(prepared: DataFrame, index: dict[bytes, int], cls: np.ndarray, classes: int) -> DataFrame:
     """word and blob of the words that are not in `index`: the classes beside its places, a byte each, those behind it from 128 on.
-    A task sends a word's bytes together, some million places at a time."""
+    A task sends a word's bytes together, for half a million places at a time; rows come in the order of words."""
     base = len(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, kinds, held, n = dict(index), [int(c) for c in cls[:base]], [], 0
+        memo, held, n = _Numbers(index), [], 0
 
         def flush() -> pa.RecordBatch:
-            words, k = list(memo)[base:], np.array(kinds, np.uint8)
-            ids = np.array(held, np.int64)
+            words = list(memo)[base:]
+            k = np.array([*cls[:base], *(classes + 1 + shape(w) for w in words)], np.uint8)
+            ids = np.concatenate(held)
             at = np.flatnonzero(ids >= base)
             word = ids[at] - base
             around = np.concatenate([[k[index[END]]], k[ids], [0]])
@@ -217,25 +225,21 @@ def _contexts(prepared: DataFrame, index: dict[bytes, int], cls: np.ndarray, cla
             out = pa.RecordBatch.from_arrays([pa.array([words[i] for i in found], pa.binary()), blobs], ["word", "blob"])
             memo.clear()
             memo.update(index)
-            del kinds[base:]
             held.clear()
             return out
 
         for batch in batches:
             for text in batch.column("__text").to_pylist():
-                get = memo.get
-                for w in tokens(text):
-                    i = get(w)
-                    if i is None:
-                        i = memo[w] = len(kinds)
-                        kinds.append(classes + 1 + shape(w))
-                    held.append(i)
-                if len(held) > 1_000_000 or len(kinds) > base + 150_000:
+                held.append(np.array(list(map(memo.__getitem__, tokens(text))), np.int32))
+                n += len(held[-1])
+                if n > 500_000:
                     yield flush()
+                    n = 0
         if held:
             yield flush()
 
-    return prepared.where("NOT held_out").select("__text").mapInArrow(run, "word binary, blob binary").groupBy("word").agg(F.collect_list("blob").alias("blobs"))
+    rows = prepared.where("NOT held_out").select("__text").mapInArrow(run, "word binary, blob binary")
+    return rows.repartition("word").sortWithinPartitions("word")
 
 
 def best_classes(n: np.ndarray, codes: np.ndarray, sizes: np.ndarray, n_free: int) -> np.ndarray:
@@ -259,17 +263,34 @@ def best_classes(n: np.ndarray, codes: np.ndarray, sizes: np.ndarray, n_free: in
 
 
 def _rare_classes(contexts: DataFrame, n: np.ndarray, classes: int) -> DataFrame:
-    """word, c and k of every word of `contexts` that occurs twice or more."""
+    """word, c and k of every word of `contexts` that occurs twice or more; neighbouring rows of a word are put together."""
+
+    def done(words: list[bytes], blobs: list[bytes]) -> pa.RecordBatch:
+        sizes = np.array([len(b) for b in blobs], np.int64)
+        k = best_classes(n, np.frombuffer(b"".join(blobs), np.uint8).astype(np.int64), sizes, classes) if blobs else []
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(sizes // 2), pa.array(k, pa.int32())], ["word", "c", "k"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, words, blobs = None, [], [], []
+
+        def close() -> None:
+            blob = b"".join(parts)
+            if len(blob) >= 4:  # two places
+                words.append(now)
+                blobs.append(blob)
+
         for batch in batches:
-            blobs = [b"".join(parts) for parts in batch.column("blobs").to_pylist()]
-            many = [i for i, b in enumerate(blobs) if len(b) >= 4]
-            for at in range(0, len(many), 2_048):
-                own = many[at : at + 2_048]
-                sizes = np.array([len(blobs[i]) for i in own])
-                k = best_classes(n, np.frombuffer(b"".join(blobs[i] for i in own), np.uint8).astype(np.int64), sizes, classes)
-                yield pa.RecordBatch.from_arrays([batch.column("word").take(pa.array(own)), pa.array(sizes // 2), pa.array(k, pa.int32())], ["word", "c", "k"])
+            for word, blob in zip(batch.column("word").to_pylist(), batch.column("blob").to_pylist()):
+                if word == now:
+                    parts.append(blob)
+                else:
+                    close()
+                    now, parts = word, [blob]
+                    if len(words) >= 2_048:
+                        yield done(words, blobs)
+                        words, blobs = [], []
+        close()
+        yield done(words, blobs)
 
     return contexts.mapInArrow(run, "word binary, c bigint, k int")
 
@@ -309,14 +330,14 @@ def _sequences(prepared: DataFrame, counts: DataFrame, known: dict[bytes, tuple[
         c_of = np.array([c for _, c in known.values()], float)
         e_of, b_of = np.log10(c_of + EMISSION_ADD) - spread[k_of], np.log10(c_of + 1) - base_log
         get = number.get
-        for batch in batches:
+        for batch in (b.slice(at, 2_000) for b in batches for at in range(0, b.num_rows, 2_000)):
             rows = []
             for text in batch.column("__text").to_pylist():
-                own: dict[bytes, int] = {}
-                seq = []
-                for w in tokens(text):
-                    i = get(w)
-                    seq.append(-1 - own.setdefault(w, len(own)) if i is None else i)
+                words = tokens(text)
+                seq = list(map(get, words))
+                own = _Numbers()
+                if None in seq:
+                    seq = [-1 - own[w] if i is None else i for i, w in zip(seq, words)]
                 seq = np.array(seq, np.int64)
                 there = seq >= 0
                 ids, which = seq[there], -1 - seq[~there]
@@ -326,12 +347,12 @@ def _sequences(prepared: DataFrame, counts: DataFrame, known: dict[bytes, tuple[
                 packed = which.astype(np.uint16 if len(own) <= 1 << 16 else np.uint32)
                 rows.append((len(seq), int((c_of[ids] > 0).sum()), float(b_of[ids].sum()), float(e_of[ids].sum()), kseq.tobytes(), packed.tobytes(), list(own), times))
             columns = list(zip(*rows)) if rows else [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "held_out", "key")] + [pa.array(c, t) for c, t in zip(columns, kinds.values())], ["doc_id", "held_out", "key", *kinds])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "held_out")] + [pa.array(c, t) for c, t in zip(columns, kinds.values())], ["doc_id", "held_out", *kinds])
 
     kind = prepared.schema["doc_id"].dataType.simpleString()
-    rows = prepared.mapInArrow(run, f"doc_id {kind}, held_out boolean, key bigint, n_tokens bigint, known bigint, b double, e double, seq binary, which binary, rare array<binary>, times array<int>")
-    rows = scratch.write(rows, "documents")
-    words = rows.dropDuplicates(["key"]).select("key", F.posexplode(F.arrays_zip("rare", "times")).alias("i", "r")).select("key", "i", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
+    rows = prepared.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, b double, e double, seq binary, which binary, rare array<binary>, times array<int>")
+    rows = scratch.write(rows.withColumn("key", F.monotonically_increasing_id()), "documents")  # written once, so the numbers stay
+    words = rows.select("key", F.posexplode(F.arrays_zip("rare", "times")).alias("i", "r")).select("key", "i", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
     c = F.coalesce("c", F.lit(0))
     letters = F.regexp_replace(F.col("word").cast("string"), r"^[.,;:!?]+|[.,;:!?]+\z", "")
     met = words.join(counts, "word", "left").join(rare.select("word", "k"), "word", "left")
