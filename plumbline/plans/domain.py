@@ -498,6 +498,51 @@ def parcel_facts(spark, sf_dir):
     return places.parcel_facts(boxes.select("box_id", _ring("x0", "y0", "x1", "y1").alias("ring"), code.alias("codes")), "box_id")
 
 
+_FEATURES = """features AS (SELECT c_custkey AS feature_id, c_custkey % 120 AS parcel_id, CASE c_custkey % 5 WHEN 0 THEN 'zone' WHEN 1 THEN 'Zone ' WHEN 2 THEN 'bushfire' WHEN 3 THEN 'heritage' ELSE 'lga' END AS layer_type,
+  CASE c_custkey % 7 WHEN 0 THEN 'Residential' WHEN 1 THEN 'Local road' WHEN 2 THEN ' RR20 ' WHEN 3 THEN 'R12.5/20' WHEN 4 THEN '' ELSE 'Urban' END AS code, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS label,
+  CASE WHEN c_custkey % 11 = 0 THEN 'R40' WHEN c_custkey % 11 = 1 THEN '' END AS stamped, CASE WHEN c_custkey % 4 = 0 THEN 'M' || CAST(c_custkey AS VARCHAR) END AS meta_code FROM {customer})"""
+
+
+@query(f"""WITH {_FEATURES},
+parcels AS (SELECT s_suppkey AS parcel_id, CASE s_suppkey % 6 WHEN 0 THEN -1.0 WHEN 1 THEN NULL ELSE s_acctbal + 0.5 END AS area_m2, CASE WHEN s_suppkey % 5 <> 0 THEN s_suppkey + 0.25 END AS width_m, s_suppkey * 2.0 + 1 AS depth_m, CASE s_suppkey % 3 WHEN 0 THEN 'City of Perth' WHEN 1 THEN '' END AS lg FROM {{supplier}}),
+props AS (SELECT o_orderkey AS project_id, CASE WHEN o_custkey % 9 <> 0 THEN o_custkey % 130 END AS parcel_id FROM {{orders}} WHERE o_orderstatus <> 'P'),
+old AS (SELECT l_orderkey AS project_id, 'old_' || CAST(l_linenumber AS VARCHAR) AS fact_type, l_partkey AS n, CASE WHEN l_suppkey % 2 = 0 THEN 'spatial_derived' WHEN l_suppkey % 3 = 0 THEN 'manual_override' END AS method FROM {{lineitem}}),
+dense AS (SELECT *, coalesce(nullif(stamped, ''), CASE WHEN regexp_matches(replace(trim(code), ' ', ''), '(?i)^R{{{{1,2}}}}-?(AC)?[0-9]+([.][0-9]+)?(/[0-9]+([.][0-9]+)?)?$') THEN trim(code) END) AS d FROM features),
+made AS (SELECT parcel_id, 'r_code' AS fact_type, arg_min(d || '/' || coalesce(label, d), struct_pack(a := layer_type, b := feature_id)) AS v, arg_min(feature_id, struct_pack(a := layer_type, b := feature_id)) AS feature_id FROM dense WHERE d IS NOT NULL GROUP BY 1
+UNION ALL SELECT parcel_id, 'zone', arg_min(trim(code) || '/' || coalesce(label, ''), struct_pack(a := layer_type, b := feature_id)), arg_min(feature_id, struct_pack(a := layer_type, b := feature_id)) FROM features WHERE lower(trim(layer_type)) = 'zone' AND trim(code) <> '' AND NOT regexp_matches(code, '(?i)road|reserve') GROUP BY 1
+UNION ALL SELECT parcel_id, layer_type, coalesce(meta_code, nullif(code, ''), '') || '/' || coalesce(label, ''), feature_id FROM features WHERE lower(trim(layer_type)) NOT IN ('zone', 'lga')
+UNION ALL SELECT parcel_id, 'lot_area_m2', CAST(round(area_m2, 2) AS VARCHAR), NULL FROM parcels WHERE area_m2 > 0
+UNION ALL SELECT parcel_id, 'lot_width_m', CAST(width_m AS VARCHAR), NULL FROM parcels WHERE width_m IS NOT NULL UNION ALL SELECT parcel_id, 'lot_depth_m', CAST(depth_m AS VARCHAR), NULL FROM parcels WHERE width_m IS NOT NULL
+UNION ALL SELECT parcel_id, 'local_government', lg, NULL FROM parcels WHERE lg <> '')
+SELECT project_id, fact_type, NULL AS feature_id, CAST(n AS VARCHAR) AS shown FROM old WHERE project_id NOT IN (SELECT project_id FROM props) OR coalesce(method, '') <> 'spatial_derived'
+UNION ALL SELECT project_id, fact_type, feature_id, CASE WHEN fact_type IN ('lot_area_m2', 'lot_width_m', 'lot_depth_m') THEN CAST(round(CAST(v AS DOUBLE), 1) AS VARCHAR) ELSE v END FROM props JOIN made USING (parcel_id) WHERE parcel_id IN (SELECT parcel_id FROM parcels)""")
+def synth_facts(spark, sf_dir):
+    """DOM-09: facts of parcels and of the planning features that they meet, in place of those of an earlier run."""
+    c, sql = F.col, lambda text: F.expr(text)
+    people = view(spark, sf_dir, "customer")
+    layers = sql("CASE c_custkey % 5 WHEN 0 THEN 'zone' WHEN 1 THEN 'Zone ' WHEN 2 THEN 'bushfire' WHEN 3 THEN 'heritage' ELSE 'lga' END")
+    codes = sql("CASE c_custkey % 7 WHEN 0 THEN 'Residential' WHEN 1 THEN 'Local road' WHEN 2 THEN ' RR20 ' WHEN 3 THEN 'R12.5/20' WHEN 4 THEN '' ELSE 'Urban' END")
+    stamps, metas = sql("CASE WHEN c_custkey % 11 = 0 THEN 'R40' WHEN c_custkey % 11 = 1 THEN '' END"), sql("CASE WHEN c_custkey % 4 = 0 THEN concat('M', c_custkey) END")
+    features = people.select(c("c_custkey").alias("feature_id"), (c("c_custkey") % 120).alias("parcel_id"), layers.alias("layer_type"), codes.alias("code"), F.when(c("c_custkey") % 3 != 0, c("c_mktsegment")).alias("label"), stamps.alias("stamped"), metas.alias("meta_code"))
+    k = c("s_suppkey")
+    parcels = view(spark, sf_dir, "supplier").select(
+        k.alias("parcel_id"), F.when(k % 6 == 0, -1.0).when(k % 6 == 1, None).otherwise(c("s_acctbal") + 0.5).alias("area_m2"), F.when(k % 5 != 0, k + 0.25).alias("width_m"), (k * 2.0 + 1).alias("depth_m"),
+        F.when(k % 3 == 0, "PERTH, CITY OF").when(k % 3 == 1, " ").alias("local_government"),
+    )
+    props = view(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(c("o_orderkey").alias("project_id"), F.when(c("o_custkey") % 9 != 0, c("o_custkey") % 130).alias("parcel_id"))
+    method = F.when(c("l_suppkey") % 2 == 0, "spatial_derived").when(c("l_suppkey") % 3 == 0, "manual_override")
+    old = view(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("project_id"), F.concat(F.lit("old_"), c("l_linenumber").cast("string")).alias("fact_type"), c("l_partkey").cast("string").alias("value"), method.alias("method"), F.lit(None).cast("bigint").alias("feature_id"))
+    out = places.synth_facts(props, parcels, features, old)
+    field = lambda n: F.get_json_object("value", f"$.{n}")
+    kind = c("fact_type")
+    named = F.coalesce(field("name"), F.lit(""))
+    shown = (
+        F.when(kind.isin("lot_area_m2", "lot_width_m", "lot_depth_m"), F.round(field("value").cast("double"), 1).cast("string")).when(kind == "local_government", named)
+        .when(kind == "zone", F.concat_ws("/", field("code"), named)).when(F.startswith(kind, F.lit("old_")), c("value")).otherwise(F.concat_ws("/", F.coalesce(field("code"), F.lit("")), F.coalesce(field("label"), F.lit(""))))
+    )
+    return out.select("project_id", "fact_type", "feature_id", shown.alias("shown"))
+
+
 # The conic projection in SQL: constants of the ellipsoid, then a parcel's corners relative to its first.
 _E2 = "0.006694380022900788"
 _TF = lambda phi: f"(tan(pi() / 4 - {phi} / 2) / pow((1 - sqrt({_E2}) * sin({phi})) / (1 + sqrt({_E2}) * sin({phi})), sqrt({_E2}) / 2))"
