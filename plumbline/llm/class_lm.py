@@ -17,6 +17,7 @@ are left out.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -81,17 +82,32 @@ def word_counts(prepared: DataFrame) -> DataFrame:
     return prepared.where("NOT held_out").select("__text").mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+class _Shaped(dict):
+    """Numbers of words; a word that has none gets that of its shape."""
+
+    def __init__(self, index: dict[bytes, int]):
+        super().__init__(index)
+        self.index, self.base = index, len(index)
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > self.base + 150_000:
+            self.clear()
+            self.update(self.index)
+        n = self[word] = self.base + shape(word)
+        return n
+
+
 def _bigrams(prepared: DataFrame, index: dict[bytes, int]) -> DataFrame:
     """Counts of neighbouring word numbers; words that are not clustered count under the number of their shape."""
     base = len(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = dict(index)
+        number = _Shaped(index).__getitem__
         wide = np.int64(base + SHAPES)
         for batch in batches:
             held, n = [], 0
             for text in batch.column("__text").to_pylist():
-                ids = _numbers(tokens(text), memo, base)
+                ids = np.array(list(map(number, tokens(text))), np.int64)
                 before = np.empty_like(ids)
                 before[0], before[1:] = index[END], ids[:-1]
                 held.append(before * wide + ids)
@@ -106,25 +122,13 @@ def _bigrams(prepared: DataFrame, index: dict[bytes, int]) -> DataFrame:
     return pairs.groupBy("i", "j").agg(F.sum("n").alias("n"))
 
 
-def _numbers(words: list[bytes], memo: dict[bytes, int], base: int) -> np.ndarray:
-    out = list(map(memo.get, words))
-    if None in out:
-        if len(memo) > base + 150_000:
-            for k in list(memo)[base:]:
-                del memo[k]
-        for i, n in enumerate(out):
-            if n is None:
-                out[i] = memo[words[i]] = base + shape(words[i])
-    return np.array(out, np.int64)
-
-
 def _pair_batch(held: list[np.ndarray], wide: np.int64) -> pa.RecordBatch:
     pair, n = np.unique(np.concatenate(held), return_counts=True)
     return pa.RecordBatch.from_arrays([pa.array((pair // wide).astype(np.int32)), pa.array((pair % wide).astype(np.int32)), pa.array(n)], ["i", "j", "n"])
 
 
 def _f(x: np.ndarray) -> np.ndarray:
-    return np.where(x > 0, x * np.log(np.maximum(x, 1)), 0.0)
+    return x * np.log(np.maximum(x, 1))  # of counts
 
 
 def likelihood(n: np.ndarray) -> float:
@@ -204,7 +208,7 @@ class _Numbers(dict):
 
 def _contexts(prepared: DataFrame, index: dict[bytes, int], cls: np.ndarray, classes: int) -> DataFrame:
     """word and blob of the words that are not in `index`: the classes beside its places, a byte each, those behind it from 128 on.
-    A task sends a word's bytes together, for half a million places at a time; rows come in the order of words."""
+    A task sends a word's bytes together, for over a million places at a time; rows come in the order of words."""
     base = len(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +236,7 @@ def _contexts(prepared: DataFrame, index: dict[bytes, int], cls: np.ndarray, cla
             for text in batch.column("__text").to_pylist():
                 held.append(np.array(list(map(memo.__getitem__, tokens(text))), np.int32))
                 n += len(held[-1])
-                if n > 500_000:
+                if n > 1_200_000:
                     yield flush()
                     n = 0
         if held:
@@ -249,8 +253,10 @@ def best_classes(n: np.ndarray, codes: np.ndarray, sizes: np.ndarray, n_free: in
     pair, count = np.unique(word * 256 + codes, return_counts=True)
     word, code = pair // 256, pair % 256
     behind, k = code >= 128, code % 128
-    held = np.where(behind[:, None], n[:n_free, k].T, n[k, :n_free])
-    gain = np.add.reduceat(_f(held + count[:, None]) - _f(held), np.searchsorted(word, np.arange(len(sizes))), axis=0)
+    beside = np.concatenate([n[:, :n_free], n.T[:, :n_free]])  # by the class before, and from there on by the class behind
+    at = k + len(n) * behind
+    gain = _f(beside[at] + count[:, None]) - _f(beside)[at]
+    gain = np.add.reduceat(gain, np.searchsorted(word, np.arange(len(sizes))), axis=0)
     side = np.zeros((2, len(sizes), n_free))
     free = k < n_free
     side[behind[free].astype(int), word[free], k[free]] = count[free]
@@ -333,14 +339,11 @@ def _sequences(prepared: DataFrame, counts: DataFrame, known: dict[bytes, tuple[
         for batch in (b.slice(at, 2_000) for b in batches for at in range(0, b.num_rows, 2_000)):
             rows = []
             for text in batch.column("__text").to_pylist():
-                words = tokens(text)
-                seq = list(map(get, words))
-                own = _Numbers()
-                if None in seq:
-                    seq = [-1 - own[w] if i is None else i for i, w in zip(seq, words)]
-                seq = np.array(seq, np.int64)
+                words, own = tokens(text), _Numbers()
+                seq = np.array(list(map(get, words, itertools.repeat(-1))), np.int64)
                 there = seq >= 0
-                ids, which = seq[there], -1 - seq[~there]
+                ids = seq[there]
+                which = np.array([own[words[i]] for i in np.flatnonzero(~there).tolist()], np.int64)
                 kseq = np.full(len(seq), 255, np.uint8)
                 kseq[there] = k_of[ids]
                 times = np.bincount(which, minlength=len(own)).astype(np.int32)
