@@ -65,6 +65,46 @@ def geojson(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("feature", "properties", F.get("rings", F.lit(0)).alias("ring"), "rings")
 
 
+class _Text(HTMLParser):
+    BLOCKS = ("title", "h1", "h2", "h3", "p", "li")
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.texts: dict[str, list[str]] = {b: [] for b in self.BLOCKS}
+        self.links: list[str] = []
+        self.open: list[tuple[str, list[str]]] = []
+        self.hidden = 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style", "noscript", "svg"):
+            self.hidden += 1
+        if tag == "a" and (href := dict(attrs).get("href")):
+            self.links.append(href)
+        if tag in self.texts:
+            self.open.append((tag, []))
+
+    def handle_endtag(self, tag):
+        if tag in ("script", "style", "noscript", "svg"):
+            self.hidden = max(0, self.hidden - 1)
+        if any(t == tag for t, _ in self.open):
+            while self.open:
+                t, got = self.open.pop()
+                if text := " ".join("".join(got).split()):
+                    self.texts[t].append(text)
+                if t == tag:
+                    break
+
+    def handle_data(self, data):
+        if not self.hidden:
+            for _, got in self.open:
+                got.append(data)
+
+    def close(self):
+        super().close()
+        while self.open:
+            self.handle_endtag(self.open[-1][0])
+
+
 def html_text(pages: DataFrame, key: str = "page_id", html: str = "html", max_links: int = 80) -> DataFrame:
     """SRC-09: key, text (title, then headings, paragraphs and list items by tag, each string once) and links of each page."""
     kind = pages.schema[key].dataType.simpleString()

@@ -275,3 +275,14 @@ def test_embedding_and_evidence_edge_cases(spark):
     facts = spark.createDataFrame([(1, 1, 1, "  The  WALL "), (2, 1, 1, " "), (3, 1, 2, "the wall"), (4, 1, 1, "roof"), (5, 2, 1, None)], "fact_id int, doc_id int, page int, source_text string")
     blocks = spark.createDataFrame([(1, 1, 0, "nothing", "a"), (1, 1, 1, "of the\nwall here", "b"), (1, 1, 2, "the wall", "c"), (1, 1, 3, "roof", None), (1, 1, 4, "roof", "e"), (1, 2, 0, None, "f")], "doc_id int, page int, block_number int, text string, bbox string")
     assert {r["fact_id"]: (r["block_number"], r["bbox"]) for r in search.evidence_blocks(facts, blocks).collect()} == {1: (1, "b"), 2: (None, None), 3: (None, None), 4: (None, None), 5: (None, None)}
+
+
+def test_html_text_and_links(spark):
+    pages = [
+        (1, "<html><head><title> A  title </title><style>p{x}</style></head><body><h1>Head</h1><p>One <b>bold</b>\n word &amp; more</p><script>var t='</p>';</script><ul><li><a href='/a'>First</a></li><li><a href='/a'>First</a></li></ul><h2>Sub</h2><a>none</a><a href='http://x/y#z'>z</a></body>"),
+        (2, None), (3, ""), (4, "no tags"), (5, "<p>open <li>both"), (6, "<p>&lt;kept&gt; 東京</p><noscript><p>hidden</p></noscript>"),
+    ]
+    got = {r["page_id"]: (r["text"], r["links"]) for r in readers.html_text(spark.createDataFrame(pages, "page_id int, html string")).collect()}
+    assert got == {
+        1: ("A title\nHead\nSub\nOne bold word & more\nFirst", ["/a", "http://x/y#z"]), 2: ("", []), 3: ("", []), 4: ("", []), 5: ("open both\nboth", []), 6: ("<kept> 東京", []),
+    }
