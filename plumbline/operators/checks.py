@@ -74,26 +74,35 @@ def select_rules(rules: DataFrame, scopes: DataFrame, checks: dict[str, list[str
     or empty one skips that filter, as a rule's null applies to all.
 
     Ranked: a usable threshold, no exception, own codes before none, any dwelling, the place of the key, the newest. The best rule of
-    each (check, council, zone, code) is found first; scopes then look up their own keys and those for all, in equi-joins."""
+    each check among those with one council, zones and codes is found first, so only these few are put under their keys; scopes then
+    look up their own keys and those for all, in equi-joins."""
     threshold = F.trim("threshold").try_cast("double")
-    served = _keyed(rules_by_check(rules, checks, bases))
-    ranked = served.select(
-        "check_key", "__c", "__z", "__r", "rule_id", "operator", threshold.alias("threshold"), "unit", "pathway", "rule_key", "source_version_id", "created", "key_rank",
+    ranked = rules_by_check(rules, checks, bases).select(
+        "check_key", *SCOPE, "rule_id", "operator", threshold.alias("threshold"), "unit", "pathway", "rule_key", "source_version_id", "created", "key_rank",
         (threshold.isNotNull() & ~F.isnan(threshold)).alias("has_threshold"),
         (F.coalesce("rule_type", F.lit("standard")) != "exception").alias("plain"),
         (F.coalesce(F.nullif("dwelling_type", F.lit("")), F.lit("any")) == "any").alias("any_dwelling"),
-        F.when(F.col("r_codes").isNull(), 1).when(F.col("__r") == EVERY, 0).otherwise(2).alias("code_rank"),
     )
-    best = best_by(ranked, ["check_key", "__c", "__z", "__r"], RANK)
+    alike = best_by(ranked, ["check_key", *SCOPE], [r for r in RANK if r != "code_rank"])  # they have one code_rank under each key
+    code_rank = F.when(F.col("r_codes").isNull(), 1).when(F.col("__r") == EVERY, 0).otherwise(2)
+    best = best_by(_keyed(alike).withColumn("code_rank", code_rank).drop(*SCOPE), ["check_key", "__c", "__z", "__r"], RANK)
     found = _lookups(scopes).join(best, ["__c", "__z", "__r"]).drop("__c", "__z", "__r")
     return best_by(found, ["scope", "check_key"], RANK)
 
 
 def pack_hashes(rules: DataFrame, scopes: DataFrame) -> DataFrame:
-    """AGG-21: scope and the SHA-256 of the sorted ids, joined by |, of all approved rules that apply in it."""
-    keyed = _keyed(rules.where("state = 'approved'").select(F.col("rule_id").cast("string").alias("rule_id"), "council", "zones", "r_codes"))
-    ids = _lookups(scopes).join(keyed.select("__c", "__z", "__r", "rule_id"), ["__c", "__z", "__r"]).groupBy("scope").agg(F.array_sort(F.collect_set("rule_id")).alias("ids"))
-    return ids.select("scope", F.sha2(F.array_join("ids", "|"), 256).alias("pack_hash"))
+    """AGG-21: scope and the SHA-256 of the sorted ids, joined by |, of all approved rules that apply in it.
+
+    Rules with one council, zones and codes are a kind; scopes look up kinds, not rules, and the ids of the kinds of a pack are brought
+    together once for all scopes that have it."""
+    approved = rules.where("state = 'approved'").withColumn("kind", F.to_json(F.struct(*SCOPE)))
+    kinds = approved.groupBy("kind").agg(*[F.first(c).alias(c) for c in SCOPE])
+    found = _lookups(scopes).join(_keyed(kinds), ["__c", "__z", "__r"]).groupBy("scope").agg(F.sort_array(F.collect_set("kind")).alias("kinds"))
+    found = found.withColumn("pack", F.sha2(F.to_json("kinds"), 256))
+    ids = approved.groupBy("kind").agg(F.collect_set(F.col("rule_id").cast("string")).alias("ids"))
+    packs = found.dropDuplicates(["pack"]).select("pack", F.explode("kinds").alias("kind"))
+    whole = packs.join(ids, "kind").groupBy("pack").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
+    return found.join(whole.select("pack", F.sha2(F.array_join("ids", "|"), 256).alias("pack_hash")), "pack").select("scope", "pack_hash")
 
 
 def with_scopes(projects: DataFrame, facts: DataFrame, types: list[str]) -> DataFrame:
@@ -118,9 +127,9 @@ def with_scopes(projects: DataFrame, facts: DataFrame, types: list[str]) -> Data
     return out.withColumn("scope", F.to_json(F.struct(*SCOPE))).drop("__c", "__l")
 
 
-def run_checks(projects: DataFrame, facts: DataFrame, rules: DataFrame, checks: dict[str, list[str]] = CHECKS, bases: dict[str, list[str]] = BASE_KEYS) -> DataFrame:
+def run_checks(projects: DataFrame, facts: DataFrame, rules: DataFrame, checks: dict[str, list[str]] = CHECKS, bases: dict[str, list[str]] = BASE_KEYS, hashes: bool = True) -> DataFrame:
     """DOM-02: project_id, check_key, status, measured, threshold, unit, rule_id, citation, reason, trace and pack_hash of every check
-    of every project.
+    of every project; without `hashes`, pack_hash is null.
 
     A project is one row until the end: its facts and the rules of its scope are maps, and checks are multiplied out last, so
     nothing is shuffled by check. Rules of a scope are a small table, which Spark broadcasts when it is below its threshold."""
@@ -128,7 +137,8 @@ def run_checks(projects: DataFrame, facts: DataFrame, rules: DataFrame, checks:
     scopes = scoped.select("scope", *SCOPE).distinct()
     chosen = select_rules(rules, scopes, checks, bases)
     rule = F.struct("rule_id", "operator", "threshold", "unit", "pathway", "rule_key", "source_version_id")
-    table = chosen.groupBy("scope").agg(F.map_from_entries(F.collect_list(F.struct("check_key", rule))).alias("rules")).join(pack_hashes(rules, scopes), "scope", "left")
+    table = chosen.groupBy("scope").agg(F.map_from_entries(F.collect_list(F.struct("check_key", rule))).alias("rules"))
+    table = table.join(pack_hashes(rules, scopes), "scope", "left") if hashes else table.withColumn("pack_hash", F.lit(None).cast("string"))
     rows = scoped.join(table, "scope", "left")
     first = lambda ts: F.coalesce(*[F.try_element_at("facts", F.lit(t)) for t in ts])
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("check_key"), F.try_element_at("rules", F.lit(c)).alias("r"), first(ts).alias("f")) for c, ts in checks.items()]))

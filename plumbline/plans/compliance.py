@@ -39,9 +39,9 @@ told AS (SELECT *, CASE WHEN rule_id IS NULL THEN 'unsupported' WHEN reason IS N
   WHEN CASE operator WHEN 'gte' THEN v >= t WHEN '>' THEN v > t WHEN 'eq' THEN v = t ELSE v <= t END THEN 'likely_pass' ELSE 'likely_fail' END AS status FROM judged)"""
 
 
-def _run(spark, sf_dir):
+def _run(spark, sf_dir, hashes=True):
     rules = view(spark, sf_dir, "check_rules").withColumns({"zones": F.split("zones", ","), "r_codes": F.split("codes", ",")})
-    return C.run_checks(view(spark, sf_dir, "check_projects"), view(spark, sf_dir, "check_facts"), rules)
+    return C.run_checks(view(spark, sf_dir, "check_projects"), view(spark, sf_dir, "check_facts"), rules, hashes=hashes)
 
 
 @query(f"""WITH {_RUN} SELECT project_id, check_key, status, v AS measured, t AS threshold, unit, rule_id, CASE WHEN rule_id IS NOT NULL THEN concat_ws(' | ', rule_key, 'source_version:' || source_version_id) END AS citation, reason, pack_hash,
@@ -57,4 +57,4 @@ def compliance_results(spark, sf_dir):
 @query(f"""WITH {_RUN} SELECT project_id, CASE WHEN count(*) FILTER (status = 'likely_fail') > 0 THEN 'has_likely_failures' WHEN count(*) FILTER (status = 'needs_more_info') > 0 THEN 'incomplete' ELSE 'likely_compliant' END AS status FROM told GROUP BY 1""")
 def compliance_runs(spark, sf_dir):
     """DOM-02: the status of every project's run."""
-    return C.overall(_run(spark, sf_dir))
+    return C.overall(_run(spark, sf_dir, hashes=False))
