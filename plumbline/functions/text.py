@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -173,9 +174,52 @@ def _best_extent(asked: str, text: str) -> float:
     return best
 
 
+#: Texts of more trigrams are compared one by one; a block of pairs has about so many cells.
+LONG_RUN, RUN_CELLS = 128, 1 << 18
+
+
+def _best_extents(asked: pd.Series, text: pd.Series) -> np.ndarray:
+    """`_best_extent` of many pairs at once: trigrams of the batch's distinct texts as numbers, all ends of a run in one pass over the block."""
+    (qi, qs), (ti, ts) = pd.factorize(asked), pd.factorize(text)
+    vocabulary: dict[str, int] = {}
+    of = lambda t: [vocabulary.setdefault(f"  {w} "[i : i + 3], len(vocabulary)) for w in re.findall("[a-z0-9]+", t.lower()) for i in range(len(w) + 1)]
+    wants, runs = [set(of(q)) for q in qs], [of(t) for t in ts]
+    out, width = np.zeros(len(qi)), max([len(r) for r in runs if len(r) <= LONG_RUN], default=0)
+    seq, last = np.full((len(runs), width), len(vocabulary)), np.full((len(runs), width), width)
+    for k, run in enumerate(runs):
+        if len(run) <= LONG_RUN:
+            at: dict[int, int] = {}
+            for p, g in enumerate(run):
+                seq[k, p], last[k, p], at[g] = g, at.get(g, -1), p  # last: where the trigram stood before; behind the text's end none is new
+    size, long = np.array([len(w) for w in wants] or [0]), np.array([len(r) > LONG_RUN for r in runs] or [False])
+    for i in np.flatnonzero(long[ti]):
+        out[i] = _best_extent(qs[qi[i]], ts[ti[i]])
+    order = np.flatnonzero(~long[ti])
+    order = order[np.argsort(qi[order], kind="stable")]
+    step = max(1, RUN_CELLS // max(1, width))
+    for begin in range(0, len(order) if width else 0, step):
+        rows = order[begin : begin + step]
+        q, t = qi[rows], ti[rows]
+        own, back = np.unique(q, return_inverse=True)
+        member = np.zeros((len(own), len(vocabulary) + 1), dtype=bool)
+        for k, x in enumerate(own):
+            member[k, list(wants[x])] = True
+        hit, before, n = member[back[:, None], seq[t]], last[t], size[q][:, None]
+        best = np.zeros(len(rows))
+        for start in range(width):
+            new = before[:, start:] < start
+            common, seen = np.cumsum(new & hit[:, start:], axis=1, dtype="int32"), np.cumsum(new, axis=1, dtype="int32")
+            np.maximum(best, (common / np.maximum(n + seen - common, 1)).max(axis=1), out=best)
+        out[rows] = best
+    return out
+
+
 @F.pandas_udf(DoubleType())
 def _extents(asked: pd.Series, text: pd.Series) -> pd.Series:
-    return pd.Series([None if a is None or t is None else _best_extent(a, t) for a, t in zip(asked, text)], dtype="float64")
+    known = (asked.notna() & text.notna()).to_numpy()
+    out = pd.Series([None] * len(asked), dtype="float64")
+    out[known] = _best_extents(asked[known], text[known])
+    return out
 
 
 def word_similarity(asked: Column, text: Column) -> Column:
