@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import checks, geo
+from plumbline.operators import checks, geo, graph
 
 
 def square(x, y, n):
@@ -49,3 +49,18 @@ def test_polygon_pairs_of_copies(spark, monkeypatch):
     left, right = (rows.select(F.col("box_id").alias(f"{s}_id"), F.col("ring").alias(f"{s}_ring")) for s in ("left", "right"))
     got = geo.polygon_join(left, right, 8.0).collect()
     assert len(got) == 20 * 20 + 1 and tested.value <= 10
+
+
+def test_pairs_of_rules_are_told_once_without_a_shuffle_of_them(spark):
+    of = lambda i, version, key, path, state="approved", stated=None: (i, version, key, stated, path, state)
+    rows = [of(i, i % 2, f"k{i % 3}.x", "design_principle") for i in range(30)] + [of(i, i % 2, f"k{i % 3}.y", "deemed_to_comply") for i in range(20, 90)]
+    rows += [of(1, v, "k9", p) for v in (4, 5, 5) for p in ("design_principle", "deemed_to_comply")] + [of(7, v, "other.z", "deemed_to_comply", stated="k9") for v in (4, 5)]
+    rows += [of(8, None, "k9", "deemed_to_comply"), of(9, 4, None, "deemed_to_comply"), of(10, 4, "k9", "deemed_to_comply", "pending"), of(None, 4, "k9", "design_principle")]
+    rules = spark.createDataFrame(rows, "rule_id int, version_id int, rule_key string, stated_base string, pathway string, state string")
+    base = lambda r: r[3] or (r[2] and r[2].split(".")[0])
+    side = lambda p: [(r[0], r[1], base(r)) for r in rows if r[4] == p and r[5] == "approved" and r[1] is not None and base(r)]
+    want = {(a, b) for a, v, k in side("design_principle") for b, w, m in side("deemed_to_comply") if (v, k) == (w, m)}
+    out = graph.alternative_edges(rules)
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(want) and set(got) == want and (1, 7) in want
+    assert out._jdf.queryExecution().optimizedPlan().toString().startswith("Union")  # not an aggregate of all pairs
