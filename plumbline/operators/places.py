@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import geo, typeahead
+from .tables import spread_join
 
 FLOOR, GAP = 0.55, 0.08
 # Method and confidence of facts from maps; layers that are no overlays; zones that are roads or reserves.
@@ -55,13 +58,16 @@ def parcel_facts(parcels: DataFrame, key: str) -> DataFrame:
     return parcels.select(key, facts).select(key, "f.fact_type", "f.value").where("value IS NOT NULL")
 
 
-def synth_facts(properties: DataFrame, parcels: DataFrame, features: DataFrame, facts: DataFrame) -> DataFrame:
+def synth_facts(properties: DataFrame, parcels: DataFrame, features: DataFrame, facts: DataFrame, **more: Callable[[Column, Column], Column]) -> DataFrame:
     """DOM-09: the facts of projects (project_id, fact_type, value as JSON, method, feature_id) after a run: those that a map gave
     before go, others stay, and each property (project_id, parcel_id) with a parcel gets those of its parcel (parcel_id, area_m2, width_m,
     depth_m, local_government) and of the features that it meets (parcel_id, feature_id, layer_type, code, label, stamped, meta_code).
 
     Of the features, by layer and id, the first with a density code (stamped, else its own) gives r_code, the first usable zone gives
-    zone, and each overlay gives its presence. What is not known is left out. Firsts are aggregates, combined before the shuffle."""
+    zone, and each overlay gives its presence. What is not known is left out. Firsts are aggregates, combined before the shuffle.
+
+    Each overlay becomes a fact of each project on its parcel, so the result grows with their product: all values, and columns in `more`
+    made of a fact's type and value, are made once for a parcel, and the pairs are only put together."""
     code = F.trim(F.coalesce("code", F.lit("")))
     layer = F.lower(F.trim(F.coalesce("layer_type", F.lit(""))))
     density = F.coalesce(F.nullif("stamped", F.lit("")), F.when(T.is_density_code(code), code))
@@ -85,8 +91,10 @@ def synth_facts(properties: DataFrame, parcels: DataFrame, features: DataFrame,
     mine = [fact(t, v, none) for t, v in own.items()] + [fact(t, F.col(t)["value"], F.col(t)["feature_id"]) for t in ("r_code", "zone")]
     rows = parcels.join(first, "parcel_id", "left").select("parcel_id", F.explode(F.filter(F.array(*mine), lambda x: x["value"].isNotNull())).alias("f")).select("parcel_id", "f.*")
     rows = rows.unionByName(overlays.join(parcels.select("parcel_id"), "parcel_id", "left_semi"))
-    new = properties.where("parcel_id IS NOT NULL").join(rows, "parcel_id").select("project_id", "fact_type", "value", F.lit(SPATIAL).alias("method"), "feature_id")
+    columns = ["project_id", "fact_type", "value", "method", "feature_id", *more]
+    told = lambda df: df.withColumns({n: f(F.col("fact_type"), F.col("value")) for n, f in more.items()}) if more else df
+    asked = properties.where("parcel_id IS NOT NULL").select("project_id", "parcel_id")
+    new = spread_join(asked, told(rows), ["parcel_id"]).withColumn("method", F.lit(SPATIAL))
     kept = facts.join(properties.select("project_id").distinct(), "project_id", "left_semi").where(~F.col("method").eqNullSafe(F.lit(SPATIAL)))
     others = facts.join(properties.select("project_id").distinct(), "project_id", "left_anti")
-    columns = ["project_id", "fact_type", "value", "method", "feature_id"]
-    return kept.select(*columns).unionByName(others.select(*columns)).unionByName(new)
+    return told(kept).select(*columns).unionByName(told(others).select(*columns)).unionByName(new.select(*columns))

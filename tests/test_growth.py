@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import checks, geo, graph
+from plumbline.operators import checks, geo, graph, places
 
 
 def square(x, y, n):
@@ -64,3 +64,20 @@ def test_pairs_of_rules_are_told_once_without_a_shuffle_of_them(spark):
     got = [tuple(r) for r in out.collect()]
     assert len(got) == len(want) and set(got) == want and (1, 7) in want
     assert out._jdf.queryExecution().optimizedPlan().toString().startswith("Union")  # not an aggregate of all pairs
+
+
+def test_facts_of_a_parcel_are_made_once(spark):
+    told = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def count(kind, value):
+        told.add(1)
+        return f"{kind} {value}"
+
+    props = spark.createDataFrame([(i, 1 if i < 40 else None) for i in range(50)], "project_id int, parcel_id int").coalesce(1)
+    parcels = spark.createDataFrame([(1, 5.0, None, None, "PERTH, CITY OF"), (2, 1.0, 1.0, 1.0, None)], "parcel_id int, area_m2 double, width_m double, depth_m double, local_government string")
+    features = spark.createDataFrame([(1, i, "bushfire", "B", None, None, None) for i in range(30)], "parcel_id int, feature_id int, layer_type string, code string, label string, stamped string, meta_code string").coalesce(1)
+    old = spark.createDataFrame([(3, "lot_area_m2", "{}", "spatial_derived", None), (3, "mine", "1", None, None), (99, "far", "2", "spatial_derived", None)], "project_id int, fact_type string, value string, method string, feature_id int")
+    out = places.synth_facts(props, parcels, features, old, shown=count).collect()
+    assert len(out) == 40 * 32 + 2 and {r["shown"] for r in out} == {f"{r['fact_type']} {r['value']}" for r in out}
+    assert told.value <= 3 * 40  # not for each of the 1,282 facts
