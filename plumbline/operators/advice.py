@@ -61,12 +61,24 @@ def evidence_search(queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFram
     return rows_per_key(both.select("query_id", "doc_id", score.alias("score")), ["query_id"], [F.desc("score"), F.col("doc_id")], k)
 
 
+#: Characters of a run of digits and dots whose substrings are listed; longer ones are searched.
+LONG_RUN = 40
+
+
 def unclaimed_numbers(clauses: DataFrame, quotes: DataFrame) -> DataFrame:
-    """DOM-27, DT-10: numbers of a version's clauses, but for 0 and years, that none of its promoted quotes holds as a substring."""
+    """DOM-27, DT-10: numbers of a version's clauses, but for 0 and years, that none of its promoted quotes holds as a substring.
+
+    A number that a quote holds lies within one of its runs of digits and dots, so numbers meet the substrings of the distinct runs in
+    an equi-join; only long runs are searched for each distinct number of their version."""
     said = clauses.select("version_id", "clause_key", F.explode(F.array_distinct(numbers_in(F.col("text")))).alias("number"))
     said = said.where((F.col("number") != "0") & ~is_year(F.col("number")))
-    held = said.select("version_id", "number").distinct().alias("n").join(quotes.select("version_id", "quote").alias("q"), (F.col("n.version_id") == F.col("q.version_id")) & F.contains("q.quote", F.col("n.number")), "left_semi")
-    return said.join(held, ["version_id", "number"], "left_anti").select("version_id", "clause_key", "number")
+    runs = quotes.select("version_id", F.explode(F.regexp_extract_all("quote", F.lit(r"([0-9.]+)"), F.lit(1))).alias("run")).distinct()
+    size = F.length("run")
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: F.substr("run", i, n))))
+    held = runs.where(size <= LONG_RUN).select("version_id", F.explode(parts).alias("number")).distinct()
+    long = runs.where(size > LONG_RUN).alias("q")
+    beside = said.select("version_id", "number").distinct().alias("n").join(long, (F.col("n.version_id") == F.col("q.version_id")) & F.contains("q.run", F.col("n.number")), "left_semi")
+    return said.join(held.unionByName(beside), ["version_id", "number"], "left_anti").select("version_id", "clause_key", "number")
 
 
 def nth_round_rank(df: DataFrame, column: str, n: int = 2) -> DataFrame:

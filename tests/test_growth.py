@@ -1,8 +1,10 @@
 """Copies of places, polygons, rules and texts cost no more tests or rows than one of each."""
 
+import re
+
 from pyspark.sql import functions as F
 
-from plumbline.operators import checks, geo, graph, places
+from plumbline.operators import advice, checks, geo, graph, places
 
 
 def square(x, y, n):
@@ -81,3 +83,18 @@ def test_facts_of_a_parcel_are_made_once(spark):
     out = places.synth_facts(props, parcels, features, old, shown=count).collect()
     assert len(out) == 40 * 32 + 2 and {r["shown"] for r in out} == {f"{r['fact_type']} {r['value']}" for r in out}
     assert told.value <= 3 * 40  # not for each of the 1,282 facts
+
+
+def test_numbers_meet_distinct_runs_of_quotes(spark):
+    clauses = [(v, i, f"of {i} m, {i}.5 and 0 in 2005, {i % 3}") for v in (1, 2) for i in range(60)] + [(None, 1, "9"), (3, 1, "1234567"), (1, 99, None)]
+    quotes = [(1, f"set at {i} m") for i in range(40)] + [(1, "v1.2.55x7"), (2, "1" * 30 + "41.5" + "3" * 30), (2, None), (None, "9"), (3, "99123456 7")]
+
+    def numbers(text):
+        return {n for n in re.findall(r"\d+(?:\.\d+)?", text or "") if n != "0" and not re.fullmatch(r"(19|20)\d\d", n)}
+
+    want = {(v, k, n) for v, k, t in clauses for n in numbers(t) if not any(v is not None and v == w and q and n in q for w, q in quotes)}
+    frames = [spark.createDataFrame(rows, f"version_id int, {rest}").coalesce(1) for rows, rest in ((clauses, "clause_key int, text string"), (quotes, "quote string"))]
+    out = advice.unclaimed_numbers(*frames)
+    got = [tuple(r) for r in out.collect()]
+    assert set(got) == want and len(got) == len(want) and (2, 41, "41.5") not in want
+    assert "Contains(quote" not in out._jdf.queryExecution().optimizedPlan().toString()  # no search of each quote for each number
