@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import advice, checks, geo, graph, places
+from plumbline.operators import advice, checks, geo, graph, places, rules
 
 
 def square(x, y, n):
@@ -58,11 +58,11 @@ def test_pairs_of_rules_are_told_once_without_a_shuffle_of_them(spark):
     rows = [of(i, i % 2, f"k{i % 3}.x", "design_principle") for i in range(30)] + [of(i, i % 2, f"k{i % 3}.y", "deemed_to_comply") for i in range(20, 90)]
     rows += [of(1, v, "k9", p) for v in (4, 5, 5) for p in ("design_principle", "deemed_to_comply")] + [of(7, v, "other.z", "deemed_to_comply", stated="k9") for v in (4, 5)]
     rows += [of(8, None, "k9", "deemed_to_comply"), of(9, 4, None, "deemed_to_comply"), of(10, 4, "k9", "deemed_to_comply", "pending"), of(None, 4, "k9", "design_principle")]
-    rules = spark.createDataFrame(rows, "rule_id int, version_id int, rule_key string, stated_base string, pathway string, state string")
+    legal = spark.createDataFrame(rows, "rule_id int, version_id int, rule_key string, stated_base string, pathway string, state string")
     base = lambda r: r[3] or (r[2] and r[2].split(".")[0])
     side = lambda p: [(r[0], r[1], base(r)) for r in rows if r[4] == p and r[5] == "approved" and r[1] is not None and base(r)]
     want = {(a, b) for a, v, k in side("design_principle") for b, w, m in side("deemed_to_comply") if (v, k) == (w, m)}
-    out = graph.alternative_edges(rules)
+    out = graph.alternative_edges(legal)
     got = [tuple(r) for r in out.collect()]
     assert len(got) == len(want) and set(got) == want and (1, 7) in want
     assert out._jdf.queryExecution().optimizedPlan().toString().startswith("Union")  # not an aggregate of all pairs
@@ -98,3 +98,18 @@ def test_numbers_meet_distinct_runs_of_quotes(spark):
     got = [tuple(r) for r in out.collect()]
     assert set(got) == want and len(got) == len(want) and (2, 41, "41.5") not in want
     assert "Contains(quote" not in out._jdf.queryExecution().optimizedPlan().toString()  # no search of each quote for each number
+
+
+def test_rules_of_one_kind_are_filed_once(spark, monkeypatch):
+    filed, real = [], rules._scoped
+    monkeypatch.setattr(rules, "_scoped", lambda df: filed.append(df.count()) or real(df))
+    rows = [("c", None if i % 2 else 3, [["R1", "R2"], None][i // 2 % 2], i, "lte", 1.0 if i < 150 else None, "exception" if i % 5 == 0 else None, i % 7) for i in range(200)]
+    given = spark.createDataFrame(rows, "check_key string, council int, r_codes array<string>, rule_id int, operator string, threshold double, rule_type string, created int")
+    scopes = [(3, "R1"), (4, "R2"), (4, "R9"), (None, "R1"), (3, None), (None, None)]
+    got = {(r["council"], r["r_code"]): r["rule_id"] for r in rules.select_rules(given, spark.createDataFrame(scopes, "council int, r_code string")).collect()}
+
+    def best(council, code):
+        fits = [r for r in rows if (council is None or r[1] in (None, council)) and (code is None or r[2] is None or code in r[2])]
+        return max(fits, key=lambda r: (r[5] is not None, r[6] != "exception", 1 if r[2] is None else 0 if code is None else 2, r[7], r[3]))[3]
+
+    assert got == {s: best(*s) for s in scopes} and filed == [4]
