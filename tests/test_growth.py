@@ -113,3 +113,13 @@ def test_rules_of_one_kind_are_filed_once(spark, monkeypatch):
         return max(fits, key=lambda r: (r[5] is not None, r[6] != "exception", 1 if r[2] is None else 0 if code is None else 2, r[7], r[3]))[3]
 
     assert got == {s: best(*s) for s in scopes} and filed == [4]
+
+
+def test_facts_are_dealt_by_project_before_they_are_compared(spark):
+    facts = spark.createDataFrame([(1, "a", float(i), "map", i, 0) for i in range(9)] + [(2, "a", 1.0, None, 1, 0), (2, "b", 1.0, "map", 1, 0)], "project_id int, fact_type string, value double, method string, created int, tie int")
+    projects = spark.createDataFrame([(1, 3, "R1"), (2, 3, "R1"), (3, 4, None)], "project_id int, council int, r_code string")
+    given = spark.createDataFrame([("a", 3, ["R1"], 5, "gte", 8.0, None, 1)], "check_key string, council int, r_codes array<string>, rule_id int, operator string, threshold double, rule_type string, created int")
+    out = rules.evaluate(projects, facts, given, ["a"])
+    assert sorted((r["project_id"], r["rule_id"], r["value"], r["status"]) for r in out.collect()) == [(1, 5, 8.0, "pass"), (2, 5, 1.0, "needs_more_info"), (3, None, None, "unsupported")]
+    sides = out._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression [project_id")
+    assert len(sides) == 2 and "Aggregate" not in sides[1]
