@@ -105,16 +105,21 @@ class _Text(HTMLParser):
             self.handle_endtag(self.open[-1][0])
 
 
+#: Pages whose texts and links are held at once.
+PAGES = 200
+
+
 def html_text(pages: DataFrame, key: str = "page_id", html: str = "html", max_links: int = 80) -> DataFrame:
-    """SRC-09: key, text (title, then headings, paragraphs and list items by tag, each string once) and links of each page."""
+    """SRC-09: key, text (title, then headings, paragraphs and list items by tag, each string once) and links of each page. Pages
+    of an Arrow batch become Python strings one at a time, and results leave in small batches, so a worker holds little beside the batch."""
     kind = pages.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(i, PAGES) for whole in batches for i in range(0, whole.num_rows, PAGES)):
             texts, links = [], []
-            for source in batch.column("__html").to_pylist():
+            for source in batch.column("__html"):
                 parser = _Text()
-                parser.feed(source or "")
+                parser.feed(source.as_py() or "")
                 parser.close()
                 texts.append("\n".join(dict.fromkeys(t for b in parser.BLOCKS for t in parser.texts[b])))
                 links.append(list(dict.fromkeys(parser.links))[:max_links])

@@ -2,9 +2,11 @@
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from plumbline.operators import advice, checks, geo, graph, places, rules
+from plumbline.sources import readers
 
 
 def square(x, y, n):
@@ -123,3 +125,16 @@ def test_facts_are_dealt_by_project_before_they_are_compared(spark):
     assert sorted((r["project_id"], r["rule_id"], r["value"], r["status"]) for r in out.collect()) == [(1, 5, 8.0, "pass"), (2, 5, 1.0, "needs_more_info"), (3, None, None, "unsupported")]
     sides = out._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression [project_id")
     assert len(sides) == 2 and "Aggregate" not in sides[1]
+
+
+def test_pages_leave_in_small_batches(spark, monkeypatch):
+    pages = spark.createDataFrame([(1, "x")], "page_id int, html string")
+    taken = []
+    monkeypatch.setattr(type(pages), "mapInArrow", lambda self, run, kind: taken.append(run) or self)
+    readers.html_text(pages)
+    sources = [None if i == 3 else f'<title>t{i}</title><p>a</p><p>a</p><a href="u{i}">' for i in range(450)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(450)), pa.array(sources)], ["page_id", "__html"])
+    out = list(taken[0](iter([batch])))
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [b.num_rows for b in out] == [200, 200, 50]
+    assert rows == [{"page_id": i, "text": "" if i == 3 else f"t{i}\na", "links": [] if i == 3 else [f"u{i}"]} for i in range(450)]
