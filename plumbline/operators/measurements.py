@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +22,8 @@ SIDES = r"(front|rear|side|secondary|primary|northern?|southern?|eastern?|wester
 
 @dataclass(frozen=True)
 class Pattern:
-    """What stands before the value, the value, what stands behind it, a word without which nothing can match, and whether it ends at
-    the edge of a word. A `%s` in the key is the side, the first group of `before`."""
+    """What stands before the value, the value, what stands behind it, words (with | between them) without all of which nothing can match,
+    and whether it ends at the edge of a word. A `%s` in the key is the side, the first group of `before`."""
 
     key: str
     unit: str | None
@@ -48,19 +50,19 @@ AREAS = [
     Pattern("site_area_m2", "sqm", 0.82, r"(?:lot|site|land)\s+area[:\s]*", NUMBER, SQUARE, "area"),
     Pattern("proposed_covered_area_m2", "sqm", 0.78, r"(?:building\s+)?footprint[:\s]*", NUMBER, SQUARE, "footprint"),
     Pattern("proposed_open_space_m2", "sqm", 0.75, r"open\s+space[:\s]*", NUMBER, SQUARE, "space"),
-    Pattern("proposed_area_sqm", "sqm", 0.50, "", NUMBER, SQUARE),
+    Pattern("proposed_area_sqm", "sqm", 0.50, "", NUMBER, SQUARE, "m²|m2|sq"),
 ]
 PERCENTAGES = [
     Pattern("proposed_site_cover_pct", "%", 0.82, r"site\s+coverage[:\s]*", NUMBER, PERCENT, "coverage", edge=False),
     Pattern("proposed_open_space_pct", "%", 0.78, r"open\s+space\s+(?:ratio|percentage)[:\s]*", NUMBER, PERCENT, "space", edge=False),
-    Pattern("proposed_percentage", "%", 0.50, "", NUMBER, PERCENT, edge=False),
+    Pattern("proposed_percentage", "%", 0.50, "", NUMBER, PERCENT, "%|cent", edge=False),
 ]
 LINEAR = [
     Pattern("proposed_garage_width_m", "m", 0.78, r"garage\s+width[:\s]*", NUMBER, METRES, "garage"),
     Pattern("proposed_boundary_wall_length_m", "m", 0.76, r"boundary\s+wall(?:\s+length)?[:\s]*", NUMBER, METRES, "boundary"),
 ]
 TITLE_BLOCK = [
-    Pattern("drawing_number", None, 0.74, r"(?:drawing|sheet)\s*(?:no\.?|number|#)[:\s]*", r"[A-Z0-9][A-Z0-9._/-]{1,40}"),
+    Pattern("drawing_number", None, 0.74, r"(?:drawing|sheet)\s*(?:no\.?|number|#)[:\s]*", r"[A-Z0-9][A-Z0-9._/-]{1,40}", "", "drawing|sheet"),
     Pattern("drawing_revision", None, 0.72, EDGE + r"(?:revision|rev\.?)[:\s]*", r"[A-Z0-9][A-Z0-9._/-]{0,20}", "", "rev"),
     Pattern("drawing_title", None, 0.70, r"(?:drawing|sheet)\s*title[:\s]*", r"[^\n\r]{3,120}", "", "title", edge=False),
     Pattern("drawing_scale", None, 0.68, EDGE + r"scale[:\s]*", r"(?:1\s*:\s*\d{1,5})|(?:NTS)|(?:as\s+shown)", "", "scale"),
@@ -83,8 +85,8 @@ def _found(text: Column, low: Column, n: int, p: Pattern) -> Column:
     """Facts of one pattern in the order of their places. The text is scanned again for the places only where there is a match."""
     at = 1 + p.before.count("(") - p.before.count("(?")
     alone = f"(?iUs)^{p.before}({p.value}){p.behind}$"
-    holds = F.contains(low, F.lit(p.word)) if p.word else F.lit(True)
-    matches = F.when(holds, F.regexp_extract_all(text, F.lit(p.whole), F.lit(0)))
+    holds = reduce(or_, [F.contains(low, F.lit(w)) for w in p.word.split("|")])  # every text holds the empty word
+    found = F.when(holds, F.regexp_extract_all(text, F.lit(p.whole), F.lit(0)))
     between = F.transform(F.split(text, p.whole), F.length)
 
     def fact(m: Column, i: Column, start: Column) -> Column:
@@ -101,7 +103,8 @@ def _found(text: Column, low: Column, n: int, p: Pattern) -> Column:
         steps = F.transform(m["m"], lambda x, i: F.length(x) + F.get(m["b"], i))
         return F.get(F.transform(F.array(running(steps)), lambda r: F.transform(m["m"], lambda x, i: fact(x, i, F.get(r, i) + F.get(m["b"], i)))), F.lit(0))
 
-    return F.when(F.size(matches) > 0, F.get(F.transform(F.array(F.struct(matches.alias("m"), between.alias("b"))), placed), F.lit(0))).otherwise(F.array())
+    once = lambda m: F.when(F.size(m) > 0, F.get(F.transform(F.array(F.struct(m.alias("m"), between.alias("b"))), placed), F.lit(0))).otherwise(F.array())
+    return F.get(F.transform(F.array(found), once), F.lit(0))
 
 
 def measurements(docs: DataFrame, key: str = "doc_id", text: str = "text", patterns: list[Pattern] = PATTERNS) -> DataFrame:
@@ -109,10 +112,11 @@ def measurements(docs: DataFrame, key: str = "doc_id", text: str = "text", patte
     the same key and value (texts without regard to case) the first counts, by the order of patterns and then of places.
 
     The facts leave each text as an array; only they are shuffled, and combined before that."""
-    body = F.col("__t")
-    low = F.lower(F.replace(F.replace(body, F.lit("\u017f"), F.lit("s")), F.lit("\u212a"), F.lit("k")))  # letters that equal s and k without regard to case
-    facts = F.concat(*[_found(body, low, n, p) for n, p in enumerate(patterns)])
-    rows = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("__t")).select(key, F.explode(facts).alias("f"))
+    body = F.coalesce(F.col(text), F.lit(""))
+    low = F.lower(F.translate("__t", "\u017f\u212a\u0131\u0130", "skii"))  # letters that equal s, k and i without regard to case
+    rows = docs.select(key, body.alias("__t")).withColumn("__low", low)  # a column, so that it is made once
+    facts = F.concat(*[_found(F.col("__t"), F.col("__low"), n, p) for n, p in enumerate(patterns)])
+    rows = rows.select(key, F.explode(facts).alias("f"))
     rows = rows.where(F.col("f.unit").isNotNull() | (F.col("f.text_value") != ""))
     first = rows.groupBy(key, F.col("f.fact_key").alias("fact_key"), F.col("f.value").alias("value"), F.lower("f.text_value").alias("__same")).agg(F.min("f").alias("f"))
     return first.select(key, "fact_key", "value", *[F.col("f")[c].alias(c) for c in ("text_value", "unit", "confidence", "source_text", "start", "end")])

@@ -5,7 +5,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from plumbline.operators import advice, checks, geo, graph, places, rules
+from plumbline.operators import advice, checks, geo, graph, measurements, places, rules
 from plumbline.sources import readers
 
 
@@ -138,3 +138,10 @@ def test_pages_leave_in_small_batches(spark, monkeypatch):
     rows = [r for b in out for r in b.to_pylist()]
     assert [b.num_rows for b in out] == [200, 200, 50]
     assert rows == [{"page_id": i, "text": "" if i == 3 else f"t{i}\na", "links": [] if i == 3 else [f"u{i}"]} for i in range(450)]
+
+
+def test_words_of_patterns_leave_out_no_match(spark):
+    texts = ["sheet tıtle: Ground plan", "drawing TİTLE: Roof", "DRAWıNG NO: A1", "9 m² or 8 ſq m", "7 PER CENT", "nothing"]
+    found = measurements.measurements(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    got = sorted((r["doc_id"], r["fact_key"], r["value"] or r["text_value"]) for r in found)
+    assert got == [(0, "drawing_title", "Ground plan"), (1, "drawing_title", "Roof"), (2, "drawing_number", "A1"), (3, "proposed_area_sqm", 8.0), (3, "proposed_area_sqm", 9.0), (4, "proposed_percentage", 7.0)]
