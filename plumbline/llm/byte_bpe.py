@@ -105,12 +105,12 @@ class ByteBPE:
     def encode(self, docs: DataFrame, text: str = "text", out: str = "token_ids") -> DataFrame:
         """`docs` with an array of ids, in place of any column of that name."""
         docs = docs.drop(out)
-        row = F.struct(F.struct(*docs.columns).alias("row"), text_of(text).alias("t"))
+        row = F.struct(*docs.columns)
         n = F.ceil(docs.agg(F.sum(F.coalesce(F.length(text), F.lit(0)) + ROW_CHARS)).scalar() / BATCH_CHARS)
         number = F.xxhash64(F.monotonically_increasing_id())  # not of the text: copies would meet in one batch
         batches = docs.select(row.alias("d"), F.pmod(number, F.greatest(F.lit(1), n)).alias("b"))
         batches = batches.repartition("b").groupBy("b").agg(F.collect_list("d").alias("d"))
-        split = batches.select(F.transform("d", lambda d: d["row"]).alias("rows"), F.transform("d", lambda d: self.words(d["t"])).alias("words"))
+        split = batches.select(F.col("d").alias("rows"), F.transform("d", lambda d: self.words(text_of(d[text]))).alias("words"))
         flat = split.select("rows", F.transform("words", F.size).alias("n"), F.flatten("words").alias("w"))
         runs = flat.withColumn("s", _packed("w")).withColumn("f", _first_of_runs("w", "s"))
         maps = F.from_json(F.lit(self._maps), "v array<map<string,string>>")["v"]

@@ -405,6 +405,13 @@ def test_bpe_edge_cases(spark, edge, empty, reference_bpe):
     assert again.columns == out.columns
 
 
+def test_bpe_shuffles_a_text_once(spark, reference_bpe):
+    bpe = byte_bpe.ByteBPE(spark, public_tokenizers.path(queries.BPE_FILE), public_tokenizers.PATTERN)
+    plan = bpe.encode(spark.createDataFrame([(1, "a b")], "doc_id bigint, text string"))._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    dealt = next(plan[i + 1] for i, line in enumerate(plan) if "RepartitionByExpression" in line)
+    assert dealt.count("text#") == 1, dealt
+
+
 # op9
 
 
