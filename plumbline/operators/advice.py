@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import is_year
-from ..functions.numbers import cosine, hash_embedding
+from ..functions.numbers import hash_embedding
 from ..functions.text import numbers_in
-from .latest import rows_per_key
-from .search import lexical_scores
+from .search import lexical_hits
 
 # Words that raise and words that lower the relevance of an advisory rule.
 RAISING = [
@@ -55,10 +54,8 @@ def derived_rule_key(base: Column, codes: Column, dwelling: Column) -> Column:
 
 def evidence_search(queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
     """FTS-04: 0.65 of the lexical score and 0.35 of the cosine of hash embeddings, of texts that share a token with the query."""
-    hits = lexical_scores(queries, docs)
-    both = hits.join(docs.select("doc_id", hash_embedding(F.col("text")).alias("dv")), "doc_id").join(queries.select("query_id", hash_embedding(F.col("text")).alias("qv")), "query_id")
-    score = F.round(0.65 * F.col("score") + 0.35 * F.greatest(F.lit(0.0), cosine(F.col("dv"), F.col("qv"))), 4)
-    return rows_per_key(both.select("query_id", "doc_id", score.alias("score")), ["query_id"], [F.desc("score"), F.col("doc_id")], k)
+    with_vector = lambda rows: rows.withColumn("vector", hash_embedding(F.col("text")))
+    return lexical_hits(with_vector(queries), with_vector(docs), k, blend=(0.65, 0.35))
 
 
 #: Characters of a run of digits and dots whose substrings are listed; longer ones are searched.

@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Callable
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import cosine
@@ -12,6 +19,10 @@ from .latest import rows_per_key
 
 #: Queries of one block on average; the blocks are as many as the queries need.
 BLOCK = 1_000
+#: Characters of the texts of one shard on average, and those that a text counts for beside its own.
+SHARD_CHARS, ROW_CHARS = 8_000_000, 200
+#: Scores of one matrix: texts by queries.
+CELLS = 500_000
 
 
 def query_blocks(queries: DataFrame) -> DataFrame:
@@ -20,19 +31,97 @@ def query_blocks(queries: DataFrame) -> DataFrame:
     return queries.groupBy(F.pmod(F.xxhash64(*queries.columns), n).alias("__block")).agg(F.collect_list(F.struct(*queries.columns)).alias("q")).select("q")
 
 
-def lexical_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """FTS-03, MTH-04, SET-01: query_id, doc_id, score: shared tokens over the query's, and 0.25 where the phrase occurs.
-
-    Distinct tokens of texts and queries meet in an equi-join, so work follows the shared tokens. A text that holds the phrase
-    has all its tokens, but perhaps the first and the last, so the phrase is looked for in texts that lack two at most."""
-    asked = queries.select("query_id", normalise(F.col("text")).alias("phrase"), token_set(F.col("text")).alias("tokens"))
-    wanted = asked.select("query_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    held = docs.select("doc_id", F.explode(token_set(F.col("text"))).alias("token"))
-    shared = held.join(wanted, "token").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"), F.max("n").alias("n"))
-    near = shared.where("shared >= n - 2").join(asked.select("query_id", "phrase"), "query_id").join(docs.select("doc_id", "text"), "doc_id")
-    near = near.withColumn("bonus", F.when(F.contains(normalise(F.col("text")), F.col("phrase")), 0.25).otherwise(0.0))
-    rows = near.select("query_id", "doc_id", "shared", "n", "bonus").unionByName(shared.where("shared < n - 2").withColumn("bonus", F.lit(0.0)))
-    return rows.select("query_id", "doc_id", F.round(F.col("shared") / F.col("n") + F.col("bonus"), 6).alias("score"))
+def rounded(x: np.ndarray, places: int) -> np.ndarray:
+    """As Spark's round: half up in the shortest decimal form. Only values near a half are looked at one by one."""
+    scaled = x * 10.0**places
+    out = np.floor(scaled + 0.5) / 10.0**places
+    near = np.flatnonzero(np.abs(scaled - np.floor(scaled) - 0.5) < 1e-5)
+    values, back = np.unique(x.flat[near], return_inverse=True)
+    unit = Decimal(1).scaleb(-places)
+    out.flat[near] = np.array([float(Decimal(repr(v)).quantize(unit, ROUND_HALF_UP)) for v in values.tolist()])[back]
+    return out
+
+
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of all rows of a with all of b, summed in the order of the components, as functions.numbers.cosine does."""
+    out, aa, bb = np.zeros((len(a), len(b))), np.zeros(len(a)), np.zeros(len(b))
+    for x, y in zip(a.T, b.T):
+        out += x[:, None] * y
+        aa += x * x
+        bb += y * y
+    norms = np.sqrt(aa)[:, None] * np.sqrt(bb)
+    return np.divide(out, norms, out=np.zeros_like(out), where=norms > 0)
+
+
+def _best_of_shard(k: int, blend: tuple[float, float] | None) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The k best texts of a shard for each query of a block: distinct tokens of a text are counted by the queries that have them,
+    some texts at a time, and only the best rows are kept."""
+
+    def run(docs: pa.Table, queries: pa.Table) -> pa.Table:
+        docs = docs.take(pc.sort_indices(docs, sort_keys=[("doc_id", "ascending")], null_placement="at_start"))  # ties to the least id
+        holders: dict[str, list[int]] = {}
+        wanted = queries["tokens"].to_pylist()
+        for i, tokens in enumerate(wanted):
+            for token in tokens:
+                holders.setdefault(token, []).append(i)
+        holder = {token: np.array(at) for token, at in holders.items()}
+        n, phrases, find = np.array([len(t) for t in wanted]), queries["phrase"].to_pylist(), re.compile("[a-z0-9]+").findall
+        kept_rows, kept_queries, kept_scores = [np.zeros(0, np.int64)] * queries.num_rows, np.arange(queries.num_rows), [np.zeros(0)] * queries.num_rows
+        step = max(1, CELLS // max(1, len(n)))
+        for begin in range(0, docs.num_rows if len(n) else 0, step):
+            part = docs.slice(begin, step)
+            shared = np.zeros((part.num_rows, len(n)), np.int64)
+            texts = part["text"].to_pylist()
+            for row, text in enumerate(texts):
+                at = [holder[t] for t in set(find(text)) if t in holder]
+                if at:
+                    shared[row] = np.bincount(np.concatenate(at), minlength=len(n))
+            score = shared / np.maximum(n, 1)
+            # a text that holds the phrase has all its tokens, but perhaps the first and the last
+            rows, columns = np.nonzero((shared > 0) & (shared >= n - 2))
+            held = np.array([phrases[q] in texts[r] for r, q in zip(rows.tolist(), columns.tolist())], bool)
+            score[rows[held], columns[held]] += 0.25
+            score = rounded(score, 6)
+            if blend:
+                vectors = [np.array(t["vector"].to_pylist(), float) for t in (part, queries)]
+                score = rounded(blend[0] * score + blend[1] * np.maximum(0.0, _cosines(*vectors)), 4)
+            score[shared == 0] = -np.inf
+            for q in range(len(n)):
+                mine = score[:, q]
+                least = kept_scores[q][-1] if len(kept_scores[q]) == k else -np.inf
+                better = np.flatnonzero(mine > least)  # an equal score of a later text is no better
+                if len(better):
+                    rows, scores = np.concatenate([kept_rows[q], better + begin]), np.concatenate([kept_scores[q], mine[better]])
+                    best = np.lexsort((rows, -scores))[:k]
+                    kept_rows[q], kept_scores[q] = rows[best], scores[best]
+        owner = np.repeat(kept_queries, [len(r) for r in kept_rows])
+        ids = docs["doc_id"].take(pa.array(np.concatenate([np.zeros(0, np.int64), *kept_rows])))
+        return pa.table({"query_id": queries["query_id"].take(pa.array(owner)), "doc_id": ids, "score": np.concatenate([np.zeros(0), *kept_scores])})
+
+    return run
+
+
+def lexical_hits(queries: DataFrame, docs: DataFrame, k: int, blend: tuple[float, float] | None = None) -> DataFrame:
+    """FTS-03, MTH-04, SET-01: query_id, doc_id, score and rank of the k best texts of each query that share a token with it, equal
+    ones by id. The score is the shared tokens over the query's, and 0.25 where the phrase occurs; with `blend`, its first part of
+    that and its second of the cosine of both rows' `vector`.
+
+    Texts are dealt by id into shards of bounded size and queries into blocks; every shard meets every block, and sends k rows a
+    query at most, so pairs of texts and queries are never shuffled or sorted."""
+    vector = ["vector"] if blend else []
+    queries, docs = queries.where("text IS NOT NULL"), docs.where("text IS NOT NULL")
+    size = docs.agg(F.greatest(F.lit(1), F.ceil(F.sum(F.length("text") + ROW_CHARS) / SHARD_CHARS)).alias("n"))
+    shards = size.scalar()
+    blocks = queries.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BLOCK))).scalar()
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
+    asked = queries.select("query_id", normalise(F.col("text")).alias("phrase"), token_set(F.col("text")).alias("tokens"), *vector, F.pmod(F.xxhash64("query_id"), blocks).alias("block"))
+    asked = asked.withColumn("shard", upto(shards))
+    held = docs.select("doc_id", normalise(F.col("text")).alias("text"), *vector, F.pmod(F.xxhash64("doc_id"), shards).alias("shard"))
+    held = held.withColumn("block", upto(blocks))
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    schema = f"query_id {kind(queries, 'query_id')}, doc_id {kind(docs, 'doc_id')}, score double"
+    best = held.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(_best_of_shard(k, blend), schema)
+    return top_hits(best, k)
 
 
 def quote_hits(quotes: DataFrame, docs: DataFrame, key: str = "item_id") -> DataFrame:
@@ -57,8 +146,8 @@ def top_hits(scores: DataFrame, k: int) -> DataFrame:
 
 def relevance_floor(hits: DataFrame, least: float = 0.15, share: float = 0.35) -> DataFrame:
     """FLT-15: hits at or above the greater of `least` and a share of the query's best score."""
-    top = hits.groupBy("query_id").agg(F.max("score").alias("__top"))
-    return hits.join(top, "query_id").where(F.col("score") >= F.greatest(F.lit(least), F.col("__top") * share)).drop("__top")
+    top = F.max("score").over(Window.partitionBy("query_id"))
+    return hits.withColumn("__top", top).where(F.col("score") >= F.greatest(F.lit(least), F.col("__top") * share)).drop("__top")
 
 
 def vector_scores(queries: DataFrame, vectors: DataFrame, score: Column | None = None) -> DataFrame:

@@ -2,11 +2,15 @@
 
 import re
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from plumbline.operators import advice, checks, geo, graph, measurements, places, rules
+from plumbline.operators import advice, checks, geo, graph, measurements, places, rules, search
+from plumbline.plans.registry import QUERIES, SQL
 from plumbline.sources import readers
+from tests.compare import assert_matches
 
 
 def square(x, y, n):
@@ -145,3 +149,24 @@ def test_words_of_patterns_leave_out_no_match(spark):
     found = measurements.measurements(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
     got = sorted((r["doc_id"], r["fact_key"], r["value"] or r["text_value"]) for r in found)
     assert got == [(0, "drawing_title", "Ground plan"), (1, "drawing_title", "Roof"), (2, "drawing_number", "A1"), (3, "proposed_area_sqm", 8.0), (3, "proposed_area_sqm", 9.0), (4, "proposed_percentage", 7.0)]
+
+
+def test_search_sorts_the_best_rows_of_a_shard_only(spark, tmp_path, monkeypatch):
+    given, real = [], search.rows_per_key
+    monkeypatch.setattr(search, "rows_per_key", lambda df, *a: given.append(df.count()) or real(df, *a))
+    monkeypatch.setattr(advice, "rows_per_key", search.rows_per_key, raising=False)
+    monkeypatch.setattr(search, "CELLS", 40, raising=False)
+    docs = [(i, f"the word w{i % 7} of  The\nword") for i in range(300)] + [(400, None), (401, "")]
+    asked = [(1, "The word w3"), (2, "w0 of the"), (3, "nowhere"), (4, None), (5, "the ord")]
+    again = (7, "the word w0 twice w0 of the word")  # of an id that is there
+    for name, rows in (("lexical_search", [*docs, again]), ("evidence_search", docs)):
+        for table, names, of in (("documents", ["doc_id", "text"], rows), ("benchmark", ["item_id", "text"], asked)):
+            pq.write_table(pa.table([list(c) for c in zip(*of)], names=names), f"{tmp_path}/{table}.parquet")
+        assert_matches(QUERIES[name](spark, str(tmp_path)), str(tmp_path), SQL[name])
+    assert given and max(given) <= 4 * 5
+
+
+def test_rounding_is_sparks(spark):
+    x = np.array([[0.1234565, 1 / 128, 0.00390625], [0.65 * 0.7 + 0.35 * 0.1, 0.99999951, 2.5e-7], [1.25, 0.0, 0.0000005]])
+    got = [r["y"] for r in spark.createDataFrame([(float(v),) for v in x.flat], "x double").select(F.round("x", 6).alias("y")).collect()]
+    assert search.rounded(x, 6).ravel().tolist() == got
