@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.scratch import shared_path
 from .latest import rows_per_key
 
 #: Weight of a word that has none of its own.
@@ -49,17 +50,25 @@ def cover_density(queries: DataFrame, docs: DataFrame, limit: int = 8) -> DataFr
     """FTS-02: query_id, rank, doc_id and score of five times `limit` texts that hold all words of a query and none of its vetoes,
     the highest cover density first, equal ones by id.
 
-    The rank is that of covers: each minimal run of words that holds all terms adds 0.1 over one plus its other words. Words meet
-    in an equi-join of positions with the queries' terms; texts that lack one are dropped on counts alone, before positions of a
-    text are gathered, and those are bounded by the text. Words are not stemmed and no stop words are left out."""
+    The rank is that of covers: each minimal run of words that holds all terms adds 0.1 over one plus its other words. Positions of
+    a word in a text are one row, written to the shared folder, so texts are split once. A query meets the texts on its rarest word,
+    and those meet its vetoes and the rest of its words on text and word, so a frequent word costs nothing where the rarest lacks.
+    Words are not stemmed and no stop words are left out."""
     asked = parse_query(queries)
     terms = asked.select("query_id", F.size("need").alias("n"), F.posexplode("need").alias("k", "term"))
-    index = postings(docs)
-    met = index.join(terms, "term")
-    whole = met.groupBy("query_id", "doc_id").agg(F.count_distinct("k").alias("held"), F.max("n").alias("n")).where("held = n").drop("held")
     vetoes = asked.select("query_id", F.explode("veto").alias("term"))
-    barred = index.join(vetoes, "term").select("query_id", "doc_id").distinct()
-    whole = whole.join(barred, ["query_id", "doc_id"], "left_anti")
-    spots = met.drop("n").join(whole, ["query_id", "doc_id"]).groupBy("query_id", "doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "k"))).alias("spots"))
+    words = terms.select("term").unionByName(vetoes.select("term")).distinct()
+    index = postings(docs.where("doc_id IS NOT NULL")).join(words, "term").groupBy("doc_id", "term").agg(F.collect_list("pos").alias("at"))
+    path = shared_path(docs.sparkSession, "positions")
+    index.write.parquet(path)
+    index = docs.sparkSession.read.schema(index.schema).parquet(path)
+    counts = index.groupBy("term").agg(F.count(F.lit(1)).alias("texts"))
+    rare = terms.join(counts, "term", "left").groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("texts", F.lit(0)), "term")).alias("term"))
+    found = index.select("doc_id", "term").join(rare, "term").select("query_id", "doc_id")
+    met = found.join(terms, "query_id").join(index, ["doc_id", "term"])
+    spot = F.transform("at", lambda pos: F.struct(pos.alias("pos"), F.col("k").alias("k")))
+    whole = met.groupBy("query_id", "doc_id", "n").agg(F.collect_list(spot).alias("spots")).where(F.size("spots") == F.col("n"))
+    barred = found.join(vetoes, "query_id").join(index.select("doc_id", "term"), ["doc_id", "term"]).select("query_id", "doc_id").distinct()
+    spots = whole.join(barred, ["query_id", "doc_id"], "left_anti").withColumn("spots", F.array_sort(F.flatten("spots")))
     scored = spots.select("query_id", "doc_id", F.round(_density(F.col("spots"), F.col("n")), 6).alias("score"))
     return rows_per_key(scored, ["query_id"], [F.desc("score"), F.col("doc_id")], 5 * limit)

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from plumbline.operators import advice, checks, geo, graph, measurements, places, rules, search
+from plumbline.operators import advice, checks, geo, graph, measurements, places, ranking, rules, search
 from plumbline.plans.registry import QUERIES, SQL
 from plumbline.sources import readers
 from tests.compare import assert_matches
@@ -170,3 +170,14 @@ def test_rounding_is_sparks(spark):
     x = np.array([[0.1234565, 1 / 128, 0.00390625], [0.65 * 0.7 + 0.35 * 0.1, 0.99999951, 2.5e-7], [1.25, 0.0, 0.0000005]])
     got = [r["y"] for r in spark.createDataFrame([(float(v),) for v in x.flat], "x double").select(F.round("x", 6).alias("y")).collect()]
     assert search.rounded(x, 6).ravel().tolist() == got
+
+
+def test_cover_density_gathers_positions_of_texts_with_the_rarest_word_only(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "the of " * 20 + (f"rare{i}" if i < 5 else "")) for i in range(200)], "doc_id int, text string")
+    asked = spark.createDataFrame([(i, f"the of rare{i}") for i in range(40)], "query_id int, text string")
+    made, join = [], type(docs).join
+    monkeypatch.setattr(type(docs), "join", lambda *a, **b: made.append(join(*a, **b)) or made[-1])
+    got = ranking.cover_density(asked, docs, limit=3).select("query_id", "doc_id").collect()
+    assert sorted(map(tuple, got)) == [(i, i) for i in range(5)]
+    monkeypatch.undo()
+    assert max(df.count() for df in made) <= 200 * 2 * 20 + 5
