@@ -12,6 +12,10 @@ from plumbline.llm import byte_bpe, jaccard_join, mixing, pii, toxicity
 from plumbline.llm.common import Scratch
 from plumbline.llm.queries import BPE_FILE
 
+#: Characters of a batch of texts that are tokenized together: half the operator's own, as Python workers of the stages before
+#: still hold memory of the executor then.
+BATCH_CHARS = 4_000_000
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -34,7 +38,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     bpe = byte_bpe.ByteBPE(spark, public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN)
-    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"))
+    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), batch_chars=BATCH_CHARS)
     return bpe.decode(encoded).select("doc_id", "lang", "source", F.size("token_ids").cast("bigint").alias("n_tokens"), F.octet_length("decoded").cast("bigint").alias("n_bytes"), "token_ids")
 
 

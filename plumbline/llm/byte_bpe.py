@@ -102,11 +102,11 @@ class ByteBPE:
         rank = lambda c: F.when(c < _SURROGATES, c - _BASE).otherwise(c - _BASE - _GAP)
         return F.transform(F.split(begun, _EDGE), lambda w: F.transform(F.split(merged(w), ""), lambda c: rank(F.ascii(c))))
 
-    def encode(self, docs: DataFrame, text: str = "text", out: str = "token_ids") -> DataFrame:
-        """`docs` with an array of ids, in place of any column of that name."""
+    def encode(self, docs: DataFrame, text: str = "text", out: str = "token_ids", batch_chars: int = BATCH_CHARS) -> DataFrame:
+        """`docs` with an array of ids, in place of any column of that name. Smaller batches take less memory and more time."""
         docs = docs.drop(out)
         row = F.struct(*docs.columns)
-        n = F.ceil(docs.agg(F.sum(F.coalesce(F.length(text), F.lit(0)) + ROW_CHARS)).scalar() / BATCH_CHARS)
+        n = F.ceil(docs.agg(F.sum(F.coalesce(F.length(text), F.lit(0)) + ROW_CHARS)).scalar() / batch_chars)
         number = F.xxhash64(F.monotonically_increasing_id())  # not of the text: copies would meet in one batch
         batches = docs.select(row.alias("d"), F.pmod(number, F.greatest(F.lit(1), n)).alias("b"))
         batches = batches.repartition("b").groupBy("b").agg(F.collect_list("d").alias("d"))

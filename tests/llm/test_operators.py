@@ -405,6 +405,12 @@ def test_bpe_edge_cases(spark, edge, empty, reference_bpe):
     assert again.columns == out.columns
 
 
+def test_bpe_batches_of_any_size_give_the_same_ids(spark, edge, reference_bpe):
+    bpe = byte_bpe.ByteBPE(spark, public_tokenizers.path(queries.BPE_FILE), public_tokenizers.PATTERN)
+    ids = lambda df: sorted((r["text"] or "", r["token_ids"]) for r in df.select("text", "token_ids").collect())
+    assert ids(bpe.encode(edge, batch_chars=2_000)) == ids(bpe.encode(edge))
+
+
 def test_bpe_shuffles_a_text_once(spark, reference_bpe):
     bpe = byte_bpe.ByteBPE(spark, public_tokenizers.path(queries.BPE_FILE), public_tokenizers.PATTERN)
     plan = bpe.encode(spark.createDataFrame([(1, "a b")], "doc_id bigint, text string"))._jdf.queryExecution().optimizedPlan().toString().split("\n")
