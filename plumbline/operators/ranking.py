@@ -65,10 +65,10 @@ def cover_density(queries: DataFrame, docs: DataFrame, limit: int = 8) -> DataFr
     counts = index.groupBy("term").agg(F.count(F.lit(1)).alias("texts"))
     rare = terms.join(counts, "term", "left").groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("texts", F.lit(0)), "term")).alias("term"))
     found = index.select("doc_id", "term").join(rare, "term").select("query_id", "doc_id")
-    met = found.join(terms, "query_id").join(index, ["doc_id", "term"])
+    barred = found.join(vetoes, "query_id").join(index.select("doc_id", "term"), ["doc_id", "term"]).select("query_id", "doc_id").distinct()
+    met = found.join(barred, ["query_id", "doc_id"], "left_anti").join(terms, "query_id").join(index, ["doc_id", "term"])
     spot = F.transform("at", lambda pos: F.struct(pos.alias("pos"), F.col("k").alias("k")))
     whole = met.groupBy("query_id", "doc_id", "n").agg(F.collect_list(spot).alias("spots")).where(F.size("spots") == F.col("n"))
-    barred = found.join(vetoes, "query_id").join(index.select("doc_id", "term"), ["doc_id", "term"]).select("query_id", "doc_id").distinct()
-    spots = whole.join(barred, ["query_id", "doc_id"], "left_anti").withColumn("spots", F.array_sort(F.flatten("spots")))
+    spots = whole.withColumn("spots", F.array_sort(F.flatten("spots")))
     scored = spots.select("query_id", "doc_id", F.round(_density(F.col("spots"), F.col("n")), 6).alias("score"))
     return rows_per_key(scored, ["query_id"], [F.desc("score"), F.col("doc_id")], 5 * limit)
