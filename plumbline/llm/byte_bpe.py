@@ -3,9 +3,9 @@
 Documents are dealt by hash into batches of bounded size. Spark's regular expression splits a batch's texts into words (the
 matches of the vocabulary's pattern); equal words are brought together by sorting packed hashes, and each distinct word is
 folded once: its bytes become pieces, and the neighbours with the lowest rank, leftmost first, are joined until no pair is in
-the rank map. The map is one literal of the plan, from a pair of pieces to the piece they make: an array of small maps, found
-by the CRC of the pair. The ids then go back to the words' places inside the batch, so words are never joined over a shuffle
-and no word is a hot key. Decoding concatenates the binary pieces of the ids, another literal.
+the rank map. The map is a literal of one row, from a pair of pieces to the piece they make: an array of small maps, found by
+the CRC of the pair. The plan gets it as a scalar subquery, so that the driver does not spell it out in each plan's text. The ids then go back to the words' places inside the batch, so words are never joined over a shuffle
+and no word is a hot key. Decoding concatenates the binary pieces of the ids, another such literal.
 
 A piece is one character, U+0100 and its rank, so that a word is a short string and the piece that a pair makes is also the
 pair's rank. Words of more than LONG_WORD bytes take rounds that merge all places of the lowest pair at once; ids are the
@@ -23,6 +23,7 @@ import json
 import zlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,7 +86,10 @@ class ByteBPE:
         for token, rank in self.ranks.items():
             pieces[rank] = token.decode("latin-1")
         self.byte_chars = "".join(char[bytes([b])] for b in range(256))
-        self._maps, self._pieces, self._first = (json.dumps({"v": v}) for v in (maps, pieces, first))
+        self._first = json.dumps({"v": first})
+        rows = pa.array([[list(m.items()) for m in maps]], pa.list_(pa.map_(pa.string(), pa.string())))
+        self._maps = spark.createDataFrame(pa.table({"v": rows}))
+        self._pieces = spark.createDataFrame(pa.table({"v": pa.array([pieces], pa.list_(pa.string()))}))
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))
@@ -113,9 +117,9 @@ class ByteBPE:
         split = batches.select(F.col("d").alias("rows"), F.transform("d", lambda d: self.words(text_of(d[text]))).alias("words"))
         flat = split.select("rows", F.transform("words", F.size).alias("n"), F.flatten("words").alias("w"))
         runs = flat.withColumn("s", _packed("w")).withColumn("f", _first_of_runs("w", "s"))
-        maps = F.from_json(F.lit(self._maps), "v array<map<string,string>>")["v"]
         distinct = F.transform("f", lambda j: _word_at(F.col("w"), F.get("s", j)))
-        placed = runs.select("rows", "n", _places("s", "f").alias("at"), let(maps, lambda m: self.ids_of_words(distinct, m)).alias("ids"))
+        runs = runs.withColumn("maps", self._maps.scalar())
+        placed = runs.select("rows", "n", _places("s", "f").alias("at"), let(F.col("maps"), lambda m: self.ids_of_words(distinct, m)).alias("ids"))
         ends = F.aggregate("n", F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
         in_place = lambda i, n, e, ids: F.flatten(F.transform(F.slice("at", F.get(e, i) + 1, n), lambda k: F.get(ids, k)))
         cut = let(ends, lambda e: let(F.col("ids"), lambda ids: F.transform("n", lambda n, i: in_place(i, n, e, ids))))
@@ -124,9 +128,10 @@ class ByteBPE:
 
     def decode(self, rows: DataFrame, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
         """`rows` with the bytes of an array of ids: its binary pieces, joined."""
-        pieces = F.from_json(F.lit(self._pieces), "v array<string>")["v"]
-        joined = let(pieces, lambda p: F.array_join(F.transform(ids, lambda i: F.coalesce(F.get(p, i), F.lit(""))), ""))
-        return rows.withColumn(out, F.coalesce(F.encode(joined, "ISO-8859-1"), F.lit(b"")))
+        pieces = "_" * (1 + max(map(len, [*rows.columns, out])))  # a name of its own
+        joined = let(F.col(pieces), lambda p: F.array_join(F.transform(ids, lambda i: F.coalesce(F.get(p, i), F.lit(""))), ""))
+        decoded = F.coalesce(F.encode(joined, "ISO-8859-1"), F.lit(b""))
+        return rows.withColumn(pieces, self._pieces.scalar()).withColumn(out, decoded).drop(pieces)
 
 
 def _word_at(words: Column, packed: Column) -> Column:

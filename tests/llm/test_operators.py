@@ -418,6 +418,12 @@ def test_bpe_shuffles_a_text_once(spark, reference_bpe):
     assert dealt.count("text#") == 1, dealt
 
 
+def test_bpe_keeps_its_maps_out_of_the_plans_text(spark, reference_bpe):
+    bpe = byte_bpe.ByteBPE(spark, public_tokenizers.path(queries.BPE_FILE), public_tokenizers.PATTERN)
+    plan = bpe.decode(bpe.encode(spark.createDataFrame([(1, "a b")], "doc_id bigint, text string")))._jdf.queryExecution().toString()
+    assert len(plan) < 200_000, len(plan)
+
+
 # op9
 
 
