@@ -109,8 +109,8 @@ class _Text(HTMLParser):
 PAGES = 200
 
 
-def html_text(pages: DataFrame, key: str = "page_id", html: str = "html", max_links: int = 80) -> DataFrame:
-    """SRC-09: key, text (title, then headings, paragraphs and list items by tag, each string once) and links of each page. Pages
+def html_text(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """SRC-09: key, text (title, then headings, paragraphs and list items by tag, each string once) and all links of each page. Pages
     of an Arrow batch become Python strings one at a time, and results leave in small batches, so a worker holds little beside the batch."""
     kind = pages.schema[key].dataType.simpleString()
 
@@ -122,7 +122,7 @@ def html_text(pages: DataFrame, key: str = "page_id", html: str = "html", max_li
                 parser.feed(source.as_py() or "")
                 parser.close()
                 texts.append("\n".join(dict.fromkeys(t for b in parser.BLOCKS for t in parser.texts[b])))
-                links.append(list(dict.fromkeys(parser.links))[:max_links])
+                links.append(list(dict.fromkeys(parser.links)))
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(texts, pa.string()), pa.array(links, pa.list_(pa.string()))], [key, "text", "links"])
 
     return pages.select(key, F.col(html).alias("__html")).mapInArrow(run, f"{key} {kind}, text string, links array<string>")
