@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from plumbline.operators import advice, checks, geo, graph, measurements, places, ranking, rules, search
+from plumbline.operators import advice, checks, geo, graph, measurements, places, ranking, rules, search, tables
 from plumbline.plans.registry import QUERIES, SQL
 from plumbline.sources import readers
 from tests.compare import assert_matches
@@ -91,6 +91,27 @@ def test_pairs_of_rules_are_told_once_without_a_shuffle_of_them(spark):
     assert out._jdf.queryExecution().optimizedPlan().toString().startswith("Union")  # not an aggregate of all pairs
 
 
+def test_pairs_of_a_key_are_whole_in_any_parts_and_bundles(spark, monkeypatch):
+    left = [(k, v) for k, n in ((1, 30), (2, 1), (3, 9), (None, 2)) for v in range(n)] + [(1, 5), (1, None)]
+    right = [(k, f"r{v}", v) for k, n in ((1, 21), (2, 40), (4, 9), (None, 2)) for v in range(n)] + [(1, "r3", 3), (2, None, None)]
+    want = sorted(((k, a, *b) for k, a in left for j, *b in right if k is not None and k == j), key=repr)
+    frames = spark.createDataFrame(left, "k int, a int"), spark.createDataFrame(right, "k int, b string, c int")
+    for pairs, bundles in ((50, (7, 3)), (10**9, (512, 128))):
+        monkeypatch.setattr(tables, "SPREAD_PAIRS", pairs)
+        monkeypatch.setattr(tables, "SPREAD_BUNDLES", bundles, raising=False)
+        for l, r in (frames, (frames[0].limit(0), frames[1])):  # noqa: E741
+            got = tables.spread_join(l, r, ["k"])
+            assert got.columns == ["k", "a", "b", "c"] and sorted(map(tuple, got.collect()), key=repr) == (want if l is frames[0] else [])
+
+
+def test_pairs_take_little_room_where_they_are_written(spark, tmp_path):
+    of = lambda i, path: F.struct(i.alias("rule_id"), F.lit(1).alias("version_id"), F.lit("k.x").alias("rule_key"), F.lit(None).cast("string").alias("stated_base"), F.lit(path).alias("pathway"), F.lit("approved").alias("state"))
+    kind = F.when(F.col("id") < 100, of(F.col("id"), "design_principle")).otherwise(of(F.col("id"), "deemed_to_comply"))
+    graph.alternative_edges(spark.range(30_100).select(kind.alias("r")).select("r.*")).write.parquet(f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 100 * 30_000
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 100 * 30_000  # a byte a pair
+
+
 def test_facts_of_a_parcel_are_made_once(spark):
     told = spark.sparkContext.accumulator(0)
 
