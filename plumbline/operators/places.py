@@ -95,6 +95,6 @@ def synth_facts(properties: DataFrame, parcels: DataFrame, features: DataFrame,
     told = lambda df: df.withColumns({n: f(F.col("fact_type"), F.col("value")) for n, f in more.items()}) if more else df
     asked = properties.where("parcel_id IS NOT NULL").select("project_id", "parcel_id")
     new = spread_join(asked, told(rows), ["parcel_id"]).withColumn("method", F.lit(SPATIAL))
-    kept = facts.join(properties.select("project_id").distinct(), "project_id", "left_semi").where(~F.col("method").eqNullSafe(F.lit(SPATIAL)))
-    others = facts.join(properties.select("project_id").distinct(), "project_id", "left_anti")
-    return told(kept).select(*columns).unionByName(told(others).select(*columns)).unionByName(new.select(*columns))
+    from_map = F.col("method").eqNullSafe(F.lit(SPATIAL))  # facts of another method stay, whoever's they are
+    old = facts.where(~from_map).unionByName(facts.where(from_map).join(properties.select("project_id"), "project_id", "left_anti"))
+    return told(old).select(*columns).unionByName(new.select(*columns))

@@ -129,6 +129,19 @@ def test_facts_of_a_parcel_are_made_once(spark):
     assert told.value <= 3 * 40  # not for each of the 1,282 facts
 
 
+def test_only_facts_of_maps_meet_projects(spark):
+    props = spark.createDataFrame([(1, 1), (1, None), (2, None), (None, 5)], "project_id int, parcel_id int")
+    parcels = spark.createDataFrame([], "parcel_id int, area_m2 double, width_m double, depth_m double, local_government string")
+    features = spark.createDataFrame([], "parcel_id int, feature_id int, layer_type string, code string, label string, stamped string, meta_code string")
+    old = [(p, m) for p in (1, 2, 3, None) for m in ("spatial_derived", "manual_override", None)] * 2
+    facts = spark.createDataFrame([(p, "t", "v", m, None) for p, m in old], "project_id int, fact_type string, value string, method string, feature_id int")
+    out = places.synth_facts(props, parcels, features, facts)
+    want = [(p, m) for p, m in old if m != "spatial_derived" or p not in (1, 2)]
+    assert sorted(((r["project_id"], r["method"]) for r in out.collect()), key=repr) == sorted(want, key=repr)
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert len(re.findall(r"Join LeftAnti, \(project_id", plan)) == 1 and not re.search(r"Join LeftSemi, \(project_id", plan)
+
+
 def test_numbers_meet_distinct_runs_of_quotes(spark):
     clauses = [(v, i, f"of {i} m, {i}.5 and 0 in 2005, {i % 3}") for v in (1, 2) for i in range(60)] + [(None, 1, "9"), (3, 1, "1234567"), (1, 99, None)]
     quotes = [(1, f"set at {i} m") for i in range(40)] + [(1, "v1.2.55x7"), (2, "1" * 30 + "41.5" + "3" * 30), (2, None), (None, "9"), (3, "99123456 7")]
