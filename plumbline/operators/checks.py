@@ -127,12 +127,13 @@ def with_scopes(projects: DataFrame, facts: DataFrame, types: list[str]) -> Data
     return out.withColumn("scope", F.to_json(F.struct(*SCOPE))).drop("__c", "__l")
 
 
-def run_checks(projects: DataFrame, facts: DataFrame, rules: DataFrame, checks: dict[str, list[str]] = CHECKS, bases: dict[str, list[str]] = BASE_KEYS, hashes: bool = True) -> DataFrame:
+def run_checks(projects: DataFrame, facts: DataFrame, rules: DataFrame, checks: dict[str, list[str]] = CHECKS, bases: dict[str, list[str]] = BASE_KEYS, hashes: bool = True, traced: bool = True) -> DataFrame:
     """DOM-02: project_id, check_key, status, measured, threshold, unit, rule_id, citation, reason, trace and pack_hash of every check
-    of every project; without `hashes`, pack_hash is null.
+    of every project; without `hashes`, pack_hash is null, and without `traced`, trace is its fields, not their JSON.
 
     A project is one row until the end: its facts and the rules of its scope are maps, and checks are multiplied out last, so
-    nothing is shuffled by check. Rules of a scope are a small table, which Spark broadcasts when it is below its threshold."""
+    nothing is shuffled by check. Checks are one literal and look up both maps, as an expression for each would make a method that the
+    JVM does not compile. Rules of a scope are a small table, which Spark broadcasts when it is below its threshold."""
     scoped = with_scopes(projects, facts, sorted({t for ts in checks.values() for t in ts}))
     scopes = scoped.select("scope", *SCOPE).distinct()
     chosen = select_rules(rules, scopes, checks, bases)
@@ -140,13 +141,14 @@ def run_checks(projects: DataFrame, facts: DataFrame, rules: DataFrame, checks:
     table = chosen.groupBy("scope").agg(F.map_from_entries(F.collect_list(F.struct("check_key", rule))).alias("rules"))
     table = table.join(pack_hashes(rules, scopes), "scope", "left") if hashes else table.withColumn("pack_hash", F.lit(None).cast("string"))
     rows = scoped.join(table, "scope", "left")
-    first = lambda ts: F.coalesce(*[F.try_element_at("facts", F.lit(t)) for t in ts])
-    each = F.explode(F.array(*[F.struct(F.lit(c).alias("check_key"), F.try_element_at("rules", F.lit(c)).alias("r"), first(ts).alias("f")) for c, ts in checks.items()]))
-    rows = rows.select("project_id", "council", "council_source", "pack_hash", each.alias("x")).select("*", "x.*").drop("x")
-    return _judged(rows)
+    places = range(max(map(len, checks.values())))
+    asked = F.explode(F.array(*[F.struct(F.lit(c).alias("check_key"), *[F.lit(ts[i] if i < len(ts) else None).cast("string").alias(f"t{i}") for i in places]) for c, ts in checks.items()]))
+    rows = rows.select("project_id", "council", "council_source", "pack_hash", "facts", "rules", asked.alias("x"))
+    found = F.coalesce(*[F.try_element_at("facts", F.col("x")[f"t{i}"]) for i in places])
+    return _judged(rows.select("project_id", "council", "council_source", "pack_hash", "x.check_key", F.try_element_at("rules", F.col("x.check_key")).alias("r"), found.alias("f")), traced)
 
 
-def _judged(rows: DataFrame) -> DataFrame:
+def _judged(rows: DataFrame, traced: bool = True) -> DataFrame:
     c = F.col
     rows = rows.withColumn("ok", compare(c("f.value"), c("r.operator"), c("r.threshold")))  # a column of its own, not computed again by each use
     ok = c("ok")
@@ -159,13 +161,14 @@ def _judged(rows: DataFrame) -> DataFrame:
     status = F.when(none, "unsupported").when(c("reason").isNotNull(), "needs_more_info").when(ok, "likely_pass").otherwise("likely_fail")
     version = F.when(c("r.source_version_id").isNotNull(), F.concat(F.lit("source_version:"), c("r.source_version_id").cast("string")))
     shown = lambda x: x.cast("string")
-    trace = F.struct(
-        F.lit(ENGINE).alias("engine_version"), c("r.operator").alias("operator"), shown(c("r.threshold")).alias("threshold"), shown(c("f.value")).alias("measured"),
-        c("status").alias("result"), c("reason").alias("missing_info_reason"), c("council").alias("council_scope"), c("council_source").alias("council_scope_source"),
-    )
+    fields = {
+        "engine_version": F.lit(ENGINE), "operator": c("r.operator"), "threshold": shown(c("r.threshold")), "measured": shown(c("f.value")),
+        "result": c("status"), "missing_info_reason": c("reason"), "council_scope": c("council"), "council_scope_source": c("council_source"),
+    }
+    trace = F.when(~none, F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]))) if traced else F.struct(*[F.when(~none, v).alias(k) for k, v in fields.items()])
     return rows.withColumn("status", status).select(
         "project_id", "check_key", "status", c("f.value").alias("measured"), c("r.threshold").alias("threshold"), c("r.unit").alias("unit"), c("r.rule_id").alias("rule_id"),
-        F.when(~none, F.concat_ws(" | ", F.nullif(c("r.rule_key"), F.lit("")), version)).alias("citation"), "reason", F.when(~none, F.to_json(trace)).alias("trace"), "pack_hash",
+        F.when(~none, F.concat_ws(" | ", F.nullif(c("r.rule_key"), F.lit("")), version)).alias("citation"), "reason", trace.alias("trace"), "pack_hash",
     )
 
 

@@ -39,9 +39,9 @@ told AS (SELECT *, CASE WHEN rule_id IS NULL THEN 'unsupported' WHEN reason IS N
   WHEN CASE operator WHEN 'gte' THEN v >= t WHEN '>' THEN v > t WHEN 'eq' THEN v = t ELSE v <= t END THEN 'likely_pass' ELSE 'likely_fail' END AS status FROM judged)"""
 
 
-def _run(spark, sf_dir, hashes=True):
+def _run(spark, sf_dir, hashes=True, traced=True):
     rules = view(spark, sf_dir, "check_rules").withColumns({"zones": F.split("zones", ","), "r_codes": F.split("codes", ",")})
-    return C.run_checks(view(spark, sf_dir, "check_projects"), view(spark, sf_dir, "check_facts"), rules, hashes=hashes)
+    return C.run_checks(view(spark, sf_dir, "check_projects"), view(spark, sf_dir, "check_facts"), rules, hashes=hashes, traced=traced)
 
 
 @query(f"""WITH {_RUN} SELECT project_id, check_key, status, v AS measured, t AS threshold, unit, rule_id, CASE WHEN rule_id IS NOT NULL THEN concat_ws(' | ', rule_key, 'source_version:' || source_version_id) END AS citation, reason, pack_hash,
@@ -49,9 +49,8 @@ def _run(spark, sf_dir, hashes=True):
 def compliance_results(spark, sf_dir):
     """DOM-01, DOM-02, FLT-02 to FLT-04: all 38 checks of every project: keys, bases and canonical keys, councils of facts, zones and codes,
     dwelling types, the place of the key, approved rules only, with citation, trace and the hash of the pack."""
-    out = _run(spark, sf_dir)
-    part = lambda k: F.get_json_object("trace", f"$.{k}")
-    return out.withColumns({"trace_council": part("council_scope"), "trace_source": part("council_scope_source")}).drop("trace")
+    out = _run(spark, sf_dir, traced=False)
+    return out.withColumns({"trace_council": F.col("trace.council_scope"), "trace_source": F.col("trace.council_scope_source")}).drop("trace")
 
 
 @query(f"""WITH {_RUN} SELECT project_id, CASE WHEN count(*) FILTER (status = 'likely_fail') > 0 THEN 'has_likely_failures' WHEN count(*) FILTER (status = 'needs_more_info') > 0 THEN 'incomplete' ELSE 'likely_compliant' END AS status FROM told GROUP BY 1""")

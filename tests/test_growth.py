@@ -1,5 +1,6 @@
 """Copies of places, polygons, rules and texts cost no more tests or rows than one of each."""
 
+import json
 import re
 
 import numpy as np
@@ -172,6 +173,34 @@ def test_rules_of_one_kind_are_filed_once(spark, monkeypatch):
     assert got == {s: best(*s) for s in scopes} and filed == [4]
 
 
+def test_checks_of_a_project_are_multiplied_out_in_compiled_code(spark):
+    projects = spark.createDataFrame([(1, "c"), (2, " "), (3, None)], "project_id int, council string")
+    facts = [(1, "site_area_m2", 7.0, None, "map"), (1, "proposed_covered_area_m2", 3.0, None, "map"), (1, "proposed_plot_ratio", 0.5, None, "assumption"), (1, "r_code", None, "R20", "map"), (2, "frontage_width_m", 5.0, None, "map")]
+    facts = spark.createDataFrame([(*f, "confirmed", 1, 1) for f in facts], "project_id int, fact_type string, value double, text string, method string, review_status string, created int, tie int")
+    given = [(1, "site_cover", "5"), (2, "plot_ratio.x", "1"), (3, "min_frontage", "4"), (4, "garage_width", None)]
+    rules_ = spark.createDataFrame([(i, k, None, None, t, "gte", "standard", None, None, None, None, 1, "m", "none", "approved", i) for i, k, t in given], """rule_id int, rule_key string, base_rule_key string, canonical string, threshold string, operator string,
+        rule_type string, council string, zones array<string>, r_codes array<string>, dwelling_type string, created int, unit string, pathway string, state string, source_version_id int""")
+    out = checks.run_checks(projects, facts, rules_)
+    rows = out.collect()
+    assert len(rows) == 3 * len(checks.CHECKS)
+    got = {(r["project_id"], r["check_key"]): (r["status"], r["reason"], r["measured"]) for r in rows if r["rule_id"] is not None and r["project_id"] < 3}
+    assert got[1, "site_cover"] == ("likely_pass", None, 7.0)  # of the second type, as there is none of the first
+    assert got[1, "plot_ratio"] == ("needs_more_info", "assumption_fact_unconfirmed", 0.5) and got[2, "min_frontage"] == ("likely_pass", None, 5.0)
+    assert got[2, "garage_width"] == ("needs_more_info", "missing_rule_threshold", 5.0) and got[2, "site_cover"] == ("needs_more_info", "missing_measurement_fact", None)
+    fields = {(r["project_id"], r["check_key"]): r["trace"] for r in checks.run_checks(projects, facts, rules_, traced=False).collect()}
+    for r in rows:
+        told = {k: v for k, v in fields[r["project_id"], r["check_key"]].asDict().items() if v is not None}
+        assert (json.loads(r["trace"]) if r["trace"] else {}) == told and (r["trace"] is None) == (r["rule_id"] is None)
+    codes = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that all of the plan is there before it runs
+    try:
+        for traced in (True, False):
+            code = checks.run_checks(projects, facts, rules_, traced=traced)._jdf.queryExecution().explainString(codes)
+            assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", code))) < 8_000  # bytes that the JVM compiles
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_facts_are_dealt_by_project_before_they_are_compared(spark):
     facts = spark.createDataFrame([(1, "a", float(i), "map", i, 0) for i in range(9)] + [(2, "a", 1.0, None, 1, 0), (2, "b", 1.0, "map", 1, 0)], "project_id int, fact_type string, value double, method string, created int, tie int")
     projects = spark.createDataFrame([(1, 3, "R1"), (2, 3, "R1"), (3, 4, None)], "project_id int, council int, r_code string")
